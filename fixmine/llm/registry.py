@@ -23,3 +23,36 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixmine.llm.near_dedup import near_groups
 
     return near_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.exact_dedup import exact_groups
+
+    return exact_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.line_dedup import line_report
+
+    return line_report(read(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op6_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents),
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)
+"""
+
+ORACLES["op7_line_dedup"] = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, k.pos, k.line, s.top IS NULL OR s.top = k.doc_id AS stays FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
