@@ -39,6 +39,55 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(read(spark, sf_dir, "documents"))
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.secrets import scan_archive
+
+    return scan_archive(read(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.html_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.token_files import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.language import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op6_exact_dedup"] = f"""
@@ -56,3 +105,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+_SETS = """
+list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)
+"""
+
+ORACLES["op1_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, unnest({_SETS}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+b AS (SELECT item_id, {_SETS} AS ss FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+i AS (SELECT item_id, len(ss) AS n_item, unnest(ss) AS s FROM b)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM d JOIN i USING (s) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+"""
+
+ORACLES["op10_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SETS} AS ss FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+p AS (SELECT doc_id, unnest(ss) AS s, len(ss) AS n FROM d),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node WHERE r.root < l.y),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, len(ss) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON c.node = d.doc_id
+"""
