@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.store import columns_for, keep
+from fixmine.llm.store import columns_for, keep, spare
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -141,11 +141,12 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
     return "\n".join(out), len(lines), len(lines) - len(out)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the column ``bitmap``, null where all lines stay; the bitmaps are the hashed side of the join."""
-    left = docs.withColumn("text_hash", F.xxhash64("text"))
-    right = bitmaps.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "bitmap").hint("shuffle_hash")
-    return left.join(right, left["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (left["text_hash"] == F.col("_h")), "left").drop("_d", "_h", "text_hash")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str = "bitmap") -> DataFrame:
+    """``docs`` with the bitmap of each row, null where all lines stay; the bitmaps are the hashed side of the join."""
+    h, d, r = spare(docs, "text_hash"), spare(docs, "doc_key"), spare(docs, "hash_key")
+    right = bitmaps.select(F.col("doc_id").alias(d), F.col("text_hash").alias(r), F.col("bitmap").alias(name)).hint("shuffle_hash")
+    left = docs.withColumn(h, F.xxhash64("text"))
+    return left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(r)), "left").select(*docs.columns, name)
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,14 +161,14 @@ def line_report(docs: DataFrame, **limits: int) -> DataFrame:
     return with_bitmaps(rows, keep(keep_bitmaps(docs, **limits), "bitmaps")).mapInArrow(_report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = [kept_lines(t, b)[0] if b is not None else t for t, b in zip(batch["text"].to_pylist(), batch["bitmap"].to_pylist(), strict=True)]
-        at = batch.schema.names.index("text")
-        out = batch.set_column(at, "text", pa.array(done, batch.schema.field("text").type))
-        yield out.drop_columns(["bitmap"])
-
-
 def drop_lines(docs: DataFrame, **limits: int) -> DataFrame:
     """``docs`` with the texts that remain; all other columns as they were."""
-    return with_bitmaps(docs, keep(keep_bitmaps(docs, **limits), "bitmaps")).mapInArrow(_apply, docs.schema)
+    name = spare(docs, "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [kept_lines(t, b)[0] if b is not None else t for t, b in zip(batch["text"].to_pylist(), batch[name].to_pylist(), strict=True)]
+            at = batch.schema.names.index("text")
+            yield batch.set_column(at, "text", pa.array(done, batch.schema.field("text").type)).drop_columns([name])
+
+    return with_bitmaps(docs, keep(keep_bitmaps(docs, **limits), "bitmaps"), name).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
 from fixmine.llm.graph import PAIR, UnionFind, components
-from fixmine.llm.store import columns_for, keep
+from fixmine.llm.store import columns_for, keep, spare
 
 ROWS, BANDS = 8, 40
 PLACES = ROWS * BANDS
@@ -149,6 +149,11 @@ def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     shingles and no links. Of rows with one doc_id and different texts, each gets the group of its own text. A null
     doc_id keeps its row with a null component and kept false, and links nothing. An empty table gives an empty table.
     """
+    return labelled_rows(docs, threshold).drop("text_hash")
+
+
+def labelled_rows(docs: DataFrame, threshold: float) -> DataFrame:
+    """``near_groups`` with the hash of each row's text."""
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     sketch = keep(rows.mapInArrow(_sketch, SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
@@ -169,6 +174,18 @@ def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     linked = blocks.mapInArrow(_verify(threshold, sure), "a long, b long")
     groups = keep(components(linked, "groups"), "groups")
     label = classes.select("print", "doc_id").join(groups, classes.doc_id == groups.node, "left").select("print", F.coalesce("component", "doc_id").alias("component"))
-    labelled = sketch.where("n_shingles > 0").join(label, "print", "left").select("doc_id", "n_shingles", "component")
-    alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    return labelled.union(alone).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    labelled = sketch.where("n_shingles > 0").join(label, "print", "left").select("doc_id", "text_hash", "n_shingles", "component")
+    alone = sketch.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component"))
+    return labelled.union(alone).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each group, with all its columns; rows without a doc_id stay.
+
+    Of rows that repeat both doc_id and text one stays.
+    """
+    d, h, own = spare(docs, "doc_key"), spare(docs, "hash_key"), spare(docs, "text_hash")
+    stay = keep(labelled_rows(docs, threshold).where("kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "stay")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    ours = rows.join(stay, (F.col("doc_id").cast("long") == F.col(d)) & (F.col(own) == F.col(h)), "inner").dropDuplicates([d, h])
+    return ours.select(*docs.columns).union(docs.where("doc_id is null"))

@@ -147,6 +147,6 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     # one row per task and length at most, and at most `window` lengths reach the driver
     before = held.withColumn("lead", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = pieces.join(before.select("part", "length", F.coalesce("lead", F.lit(0)).alias("lead")), ["part", "length"]).withColumn("rank", F.col("lead") + F.col("nth"))
+    ranked = pieces.join(before.select("part", "length", F.coalesce("lead", F.lit(0)).alias("lead")).hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("lead") + F.col("nth"))
     places = Places(pack_histogram(counts, window))
     return ranked.mapInArrow(_placed(places), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

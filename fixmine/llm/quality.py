@@ -23,7 +23,7 @@ DIMS = 1 << 12
 #: Documents, on average, that the scorer is fitted on; they are chosen by a hash of the text.
 FIT_ROWS = 6000
 #: Documents with a lower score are rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#$%&*|<>{}\\~^=_@+[]")] = True
@@ -57,11 +57,13 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         new[1:] = shingled[order][1:] != shingled[order][:-1]
         new[at[:-1][at[:-1] < len(new)]] = True
     some = np.maximum(words, 1)
-    bare = np.zeros(len(starts), bool)
+    bare = plain = np.zeros(len(starts), bool)
     if len(starts):
         end = np.append(starts[1:], len(raw))
         letters = np.concatenate(([0], np.cumsum(_ALPHA[raw] | _WIDE[raw] | ((raw >= 48) & (raw < 58)))))
         bare = letters[end] == letters[starts]
+        marks = np.concatenate(([0], np.cumsum(~X.IS_SPACE[raw])))
+        plain = ~bare & ((marks[end] - marks[starts]) - (letters[end] - letters[starts]) <= 1)
     return {
         "words": words,
         "symbol": _per_text(_SYMBOL[raw], offsets) / np.maximum(solid, 1),
@@ -70,6 +72,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "again": again / some,
         "distinct": np.add.reduceat(np.append(new, False).astype(np.int64), at[:-1]) / np.maximum(np.diff(at), 1) if n else np.zeros(0),
         "bare": np.bincount(doc[bare], minlength=n) / some,
+        "plain": np.bincount(doc[plain], minlength=n) / some,
         "length": solid / some,
     }
 
@@ -82,6 +85,7 @@ HEURISTICS = (
     ("again", 0.0, 0.05, -1.0, 0.2, 12),
     ("distinct", 0.8, 1.0, 0.45, 2.0, 12),
     ("bare", 0.0, 0.05, -1.0, 0.2, 3),
+    ("plain", 0.85, 1.0, 0.55, 2.0, 8),
     ("length", 2.5, 9.0, 1.5, 16.0, 12),
 )
 
@@ -104,8 +108,8 @@ class WeakLabels:
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50):
         table = patterns[:, None] // _POWERS % 3
-        bad = (table == 2).sum(axis=1) / np.maximum((table > 0).sum(axis=1), 1)
-        post = np.clip(bad, 0.05, 0.95)
+        # each heuristic knows one way of being bad, so one such vote outweighs good votes of the others at first
+        post = np.clip(1 - 0.01 ** (table == 2).sum(axis=1), 0.01, 0.99)
         weight = counts.astype(float)
         for _ in range(rounds):
             self.prior = np.clip((post * weight).sum() / max(weight.sum(), 1), 1e-4, 0.5)

@@ -129,3 +129,10 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT l.y, r.root FROM
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, len(ss) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c ON c.node = d.doc_id
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

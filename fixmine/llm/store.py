@@ -44,9 +44,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every intermediate table made so far; results read from them must have been written."""
-    while _tables:
+def release(since: int = 0) -> None:
+    """Delete the intermediate tables made after ``since`` others; results read from them must have been written."""
+    while len(_tables) > since:
         spark, path = _tables.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -56,6 +56,11 @@ def release() -> None:
             return
 
 
+def made() -> int:
+    """How many intermediate tables there are."""
+    return len(_tables)
+
+
 atexit.register(release)
 
 
@@ -69,3 +74,11 @@ def columns_for(df: DataFrame, **wanted: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in wanted.items()))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
