@@ -136,7 +136,7 @@ def exact_groups(docs: DataFrame, fresh: Column | None = None) -> DataFrame:
     wanted = pairs.select(F.explode(F.array(F.struct("digest", F.lit(True).alias("is_old"), "old.*"), F.struct("digest", F.lit(False).alias("is_old"), "new.*"))).alias("w")).select("w.*")
     # a group of rows without an id has none to join on: the lowest number stands for it
     key = F.coalesce("doc_id", F.lit(-(2**63))).alias("row_key")
-    texts = rows.select(key, "text_hash", "text").join(wanted.select(key, "text_hash", "digest", "is_old"), ["row_key", "text_hash"])
+    texts = rows.select(key, "text_hash", "text").join(wanted.select(key, "text_hash", "digest", "is_old").hint("shuffle_hash"), ["row_key", "text_hash"])
     side = texts.groupBy("digest").agg(F.max(F.when(F.col("is_old"), F.col("text"))).alias("old_text"), F.max(F.when(~F.col("is_old"), F.col("text"))).alias("new_text"))
     equal = keep(side.mapInArrow(_same, "digest binary"), "equal")
     met = pairs.join(equal, "digest")
