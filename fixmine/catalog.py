@@ -1,5 +1,8 @@
 """All registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "e_vote"
+from fixmine.queries import candidates, evaluation, linking, network, records, scalars  # noqa: F401  they register themselves
+from fixmine.queries.base import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+
+FLAGSHIP = "vote_modes"
