@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Words that say nothing about a product's name.
 NOISE = ("project", "linux", "http", "php", "lib", "apache", "js", "plugin")
@@ -182,7 +183,7 @@ def _blocks(a: str, b: str) -> float:
 def _pairwise(f):
     """An Arrow-batched function of two strings that scores each distinct pair of a batch once; null with a null."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known: dict[tuple[str, str], float] = {}
         for a, b in batches:

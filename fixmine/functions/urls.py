@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What the recognisers reject or look for.
 ARCHIVES = (".zip", ".gz", ".tgz", ".google.", ".msi", ".exe", ".tar", ".iso", ".sha256", ".asc", ".xz", ".atom", ".pdf")
@@ -104,8 +106,8 @@ def unquote_twice(c: Column) -> Column:
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
-@F.pandas_udf("string")
-def resolve(base, target):
+@F.pandas_udf(StringType())
+def resolve(base: pd.Series, target: pd.Series) -> pd.Series:
     """Absolute address of a link on a page."""
     from urllib.parse import urljoin
 

@@ -1 +1,211 @@
+"""Linkage joins over parts, orders, events and documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fixmine.functions import strings
+from fixmine.operators import features, linkage, ranking
+from fixmine.queries.base import query, table
+
+_LCS = "list_max(list_transform(range(1, length({a}) + 1), lambda i: list_max(list_transform(range(0, length({a}) - i + 2), lambda n: CASE WHEN contains({b}, substr({a}, i, n)) THEN n ELSE 0 END))))"
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT lower(p_name) AS a FROM part), b AS (SELECT DISTINCT lower(c_mktsegment) AS b FROM customer),
+s AS (SELECT a, b, CAST({_LCS.format(a='b', b='a')} AS BIGINT) AS lcs FROM a, b)
+SELECT a, b, lcs FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY lcs DESC, lcs / length(b) DESC, b) AS r FROM s WHERE lcs > 2) WHERE r <= 10
+""")
+def lcs_similarity_top10(spark, d):
+    a, b = table(spark, d, "part").select(F.lower("p_name").alias("a")), table(spark, d, "customer").select(F.lower("c_mktsegment").alias("b"))
+    pairs = linkage.gram_blocked(a, "a", b, "b").withColumn("lcs", strings.longest_common_substring(F.col("b"), F.col("a")))
+    return ranking.top_within(pairs, ["a"], [F.desc("lcs"), F.desc(F.col("lcs") / F.length("b")), "b"], 10)
+
+
+_PAIRS = "(SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_name < b.p_name)"
+
+
+def _name_pairs(spark, d):
+    p = table(spark, d, "part").select("p_size", "p_name").distinct()
+    return p.withColumnRenamed("p_name", "a").join(p.withColumnRenamed("p_name", "b"), "p_size").where("a < b").select("a", "b").distinct()
+
+
+@query(f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edit, round(1 - levenshtein(regexp_replace(lower(a), '[^a-z]', '', 'g'), regexp_replace(lower(b), '[^a-z]', '', 'g')) / greatest(length(regexp_replace(lower(a), '[^a-z]', '', 'g')), length(regexp_replace(lower(b), '[^a-z]', '', 'g'))), 6) AS letters FROM {_PAIRS}")
+def edit_similarity(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _name_pairs(spark, d).select("a", "b", F.round(strings.edit_similarity(a, b), 6).alias("edit"), F.round(strings.edit_similarity(strings.letters_only(a), strings.letters_only(b)), 6).alias("letters"))
+
+
+@query(f"SELECT a, b, round(jaro_similarity(a, b), 6) AS jaro, round(jaro_winkler_similarity(a, b), 6) AS winkler FROM {_PAIRS}")
+def jaro_family(spark, d):
+    return _name_pairs(spark, d).select("a", "b", F.round(strings.jaro("a", "b"), 6).alias("jaro"), F.round(strings.jaro_winkler("a", "b"), 6).alias("winkler"))
+
+
+@query()
+def similarity_blend(spark, d):
+    """The mean of five similarities; two of them are in no SQL dialect."""
+    a, b = F.col("a"), F.col("b")
+    return _name_pairs(spark, d).select("a", "b", F.round(strings.block_ratio("a", "b"), 6).alias("blocks"), F.round(strings.indel_ratio("a", "b"), 6).alias("indel"), F.round(strings.mean_similarity(a, b), 6).alias("mean"))
+
+
+_CLEAN = "regexp_replace(lower({}), '[^a-z]', ' ', 'g')"
+for _n in strings.NOISE:
+    _CLEAN = f"replace({_CLEAN}, '{_n}', '')"
+_CLEAN = f"list_distinct(list_filter(string_split({_CLEAN}, ' '), lambda x: x <> ''))"
+
+
+@query(f"""
+SELECT a, b, CAST(CASE WHEN 2 * n >= len(x) AND 2 * n >= len(y) THEN 1 ELSE 0 END AS BIGINT) AS same FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS n FROM (
+  SELECT a, b, {_CLEAN.format('a')} AS x, {_CLEAN.format('b')} AS y FROM (SELECT DISTINCT p_name AS a, concat(p_type, ' plugin ', split_part(p_name, ' ', 1)) AS b FROM part)))
+""")
+def word_overlap_match(spark, d):
+    pairs = table(spark, d, "part").select(F.col("p_name").alias("a"), F.concat("p_type", F.lit(" plugin "), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("b")).distinct()
+    return pairs.select("a", "b", strings.word_overlap(F.col("a"), F.col("b")).alias("same"))
+
+
+_COMMITS = """
+(SELECT concat('CVE-', CAST(year(o_orderdate) AS VARCHAR), '-', CAST(o_orderkey AS VARCHAR)) AS cve, h AS hash, substr(h, 1, 7) AS short, CASE l_returnflag WHEN 'R' THEN 'fix' WHEN 'A' THEN 'add' ELSE 'none' END || ' ' || CAST(l_partkey AS VARCHAR) AS subject
+ FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag, md5(concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_partkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR))) AS h FROM lineitem) JOIN orders ON o_orderkey = l_orderkey)
+"""
+_TRUTH = f"(SELECT DISTINCT cve, substr(hash, 1, 10) AS hash, '' AS title FROM {_COMMITS} c WHERE substr(hash, 1, 1) < '4')"
+
+
+def v_commits(spark, d):
+    """Changes made of line items, named by a digest."""
+    s = lambda c: F.col(c).cast("string")
+    h = F.md5(F.concat(s("l_orderkey"), F.lit("-"), s("l_partkey"), F.lit("-"), s("l_linenumber")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", h.alias("hash")).distinct()
+    rows = lines.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    word = F.when(F.col("l_returnflag") == "R", "fix").when(F.col("l_returnflag") == "A", "add").otherwise("none")
+    return rows.select(F.concat(F.lit("CVE-"), F.year("o_orderdate").cast("string"), F.lit("-"), s("o_orderkey")).alias("cve"), "hash", F.substring("hash", 1, 7).alias("short"), F.concat(word, F.lit(" "), s("l_partkey")).alias("subject"))
+
+
+def v_truth(spark, d):
+    return v_commits(spark, d).where(F.substring("hash", 1, 1) < "4").select("cve", F.substring("hash", 1, 10).alias("hash"), F.lit("").alias("title")).distinct()
+
+
+def _match():
+    return linkage.commit_match(F.col("p.hash"), F.col("p.short"), F.col("p.subject"), F.col("t.hash"), F.col("t.title"))
+
+
+@query(f"SELECT p.cve, p.hash, p.subject FROM {_COMMITS} p WHERE EXISTS (SELECT 1 FROM {_TRUTH} t WHERE t.cve = p.cve AND (contains(p.hash, t.hash) OR contains(t.hash, p.short) OR contains(t.hash, p.hash)))")
+def commit_theta_match(spark, d):
+    return linkage.matched(v_commits(spark, d), v_truth(spark, d), "cve", _match()).select("cve", "hash", "subject")
+
+
+@query(f"""
+WITH p AS (SELECT * FROM {_COMMITS}), t AS (SELECT * FROM {_TRUTH}), m AS (SELECT p.cve, count(DISTINCT p.hash) AS hits, count(DISTINCT t.hash) AS found FROM p JOIN t ON p.cve = t.cve AND (contains(p.hash, t.hash) OR contains(t.hash, p.short)) GROUP BY 1)
+SELECT round(avg(coalesce(hits, 0) / n), 6) AS precision, round(avg(least(1, coalesce(found, 0) / k)), 6) AS recall, count(*) AS groups
+FROM (SELECT cve, count(DISTINCT hash) AS n FROM p GROUP BY 1) JOIN (SELECT cve, count(DISTINCT hash) AS k FROM t GROUP BY 1) USING (cve) LEFT JOIN m USING (cve)
+""")
+def linkage_precision_recall(spark, d):
+    p, t = v_commits(spark, d), v_truth(spark, d)
+    m = linkage.matched(p, t, "cve", _match(), "inner").groupBy("p.cve").agg(F.countDistinct("p.hash").alias("hits"), F.countDistinct("t.hash").alias("found"))
+    both = p.groupBy("cve").agg(F.countDistinct("hash").alias("n")).join(t.groupBy("cve").agg(F.countDistinct("hash").alias("k")), "cve").join(m, "cve", "left").na.fill(0, ["hits", "found"])
+    return both.agg(F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("precision"), F.round(F.avg(F.least(F.lit(1.0), F.col("found") / F.col("k"))), 6).alias("recall"), F.count("*").alias("groups"))
+
+
+@query("""
+SELECT a.o_custkey AS o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND (b.o_orderdate, b.o_orderkey) > (a.o_orderdate, a.o_orderkey)
+ AND floor(abs(epoch(a.o_orderdate) - epoch(b.o_orderdate)) / 86400) <= 30
+""")
+def interval_related(spark, d):
+    return linkage.interval_pairs(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 30)
+
+
+_BANDS = "(SELECT p_partkey, p_retailprice / 10 AS low, p_retailprice / 10 + p_size / 25.0::DOUBLE AS high FROM part WHERE p_type LIKE 'S%')"
+
+
+@query(f"SELECT event_id, count(*) AS bands, min(p_partkey) AS first FROM events JOIN {_BANDS} ON value BETWEEN low AND high GROUP BY event_id")
+def line_range_join(spark, d):
+    bands = table(spark, d, "part").where("p_type LIKE 'S%'").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 25.0).alias("high"))
+    return linkage.in_ranges(table(spark, d, "events"), "value", bands, "low", "high", 2.0).groupBy("event_id").agg(F.count("*").alias("bands"), F.min("p_partkey").alias("first"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, year(ts) * 100 + month(ts) AS m, value FROM events), k AS (SELECT min(m) AS lo, max(m) AS hi FROM e),
+a AS (SELECT user_id, event_type, count(*) AS before FROM e, k WHERE m = lo GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS after FROM e, k WHERE m = hi GROUP BY 1, 2)
+SELECT user_id, event_type, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'deleted' WHEN before = after THEN 'same' ELSE 'modified' END AS status FROM a FULL JOIN b USING (user_id, event_type)
+""")
+def full_outer_alignment(spark, d):
+    e = table(spark, d, "events").withColumn("m", F.year("ts") * 100 + F.month("ts"))
+    ends = e.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    e = e.join(F.broadcast(ends), F.lit(True))
+    count = lambda m: e.where(F.col("m") == F.col(m)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return linkage.aligned(count("lo"), count("hi"), ["user_id", "event_type"], "n")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS representative, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1")
+def equivalent_pairs(spark, d):
+    return linkage.equivalent_pairs(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+@query("""
+WITH l AS (SELECT doc_id // 100 AS g, doc_id, quality FROM labels), p AS (SELECT g, doc_id AS p FROM l WHERE quality = 1), n AS (SELECT g, doc_id AS n FROM l WHERE quality = 0),
+x AS (SELECT p.g, p, n, row_number() OVER (PARTITION BY p.g ORDER BY p, n) % 2 = 0 AS flipped FROM p JOIN n ON p.g = n.g)
+SELECT g, CASE WHEN flipped THEN n ELSE p END AS "left", CASE WHEN flipped THEN p ELSE n END AS "right", flipped FROM x
+""")
+def pos_neg_pairs(spark, d):
+    rows = table(spark, d, "labels").withColumn("g", F.floor(F.col("doc_id") / 100).cast("long"))
+    return linkage.alternate_pairs(rows, "g", "quality", "doc_id")
+
+
+@query("SELECT source, row_number() OVER (ORDER BY f, source) - 1 AS code FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY 1)")
+def factorize_codes(spark, d):
+    return linkage.factorise(table(spark, d, "documents"), "source", "doc_id")
+
+
+_COUNTS = "(SELECT {k}, token, count(*) AS n FROM (SELECT {k}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM {t}) GROUP BY 1, 2)"
+_DOCS, _ITEMS = _COUNTS.format(k="doc_id", t="documents"), _COUNTS.format(k="item_id", t="benchmark")
+
+
+def _counts(spark, d, name, key):
+    return features.term_counts(table(spark, d, name).withColumn("tokens", strings.alnum_tokens(F.col("text"))), key, "tokens")
+
+
+@query(f"""
+WITH s AS (SELECT item_id, count(*) AS size FROM {_ITEMS} GROUP BY 1)
+SELECT doc_id, i.item_id, count(*) AS shared, round(count(*) / any_value(size), 6) AS ratio, min(least(d.n, i.n)) AS low, max(least(d.n, i.n)) AS high, CAST(sum(least(d.n, i.n)) AS BIGINT) AS total, round(avg(least(d.n, i.n)), 6) AS mean, round(var_pop(least(d.n, i.n)), 6) AS var
+FROM {_DOCS} d JOIN {_ITEMS} i USING (token) JOIN s USING (item_id) GROUP BY doc_id, i.item_id
+""")
+def shared_token_stats(spark, d):
+    s = features.shared_tokens(_counts(spark, d, "documents", "doc_id"), "doc_id", _counts(spark, d, "benchmark", "item_id"), "item_id")
+    return s.select("doc_id", "item_id", "shared", F.round("ratio", 6).alias("ratio"), "low", "high", "total", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
+
+
+_WEIGHTS = "(SELECT {k}, token, w, sqrt(sum(w * w) OVER (PARTITION BY {k})) AS norm FROM (SELECT {k}, token, n / (sum(n) OVER (PARTITION BY {k}) + 1) * idf AS w FROM {c} JOIN i USING (token)))"
+
+
+@query(f"""
+WITH i AS (SELECT token, ln((SELECT count(*) FROM documents) / (count(*) + 1)) AS idf FROM {_DOCS} GROUP BY 1)
+SELECT doc_id, item_id, round(coalesce(sum(a.w * b.w) / nullif(any_value(a.norm) * any_value(b.norm), 0), 0), 4) AS cosine FROM {_WEIGHTS.format(k='doc_id', c=_DOCS)} a JOIN {_WEIGHTS.format(k='item_id', c=_ITEMS)} b USING (token) GROUP BY 1, 2
+""")
+def tfidf_cosine(spark, d):
+    docs = table(spark, d, "documents")
+    counts = _counts(spark, d, "documents", "doc_id")
+    idfs = features.idf(counts, docs.count())
+    pairs = features.tfidf_cosine(features.weights(counts, "doc_id", idfs), "doc_id", features.weights(_counts(spark, d, "benchmark", "item_id"), "item_id", idfs), "item_id")
+    return pairs.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"))
+
+
+@query("""
+SELECT c.conv_id, c.turn, len(list_intersect(x, y)) AS shared, round(len(list_intersect(x, y)) / greatest(len(x), len(y)), 6) AS coefficient FROM
+ (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM conversations) c JOIN (SELECT conv_id, turn + 1 AS turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS y FROM conversations) n USING (conv_id, turn)
+""")
+def token_overlap_ratio(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(strings.alnum_tokens(F.col("text"))).alias("x"))
+    both = t.join(t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+    n, _ = strings.token_overlap(F.col("x"), F.col("y"))
+    return both.select("conv_id", "turn", n.alias("shared"), F.round(strings.overlap_coefficient(F.col("x"), F.col("y")), 6).alias("coefficient"))
+
+
+@query("""
+SELECT id, same, round(same / (n + 1), 6) AS share, m - same AS other FROM (
+ SELECT p_partkey AS id, 2 AS n, 2 AS m, (CASE WHEN contains(a, b) OR contains(a, c) THEN 1 ELSE 0 END + CASE WHEN contains(e, b) OR contains(e, c) THEN 1 ELSE 0 END)::BIGINT AS same FROM (
+  SELECT p_partkey, concat('src/', p_type, '/', p_name) AS a, concat('lib/', p_brand) AS e, split_part(p_name, ' ', 1) AS b, concat('Brand#', CAST(p_size AS VARCHAR)) AS c FROM part))
+""")
+def location_overlap(spark, d):
+    own = F.array(F.concat(F.lit("src/"), F.col("p_type"), F.lit("/"), F.col("p_name")), F.concat(F.lit("lib/"), F.col("p_brand")))
+    named = F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat(F.lit("Brand#"), F.col("p_size").cast("string")))
+    same, share, other = strings.location_overlap(own, named)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), same.alias("same"), F.round(share, 6).alias("share"), other.alias("other"))
