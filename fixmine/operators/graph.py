@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixmine.store import checkpoints
+
 EX = "EX"
 
 
@@ -21,14 +23,16 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, depth: int, expand: Column |
     """(root, node, level): nodes at most ``depth`` edges from each root at their least level.
 
     edges: src, dst; roots: root. expand: which edges may be followed beyond level 1. Each level is one join; what has been seen
-    is removed by an anti-join.
+    is removed by an anti-join, and lineage is cut after each level.
     """
+    checkpoints(edges.sparkSession)
+    edges = edges.checkpoint()
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("level"))
     frontier = seen
     for level in range(1, depth + 1):
         usable = edges if level == 1 or expand is None else edges.where(expand)
         step = frontier.join(usable, frontier["node"] == usable["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level).cast("long"))
+        frontier = step.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level).cast("long")).checkpoint()
         seen = seen.union(frontier)
     return seen
 
@@ -36,19 +40,22 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, depth: int, expand: Column |
 def simple_paths(edges: DataFrame, roots: DataFrame, cutoff: int = 4, targets: DataFrame | None = None) -> DataFrame:
     """(root, node, path): all paths without a repeated node of 1 to ``cutoff`` edges.
 
-    With targets (node), edges from which no target can be reached in the remaining steps are left out first.
+    With targets (node), edges from which no target can be reached in the remaining steps are left out first. Lineage is
+    cut after each step, as each step's result is used twice.
     """
+    checkpoints(edges.sparkSession)
+    edges = edges.select("src", "dst").distinct().checkpoint()
     out, paths = None, roots.select("root", F.col("root").alias("node"), F.array("root").alias("path"))
     near = []
     if targets is not None:
         back = targets.select(F.col("node").alias("n")).distinct()
         for _ in range(cutoff):
             near.append(back)
-            back = back.union(edges.join(back, edges["dst"] == back["n"], "left_semi").select("src")).distinct()
+            back = back.union(edges.join(back, edges["dst"] == back["n"], "left_semi").select("src")).distinct().checkpoint()
         near.reverse()
     for k in range(cutoff):
         usable = edges if not near else edges.join(near[k], edges["dst"] == near[k]["n"], "left_semi")
-        paths = paths.join(usable, paths["node"] == usable["src"]).where(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        paths = paths.join(usable, paths["node"] == usable["src"]).where(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).checkpoint()
         out = paths if out is None else out.union(paths)
     return out if targets is None else out.join(targets, "node", "left_semi").select("root", "node", "path")
 
@@ -112,6 +119,7 @@ def patch_set_scores(pred: DataFrame, truth: DataFrame, equivalent: DataFrame, r
     pred, truth: entity, key; equivalent: entity, a, b (both directions). A hit truth makes its equivalents hits; one with
     equivalents that are all hit becomes one. Rounds go on until no flag changes, ``rounds`` at most per call of the fixpoint.
     """
+    checkpoints(pred.sparkSession)
     p = pred.select("entity", "key")
     tp = p.join(truth.select("entity", "key").distinct(), ["entity", "key"], "left_semi")
     hit = tp.distinct()
