@@ -74,6 +74,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 SKETCH = "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig binary"
 
 
+@X.trimmed
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = X.buffers(batch["text"])
@@ -125,6 +126,7 @@ def _verify(threshold: float, least: float):
                     root[root == old] = new
         return out
 
+    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:

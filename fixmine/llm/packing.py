@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixmine.llm import text as X
 from fixmine.llm.store import columns_for, keep
 from fixmine.llm.tokens import Encoder, default_path
 
@@ -98,6 +99,7 @@ PIECES = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int
 def _cut(path: str, window: int, end_id: int):
     """Pieces of each document, numbered within the task among pieces of equal length."""
 
+    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, encoder = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), Encoder.of(path)
         end = np.array([end_id], "<u4")

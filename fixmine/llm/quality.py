@@ -172,6 +172,7 @@ def fit_scorer(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: n
     return w
 
 
+@X.trimmed
 def _pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of patterns in each batch."""
     for batch in batches:
@@ -184,6 +185,7 @@ def _pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
 
+@X.trimmed
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = X.buffers(batch["text"])
@@ -244,6 +246,7 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(docs)
 
+    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score(batch["text"])
@@ -256,6 +259,7 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
     model = model or fit(docs)
 
+    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch["text"]) >= LEAST_SCORE))

@@ -17,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixmine.llm import text as X
 from fixmine.llm.store import columns_for, fresh_path, keep
 from fixmine.llm.tokens import Encoder, default_path
 
@@ -26,6 +27,7 @@ BLOCK = 1 << 22
 
 
 def _write(folder: str, tokenizer: str, end_id: int, width: int):
+    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = Encoder.of(tokenizer), f"<u{width}"
         store, root = fs.FileSystem.from_uri(folder)

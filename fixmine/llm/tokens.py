@@ -14,9 +14,9 @@ from fixmine.llm.text import U64, buffers, mix, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Characters per slice; bounds the memory of the array operations.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Distinct pre-tokens kept by one worker before the cache starts anew.
-CACHE = 1_200_000
+CACHE = 1_000_000
 
 # Blocks whose letters, numbers and white space are the same in every recent edition of Unicode.
 _LIMIT = 0x2070
@@ -58,8 +58,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.whole = path, None
         self.pieces = Tokenizer.from_file(path)  # for what is one pre-token already
         self.pieces.encode_special_tokens = True
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -68,28 +67,45 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of pre-tokens, and the place of each in the arrays below
+        self.place = np.zeros(0, np.int32)
+        self.first = np.zeros(1 << 16, np.int32)
+        self.size = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 17, np.uint32)
         self.used = 0
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer for texts that the tables don't cover."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return self.whole
+
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        ids = [e.ids for e in self.pieces.encode_batch_fast(texts, add_special_tokens=False)]
-        n, sizes = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while n + len(ids) > len(self.first):
-            self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.size[n : n + len(ids)] = sizes
-        self.first[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.used += total
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+    def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Encode new pre-tokens; hashes are sorted."""
+        n = len(self.known)
+        for i in range(0, len(texts), 20_000):
+            ids = [e.ids for e in self.pieces.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(sizes.sum())
+            while n + len(ids) > len(self.first):
+                self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.size[n : n + len(ids)] = sizes
+            self.first[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+            self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.used += total
+            n += len(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.place = np.insert(self.place, at, np.arange(len(self.known), n, dtype=np.int32))
+        self.known = np.insert(self.known, at, hashes)
 
     def _split(self, points: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Flags of the characters that begin a pre-token. ends: the first character after each text."""
@@ -140,17 +156,17 @@ class Encoder:
         distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHE:
             self._reset()
-        hashes = distinct.tolist()
-        lookup = self.known.get
-        index = np.fromiter((lookup(h, -1) for h in hashes), np.int64, len(hashes))
-        fresh = np.flatnonzero(index < 0)
+        at = np.searchsorted(self.known, distinct)
+        at[at == len(self.known)] = 0
+        fresh = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        index = self.place[at].astype(np.int64) if len(self.known) else np.zeros(len(distinct), np.int64)
         if len(fresh):
             a = starts[where[fresh]]
             b = a + sizes[where[fresh]]
             index[fresh] = len(self.known) + np.arange(len(fresh))
-            self._add([hashes[i] for i in fresh], [text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            self._add(distinct[fresh], [text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
         index = index[inverse]
-        n_ids = self.size[index]
+        n_ids = self.size[index].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(n_ids)))
         source = np.repeat(self.first[index] - before[:-1], n_ids) + np.arange(before[-1])
         return self.pool[source], before[np.searchsorted(starts, bounds)]
