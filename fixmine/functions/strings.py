@@ -237,3 +237,45 @@ def prompt(template: str, **cols: Column) -> Column:
     for name, c in cols.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("")))
     return out
+
+
+def product_key(cpe: Column) -> Column:
+    """The product field of a platform name, lower-case letters and digits only; null with fewer than five fields."""
+    f = F.split(cpe, ":")
+    return F.when(F.size(f) >= 5, F.regexp_replace(F.lower(F.get(f, F.lit(4))), "(?U)[\\W_]+", ""))
+
+
+#: Keywords that a function's header has beside its names.
+HEADER_WORDS = ("static", "const", "void", "int", "char", "long", "unsigned", "struct", "return", "if", "for", "while", "public", "private")
+
+
+def header_tokens(c: Column) -> Column:
+    """Distinct names of a function's header, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)")), lambda x: ~x.isin(list(HEADER_WORDS)))))
+
+
+def text_tokens(c: Column, stop: Sequence[str] = (), lemmas: dict[str, str] | None = None) -> Column:
+    """Identifier tokens without stop words, each by its lemma if the dictionary has one."""
+    out = F.filter(camel_tokens(c), lambda x: ~x.isin(list(stop))) if stop else camel_tokens(c)
+    if lemmas:
+        table = F.create_map(*(F.lit(x) for kv in lemmas.items() for x in kv))
+        out = F.transform(out, lambda x: F.coalesce(table[x], x))
+    return out
+
+
+def occurrences(items: Column, text: Column) -> Column:
+    """How many of the items are in the text."""
+    return F.size(F.filter(items, lambda x: F.contains(text, x))).cast("long")
+
+
+def base_names(paths: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(paths, lambda p: F.element_at(F.split(p, "/"), -1))))
+
+
+LANGUAGES = {"c": "C", "h": "C", "cc": "C++", "cpp": "C++", "hpp": "C++", "java": "Java", "py": "Python", "php": "PHP", "js": "JavaScript", "go": "Go"}
+
+
+def language_of(path: Column) -> Column:
+    """The language of a path by its suffix, else null."""
+    table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
+    return table[F.lower(F.element_at(F.split(path, "[.]"), -1))]

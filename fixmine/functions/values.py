@@ -64,3 +64,28 @@ def relation(nvd_types: Column, types: Column, nvd_impacts: Column, impacts: Col
     three = F.size(pairs) + F.size(related) - one - two
     total = one + two + three + F.lit(1.0)
     return one / total, two / total, (three + 1) / total
+
+
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def url_date(c: Column) -> Column:
+    """A date in a URL as /2020/05/06/, 2020-05-06 or 20200506, else null."""
+    y, m, d = (F.regexp_extract(c, "(19[89][0-9]|20[0-4][0-9])[/-]?(0[1-9]|1[0-2])[/-]?(0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)", k) for k in (1, 2, 3))
+    return F.to_date(F.try_to_timestamp(F.concat(y, m, d), F.lit("yyyyMMdd")))
+
+
+def month_name_date(c: Column) -> Column:
+    """A date as ``6 May 2020`` or ``May 6, 2020``, else null."""
+    table = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m[:3], k)))
+    rule = "(?i)(?:([0-9]{1,2})(?:st|nd|rd|th)? )?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.]? (?:([0-9]{1,2})(?:st|nd|rd|th)?,? )?([0-9]{4})"
+    day = F.coalesce(F.nullif(F.regexp_extract(c, rule, 1), F.lit("")), F.nullif(F.regexp_extract(c, rule, 3), F.lit("")))
+    text = F.concat_ws("-", F.regexp_extract(c, rule, 4), F.lpad(table[F.lower(F.regexp_extract(c, rule, 2))].cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+    return F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+
+
+def compact_date(c: Column) -> Column:
+    """A git date line as yyyymmdd, and 0 if it cannot be read."""
+    p = F.split(F.trim(c), " +")
+    text = F.concat_ws(" ", F.get(p, F.lit(1)), F.get(p, F.lit(2)), F.get(p, F.lit(4)))
+    return F.coalesce(F.date_format(F.try_to_timestamp(text, F.lit("MMM d yyyy")), "yyyyMMdd"), F.lit("0"))

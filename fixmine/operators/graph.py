@@ -151,3 +151,28 @@ def extend(selected: DataFrame, edges: DataFrame, valid: Column, pool: DataFrame
     both = tagged.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(tagged.select("dst", "src"))
     more = both.join(selected, "node", "left_semi").select(F.col("other").alias("node")).join(pool, "node", "left_semi")
     return selected.select("node").union(more).distinct()
+
+
+def deeper_than(nodes: DataFrame, score: str, baseline: DataFrame, strict: bool = False) -> DataFrame:
+    """Nodes whose score is at least (or over) the baseline's highest; all of them for an empty baseline."""
+    top = baseline.agg(F.max(score).alias("_m"))
+    ok = F.col(score) > F.col("_m") if strict else F.col(score) >= F.col("_m")
+    return nodes.crossJoin(F.broadcast(top)).where(F.coalesce(ok, F.lit(True))).drop("_m")  # the baseline is one row
+
+
+def from_search(edges: DataFrame, by_id: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """``edges`` and search results: changes found by id below the root, those found by an issue key below the node with that key.
+
+    by_id: key, root, node; by_key: key, holder, node.
+    """
+    new = by_id.select(key, F.col("root").alias("src"), F.col("node").alias("dst")).union(by_key.select(key, F.col("holder").alias("src"), F.col("node").alias("dst"))).withColumn("tag", F.lit("SG"))
+    return add_edges(edges, new, key)
+
+
+def from_sources(refs: DataFrame, key: str) -> DataFrame:
+    """(key, src, dst, tag): the root to its sources and each source to its references.
+
+    refs: key, source, url; an entity without references of a source has no edge for it.
+    """
+    top = refs.select(key, F.col(key).alias("src"), F.col("source").alias("dst")).distinct()
+    return top.union(refs.select(key, F.col("source").alias("src"), F.col("url").alias("dst")).distinct()).withColumn("tag", F.lit(None).cast("string"))

@@ -91,3 +91,39 @@ def equivalent_pairs(df: DataFrame, key: str, content: Column) -> DataFrame:
     h = df.select(key, F.md5(content.cast("binary")).alias("_h"))
     groups = h.groupBy("_h").agg(F.min(key).alias("representative"), F.count("*").alias("copies")).where("copies > 1")
     return h.join(groups, "_h").select(key, "representative", "copies")
+
+
+def left_features(pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]], fill: dict[str, float] | None = None) -> DataFrame:
+    """Pairs with the columns of each table joined on its keys; missing values are filled."""
+    for other, keys in tables:
+        pairs = pairs.join(other, list(keys), "left")
+    return pairs.na.fill(fill or {})
+
+
+def issue_search(issues: DataFrame, commits: DataFrame, similarity: Column, least: float = 2 / 3) -> DataFrame:
+    """(entity, key, hash): changes whose message has an issue key of the entity, in repositories similar enough to its product.
+
+    issues: entity, key, product; commits: repo, hash, message. Both sides meet on the keys that a message mentions, so
+    no message is compared with keys that it does not have. similarity: of ``product`` and ``repo``.
+    """
+    named = commits.select("repo", "hash", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("message"), F.lit("([A-Z][A-Z0-9]+-[0-9]+)")))).alias("_k"))
+    return issues.withColumn("_k", F.upper("key")).join(named, "_k").where(similarity >= least).select("entity", "key", "hash").distinct()
+
+
+def merged_branches(truth: DataFrame) -> DataFrame:
+    """(entity, branch, patch): rows without a branch get the first branch with an equivalent patch, one in which either contains the other.
+
+    truth: entity, branch (null if unknown), patch.
+    """
+    known, lost = truth.where("branch is not null"), truth.where("branch is null")
+    k = known.select(F.col("entity").alias("_e"), F.col("branch").alias("_b"), F.col("patch").alias("_p"))
+    found = lost.join(k, (F.col("entity") == F.col("_e")) & (contained(F.col("patch"), F.col("_p")) | contained(F.col("_p"), F.col("patch"))), "left")
+    return known.select("entity", "branch", "patch").union(found.groupBy("entity", "patch").agg(F.min("_b").alias("branch")).select("entity", "branch", "patch"))
+
+
+def closest(df: DataFrame, keys: Sequence[str], wanted: str, tag: str, similarity: Column) -> DataFrame:
+    """(keys, wanted, tag): an equal tag, else one that contains or is contained, else the most similar; the first by name on ties."""
+    level = F.when(F.col(wanted) == F.col(tag), 3.0).when(contained(F.col(wanted), F.col(tag)) | contained(F.col(tag), F.col(wanted)), 2.0).otherwise(similarity)
+    scored = df.withColumn("_s", level)
+    best = scored.groupBy(*keys, wanted).agg(F.max("_s").alias("_s"))
+    return scored.join(best, [*keys, wanted, "_s"]).groupBy(*keys, wanted).agg(F.min(tag).alias(tag))
