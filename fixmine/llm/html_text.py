@@ -50,16 +50,32 @@ class _Node:
         if attributes and "=" in attributes:
             if re.search(r"\bhidden\b|display\s*:\s*none", attributes):
                 self.hidden = self.hidden or tag not in ("html", "body", "article", "main")
-            words = {w.lower() for m in _HINT.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
             if tag not in ("html", "body"):
-                if words & _AGAINST and not (tag in ("article", "main") or words & {"article"}):
-                    own = min(own, -9) if own <= 0 else -9
-                elif words:
-                    own = max([own, *(_FOR.get(w, 0) for w in words)]) if own >= 0 else own
+                own = _hinted(own, [t for m in _HINT.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()])
         above = parent.score if parent else 0
+        if tag in ("article", "main") and parent and "form" in parent.within and not parent.within & {"nav", "aside", "footer", "menu"}:
+            above = 0  # a form around the whole page
         self.score = min(above, own) if min(above, own) < 0 else max(above, own)
 
 
+def _hinted(own: int, tokens: list[str]) -> int:
+    """An element's score with what its classes, id and role say; names that contradict each other say nothing."""
+    against, best = False, 0
+    for token in tokens:
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words or words[0] in ("has", "with", "no", "without", "is"):
+            continue  # a layout's wrapper
+        if set(words) & _AGAINST:
+            against |= not ("header" in words and set(words) & {"article", "post", "entry", "story"})
+        else:
+            best = max([best, *(_FOR.get(w, 0) for w in words)])
+    if against and best:
+        return own
+    if against:
+        return -9 if own <= 0 else own - 12
+    return max(own, best) if own >= 0 else own
+
+
 def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
     """(text, characters of links, element) of each block with text, in page order."""
     root = _Node("#root", "", None)
