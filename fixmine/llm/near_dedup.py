@@ -24,8 +24,9 @@ from fixmine.llm import text as X
 from fixmine.llm.graph import PAIR, UnionFind, components
 from fixmine.llm.store import columns_for, keep, spare
 
-ROWS, BANDS = 8, 40
-PLACES = ROWS * BANDS
+PLACES = 320
+#: Largest probability that no band holds a pair just at the threshold.
+MISSED = 1e-5
 #: Shingles of one chunk of a family; two chunks are in memory at once.
 BLOCK_SHINGLES = 1_000_000
 #: Elements whose permutations are held at once.
@@ -63,9 +64,16 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int = PLAC
     return out
 
 
-def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit key for each band of each signature."""
-    n, m = signatures.shape
+def rows_of_bands(threshold: float, places: int = PLACES) -> int:
+    """The most rows a band can have with ``MISSED`` kept: 8 at 0.85, 6 at 0.8."""
+    return max([1, *(r for r in range(1, places + 1) if (1 - threshold**r) ** (places // r) <= MISSED)])
+
+
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of each signature; places that fill no band are left out."""
+    n = len(signatures)
+    m = signatures.shape[1] // rows * rows
+    signatures = signatures[:, :m]
     keys = X.mix(np.arange(9000, 9000 + m, dtype=np.uint64)) | X.U64(1)
     with np.errstate(over="ignore"):
         return X.mix((X.mix(signatures) * keys).reshape(n, m // rows, rows).sum(axis=2, dtype=np.uint64))
@@ -74,22 +82,25 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 SKETCH = "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig binary"
 
 
-@X.trimmed
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = X.buffers(batch["text"])
-        ids, hashes = batch["doc_id"], batch["text_hash"]
-        for i, j in X.slices(offsets):
-            sets = list(X.shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-            sizes = np.array([len(s) for s in sets])
-            signs = super_minhash(np.concatenate(sets), np.repeat(np.arange(j - i), sizes), j - i)
-            bands = band_keys(signs).view(np.int64)
-            full = sizes > 0
-            small = X.mix(signs).astype(np.uint8)
-            yield pa.record_batch([
-                ids.slice(i, j - i), hashes.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array([X.fingerprint(s) for s in sets], pa.binary()),
-                pa.array([b if f else None for b, f in zip(bands, full, strict=True)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in small], pa.binary()),
-            ], names=["doc_id", "text_hash", "n_shingles", "print", "bands", "sig"])
+def _sketch(rows: int):
+    @X.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = X.buffers(batch["text"])
+            ids, hashes = batch["doc_id"], batch["text_hash"]
+            for i, j in X.slices(offsets):
+                sets = list(X.shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                sizes = np.array([len(s) for s in sets])
+                signs = super_minhash(np.concatenate(sets), np.repeat(np.arange(j - i), sizes), j - i)
+                bands = band_keys(signs, rows).view(np.int64)
+                full = sizes > 0
+                small = X.mix(signs).astype(np.uint8)
+                yield pa.record_batch([
+                    ids.slice(i, j - i), hashes.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array([X.fingerprint(s) for s in sets], pa.binary()),
+                    pa.array([b if f else None for b, f in zip(bands, full, strict=True)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in small], pa.binary()),
+                ], names=["doc_id", "text_hash", "n_shingles", "print", "bands", "sig"])
+
+    return run
 
 
 def _verify(threshold: float, least: float):
@@ -157,7 +168,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 def labelled_rows(docs: DataFrame, threshold: float) -> DataFrame:
     """``near_groups`` with the hash of each row's text."""
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
-    sketch = keep(rows.mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = keep(rows.mapInArrow(_sketch(rows_of_bands(threshold)), SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
     classes = keep(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("print", "row.*", "n_shingles", "bands", "sig"), "classes")
     in_bucket = classes.select(F.explode("bands").alias("bucket"), "doc_id", "print")
@@ -181,7 +192,7 @@ def labelled_rows(docs: DataFrame, threshold: float) -> DataFrame:
     return labelled.union(alone).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each group, with all its columns; rows without a doc_id stay.
 
     Of rows that repeat both doc_id and text one stays.

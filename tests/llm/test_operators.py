@@ -88,6 +88,10 @@ def test_super_minhash_estimates_and_has_every_rank_once():
     assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(64))
 
 
+def test_bands_miss_next_to_nothing():
+    assert [near_dedup.rows_of_bands(t) for t in (0.85, 0.8)] == [8, 6]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)]

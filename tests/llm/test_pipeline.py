@@ -42,7 +42,7 @@ def test_stages(spark, folder, tmp_path):
             for i in set(old) - set(new):
                 assert any(j < i and 100 * len(sets[i] & s) >= 80 * len(sets[i] | s) for j, s in sets.items() if s)
             kept = [(i, sets[i]) for i in new if sets[i]]
-            assert not any(100 * len(a & b) >= 85 * len(a | b) for x, (_, a) in enumerate(kept) for _, b in kept[:x])
+            assert not any(100 * len(a & b) >= 80 * len(a | b) for x, (_, a) in enumerate(kept) for _, b in kept[:x])
         if k == 3:
             dirty = {i for i, r in old.items() if any(b and len(b & shingle_set(r["text"])) >= 0.8 * len(b) for b in bench)}
             assert set(new) == set(old) - dirty
