@@ -132,10 +132,8 @@ class Encoder:
                 k = 1 if one in "stmd" else 2 if two in ("re", "ve", "ll") else 0
                 if k:
                     new[at + 1 : at + 1 + k] = False
-                    if at + 1 + k < n and not border[at + 1 + k]:
-                        nxt = at + 1 + k
-                        if not (blankless(kind, points, nxt)):
-                            new[nxt] = True
+                    if at + 1 + k < n:
+                        new[at + 1 + k] = True
         return new
 
     def _fast(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -193,8 +191,3 @@ class Encoder:
                     ids.append(one[0] if one else np.array(self._plain([text[a:b]])[0], np.uint32))
                 done = np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             yield done
-
-
-def blankless(kind: np.ndarray, points: np.ndarray, at: int) -> bool:
-    """Whether the character goes with a blank before it."""
-    return kind[at] != _SPACE and points[at - 1] == 32 and at > 0
