@@ -19,7 +19,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixmine.llm import text as X
 from fixmine.llm.store import columns_for, keep, spare
 
 MIN_CHARS, MIN_DOCS = 20, 3
