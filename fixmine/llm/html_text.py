@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from fixmine.llm.store import columns_for
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_HINT = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_HINTS = ("class", "id", "role", "aria-label")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,17 +49,26 @@ class _Node:
         own = _TAG_SCORE.get(tag, 0)
         if tag == "header" and parent and "article" in parent.within:
             own = 0  # an article's own heading
-        if attributes and "=" in attributes:
-            if re.search(r"\bhidden\b|display\s*:\s*none", attributes):
+        if attributes:
+            named = _attributes(attributes)
+            if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or _INVISIBLE.search(named.get("style", "")):
                 self.hidden = self.hidden or tag not in ("html", "body", "article", "main")
             if tag not in ("html", "body"):
-                own = _hinted(own, [t for m in _HINT.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()])
+                own = _hinted(own, [t for name, value in named.items() if name in _HINTS for t in value.split()])
         above = parent.score if parent else 0
         if tag in ("article", "main") and parent and "form" in parent.within and not parent.within & {"nav", "aside", "footer", "menu"}:
             above = 0  # a form around the whole page
         self.score = min(above, own) if min(above, own) < 0 else max(above, own)
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name, empty for a name alone; the first of a repeated name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def _hinted(own: int, tokens: list[str]) -> int:
     """An element's score with what its classes, id and role say; names that contradict each other say nothing."""
     against, best = False, 0
@@ -65,6 +76,8 @@ def _hinted(own: int, tokens: list[str]) -> int:
         words = [w.lower() for w in _WORD.findall(token)]
         if not words or words[0] in ("has", "with", "no", "without", "is"):
             continue  # a layout's wrapper
+        if "hidden" in words and (":" in token or words[0] in ("overflow", "backface") or words[0] == "hidden" != words[-1]):
+            continue  # hides an overflow, or only on some screens
         if set(words) & _AGAINST:
             against |= not ("header" in words and set(words) & {"article", "post", "entry", "story"})
         else:

@@ -269,6 +269,27 @@ def test_html(spark, nothing):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def article_in(*wrappers):
+    """The text of an article inside elements with these openings, and the text it should give."""
+    said = ["The evening was quiet and the river went slowly past the old houses.", "Nobody on the bridge could say how long the rain would last this time."]
+    closing = "".join(f"</{w.split()[0]}>" for w in reversed(wrappers))
+    page = f"<body>{''.join(f'<{w}>' for w in wrappers)}{''.join(f'<p>{s}</p>' for s in said)}{closing}</body>"
+    return html_text.main_text(page), "\n".join(said)
+
+
+@pytest.mark.parametrize("wrapper", ['div style="overflow:hidden"', 'div class="entry-content overflow-hidden"', 'div class="overflow-hidden"', 'div class="overflow-x-hidden hidden-print md:hidden"', 'div aria-hidden="false"', 'div data-state="hidden"', "div style='overflow-x: hidden; color: red'", 'div title="display: none"'])
+def test_html_hides_nothing_that_shows(wrapper):
+    text, whole = article_in(wrapper)
+    assert text == whole
+    text, whole = article_in(wrapper, "article")
+    assert text == whole
+
+
+@pytest.mark.parametrize("wrapper", ["div hidden", 'div class="x" hidden', 'div hidden=""', 'div aria-hidden="true"', 'div style="display:none"', 'div style="color: red; DISPLAY : none !important"', "div style='visibility: hidden'"])
+def test_html_hides_what_does_not_show(wrapper):
+    assert article_in(wrapper)[0] == ""
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(6)
     for _ in range(60):
