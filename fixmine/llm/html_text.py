@@ -12,6 +12,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,28 +35,45 @@ _AGAINST = {
     "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "register", "search", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended",
     "recommendations", "widget", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "hidden", "contentinfo", "complementary", "form",
 }
+#: What stands before a word of ``_AGAINST`` that only names a part of the layout, and what a layout's wrapper is called.
+_EXCUSE = {"has", "with", "no", "without", "is"}
+_LAYOUT = {"wrap", "wrapper", "layout", "container", "grid", "row", "columns", "page", "site"}
+#: Words against whose elements hold articles of their own, which are not the page's.
+_OTHERS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "widget",
+    "popup", "modal", "newsletter", "hidden",
+}
 _FOR = {"article": 3, "content": 2, "main": 3, "post": 2, "entry": 2, "body": 1, "story": 2, "text": 1}
 #: Smoothness between neighbours at no distance, and how it falls with each step in the tree.
 _SMOOTH, _FALL = 1.5, 0.5
 
 
 class _Node:
-    __slots__ = ("depth", "hidden", "kids", "parent", "score", "tag", "within")
+    __slots__ = ("depth", "firm", "hidden", "kids", "others", "parent", "score", "tag", "within")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.within = {tag} if parent is None else parent.within if tag in parent.within else parent.within | {tag}
         self.hidden = tag in _HIDDEN or bool(parent and parent.hidden)
         own = _TAG_SCORE.get(tag, 0)
+        self.others = bool(parent and parent.others)
         if tag == "header" and parent and "article" in parent.within:
             own = 0  # an article's own heading
+        plain = own
         if attributes:
             named = _attributes(attributes)
             if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or _INVISIBLE.search(named.get("style", "")):
                 self.hidden = self.hidden or tag not in ("html", "body", "article", "main")
             if tag not in ("html", "body"):
-                own = _hinted(own, [t for name, value in named.items() if name in _HINTS for t in value.split()])
+                tokens = [t for name, value in named.items() if name in _HINTS for t in value.split()]
+                own = _hinted(own, tokens)
+                self.others |= own < 0 and any(_OTHERS.intersection(_words(t)) for t in tokens)
+                plain = _hinted(plain, named.get("role", "").split()) if tag in ("div", "section") else own
         above = parent.score if parent else 0
+        self.firm = min(parent.firm if parent else 0, plain)  # without what the names of divisions say
+        if parent and (tag == "main" or (tag == "article" and not parent.others)):
+            above = max(above, parent.firm)
+            self.others = False
         if tag in ("article", "main") and parent and "form" in parent.within and not parent.within & {"nav", "aside", "footer", "menu"}:
             above = 0  # a form around the whole page
         self.score = min(above, own) if min(above, own) < 0 else max(above, own)
@@ -69,15 +87,20 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _words(token: str) -> list[str]:
+    """The words of a name, up to one after which only a part of the layout is named."""
+    return list(takewhile(lambda w: w not in _EXCUSE, (w.lower() for w in _WORD.findall(token))))
+
+
 def _hinted(own: int, tokens: list[str]) -> int:
     """An element's score with what its classes, id and role say; names that contradict each other say nothing."""
     against, best = False, 0
     for token in tokens:
-        words = [w.lower() for w in _WORD.findall(token)]
-        if not words or words[0] in ("has", "with", "no", "without", "is"):
-            continue  # a layout's wrapper
+        words = _words(token)
         if "hidden" in words and (":" in token or words[0] in ("overflow", "backface") or words[0] == "hidden" != words[-1]):
             continue  # hides an overflow, or only on some screens
+        if "sidebar" in words and _LAYOUT.intersection(words) and any(w in _FOR for w in words) and not _OTHERS.intersection(words):
+            continue  # around both a page's text and its sidebar
         if set(words) & _AGAINST:
             against |= not ("header" in words and set(words) & {"article", "post", "entry", "story"})
         else:

@@ -290,6 +290,23 @@ def test_html_hides_what_does_not_show(wrapper):
     assert article_in(wrapper)[0] == ""
 
 
+@pytest.mark.parametrize("wrapper", ["content-sidebar-wrap", "page-with-sidebar", "main-sidebar-layout", "content-without-nav"])
+def test_html_layout_wrappers_say_nothing(wrapper):
+    text, whole = article_in(f'div class="{wrapper}"')
+    assert text == whole
+
+
+@pytest.mark.parametrize("wrappers", [('div class="sidebar-left"', "article"), ('section id="header-layout"', "div", "main"), ('div class="widget-page"', 'main id="x"', "article"), ('div class="content-sidebar"', 'div class="inner"', "article")])
+def test_html_article_starts_anew_below_a_name(wrappers):
+    text, whole = article_in(*wrappers)
+    assert text == whole
+
+
+@pytest.mark.parametrize("wrappers", [('section id="comments"', "article"), ('section id="comments"', 'article class="comment-body"'), ('div class="related-posts-wrap"', "article"), ("aside", "article"), ('div role="complementary"', "article"), ('div class="sidebar-left"', "nav", "article"), ('div class="main-nav"',), ('div class="post-comments-wrapper"',), ('div class="sidebar-content"',)])
+def test_html_still_drops_what_is_not_the_page(wrappers):
+    assert article_in(*wrappers)[0] == ""
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(6)
     for _ in range(60):
