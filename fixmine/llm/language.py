@@ -19,8 +19,6 @@ from fixmine.llm import text as X
 from fixmine.llm.store import columns_for, keep
 
 ORDER = 3
-#: Size of a language's model: its most frequent runs of four bytes, at most so many.
-CAPACITY = 1 << 18
 UNKNOWN = "und"
 
 
@@ -42,7 +40,7 @@ class _Table:
 
     def __init__(self, keys: np.ndarray, costs: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(2 * len(keys), 2)))))
-        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys, self.costs = keys, costs.astype(np.float32)
         at, left = self._home(keys), np.arange(len(keys))
         while len(left):
@@ -175,23 +173,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int64)), pa.array(n[k : k + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, capacity: int = CAPACITY) -> Ppm:
-    """Counts over all rows of ``docs`` (text, lang) with a lang; a model keeps the ``capacity`` most frequent runs of a language."""
+def fit(docs: DataFrame) -> Ppm:
+    """Counts of all runs over all rows of ``docs`` (text, lang) with a lang; the model grows with the distinct runs of its languages."""
     rows = columns_for(docs, text="string", lang="string").where("lang is not null and text is not null")
-    counts = keep(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    # the least count that a language's model takes, from a histogram of counts; one more bit of n halves the bin
-    bins = counts.groupBy("lang", F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("size")).orderBy("lang", F.desc("bin")).collect()
-    least: dict[str, int] = {}
-    size: dict[str, int] = {}
-    for r in bins:
-        size[r["lang"]] = size.get(r["lang"], 0) + r["size"]
-        if size[r["lang"]] <= capacity or r["lang"] not in least:
-            least[r["lang"]] = r["bin"]
-    if not least:
-        return Ppm([], {})
-    floor = F.create_map(*(F.lit(x) for kv in least.items() for x in kv))
-    taken = counts.where(F.floor(F.log2("n") * 8) >= floor[F.col("lang")]).orderBy("lang", "gram").toPandas()
-    return Ppm(sorted(least), {lang: (own["gram"].to_numpy().astype(np.uint32), own["n"].to_numpy(float)) for lang, own in taken.groupby("lang")})
+    counts = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    taken = keep(counts, "grams").orderBy("lang", "gram").toPandas()
+    own = {lang: (part["gram"].to_numpy().astype(np.uint32), part["n"].to_numpy(float)) for lang, part in taken.groupby("lang")}
+    return Ppm(sorted(own), own)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -444,6 +444,20 @@ def test_code_lengths_are_exact():
             assert model.lengths(pa.array(probe))[j, k] == pytest.approx(bits, abs=1e-3)
 
 
+def test_language_model_holds_every_run(spark):
+    r = random.Random(9)
+    texts = {"a": "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=450_000)), "b": "the cat sat on the mat"}
+    counts = {}
+    for lang, t in texts.items():
+        keys, n = np.unique(language.grams(*X.buffers(pa.array([t]))), return_counts=True)
+        counts[lang] = keys, n.astype(float)
+    assert len(counts["a"][0]) > 1 << 18
+    model, want = language.fit(spark.createDataFrame([(t, lang) for lang, t in texts.items()], "text string, lang string")), language.Ppm(["a", "b"], counts)
+    assert [len(t.keys) for t in model.symbols] == [len(t.keys) for t in want.symbols]
+    probe = pa.array([texts["a"][:500], texts["a"][-500:], texts["b"]])
+    assert np.allclose(model.lengths(probe), want.lengths(probe))
+
+
 def test_language(spark, nothing):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(df).toPandas().set_index("doc_id")
