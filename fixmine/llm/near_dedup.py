@@ -104,7 +104,7 @@ def _sketch(rows: int):
 
 
 def _verify(threshold: float, least: float):
-    """Links within families: rows (family, i, j, chunk, doc_id, sig, degree, text) sorted by family, i, j."""
+    """Links within families: rows (family, i, j, chunk, node, sig, degree, text) sorted by family, i, j."""
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
@@ -142,7 +142,7 @@ def _verify(threshold: float, least: float):
         key, group = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for r in zip(*(batch[c].to_pylist() for c in ("family", "i", "j", "chunk", "doc_id", "sig", "degree", "text")), strict=True):
+            for r in zip(*(batch[c].to_pylist() for c in ("family", "i", "j", "chunk", "node", "sig", "degree", "text")), strict=True):
                 if r[:3] != key:
                     found += links(group)
                     key, group = r[:3], []
@@ -170,23 +170,25 @@ def labelled_rows(docs: DataFrame, threshold: float) -> DataFrame:
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     sketch = keep(rows.mapInArrow(_sketch(rows_of_bands(threshold)), SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = keep(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("print", "row.*", "n_shingles", "bands", "sig"), "classes")
-    in_bucket = classes.select(F.explode("bands").alias("bucket"), "doc_id", "print")
-    buckets = keep(in_bucket.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = keep(in_bucket.join(buckets, "bucket").groupBy("doc_id", "print", F.col("first")).agg(F.sum("n").alias("degree")), "stars")
-    families = keep(components(stars.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "families"), "families")
-    degree = stars.groupBy("doc_id", "print").agg(F.sum("degree").alias("degree"))
-    member = keep(degree.join(families, degree.doc_id == families.node).select("doc_id", "print", "degree", F.col("component").alias("family")).join(classes.select("print", "text_hash", "sig", "n_shingles"), "print"), "members")
+    # a class is known by a hash of its print, as rows with one doc_id may have different texts
+    classes = keep(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(F.xxhash64("print").alias("node"), "print", "row.*", "n_shingles", "bands", "sig"), "classes")
+    in_bucket = classes.select(F.explode("bands").alias("bucket"), "node")
+    buckets = keep(in_bucket.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    stars = keep(in_bucket.join(buckets, "bucket").groupBy("node", "first").agg(F.sum("n").alias("degree")), "stars")
+    families = keep(components(stars.select(F.col("node").alias("a"), F.col("first").alias("b")), "families"), "families")
+    degree = stars.groupBy("node").agg(F.sum("degree").alias("degree"))
+    member = keep(degree.join(families, "node").select("node", "degree", F.col("component").alias("family")).join(classes.select("node", "doc_id", "text_hash", "sig", "n_shingles"), "node"), "members")
     size = member.groupBy("family").agg((1 + F.floor(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
-    member = keep(member.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int")), "members")
+    member = keep(member.join(size, "family").withColumn("chunk", F.pmod("node", F.col("chunks")).cast("int")), "members")
     # a member goes to the pairs (i, j), i <= j, that hold its chunk
     spread = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    blocks = rows.join(member.select("doc_id", "text_hash", "degree", "sig", "family", "chunk", "chunks"), ["doc_id", "text_hash"]).withColumn("at", F.explode(spread)).select("family", "at.i", "at.j", "chunk", "doc_id", "sig", "degree", "text")
+    blocks = rows.join(member.select("doc_id", "text_hash", "node", "degree", "sig", "family", "chunk", "chunks"), ["doc_id", "text_hash"]).withColumn("at", F.explode(spread)).select("family", "at.i", "at.j", "chunk", "node", "sig", "degree", "text")
     blocks = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     sure = max(0.0, threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5)
     linked = blocks.mapInArrow(_verify(threshold, sure), "a long, b long")
     groups = keep(components(linked, "groups"), "groups")
-    label = classes.select("print", "doc_id").join(groups, classes.doc_id == groups.node, "left").select("print", F.coalesce("component", "doc_id").alias("component"))
+    least = groups.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    label = classes.select("print", "node", "doc_id").join(groups.join(least, "component").select("node", "least"), "node", "left").select("print", F.coalesce("least", "doc_id").alias("component"))
     labelled = sketch.where("n_shingles > 0").join(label, "print", "left").select("doc_id", "text_hash", "n_shingles", "component")
     alone = sketch.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component"))
     return labelled.union(alone).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))

@@ -125,6 +125,14 @@ def test_near_groups_are_the_same_in_blocks(spark, monkeypatch):
     assert got(near_dedup.near_groups(frame(spark, rows)), "doc_id", "component_id") == whole
 
 
+def test_texts_of_one_id_have_groups_of_their_own(spark):
+    base, other = prose(31, 120), prose(32, 120)
+    rows = [(3, base), (5, edited(base, 1, 1)), (5, other), (8, edited(other, 2, 1))]
+    df = near_dedup.labelled_rows(frame(spark, rows), 0.85).join(frame(spark, rows).selectExpr("xxhash64(text) AS text_hash", "text"), "text_hash")
+    assert {r["text"]: (r["doc_id"], r["component_id"], r["kept"]) for r in df.collect()} == {rows[0][1]: (3, 3, True), rows[1][1]: (5, 3, False), rows[2][1]: (5, 5, True), rows[3][1]: (8, 5, False)}
+    assert got(near_dedup.one_of_each(frame(spark, rows), 0.85), "doc_id", "text") == [(3, base), (5, other)]
+
+
 def test_one_of_each_keeps_columns_and_null_ids(spark):
     rows = [*corpus(), corpus()[6], (None, "x y z")]
     out = near_dedup.one_of_each(frame(spark, rows))
