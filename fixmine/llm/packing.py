@@ -101,7 +101,7 @@ def _cut(path: str, window: int, end_id: int):
 
     @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encoder = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), Encoder.of(path)
+        part, seen, encoder = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), Encoder.of(path, special=True)
         end = np.array([end_id], "<u4")
         for batch in batches:
             who, start, size, crc, total, k = [], [], [], [], [], 0

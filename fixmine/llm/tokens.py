@@ -42,25 +42,29 @@ def default_path(name: str = DEFAULT_TOKENIZER) -> str:
 
 
 class Encoder:
-    """Encodes string columns with one tokenizer file; one instance serves one Python worker."""
+    """Encodes string columns with one tokenizer file; one instance serves one Python worker.
 
-    _made: dict[str, Encoder] = {}
+    special: a special token that a text spells out is that token, as in the library; without it, ordinary pieces.
+    """
+
+    _made: dict[tuple[str, bool], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special: bool = False) -> Encoder:
+        if (path, special) not in cls._made:
+            cls._made[path, special] = cls(path, special)
+        return cls._made[path, special]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.path, self.whole = path, None
+        self.path, self.special, self.whole = path, special, None
         self.pieces = Tokenizer.from_file(path)  # for what is one pre-token already
         self.pieces.encode_special_tokens = True
+        self.spelled = [t.content for t in self.pieces.get_added_tokens_decoder().values()] if special else []
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.classes = _classes()
         self.keys = mix(np.arange(5000, 5256, dtype=U64)) | U64(1)
@@ -76,12 +80,12 @@ class Encoder:
 
     @property
     def tokenizer(self):
-        """The library's tokenizer for texts that the tables don't cover."""
+        """The library's tokenizer for texts that the tables don't cover, or that spell out a special token."""
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-            self.whole.encode_special_tokens = True
+            self.whole.encode_special_tokens = not self.special
         return self.whole
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -137,7 +141,9 @@ class Encoder:
         return new
 
     def _fast(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of joined texts and the number of ids before each bound; None if a character is not in the tables."""
+        """Ids of joined texts and the number of ids before each bound; None if a character is not in the tables or a special token counts."""
+        if any(t in text for t in self.spelled):
+            return None
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.classes[np.minimum(points, _LIMIT)]
         if (kind == _UNSURE).any():

@@ -210,6 +210,17 @@ def test_pack(spark, docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_pack_reads_special_tokens_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_path())
+    rows = [(1, "one <|endoftext|> two"), (2, "<|endoftext|><|endoftext|>漢"), (3, "<|endoftext"), (4, "|> plain text"), (5, "x<|endoftext|>")]
+    want = [t.encode(x, add_special_tokens=False).ids for _, x in rows]
+    assert 50256 in want[0]
+    out = sorted(packing.pack(frame(spark, rows)).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_tokens"], r["ids_crc32"]) for r in out] == [(len(ids) + 1, zlib.crc32(np.array([*ids, packing.END_ID], "<u4").tobytes())) for ids in want]
+
+
 def test_pack_histogram_holds_every_piece_with_little_padding():
     rng = np.random.default_rng(4)
     counts = dict(zip(*np.unique(rng.integers(1, 2049, 200_000), return_counts=True), strict=True))
