@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixmine.llm.store import keep
+from fixmine.llm.store import drop, keep
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -62,7 +62,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long, not null); component: its smallest reachable node.
 
     Loops and repeated edges do not matter; an empty table gives an empty table. Rounds of large-star and small-star
-    contraction need about log(nodes) passes, each of which shuffles one row per remaining edge.
+    contraction need about log(nodes) passes, each of which shuffles one row per remaining edge. The joins have one row per node on
+    their right side, so a node with very many edges is split by the adaptive skew join.
     """
     edges = keep(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), name)
     before = None
@@ -71,10 +72,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = keep(large, name)
+        drop(edges)
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = keep(small, name)
+        drop(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -5,10 +5,17 @@ random fraction; a place keeps its least value. The ranks of an element are corr
 the variance of the estimate against independent hashes, and as step ``j`` gives values of at least ``j``, a
 document stops as soon as no place holds more than that.
 
-Documents with equal shingle sets are one class. Bands of the signatures of classes make buckets; classes that
-buckets join form families, and within a family all pairs from different groups whose signatures and sizes allow it
-are verified on full shingle sets. Verified links are united by union-find, so a group's pairs are never expanded.
-A family beyond ``BLOCK_SHINGLES`` is dealt out as pairs of chunks, so that each task holds two chunks at most.
+Documents with equal shingle sets are one class, and bands of the signatures of classes make buckets. Only verified links
+unite classes, in steps that each see what the one before has united:
+
+* every class with its likeliest partner among the first classes of its buckets;
+* every class with the other firsts that are still in another group;
+* within buckets that still hold several groups, the members outside the largest group with all others: first the
+  likeliest of each, then all that remain.
+
+Pairs whose sizes or signatures rule a link out are never fetched. A bucket of one group costs one pair a member, pairs of
+a hub are dealt out in portions of ``HUB_PAIRS`` to tasks that hold two texts at a time, and members of a large
+bucket in chunks of ``CHUNK``, so no key's rows meet in one task. Verified links are united by union-find.
 """
 
 from __future__ import annotations
@@ -21,14 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.graph import PAIR, UnionFind, components
-from fixmine.llm.store import columns_for, keep, spare
+from fixmine.llm.graph import PAIR, components
+from fixmine.llm.store import columns_for, drop, keep, spare
 
 PLACES = 320
 #: Largest probability that no band holds a pair just at the threshold.
 MISSED = 1e-5
-#: Shingles of one chunk of a family; two chunks are in memory at once.
-BLOCK_SHINGLES = 1_000_000
+#: Pairs of one hub that are compared together.
+HUB_PAIRS = 64
+#: Members of a bucket whose signatures are compared together with as many others.
+CHUNK = 1024
+#: Partners of a member that are verified before its others are looked at again.
+LIKELIEST = 8
 #: Elements whose permutations are held at once.
 _CHUNK = 1 << 13
 
@@ -103,57 +114,124 @@ def _sketch(rows: int):
     return run
 
 
-def _verify(threshold: float, least: float):
-    """Links within families: rows (family, i, j, chunk, node, sig, degree, text) sorted by family, i, j."""
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        rows.sort(key=lambda r: (-r[3], r[1]))  # those with most company first: they are linked with most others
-        lone = rows[0][5] == rows[0][6]
-        column = pa.array([r[4] for r in rows], pa.large_string())
-        sets = list(X.shingle_sets(*X.buffers(column)))
-        sizes = np.array([len(s) for s in sets], np.float64)
-        signs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        chunk = np.array([r[0] for r in rows])
-        united, out = UnionFind(), []
-        root = np.arange(len(rows))
-        for x in range(len(rows) - 1):
-            fit = root[x + 1 :] != root[x]
-            if not lone:
-                fit &= chunk[x + 1 :] != chunk[x]
-            fit &= np.minimum(sizes[x + 1 :], sizes[x]) >= threshold * np.maximum(sizes[x + 1 :], sizes[x])
-            at = x + 1 + np.flatnonzero(fit)
-            if len(at):
-                at = at[(signs[at] == signs[x]).mean(axis=1) >= least]
-            for y in at.tolist():
-                if root[y] == root[x]:
-                    continue
-                both = X.shared(sets[x], sets[y])
-                if both >= threshold * (sizes[x] + sizes[y] - both):
-                    united.union(x, y)
-                    out.append((rows[x][1], rows[y][1]))
-                    old, new = max(root[x], root[y]), min(root[x], root[y])
-                    root[root == old] = new
-        return out
+def _sizes_fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _likely(percent: int, least: float):
+    """Pairs (x, y, near) that sizes and signatures allow to be links; near: the share of equal places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = (_signatures(batch["sx"]) == _signatures(batch["sy"])).mean(axis=1)
+            fit = pa.array((near >= least) & _sizes_fit(batch["nx"].to_numpy(), batch["ny"].to_numpy(), percent))
+            yield pa.record_batch([batch["x"].filter(fit), batch["y"].filter(fit), pa.array(near).filter(fit)], names=["x", "y", "near"])
+
+    return run
+
+
+def _across(percent: int, least: float, most: int | None):
+    """Likely pairs (a, b) of different groups in blocks (bucket, i, j), sorted; side 0 is compared with side 1.
+
+    most: how many partners each member of side 0 gets per block, the likeliest first.
+    """
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+        if not left or not right:
+            return
+        node, group, size = (np.array([r[k] for r in right]) for k in (1, 2, 3))
+        signs = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), -1)
+        for _, x, own, n, sig in left:
+            at = np.flatnonzero((group != own) & _sizes_fit(size, np.int64(n), percent))
+            if not len(at):
+                continue
+            near = (signs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+            at, near = at[near >= least], near[near >= least]
+            if most is not None and len(at) > most:
+                at = at[np.lexsort((node[at], -near))[:most]]
+            yield from ((min(x, y), max(x, y)) for y in node[at].tolist())
 
-    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        key, block = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for r in zip(*(batch[c].to_pylist() for c in ("family", "i", "j", "chunk", "node", "sig", "degree", "text")), strict=True):
+            for r in zip(*(batch[c].to_pylist() for c in ("bucket", "i", "j", "side", "node", "group", "n_shingles", "sig")), strict=True):
                 if r[:3] != key:
-                    found += links(group)
-                    key, group = r[:3], []
-                group.append((*r[3:], r[1], r[2]))
+                    found += pairs(block)
+                    key, block = r[:3], []
+                block.append(r[3:])
             yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
-        found = links(group)
+        found = list(pairs(block))
         yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
 
     return run
 
 
+def _compare(percent: int):
+    """Links of hubs and their members; rows sorted so that a hub's text (side 0) comes before those of its members."""
+
+    @X.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for node, side, s in zip(batch["node"].to_pylist(), batch["side"].to_pylist(), X.shingle_sets(*X.buffers(batch["text"])), strict=True):
+                if side == 0:
+                    hub, own = node, s
+                    continue
+                both = X.shared(own, s)
+                if 100 * both >= percent * (len(own) + len(s) - both):
+                    found.append((hub, node))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (x, y) of classes, on their full shingle sets. texts: node, text."""
+    hubs = pairs.groupBy("x").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("portions"))
+    dealt = pairs.join(hubs, "x").select(F.col("y").alias("node"), F.col("x").alias("hub"), F.pmod(F.xxhash64("y"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("side"))
+    need = dealt.union(hubs.select("x", "x", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)), F.lit(0)))
+    rows = texts.join(need, "node").select("hub", "portion", "side", "node", "text")
+    return rows.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "side").mapInArrow(_compare(percent), "a long, b long")
+
+
+def _texts(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the classes in ``nodes`` (node); one row of the table brings the text of a class."""
+    wanted = classes.join(nodes, "node", "left_semi").select("doc_id", "text_hash", "node")
+    return rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text")
+
+
+def _grouped(df: DataFrame, groups: DataFrame, *ends: str) -> DataFrame:
+    """``df`` with the group of each end as ``group_<end>``; a class without links is a group of its own."""
+    for e in ends:
+        df = df.join(groups.select(F.col("node").alias(e), F.col("component").alias(f"group_{e}")), e, "left").withColumn(f"group_{e}", F.coalesce(f"group_{e}", e))
+    return df
+
+
+def _blocks(member: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Blocks (bucket, i, j, side, node, group, n_shingles, sig) of buckets that hold several groups.
+
+    Side 0 has the members outside the bucket's largest group, side 1 all; a pair with the bucket's first has been looked at.
+    """
+    rows = _grouped(member.where("node <> first"), groups, "node").withColumnRenamed("group_node", "group")
+    held = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.mode("group").alias("main"), F.count("*").alias("n")).where("low <> high").select("bucket", "main", "n")
+    rows = rows.join(held, "bucket")
+    outside = rows.where("group <> main").groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("lefts"))
+    rows = rows.join(outside, "bucket").withColumn("rights", F.ceil(F.col("n") / CHUNK).cast("int"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = rows.where("group <> main").select("bucket", place("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.lit(0).alias("side"), "node", "group")
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), place("rights").alias("j"), F.lit(1).alias("side"), "node", "group")
+    return left.union(right).join(classes.select("node", "n_shingles", "sig"), "node")
+
+
 def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text and any other columns).
 
@@ -165,30 +243,61 @@ def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return labelled_rows(docs, threshold).drop("text_hash")
 
 
-def labelled_rows(docs: DataFrame, threshold: float) -> DataFrame:
-    """``near_groups`` with the hash of each row's text."""
+def labelled_rows(docs: DataFrame, threshold: float, seen: dict[str, int] | None = None) -> DataFrame:
+    """``near_groups`` with the hash of each row's text. seen: gets the numbers of pairs that were verified and of links found."""
+    percent = round(100 * threshold)
+    least = max(0.0, threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5)
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     sketch = keep(rows.mapInArrow(_sketch(rows_of_bands(threshold)), SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
     # a class is known by a hash of its print, as rows with one doc_id may have different texts
     classes = keep(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(F.xxhash64("print").alias("node"), "print", "row.*", "n_shingles", "bands", "sig"), "classes")
     in_bucket = classes.select(F.explode("bands").alias("bucket"), "node")
-    buckets = keep(in_bucket.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = keep(in_bucket.join(buckets, "bucket").groupBy("node", "first").agg(F.sum("n").alias("degree")), "stars")
-    families = keep(components(stars.select(F.col("node").alias("a"), F.col("first").alias("b")), "families"), "families")
-    degree = stars.groupBy("node").agg(F.sum("degree").alias("degree"))
-    member = keep(degree.join(families, "node").select("node", "degree", F.col("component").alias("family")).join(classes.select("node", "doc_id", "text_hash", "sig", "n_shingles"), "node"), "members")
-    size = member.groupBy("family").agg((1 + F.floor(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
-    member = keep(member.join(size, "family").withColumn("chunk", F.pmod("node", F.col("chunks")).cast("int")), "members")
-    # a member goes to the pairs (i, j), i <= j, that hold its chunk
-    spread = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    blocks = rows.join(member.select("doc_id", "text_hash", "node", "degree", "sig", "family", "chunk", "chunks"), ["doc_id", "text_hash"]).withColumn("at", F.explode(spread)).select("family", "at.i", "at.j", "chunk", "node", "sig", "degree", "text")
-    blocks = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    sure = max(0.0, threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5)
-    linked = blocks.mapInArrow(_verify(threshold, sure), "a long, b long")
-    groups = keep(components(linked, "groups"), "groups")
-    least = groups.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
-    label = classes.select("print", "node", "doc_id").join(groups.join(least, "component").select("node", "least"), "node", "left").select("print", F.coalesce("least", "doc_id").alias("component"))
+    buckets = in_bucket.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
+    member = keep(in_bucket.join(buckets, "bucket"), "members")
+    own = lambda end: classes.select(F.col("node").alias(end), F.col("sig").alias(f"s{end}"), F.col("n_shingles").alias(f"n{end}"))
+    stars = member.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
+    likely = keep(stars.join(own("y"), "y").join(own("x"), "x").mapInArrow(_likely(percent, least), "x long, y long, near double"), "likely")
+    texts = keep(_texts(rows, classes, likely.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "texts")
+    best = keep(likely.groupBy("y").agg(F.max_by("x", F.struct("near", -F.col("x"))).alias("x")), "pairs")
+    links = [keep(_verified(best, texts, percent), "links")]
+    groups = keep(components(links[0], "groups"), "groups")
+    done = [best]
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> bool:
+        """Add the links among ``pairs`` and unite their groups; false if there are no pairs."""
+        nonlocal groups
+        if pairs.isEmpty():
+            return False
+        done.append(pairs)
+        links.append(keep(_verified(pairs, texts, percent), "links"))
+        if not links[-1].isEmpty():
+            every = links[0]
+            for more in links[1:]:
+                every = every.union(more)
+            old, groups = groups, keep(components(every, "groups"), "groups")
+            drop(old)
+        return True
+
+    rest = _grouped(likely.join(best.withColumnRenamed("x", "best"), "y").where("x <> best"), groups, "x", "y").where("group_x <> group_y").select("x", "y")
+    verify(keep(rest, "pairs"), texts)
+    drop(texts)
+    for most in (LIKELIEST, None):
+        blocks = _blocks(member, groups, classes).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = blocks.mapInArrow(_across(percent, least, most), "a long, b long").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+        for old in done:
+            found = found.join(old.select("x", "y"), ["x", "y"], "left_anti")
+        found = keep(found, "pairs")
+        own_texts = keep(_texts(rows, classes, keep(found.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")), "texts") if not found.isEmpty() else None
+        if own_texts is None or not verify(found, own_texts):
+            break
+        drop(own_texts)
+    if seen is not None:
+        seen["pairs"], seen["links"], seen["likely"] = sum(p.count() for p in done), sum(p.count() for p in links), likely.count()
+    drop(member, likely, *done, *links)
+    least_id = groups.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    label = keep(classes.select("print", "node", "doc_id").join(groups.join(least_id, "component").select("node", "least"), "node", "left").select("print", F.coalesce("least", "doc_id").alias("component")), "labels")
+    drop(classes, groups)
     labelled = sketch.where("n_shingles > 0").join(label, "print", "left").select("doc_id", "text_hash", "n_shingles", "component")
     alone = sketch.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component"))
     return labelled.union(alone).select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))

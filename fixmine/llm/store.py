@@ -1,17 +1,57 @@
 """Intermediate tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
 Operators cut lineage by writing such a table and reading it back: a lost executor costs no more than the tasks that it
-ran. Tables live until ``release`` or the end of the Python process.
+ran. A table belongs to the call that made it. Operators ``drop`` what their result does not read; what it reads stays until
+the owner of the call releases it (``with owner() as tables: ...``), or else until the Python process ends. Nobody deletes
+the tables of another call.
 """
 
 from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_tables: list[tuple[SparkSession, str]] = []
+
+class Tables:
+    """The intermediate tables of some calls."""
+
+    def __init__(self):
+        self.paths: dict[str, SparkSession] = {}
+
+    def release(self) -> None:
+        """Delete the tables; what is read from them must have been written."""
+        while self.paths:
+            path, spark = self.paths.popitem()
+            delete(spark, path)
+
+
+_process = Tables()
+_owner: ContextVar[Tables] = ContextVar("owner", default=_process)
+
+
+@contextmanager
+def owner() -> Iterator[Tables]:
+    """Tables that are made inside belong to the object given; they are deleted at the end of the block."""
+    tables = Tables()
+    token = _owner.set(tables)
+    try:
+        yield tables
+    finally:
+        _owner.reset(token)
+        tables.release()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session has ended
+        return
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,14 +65,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     folder = "file://" + tempfile.mkdtemp(prefix="fixmine-")
     spark.conf.set("spark.checkpoint.dir", folder)
-    _tables.append((spark, folder))
+    _process.paths[folder] = spark
     return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path that is not in use yet, below the shared folder."""
+    """A path that is not in use yet, below the shared folder; it belongs to the present owner."""
     path = f"{shared_folder(spark)}/fixmine-{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    _owner.get().paths[path] = spark
     return path
 
 
@@ -41,27 +81,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(since: int = 0) -> None:
-    """Delete the intermediate tables made after ``since`` others; results read from them must have been written."""
-    while len(_tables) > since:
-        spark, path = _tables.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def made() -> int:
-    """How many intermediate tables there are."""
-    return len(_tables)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` returned, when all that is read from them has been written."""
+    own = _owner.get()
+    for t in tables:
+        own.paths.pop(t.kept_at, None)
+        delete(t.sparkSession, t.kept_at)
 
 
-atexit.register(release)
+atexit.register(_process.release)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -117,12 +117,67 @@ def test_near_groups(spark, docs, nothing):
     assert near_dedup.near_groups(nothing).count() == 0
 
 
-def test_near_groups_are_the_same_in_blocks(spark, monkeypatch):
-    base = prose(9, 150)
-    rows = [(k, edited(base, k, k % 4)) for k in range(60)]
-    whole = got(near_dedup.near_groups(frame(spark, rows)), "doc_id", "component_id")
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1500)
-    assert got(near_dedup.near_groups(frame(spark, rows)), "doc_id", "component_id") == whole
+def sliding(seed, n, length, step):
+    """Texts over one row of words, each ``step`` words after the one before: only neighbours resemble each other."""
+    words = [f"w{seed}x{k}" for k in range(n * step + length)]
+    return [" ".join(words[k * step : k * step + length]) for k in range(n)]
+
+
+def components_of(rows, percent):
+    sets = [shingle_set(t) for _, t in rows]
+    united = UnionFind()
+    for (a, x), (b, y) in itertools.combinations(zip([i for i, _ in rows], sets, strict=True), 2):
+        both = len(x & y)
+        if both and 100 * both >= percent * (len(x) + len(y) - both):
+            united.union(a, b)
+    return [(i, united.find(i)) for i, _ in rows]
+
+
+def crowded():
+    """Chains on either side of the threshold, families with copies of copies, and texts that only look alike."""
+    rows = sliding(1, 40, 104, 8) + sliding(2, 40, 104, 9)
+    for f in range(4):
+        base = prose(500 + f, 140)
+        rows += [edited(base, 10 * f + k, k % 6) for k in range(40)]
+        near = edited(base, f, 4)
+        rows += [edited(near, 90 + k, 3) for k in range(20)]
+    order = list(range(len(rows)))
+    random.Random(3).shuffle(order)
+    return list(zip(order, rows, strict=True))
+
+
+@pytest.mark.parametrize(("hub", "chunk", "likeliest"), [(64, 1024, 8), (3, 5, 1), (1, 2, 2)])
+def test_near_groups_of_crowded_buckets(spark, monkeypatch, hub, chunk, likeliest):
+    for name, value in (("HUB_PAIRS", hub), ("CHUNK", chunk), ("LIKELIEST", likeliest)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows, seen = crowded(), {}
+    out = near_dedup.labelled_rows(frame(spark, rows), 0.85, seen)
+    assert got(out, "doc_id", "component_id") == sorted(components_of(rows, 85), key=str)
+    assert seen["links"] >= len({i for i, _ in rows}) - len({c for _, c in components_of(rows, 85)}) - 40  # equal sets are one class
+    assert seen["pairs"] < len(rows) ** 2 / 8
+
+
+def test_near_groups_find_the_links_of_an_exact_join(spark):
+    """Recall over the table of sf0.01 with edited copies put in, against all pairs that share a shingle."""
+    import collections
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = docs + [(10**6 + 10 * i + k, edited(t, i + k, 1 + len(t.split(" ")) // (60 + 30 * k))) for i, t in docs[::7] if t and len(t) < 8000 for k in range(3)]
+    sets, where, shared = {i: shingle_set(t) for i, t in rows}, collections.defaultdict(list), collections.Counter()
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    for own in where.values():
+        shared.update(itertools.combinations(own, 2))
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    near = [1 for (a, b), n in shared.items() if 80 <= 100 * n / (len(sets[a]) + len(sets[b]) - n) < 90]
+    assert len(near) > 50
+    group = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(frame(spark, rows)).collect()}
+    assert sum(group[a] == group[b] for a, b in links) == len(links)
+    united = UnionFind()
+    for a, b in links:
+        united.union(a, b)
+    assert all(group[i] == united.find(i) for i in sets)
 
 
 def test_texts_of_one_id_have_groups_of_their_own(spark):
