@@ -1,9 +1,10 @@
 """Exact deduplication of new batches against immutable snapshots, screened by binary-fuse filters.
 
-A snapshot is written once: its digests are grouped into exact buckets, and each shard of them gets a static
-three-wise binary-fuse filter (two bytes a key, one false positive in 65,536). Digests of a new batch are first grouped
-among themselves, then screened by the filter of their shard; only positives join the snapshot's buckets, and
-their texts are compared byte by byte.
+A snapshot is a folder that is written once and never changed: exact buckets (digest, the row that stays, how many rows, its
+text), dealt into shards by digest, and for each shard a static three-wise binary-fuse filter (two bytes a key, one
+false positive in 65,536). A new batch is grouped by digest among itself first; its digests are then screened by the
+filters, only positives join the exact buckets, and their texts are compared byte by byte. Nothing of the documents that
+a snapshot was made of is read again.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.store import columns_for, keep
+from fixmine.llm.store import columns_for, drop, fresh_path, keep
 
 #: Distinct digests of a shard, on average; shards follow the number of digests.
 SHARD_KEYS = 50_000
-DIGEST = "doc_id long, text_hash long, fresh boolean, digest binary, key long"
+DIGEST = "doc_id long, text_hash long, digest binary, key long"
+BUCKET = "digest binary, doc_id long, n long, text string"
+_NO_ID = -(2**63)
 
 
 class BinaryFuse:
@@ -87,7 +90,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = X.LOWER[raw].tobytes()
         digests = [hashlib.sha256(whole[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         keys = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-        yield pa.record_batch([batch["doc_id"], batch["text_hash"], batch["fresh"], pa.array(digests, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "text_hash", "fresh", "digest", "key"])
+        yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(digests, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "text_hash", "digest", "key"])
 
 
 def _filters(key: tuple, table: pa.Table) -> pa.Table:
@@ -105,43 +108,105 @@ def _screen(new: pa.Table, filters: pa.Table) -> pa.Table:
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hit = [(x or "").encode().lower() == (y or "").encode().lower() for x, y in zip(batch["old_text"].to_pylist(), batch["new_text"].to_pylist(), strict=True)]
-        yield pa.record_batch([batch["digest"].filter(pa.array(hit, pa.bool_()))], names=["digest"])
+        (new, at), (old, to) = X.buffers(batch["new_text"]), X.buffers(batch["old_text"])
+        new, old = X.LOWER[new].tobytes(), X.LOWER[old].tobytes()
+        hit = pa.array([new[at[k] : at[k + 1]] == old[to[k] : to[k + 1]] for k in range(batch.num_rows)], pa.bool_())
+        yield pa.record_batch([batch[c].filter(hit) for c in ("digest", "old_id", "old_n")], names=["digest", "old_id", "old_n"])
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
+
+
+def _buckets(digests: DataFrame) -> DataFrame:
+    """(digest, key, top, n): the row that stays of each digest, and how many there are."""
+    return digests.groupBy("digest", "key").agg(F.max(F.struct("doc_id", "text_hash")).alias("top"), F.count("*").alias("n"))
+
+
+def _with_texts(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """``tops`` (digest, top and others) with the text of each top row; the tops are the hashed side of the join."""
+    # a group of rows without an id has none to join on: the lowest number stands for it
+    keyed = tops.withColumn("row_key", F.coalesce("top.doc_id", F.lit(_NO_ID))).withColumn("row_hash", F.col("top.text_hash")).hint("shuffle_hash")
+    texts = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("row_key"), F.col("text_hash").alias("row_hash"), "text")
+    return texts.join(keyed, ["row_key", "row_hash"]).drop("row_key", "row_hash")
+
+
+def write_snapshot(docs: DataFrame, path: str, digests: DataFrame | None = None) -> None:
+    """Write the snapshot of ``docs`` (doc_id, text and any other columns) to the folder ``path``, which must not exist yet.
+
+    digests: the rows of ``docs`` as this module digests them, if they are there already.
+    """
+    rows = _hashed(docs)
+    own = keep(_buckets(rows.mapInArrow(_digest, DIGEST) if digests is None else digests), "buckets")
+    shards = 1 + own.count() // SHARD_KEYS
+    shard = F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("shard")
+    filters = own.select(shard.cast("long").alias("shard"), "key").groupBy("shard").applyInArrow(_filters, "shard long, seed long, segment long, windows long, prints binary")
+    filters.withColumn("shards", F.lit(shards).cast("long")).write.parquet(f"{path}/filters")
+    # rows that repeat both doc_id and text bring the same text
+    texts = _with_texts(rows, own).select(shard, "digest", F.col("top.doc_id").alias("doc_id"), "n", "text")
+    texts.repartition("shard").dropDuplicates(["shard", "digest"]).write.partitionBy("shard").parquet(f"{path}/buckets")
+    drop(own)
+
+
+def _against(own: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """(digest, old_id, old_n) of the batch's buckets ``own`` whose text the snapshot at ``path`` has."""
+    spark = own.sparkSession
+    filters = spark.read.parquet(f"{path}/filters")
+    head = filters.select("shards").first()
+    if head is None:
+        return spark.createDataFrame([], "digest binary, old_id long, old_n long")
+    shard = F.pmod(F.col("key"), F.lit(head["shards"])).cast("int").alias("shard")
+    filters = filters.select(F.col("shard").cast("int").alias("shard"), "seed", "segment", "windows", "prints")
+    positive = own.select(shard, "digest", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_screen, "digest binary")
+    hit = own.join(positive, "digest", "left_semi")
+    pairs = _with_texts(rows, hit.select(shard, "digest", "top")).dropDuplicates(["shard", "digest"]).select("shard", "digest", F.col("text").alias("new_text"))
+    # where the positives are few, they are broadcast and only their shards are read
+    old = spark.read.schema(f"{BUCKET}, shard int").parquet(f"{path}/buckets").select("shard", "digest", F.col("doc_id").alias("old_id"), F.col("n").alias("old_n"), F.col("text").alias("old_text"))
+    return pairs.join(old, ["shard", "digest"]).mapInArrow(_same, "digest binary, old_id long, old_n long")
+
+
+def _rows(digests: DataFrame, result: DataFrame) -> DataFrame:
+    """A row per document. One digest of many copies has one row on the right, so the adaptive join splits its copies."""
+    return digests.join(result, "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _settled(own: DataFrame, met: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size) of buckets and what they met on the other side (digest, other_id, other_n)."""
+    return own.join(met, "digest", "left").select("digest", F.greatest("top.doc_id", "other_id").alias("keep_id"), (F.col("n") + F.coalesce("other_n", F.lit(0))).alias("group_size"))
+
+
+def against_snapshot(batch: DataFrame, path: str) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row of a new batch, among itself and with the snapshot at ``path``."""
+    rows = _hashed(batch)
+    digests = keep(rows.mapInArrow(_digest, DIGEST), "digests")
+    own = keep(_buckets(digests), "buckets")
+    met = _against(own, rows, path).select("digest", F.col("old_id").alias("other_id"), F.col("old_n").alias("other_n"))
+    result = keep(_settled(own, met), "kept")
+    drop(own)
+    return _rows(digests, result)
 
 
 def exact_groups(docs: DataFrame, fresh: Column | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs`` (doc_id, text and any other columns).
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. fresh: true for rows of the new
-    batch, the others are the snapshot (default: the upper half of the range of doc_id is new; the result is the same
+    batch, of the others a snapshot is written (default: the upper half of the range of doc_id is new; the result is the same
     for any choice). Of equal texts the largest doc_id stays. Rows that repeat a doc_id count each in
     group_size, and kept is the same for all of them with that text. A null doc_id is never kept and counts; a group of only such
     rows has a null keep_id. An empty table gives an empty table.
     """
-    rows = columns_for(docs.withColumn("fresh", F.lit(None).cast("boolean") if fresh is None else fresh), doc_id="long", text="string", fresh="boolean").withColumn("text_hash", F.xxhash64("text"))
-    seen = keep(rows.mapInArrow(_digest, DIGEST), "digests")
     if fresh is None:
-        ends = seen.agg(F.min("doc_id"), F.max("doc_id")).first()
-        seen = seen.withColumn("fresh", F.coalesce(F.col("doc_id") > F.lit(((ends[0] or 0) + (ends[1] or 0)) // 2), F.lit(True)))
-    bucket = seen.groupBy("fresh", "digest", "key").agg(F.max(F.struct("doc_id", "text_hash")).alias("top"), F.count("*").alias("n"))
-    bucket = keep(bucket, "buckets")
-    old, new = bucket.where("not fresh").drop("fresh"), bucket.where("fresh").drop("fresh")
-    counts = {r["fresh"]: r["count"] for r in bucket.groupBy("fresh").count().collect()}
-    shards = 1 + max(counts.values(), default=0) // SHARD_KEYS
-    shard = F.pmod(F.col("key"), F.lit(shards)).alias("shard")
-    filters = old.select(shard, "key").groupBy("shard").applyInArrow(_filters, "shard long, seed long, segment long, windows long, prints binary")
-    positive = new.select(shard, "digest", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_screen, "digest binary")
-    pairs = positive.join(old.select("digest", F.col("top").alias("old")), "digest").join(new.select("digest", F.col("top").alias("new")), "digest")
-    pairs = keep(pairs, "positives")
-    wanted = pairs.select(F.explode(F.array(F.struct("digest", F.lit(True).alias("is_old"), "old.*"), F.struct("digest", F.lit(False).alias("is_old"), "new.*"))).alias("w")).select("w.*")
-    # a group of rows without an id has none to join on: the lowest number stands for it
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("row_key")
-    texts = rows.select(key, "text_hash", "text").join(wanted.select(key, "text_hash", "digest", "is_old").hint("shuffle_hash"), ["row_key", "text_hash"])
-    side = texts.groupBy("digest").agg(F.max(F.when(F.col("is_old"), F.col("text"))).alias("old_text"), F.max(F.when(~F.col("is_old"), F.col("text"))).alias("new_text"))
-    equal = keep(side.mapInArrow(_same, "digest binary"), "equal")
-    met = pairs.join(equal, "digest")
-    both = met.select("digest", F.lit(True).alias("fresh"), F.col("old.doc_id").alias("other")).union(met.select("digest", F.lit(False).alias("fresh"), F.col("new.doc_id").alias("other")))
-    sizes = met.select("digest").join(bucket.select("digest", "n", (~F.col("fresh")).alias("fresh")), "digest")
-    joined = bucket.join(both, ["digest", "fresh"], "left").join(sizes.withColumnRenamed("n", "other_n"), ["digest", "fresh"], "left")
-    result = joined.select("digest", "fresh", F.greatest(F.col("top.doc_id"), F.col("other")).alias("keep_id"), (F.col("n") + F.coalesce("other_n", F.lit(0))).alias("group_size"))
-    return seen.join(keep(result, "kept"), ["digest", "fresh"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        ends = columns_for(docs, doc_id="long").agg(F.min("doc_id"), F.max("doc_id")).first()
+        fresh = F.col("doc_id").cast("long") > F.lit(((ends[0] or 0) + (ends[1] or 0)) // 2)
+    fresh = F.coalesce(fresh, F.lit(True))
+    before, batch = docs.where(~fresh), docs.where(fresh)
+    path = fresh_path(docs.sparkSession, "snapshot")
+    old_digests, new_digests = (keep(_hashed(d).mapInArrow(_digest, DIGEST), "digests") for d in (before, batch))
+    write_snapshot(before, path, old_digests)
+    new = keep(_buckets(new_digests), "buckets")
+    met = keep(_against(new, _hashed(batch), path), "met")
+    theirs = new.join(met.select("digest"), "digest", "left_semi").select("digest", F.col("top.doc_id").alias("other_id"), F.col("n").alias("other_n"))
+    old = docs.sparkSession.read.schema(f"{BUCKET}, shard int").parquet(f"{path}/buckets").select("digest", F.struct("doc_id").alias("top"), "n")
+    results = [keep(_settled(own, other), "kept") for own, other in ((old, theirs), (new, met.select("digest", F.col("old_id").alias("other_id"), F.col("old_n").alias("other_n"))))]
+    drop(new, met)
+    return _rows(old_digests, results[0]).union(_rows(new_digests, results[1]))

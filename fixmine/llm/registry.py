@@ -55,9 +55,9 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fixmine.llm.secrets import scan_archive
+    from fixmine.llm.secrets import scan_in_increments
 
-    return scan_archive(read(spark, sf_dir, "documents"))[0]
+    return scan_in_increments(read(spark, sf_dir, "documents"))
 
 
 @query
