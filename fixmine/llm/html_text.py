@@ -1,23 +1,34 @@
 """Main-text extraction from HTML by minimum-cut labelling of text blocks.
 
-A page is read into blocks of text with their place in the tree. A linear classifier gives each block a score from its own
-text, its links, its tags and the hints of its ancestors; the score is a terminal capacity (to the source if it speaks for
-content, to the sink if against). Blocks next to each other, and next of the same parent, are joined by smoothness edges
-that weaken with their distance in the tree. Maximum flow gives the cheapest labelling; the source's side is content.
+A page is read into blocks of text with their place in the tree. A block's cost has two parts: what the elements around it
+say (tags, and hints in their names), and a linear classifier of its own text, links and tag that is fitted on blocks of
+a sample of the pages whose element leaves no doubt (``article`` and ``main`` against ``nav``, ``footer`` and the like). The sum is
+a terminal capacity (to the source if it speaks for content, to the sink if against). Blocks next to each other, and next
+of the same parent, are joined by smoothness edges that weaken with their distance in the tree. The cheapest labelling is a
+minimum cut, that is, one that a maximum flow fills; the source's side is content.
+
+Edges between blocks of one parent lie inside each other or apart, as elements do, so the network reduces block by block
+to a single edge with a cost for each labelling of its ends: the cut takes time in proportion to the blocks, where flow along
+augmenting paths takes the square of their number.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from fixmine.llm.store import columns_for
+from fixmine.llm.store import bound, columns_for
+
+#: Pages that the classifier is fitted on at most, the first by a hash of page_id and url, and blocks of each that it sees at most.
+FIT_PAGES, FIT_BLOCKS = 2000, 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
@@ -27,7 +38,7 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-_HIDDEN = {"head", "script", "style", "noscript", "template", "svg", "math", "select", "option", "button", "textarea", "object", "canvas", "iframe", "audio", "video", "datalist", "dialog", "title", "xmp", "noembed", "noframes"}
+_HIDDEN = {"head", "script", "style", "noscript", "template", "svg", "select", "option", "textarea", "object", "canvas", "iframe", "audio", "video", "datalist", "dialog", "title", "xmp", "noembed", "noframes"}
 #: How far an element speaks for (or against) the blocks in it; the strongest word against counts, else the strongest for.
 _TAG_SCORE = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "article": 4, "main": 3, "header": -5, "fieldset": -9}
 _AGAINST = {
@@ -49,15 +60,18 @@ _SMOOTH, _FALL = 1.5, 0.5
 
 
 class _Node:
-    __slots__ = ("depth", "firm", "hidden", "kids", "others", "parent", "score", "tag", "within")
+    __slots__ = ("depth", "firm", "hidden", "in_article", "in_aside", "in_form", "mixed", "others", "parent", "score", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.within = {tag} if parent is None else parent.within if tag in parent.within else parent.within | {tag}
-        self.hidden = tag in _HIDDEN or bool(parent and parent.hidden)
+        self.in_article = bool(parent and (parent.in_article or parent.tag == "article"))
+        self.in_form = bool(parent and (parent.in_form or parent.tag == "form"))
+        self.in_aside = bool(parent and (parent.in_aside or parent.tag in ("nav", "aside", "footer", "menu")))
+        self.mixed = False  # whether blocks of other elements are directly below
+        self.hidden = tag in _HIDDEN or bool(parent and parent.hidden) or (tag == "button" and not self.in_article)
         own = _TAG_SCORE.get(tag, 0)
         self.others = bool(parent and parent.others)
-        if tag == "header" and parent and "article" in parent.within:
+        if tag == "header" and self.in_article:
             own = 0  # an article's own heading
         plain = own
         if attributes:
@@ -74,7 +88,7 @@ class _Node:
         if parent and (tag == "main" or (tag == "article" and not parent.others)):
             above = max(above, parent.firm)
             self.others = False
-        if tag in ("article", "main") and parent and "form" in parent.within and not parent.within & {"nav", "aside", "footer", "menu"}:
+        if tag in ("article", "main") and self.in_form and not self.in_aside:
             above = 0  # a form around the whole page
         self.score = min(above, own) if min(above, own) < 0 else max(above, own)
 
@@ -118,25 +132,30 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
     node, at, n = root, 0, len(page)
     out: list[tuple[str, int, _Node]] = []
     parts: list[str] = []
-    links, in_link, home = 0, 0, root
+    links, in_link, home, begun = 0, 0, root, False
+    open_tags: Counter[str] = Counter()  # of the elements that the reader is in
+
+    def up() -> None:
+        nonlocal node
+        open_tags[node.tag] -= 1
+        node = node.parent
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, begun
         text = " ".join("".join(parts).split())
         if text:
             out.append((text, links, home))
         parts.clear()
-        links = 0
+        links, begun = 0, False
 
     def add(raw: str) -> None:
-        nonlocal links, home
+        nonlocal links, home, begun
         if raw and not node.hidden:
-            if not parts or not "".join(parts).strip():
-                holder = node
-                while holder.tag in _INLINE and holder.parent:
-                    holder = holder.parent
-                home = holder
             text = html.unescape(raw) if "&" in raw else raw
+            if not begun and text.strip():
+                begun, home = True, node
+                while home.tag in _INLINE and home.parent:
+                    home = home.parent
             parts.append(text)
             if in_link:
                 links += len(text.strip())
@@ -156,17 +175,19 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
                 if tag == "a":
                     in_link = 0
                 scan = node
-                while scan.parent and scan.tag in _INLINE and scan.tag != tag:
+                while open_tags[tag] and scan.parent and scan.tag in _INLINE and scan.tag != tag:
                     scan = scan.parent
                 if scan.tag == tag and scan.parent:
-                    node = scan.parent
+                    while node is not scan:
+                        up()
+                    up()
                 continue
-            scan = node
-            while scan.parent and scan.tag != tag:
-                scan = scan.parent
             flush()
-            if scan.tag == tag and scan.parent:
-                node, in_link = scan.parent, 0
+            if open_tags[tag]:
+                while node.tag != tag:
+                    up()
+                up()
+                in_link = 0
             continue
         if tag in _VOID:
             if tag in ("br", "wbr"):
@@ -177,10 +198,12 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
         if tag not in _INLINE:
             flush()
             while node.tag in _INLINE and node.parent:  # an inline element that was left open ends with its block
-                node, in_link = node.parent, 0
+                up()
+                in_link = 0
             closes = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(tag, ("p",) if node.tag == "p" else ())
             while node.tag in closes and node.parent:
-                node = node.parent
+                up()
+            node.mixed = True
         if m[3].rstrip().endswith("/") and tag not in _RAW and tag not in ("p", "div", "article", "main", "section"):
             continue
         child = _Node(tag, m[3], node)
@@ -189,70 +212,106 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
             at = end.end() if end else n
             continue
         node = child
+        open_tags[tag] += 1
         if tag == "a":
             in_link = 1
     flush()
     return out
 
 
-def score(text: str, links: int, node: _Node) -> float:
-    """Over 0 if the block looks like content by itself."""
+#: Weights of ``features`` before any page is seen; the fit is drawn towards them.
+PRIOR = np.array([-0.5, 1.0, -5.0, 0.7, -0.8, -1.0, 0.0, 0.0, 0.0])
+#: How strongly, how far a fitted classifier can go either way, and where the density of links counts less.
+_PULL, _MOST, _SURE = 0.05, 2.5, 3
+_PLAIN = ("p", "blockquote", "pre", "h1", "h2", "h3", "#root")
+_SHORT = ("h1", "h2", "h3", "h4", "p", "li", "td", "pre", "blockquote")
+
+
+def features(text: str, links: int, node: _Node) -> list[float]:
+    """What a block shows by itself: one, length, share of links, its tag, shortness, a copyright sign, marks and digits."""
     words = text.count(" ") + 1
-    density = min(1.0, links / max(1, len(text)))
-    own = node.score
-    value = float(own)
-    value += min(2.0, words / 12)
-    value -= 5.0 * density if own < 3 else 1.0 * density
-    if node.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "#root"):
-        value += 0.7
-    if words < 4 and node.tag not in ("h1", "h2", "h3", "h4", "p", "li", "td", "pre", "blockquote"):
-        value -= 0.8
-    if own == 0:
-        value -= 0.5 + (1.0 if "\N{COPYRIGHT SIGN}" in text else 0.0)
-    return value
-
-
-def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which blocks are on the source's side of a minimum cut."""
+    return [
+        1.0, min(2.0, words / 12), min(1.0, links / max(1, len(text))), float(node.tag in _PLAIN), float(words < 4 and node.tag not in _SHORT), float("\N{COPYRIGHT SIGN}" in text),
+        float(text[-1] in ".!?:;\N{IDEOGRAPHIC FULL STOP}\N{HORIZONTAL ELLIPSIS}"), min(1.0, sum(map(text.count, ",;.")) / words), sum(c.isdigit() for c in text[:200]) / min(200, len(text)),
+    ]
+
+
+def score(text: str, links: int, node: _Node, weights: np.ndarray = PRIOR) -> float:
+    """Over 0 if the block looks like content by itself: what its elements say and what the classifier says."""
+    x = features(text, links, node)
+    if node.score >= _SURE:
+        x[2] /= 5  # lists of links are part of an article
+    if node.score:
+        x[0] = x[5] = 0.0
+    return node.score + max(-_MOST if node.score else -5.0, sum(a * b for a, b in zip(x, weights.tolist(), strict=True)))
+
+
+def fit_weights(rows: np.ndarray, content: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights of a balanced logistic classifier of blocks, drawn towards ``PRIOR``; ``PRIOR`` without blocks of both kinds."""
+    n = len(content)
+    if not 0 < content.sum() < n:
+        return PRIOR
+    w = PRIOR.copy()
+    balance = np.where(content, 0.5 / content.mean(), 0.5 / (1 - content.mean())) / n
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        grad = rows.T @ (balance * (p - content)) + _PULL * (w - PRIOR)
+        bend = (rows * (balance * p * (1 - p))[:, None]).T @ rows + _PULL * np.eye(len(w))
+        step = np.linalg.solve(bend, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def minimum_cut(scores: list[float], chain: list[float], arcs: list[tuple[int, int, float]]) -> list[bool]:
+    """Which blocks are on the source's side of a minimum cut; with several cuts, one of them.
+
+    chain: capacity between each block and the next; arcs (first, last, capacity): further edges, none of which crosses another.
+    """
     n = len(scores)
-    near: list[list[int]] = [[] for _ in range(n)]
-    to, room = [], []
-    for a, b, w in edges:
-        near[a].append(len(to))
-        to.append(b)
-        room.append(w)
-        near[b].append(len(to))
-        to.append(a)
-        room.append(w)
-    give = [max(0.0, s) for s in scores]
-    take = [max(0.0, -s) for s in scores]
-    while True:
-        by = [-2] * n
-        queue = deque(i for i in range(n) if give[i] > 1e-12)
-        for i in queue:
-            by[i] = -1
-        end = -1
-        while queue:
-            i = queue.popleft()
-            if take[i] > 1e-12:
-                end = i
-                break
-            for e in near[i]:
-                if room[e] > 1e-12 and by[to[e]] == -2:
-                    by[to[e]] = e
-                    queue.append(to[e])
-        if end < 0:
-            return [b != -2 for b in by]
-        path, i = [], end
-        while by[i] >= 0:
-            path.append(by[i])
-            i = to[by[i] ^ 1]
-        flow = min(give[i], take[end], *(room[e] for e in path)) if path else min(give[i], take[end])
-        give[i] -= flow
-        take[end] -= flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+    if not n:
+        return []
+    cost = [(max(0.0, x), max(0.0, -x)) for x in scores]  # of the sink's side, of the source's side
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for first, last, w in arcs:
+        ending.setdefault(last, []).append((first, w))
+    # a segment: first, last, cost by labels of both, and how it was joined from two segments
+    stack: list[tuple] = []
+
+    def joined(x: tuple, y: tuple) -> tuple:
+        middle, cells, pick = x[1], [], []
+        for a in (0, 1):
+            for b in (0, 1):
+                low, high = (x[2][2 * a + v] + cost[middle][v] + y[2][2 * v + b] for v in (0, 1))
+                cells.append(min(low, high))
+                pick.append(int(high < low))
+        return (x[0], y[1], tuple(cells), (x, y, middle, tuple(pick)))
+
+    for i in range(1, n):
+        w = chain[i - 1]
+        stack.append((i - 1, i, (0.0, w, w, 0.0), None))
+        for first, w in sorted(ending.get(i, ()), reverse=True):
+            top = stack.pop()
+            while top[0] > first:
+                top = joined(stack.pop(), top)
+            c = top[2]
+            stack.append((top[0], top[1], (c[0], c[1] + w, c[2] + w, c[3]), top[3]))
+    label = [0] * n
+    if not stack:
+        return [cost[0][1] < cost[0][0]]
+    whole = stack[0]
+    for part in stack[1:]:
+        whole = joined(whole, part)
+    label[0], label[-1] = min(((a, b) for a in (0, 1) for b in (0, 1)), key=lambda ab: cost[0][ab[0]] + cost[-1][ab[1]] + whole[2][2 * ab[0] + ab[1]])
+    todo = [whole]
+    while todo:
+        first, last, _, how = todo.pop()
+        if how:
+            x, y, middle, pick = how
+            label[middle] = pick[2 * label[first] + label[last]]
+            todo += (x, y)
+    return [x == 1 for x in label]
 
 
 def _distance(a: _Node, b: _Node) -> int:
@@ -266,33 +325,56 @@ def _distance(a: _Node, b: _Node) -> int:
     return steps
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     """The content blocks of a page, one a line; empty if there are none."""
     blocks = blocks_of(page or "")
-    scores = [score(*b) for b in blocks]
+    scores = [score(*b, weights) for b in blocks]
     if all(s > 0 for s in scores):
         return "\n".join(b[0] for b in blocks)
-    edges, last = [], {}
+    chain, arcs, last = [], [], {}
     for i, (_, _, node) in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, _SMOOTH * _FALL ** _distance(blocks[i - 1][2], node)))
-        home = id(node.parent) if node.parent else 0
-        if home in last and last[home] != i - 1:
-            edges.append((last[home], i, _SMOOTH * _FALL**2))
+            chain.append(_SMOOTH * _FALL ** min(60, _distance(blocks[i - 1][2], node)))
+        # text beside other blocks of its element is a child of that element, else the element is the block
+        home = node if node.mixed else node.parent or node
+        if last.get(home, i) < i - 1:
+            arcs.append((last[home], i, _SMOOTH * _FALL**2))
         last[home] = i
-    return "\n".join(b[0] for b, inside in zip(blocks, minimum_cut(scores, edges), strict=True) if inside)
+    return "\n".join(b[0] for b, inside in zip(blocks, minimum_cut(scores, chain, arcs), strict=True) if inside)
+
 
+def examples(page: str | None) -> list[tuple[list[float], bool]]:
+    """(features, content) of blocks whose elements leave no doubt, at most ``FIT_BLOCKS``, evenly over the page."""
+    sure = [(features(*b), b[2].score >= _SURE) for b in blocks_of(page or "") if (b[2].firm == 0 and b[2].score >= _SURE and (b[2].in_article or b[2].tag == "article")) or b[2].firm <= -9]
+    return sure[:: -(-len(sure) // FIT_BLOCKS) or 1]
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(p) for p in batch["html"].to_pylist()]
-        yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        found = [e for p in batch["html"].to_pylist() for e in examples(p)]
+        yield pa.record_batch([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.bool_())], names=["x", "y"])
+
 
+def fit(pages: DataFrame) -> np.ndarray:
+    """Weights of the classifier from at most ``FIT_PAGES`` of the pages; ``PRIOR`` if they hold no blocks of both kinds."""
+    rows = columns_for(pages, page_id="long", url="string", html="string").withColumn("place", F.xxhash64("page_id", "url"))
+    share = min(1.0, 2 * FIT_PAGES / max(1, pages.count()))
+    some = rows.where(F.col("place") <= F.lit(bound(share))).orderBy("place").limit(FIT_PAGES)
+    taken = some.select("html").mapInArrow(_examples, "x array<double>, y boolean").toPandas()
+    return fit_weights(np.array(taken["x"].to_list(), float).reshape(-1, len(PRIOR)), taken["y"].to_numpy(bool)) if len(taken) else PRIOR
 
-def extract(pages: DataFrame) -> DataFrame:
+
+def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html and any other columns).
 
-    Null and empty pages have the empty text; null ids and urls stay; repeated rows are each extracted. An empty table gives an empty
-    table.
+    weights: of the classifier, by default fitted on a sample of these pages. Null and empty pages have the empty text; null ids
+    and urls stay; repeated rows are each extracted. An empty table gives an empty table.
     """
-    return columns_for(pages, page_id="long", url="string", html="string").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    weights = fit(pages) if weights is None else weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(p, weights) for p in batch["html"].to_pylist()]
+            yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return columns_for(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -115,3 +115,8 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def bound(share: float) -> int:
+    """The number at or below which lies that share of 64-bit hashes."""
+    return min(2**63 - 1, int(share * 2.0**64) - 2**63)

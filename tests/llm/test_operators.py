@@ -398,17 +398,121 @@ def test_html_still_drops_what_is_not_the_page(wrappers):
     assert article_in(*wrappers)[0] == ""
 
 
-def test_minimum_cut_is_minimal():
+def nested_arcs(r, n):
+    """Edges over a row of n blocks of which none crosses another."""
+    out = []
+
+    def fill(first, last):
+        if last - first < 2:
+            return
+        if r.random() < 0.7:
+            out.append((first, last, r.random()))
+        cuts = sorted({first, last, *(r.randrange(first, last + 1) for _ in range(2))})
+        for a, b in itertools.pairwise(cuts):
+            if (a, b) != (first, last):
+                fill(a, b)
+
+    fill(0, n - 1)
+    return out
+
+
+def largest_flow(scores, edges):
+    """The value of a maximum flow by augmenting paths, found one after the other."""
+    n, room = len(scores), {}
+    for i, x in enumerate(scores):
+        room[n, i], room[i, n + 1] = max(0.0, x), max(0.0, -x)
+        room[i, n] = room[n + 1, i] = 0.0
+    for i, j, w in edges:
+        room[i, j] = room.get((i, j), 0) + w
+        room[j, i] = room.get((j, i), 0) + w
+    total = 0.0
+    while True:
+        by, todo = {n: None}, [n]
+        for i in todo:
+            for (a, b), w in room.items():
+                if a == i and w > 1e-12 and b not in by:
+                    by[b] = i
+                    todo.append(b)
+        if n + 1 not in by:
+            return total
+        path, i = [], n + 1
+        while by[i] is not None:
+            path.append((by[i], i))
+            i = by[i]
+        flow = min(room[e] for e in path)
+        for a, b in path:
+            room[a, b] -= flow
+            room[b, a] += flow
+        total += flow
+
+
+def test_minimum_cut_is_minimal_and_as_large_as_the_flow():
     r = random.Random(6)
-    for _ in range(60):
-        n = r.randrange(1, 9)
-        s = [r.uniform(-2, 2) for _ in range(n)]
-        e = [(i, j, r.random()) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5]
+    for _ in range(150):
+        n = r.randrange(1, 10)
+        s = [r.choice([0, -1, 1, r.uniform(-2, 2)]) for _ in range(n)]
+        chain, arcs = [r.random() for _ in range(n - 1)], nested_arcs(r, n)
+        e = [(i, i + 1, w) for i, w in enumerate(chain)] + arcs
 
         def cost(inside, s=s, e=e):
             return sum(max(0, -x) if i else max(0, x) for x, i in zip(s, inside, strict=True)) + sum(w for i, j, w in e if inside[i] != inside[j])
 
-        assert cost(html_text.minimum_cut(s, e)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
+        found = cost(html_text.minimum_cut(s, chain, arcs))
+        assert found == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
+        assert found == pytest.approx(largest_flow(s, e))
+    assert html_text.minimum_cut([], [], []) == []
+
+
+def test_edges_of_blocks_do_not_cross():
+    """Whatever the page, edges of blocks of one parent lie inside each other or apart."""
+    r = random.Random(8)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "some text ", "more <b>words</b> ", "<br>", "</span>", "<article>", "</article>", "<td>", "<table>", "</table>"]
+    seen = []
+    cut = html_text.minimum_cut
+    html_text.minimum_cut = lambda s, c, arcs: seen.append(arcs) or cut(s, c, arcs)
+    try:
+        for _ in range(1500):
+            html_text.main_text("<nav>menu</nav>" + "".join(r.choice(bits) for _ in range(60)))
+    finally:
+        html_text.minimum_cut = cut
+    assert sum(map(len, seen)) > 200
+    for arcs in seen:
+        assert not any(a < c < b < d for (a, b, _), (c, d, _) in itertools.permutations(arcs, 2))
+
+
+def test_html_of_very_many_blocks_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<body>" + "".join(f"<div>{'Some words that could be the text of a page here. ' * (k % 3 + 1)}</div><div><a href=x>link number {k}</a></div>" for k in range(n // 2))
+        began = time.process_time()
+        assert "words" in html_text.main_text(page)
+        return time.process_time() - began
+
+    assert seconds(8000) < 2
+    assert seconds(32_000) < 12 * max(0.1, seconds(8000))
+    began = time.process_time()
+    html_text.main_text("<div>" * 8000 + "text" + "</b></i>" * 8000 + "</div>" * 8000 + "<p>" + "<b> </b>" * 50_000)
+    assert time.process_time() - began < 3
+
+
+def test_html_classifier_learns_from_pages_and_needs_none(spark):
+    pages = ["<nav>" + "".join(f"<li><a href=x>Entry {k} of it</a></li>" for k in range(6)) + "</nav><article>" + "<p>A sentence of some words that ends in a stop, as prose does.</p>" * 5 + "</article><footer>&copy; 2020 1234567</footer>"] * 30
+    table = spark.createDataFrame([(k, f"u{k}", p, "t", 1.0) for k, p in enumerate(pages)], "page_id long, url string, html string, text string, place double")
+    weights = html_text.fit(table)
+    assert weights[2] < -1 < 0 < weights[1]
+    assert not np.array_equal(weights, html_text.PRIOR)
+    bare = "<div><a href=a>Home page here</a> <a href=b>Other pages</a></div><div>Prose without any helpful names around it, in one long sentence.</div>"
+    assert html_text.main_text(bare, weights) == "Prose without any helpful names around it, in one long sentence."
+    assert html_text.fit(table.limit(0)) is html_text.PRIOR
+    out = html_text.extract(table)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert {r["text"] for r in out.collect()} == {"\n".join(["A sentence of some words that ends in a stop, as prose does."] * 5)}
+
+
+def test_html_keeps_formulas_and_buttons_of_an_article():
+    assert html_text.main_text("<article><p>The sum <math><mi>a</mi>+<mi>b</mi></math> is what we want to know about.</p><p>Press <button>Start</button> to begin with it.</p></article>") == "The sum a+b is what we want to know about.\nPress Start to begin with it."
+    assert html_text.main_text("<div><button>Accept everything</button></div>") == ""
 
 
 def test_token_counts(spark, nothing, monkeypatch):
