@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.store import columns_for, keep
+from fixmine.llm.store import columns_for, drop, keep
 
 ORDER = 3
 UNKNOWN = "und"
+#: Distinct runs that a task holds while it counts.
+FLUSH = 2_000_000
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -35,103 +37,77 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Table:
-    """uint32 keys to rows of costs, by open addressing."""
-
-    def __init__(self, keys: np.ndarray, costs: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(2 * len(keys), 2)))))
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys, self.costs = keys, costs.astype(np.float32)
-        at, left = self._home(keys), np.arange(len(keys))
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]  # of keys with one slot the last stays, the others go on
-            lost = self.slots[at] != left
-            at, left = (at[lost] + 1) & ((1 << self.bits) - 1), left[lost]
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(2654435769)) >> np.uint32(32 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 for none."""
-        at = self._home(keys)
-        out = self.slots[at]
-        if not len(self.keys):
-            return out
-        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        while len(wrong):
-            at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
-            out[wrong] = self.slots[at[wrong]]
-            wrong = wrong[(out[wrong] >= 0) & (self.keys[out[wrong]] != keys[wrong])]
-        return out
+class Tree:
+    """The frozen context tree of one language: what it has seen, sorted, and costs in bits."""
 
+    def __init__(self, runs: list[np.ndarray], costs: list[np.ndarray], contexts: list[np.ndarray], escapes: list[np.ndarray]):
+        self.runs, self.costs, self.contexts, self.escapes = runs, costs, contexts, escapes
 
-class Ppm:
-    """Frozen context trees of some languages; costs are in bits."""
-
-    def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        n = len(langs)
-        self.symbols: list[_Table] = []
-        self.escapes: list[_Table] = []
-        base = np.full((1, n), 8.0)
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Tree:
+        """From the counts of runs of four bytes."""
+        runs, costs, contexts, escapes = [], [], [], []
         for order in range(ORDER + 1):
-            mask = np.uint32((1 << (8 * (order + 1))) - 1 if order < 3 else 0xFFFFFFFF)
-            runs, totals = [], []
-            for lang in langs:
-                keys, c = counts[lang]
-                keys, at = np.unique(keys & mask, return_inverse=True)
-                runs.append(keys)
-                totals.append(np.bincount(at, weights=c, minlength=len(keys)))
-            union = np.unique(np.concatenate(runs)) if n else np.zeros(0, np.uint32)
-            above = np.unique(union >> np.uint32(8))
-            escape = np.zeros((len(above), n))
-            cost = (self._cost(union & (mask >> np.uint32(8)), order - 1) if order else np.repeat(base, len(union), axis=0)).astype(float)
-            for k in range(n):
-                context = np.searchsorted(above, runs[k] >> np.uint32(8))
-                total = np.bincount(context, weights=totals[k], minlength=len(above))
-                kinds = np.bincount(context, minlength=len(above))
-                some = total > 0
-                escape[some, k] = -np.log2(kinds[some] / (total[some] + kinds[some]))
-                cost[:, k] += escape[np.searchsorted(above, union >> np.uint32(8)), k]
-                own = np.searchsorted(union, runs[k])
-                cost[own, k] = -np.log2(totals[k] / (total[context] + kinds[context]))
-            self.symbols.append(_Table(union, cost))
-            self.escapes.append(_Table(above, escape))
-
-    def _cost(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Cost of the last byte of each key under each language, from contexts of ``order`` bytes down."""
-        out = np.zeros((len(keys), len(self.langs)), np.float32)
+            own, at = np.unique(_suffix(keys, order), return_inverse=True)
+            n = np.bincount(at, weights=counts, minlength=len(own))
+            above, context = np.unique(own >> np.uint32(8), return_inverse=True)
+            total, kinds = np.bincount(context, weights=n, minlength=len(above)), np.bincount(context, minlength=len(above))
+            runs.append(own)
+            costs.append((-np.log2(n / (total + kinds)[context])).astype(np.float32))
+            contexts.append(above)
+            escapes.append((-np.log2(kinds / (total + kinds))).astype(np.float32))
+        return cls(runs, costs, contexts, escapes)
+
+    def cost(self, keys: np.ndarray) -> np.ndarray:
+        """Cost of the last byte of each run of four."""
+        out = np.zeros(len(keys), np.float32)
         left = np.arange(len(keys))
-        for k in range(order, -1, -1):
-            own = keys[left] if k == 3 else keys[left] & np.uint32((1 << (8 * (k + 1))) - 1)
-            row = self.symbols[k].find(own)
-            hit = row >= 0
-            out[left[hit]] += self.symbols[k].costs[row[hit]]
-            left, own = left[~hit], own[~hit]
+        for order in range(ORDER, -1, -1):
+            own = _suffix(keys[left], order)
+            at, seen = _find(self.runs[order], own)
+            out[left[seen]] += self.costs[order][at[seen]]
+            left, own = left[~seen], own[~seen] >> np.uint32(8)
             if not len(left):
                 return out
-            row = self.escapes[k].find(own >> np.uint32(8))
-            known = row >= 0
-            out[left[known]] += self.escapes[k].costs[row[known]]
+            at, seen = _find(self.contexts[order], own)
+            out[left[seen]] += self.escapes[order][at[seen]]
         out[left] += 8.0
         return out
 
+
+def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys if order == ORDER else keys & np.uint32((1 << (8 * (order + 1))) - 1)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key in the sorted table, whether it is there)."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+
+
+class Ppm:
+    """Frozen context trees of some languages, each with no more than its own training texts hold."""
+
+    def __init__(self, trees: dict[str, Tree]):
+        self.langs = sorted(trees)
+        self.trees = [trees[lang] for lang in self.langs]
+
     def lengths(self, column: pa.Array) -> np.ndarray:
-        """Code length in bits of each text under each language."""
+        """Code length in bits of each text under each language; each distinct run of a slice is looked up once a language."""
         raw, offsets = X.buffers(column)
         out = np.zeros((len(column), len(self.langs)))
         for i, j in X.slices(offsets, X.SLICE_BYTES // 2):
             own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            for begin in range(0, len(own), X.SLICE_BYTES // 2):  # one long text is read in runs
+            for begin in range(0, len(own), X.SLICE_BYTES // 2):  # one long text is read in parts
                 end = min(len(own), begin + X.SLICE_BYTES // 2)
                 lead = max(0, begin - ORDER)
                 inside = np.clip(at, lead, end) - lead
-                costs = self._cost(grams(own[lead:end], inside), ORDER)[begin - lead :]
+                distinct, place = np.unique(grams(own[lead:end], inside)[begin - lead :], return_inverse=True)
                 inside = np.clip(at, begin, end) - begin
                 full = np.flatnonzero(np.diff(inside) > 0)
-                if len(full):
-                    out[i + full] += np.add.reduceat(costs, inside[:-1][full], axis=0, dtype=np.float64)
+                for k, tree in enumerate(self.trees if len(full) else ()):
+                    out[i + full, k] += np.add.reduceat(tree.cost(distinct)[place], inside[:-1][full], dtype=np.float64)
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -152,9 +128,16 @@ class Ppm:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of four bytes of this partition's texts by language."""
+    """Runs of four bytes of this partition's texts by language; starts anew beyond ``FLUSH`` runs to bound memory."""
     have: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, (keys, n) in have.items():
+            for k in range(0, len(keys), 100_000):
+                part = keys[k : k + 100_000]
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int64)), pa.array(n[k : k + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
+        have.clear()
+
     def merge(lang: str, keys: np.ndarray, n: np.ndarray) -> None:
         if lang in have:
             keys, at = np.unique(np.concatenate((have[lang][0], keys)), return_inverse=True)
@@ -167,19 +150,34 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, offsets = X.buffers(batch["text"].filter(pa.array(langs == lang)))
             for i, j in X.slices(offsets):
                 merge(lang, *np.unique(grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), return_counts=True))
-    for lang, (keys, n) in have.items():
-        for k in range(0, len(keys), 100_000):
-            part = keys[k : k + 100_000]
-            yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int64)), pa.array(n[k : k + 100_000].astype(np.int64))], names=["lang", "gram", "n"])
+        if sum(len(keys) for keys, _ in have.values()) > FLUSH:
+            yield from rows()
+    yield from rows()
+
+
+_ARRAYS = ", ".join(f"{name}{order} binary" for name in ("runs", "costs", "contexts", "escapes") for order in range(ORDER + 1))
+
+
+def _tree(key: tuple, table: pa.Table) -> pa.Table:
+    tree = Tree.of(table["gram"].to_numpy().astype(np.uint32), table["n"].to_numpy().astype(float))
+    arrays = {f"{name}{order}": pa.array([x.tobytes()], pa.binary()) for name in ("runs", "costs", "contexts", "escapes") for order, x in enumerate(getattr(tree, name))}
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), **arrays})
 
 
 def fit(docs: DataFrame) -> Ppm:
-    """Counts of all runs over all rows of ``docs`` (text, lang) with a lang; the model grows with the distinct runs of its languages."""
+    """Counts of all runs over all rows of ``docs`` (text, lang) with a lang and a text.
+
+    Each language's tree is made by one task from its distinct runs (which a language has some hundreds of thousands of, however
+    many its texts); driver and workers hold the trees, about 20 bytes a distinct run of a language.
+    """
     rows = columns_for(docs, text="string", lang="string").where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    taken = keep(counts, "grams").orderBy("lang", "gram").toPandas()
-    own = {lang: (part["gram"].to_numpy().astype(np.uint32), part["n"].to_numpy(float)) for lang, part in taken.groupby("lang")}
-    return Ppm(sorted(own), own)
+    counts = keep(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    trees = {}
+    for r in counts.groupBy("lang").applyInArrow(_tree, f"lang string, {_ARRAYS}").toLocalIterator():
+        arrays = ([np.frombuffer(r[f"{name}{order}"], kind) for order in range(ORDER + 1)] for name, kind in (("runs", np.uint32), ("costs", np.float32), ("contexts", np.uint32), ("escapes", np.float32)))
+        trees[r["lang"]] = Tree(*arrays)
+    drop(counts)
+    return Ppm(trees)
 
 
 def held_out(doc_id: str = "doc_id"):

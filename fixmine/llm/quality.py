@@ -2,8 +2,8 @@
 
 Overlapping heuristics vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote patterns
 of all documents estimates how accurate each heuristic is and how common bad documents are; the posterior of a
-pattern is a soft label. A linear scorer over hashed features (word shapes and bins of statistics) learns the
-soft labels, and scores every document.
+pattern is a soft label. A linear scorer over hashed features (shapes of words, words and pairs of words, bins of
+statistics) learns the soft labels, and scores every document.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.store import columns_for
+from fixmine.llm.store import bound, columns_for, drop, keep
 
-#: Hashed features of the linear scorer.
-DIMS = 1 << 12
-#: Documents, on average, that the scorer is fitted on; they are chosen by a hash of the text.
+#: Hashed features of the linear scorer: shapes of words and bins of statistics below, words and pairs of words above.
+DIMS, SHAPES = 1 << 13, 1 << 12
+#: Documents that the scorer is fitted on at most: the first by a hash of doc_id and text, of rows that repeat both one.
 FIT_ROWS = 6000
 #: Documents with a lower score are rejected.
 LEAST_SCORE = 0.35
@@ -42,7 +42,7 @@ def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Statistics of each text in a slice."""
+    """Statistics of each text in a slice, and the hashes of its words."""
     n = len(offsets) - 1
     starts, bounds = X.word_spans(raw, offsets)
     hashes = X.word_hashes(raw, starts)
@@ -74,6 +74,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "bare": np.bincount(doc[bare], minlength=n) / some,
         "plain": np.bincount(doc[plain], minlength=n) / some,
         "length": solid / some,
+        "hashes": hashes,
     }
 
 
@@ -131,7 +132,7 @@ class WeakLabels:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hashed feature, value) triples: shares of word shapes, and a bin for each statistic."""
+    """(text, hashed feature, value) triples: shares of word shapes, of words and of pairs of words, and a bin for each statistic."""
     n = len(offsets) - 1
     starts, bounds = X.word_spans(raw, offsets)
     shape = _SHAPE[raw]
@@ -145,20 +146,25 @@ def features(raw: np.ndarray, offsets: np.ndarray, stats: dict[str, np.ndarray])
     place = np.minimum(np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at)))), 63).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         hashed = X.mix(np.add.reduceat(X.mix(shape[at].astype(np.uint64) + place * X.U64(256)), begin)) if len(at) else np.zeros(0, np.uint64)
-    bucket = (hashed % X.U64(DIMS - 128)).astype(np.int64)
+    bucket = (hashed % X.U64(SHAPES - 128)).astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(bounds))
-    pair, count = np.unique(doc * DIMS + bucket, return_counts=True)
+    words = stats["hashes"]
+    with np.errstate(over="ignore"):
+        pairs = X.mix(words[:-1] * X.U64(3) + words[1:])[doc[1:] == doc[:-1]] if len(words) else words
+    named = [(x % X.U64(DIMS - SHAPES)).astype(np.int64) + SHAPES for x in (words, pairs)]
+    code = np.concatenate((doc * DIMS + bucket, doc * DIMS + named[0], doc[1:][doc[1:] == doc[:-1]] * DIMS + named[1]))
+    pair, count = np.unique(code, return_counts=True)
     rows, cols = [pair // DIMS], [pair % DIMS]
     values = [count / np.maximum(np.diff(bounds), 1)[pair // DIMS]]
     for k, (name, *_) in enumerate(HEURISTICS):
         scaled = np.minimum(stats[name] * (1 if name == "length" else 16), 15).astype(np.int64)
         rows.append(np.arange(n))
-        cols.append(DIMS - 128 + 16 * k + scaled)
+        cols.append(SHAPES - 128 + 16 * k + scaled)
         values.append(np.full(n, 0.5))
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
-def fit_scorer(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
+def fit_scorer(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
     """Weights and a bias (last) of a logistic model of soft targets, by gradients scaled with their history."""
     n = len(target)
     w, seen = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-8)
@@ -172,34 +178,42 @@ def fit_scorer(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: n
     return w
 
 
-@X.trimmed
-def _pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of patterns in each batch."""
-    for batch in batches:
-        raw, offsets = X.buffers(batch["text"])
-        total: dict[int, int] = {}
-        for i, j in X.slices(offsets):
-            p = votes(measure(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) @ _POWERS
-            for k, c in zip(*np.unique(p, return_counts=True), strict=True):
-                total[int(k)] = total.get(int(k), 0) + int(c)
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
+MEASURED = "pattern long, n long, place long, cols array<int>, vals array<float>"
 
 
-@X.trimmed
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = X.buffers(batch["text"])
-        for i, j in X.slices(offsets):
-            own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            stats = measure(own, at)
-            rows, cols, values = features(own, at, stats)
-            order = np.argsort(rows, kind="stable")
-            cut = np.searchsorted(rows[order], np.arange(j - i + 1))
-            yield pa.record_batch([
-                pa.array(votes(stats) @ _POWERS, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(cols[order], pa.int32())),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values[order], pa.float32())),
-            ], names=["pattern", "cols", "vals"])
+def _measured(upto: int):
+    """Counts of vote patterns, and the features of rows whose place is at most ``upto``; of equal places in a task the first."""
+
+    @X.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set[int] = set()
+        for batch in batches:
+            raw, offsets = X.buffers(batch["text"])
+            places = batch["place"].to_pylist()
+            total: dict[int, int] = {}
+            for i, j in X.slices(offsets):
+                own, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                stats = measure(own, at)
+                patterns = votes(stats) @ _POWERS
+                for k, c in zip(*np.unique(patterns, return_counts=True), strict=True):
+                    total[int(k)] = total.get(int(k), 0) + int(c)
+                new = [k for k in range(i, j) if places[k] <= upto and places[k] not in taken]
+                taken.update(places[k] for k in new)
+                if not new:
+                    continue
+                rows, cols, values = features(own, at, stats)
+                order = np.argsort(rows, kind="stable")
+                cut = np.searchsorted(rows[order], np.arange(j - i + 1))
+                cols, values = cols[order].astype(np.int32), values[order].astype(np.float32)
+                spans = [(cut[k - i], cut[k - i + 1]) for k in new]
+                yield pa.record_batch([
+                    pa.array(patterns[np.array(new) - i], pa.int64()), pa.nulls(len(new), pa.int64()), pa.array([places[k] for k in new], pa.int64()),
+                    pa.array([cols[x:y] for x, y in spans], pa.list_(pa.int32())), pa.array([values[x:y] for x, y in spans], pa.list_(pa.float32())),
+                ], names=["pattern", "n", "place", "cols", "vals"])
+            n = len(total)
+            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.float32()))], names=["pattern", "n", "place", "cols", "vals"])
+
+    return run
 
 
 class Model:
@@ -222,15 +236,16 @@ class Model:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Vote patterns are counted over all rows of ``docs``; about ``fit_rows`` of them teach the scorer."""
-    rows = columns_for(docs, text="string")
+    """Vote patterns are counted over all rows of ``docs``; at most ``fit_rows`` of them teach the scorer. One pass over the texts."""
+    rows = columns_for(docs, doc_id="long", text="string").select(F.xxhash64("doc_id", "text", F.lit("fit")).alias("place"), "text")
+    # twice the rows needed on average, so that the limit below is nearly always met
+    upto = bound(min(1.0, 2 * fit_rows / max(1, docs.count())))
+    measured = keep(rows.mapInArrow(_measured(upto), MEASURED), "measured")
     # at most 3 ** len(HEURISTICS) patterns
-    counts = rows.mapInArrow(_pattern, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    counts = measured.where("place is null").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     weak = WeakLabels(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
-    total = int(counts["n"].sum())
-    share = min(1.0, fit_rows / max(total, 1))
-    some = rows.where(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    taken = some.mapInArrow(_examples, "pattern long, cols array<int>, vals array<float>").toPandas()
+    taken = measured.where("place is not null").select("place", "pattern", "cols", "vals").dropDuplicates(["place"]).orderBy("place").limit(fit_rows).toPandas()
+    drop(measured)
     if not len(taken):
         return Model(np.zeros(DIMS + 1))
     target = 1 - weak.posterior(taken["pattern"].to_numpy(np.int64)[:, None] // _POWERS % 3)

@@ -636,6 +636,68 @@ def test_quality(spark, nothing):
     assert quality.accepted(frame(spark, rows)).columns == nothing.columns
 
 
+def test_expectation_maximisation_is_the_plain_one():
+    """Posteriors of patterns against EM over single documents, in plain Python."""
+    import math
+
+    r = random.Random(4)
+    k = len(quality.HEURISTICS)
+    docs = [tuple(r.choices((0, 1, 2), (2, 1, 6) if bad else (2, 7, 1))[0] for _ in range(k)) for bad in [True] * 40 + [False] * 160]
+    patterns, counts = np.unique(np.array(docs) @ quality._POWERS, return_counts=True)
+    weak = quality.WeakLabels(patterns, counts, rounds=12)
+    found = dict(zip(patterns.tolist(), weak.posterior(patterns[:, None] // quality._POWERS % 3), strict=True))
+    post = [min(0.99, max(0.01, 1 - 0.01 ** d.count(2))) for d in docs]
+    for _ in range(12):
+        prior = min(0.5, max(1e-4, sum(post) / len(docs)))
+        table = {}
+        for c in (0, 1):
+            for h in range(k):
+                own = [sum((p if c else 1 - p) for d, p in zip(docs, post, strict=True) if d[h] == v) + (0.5 if v == c + 1 else 0.1) for v in range(3)]
+                table[c, h] = [x / sum(own) for x in own]
+        post = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(math.log(table[1, h][v] / table[0, h][v]) for h, v in enumerate(d) if v)))) for d in docs]
+    for d, p in zip(docs, post, strict=True):
+        assert found[int(np.array(d) @ quality._POWERS)] == pytest.approx(p, abs=1e-9)
+
+
+def test_scores_are_those_of_a_plain_linear_model():
+    texts = ["some words of a text, and some words", None, "", "UPPER case!! 123", "long " * 3000]
+    raw, offsets = X.buffers(pa.array(texts))
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=quality.DIMS + 1))
+    rows, cols, values = quality.features(raw, offsets, quality.measure(raw, offsets))
+    want = [model.weights[-1]] * len(texts)
+    for i, c, v in zip(rows.tolist(), cols.tolist(), values.tolist(), strict=True):
+        want[i] += model.weights[c] * v
+    want = [1 / (1 + np.exp(-z)) if t and t.strip() else 0.0 for z, t in zip(want, texts, strict=True)]
+    assert np.allclose(model.score(pa.array(texts)), want)
+    words = [sum(1 for i, c, v in zip(rows, cols, values, strict=True) if i == 0 and c >= quality.SHAPES and v > 0)]
+    assert words[0] <= 6 + 7  # distinct words and pairs of the first text
+
+
+def test_quality_sample_is_bounded_and_not_drowned_by_copies(spark, monkeypatch):
+    """A text in most rows, with and without ids, neither floods the driver nor decides by a coin alone."""
+    r = random.Random(7)
+    own = [(k, " ".join(r.choice(["the", "river", "was", "quiet", "evening"]) for _ in range(40))) for k in range(400)] + [(400 + k, "x$$ y## " * 20) for k in range(60)]
+    rows = own + [(1000 + k, own[0][1]) for k in range(2000)] + [(None, own[1][1])] * 1500 + [(None, None)] * 500
+    seen = []
+    fitted = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda which, cols, values, target: seen.append(len(target)) or fitted(which, cols, values, target))
+    model = quality.fit(frame(spark, rows), fit_rows=300)
+    assert 150 < seen[0] <= 300
+    scores = model.score(pa.array([own[0][1], own[5][1], "x$$ y## " * 25]))
+    assert scores[0] > 0.5 < scores[1]
+    assert scores[2] < quality.LEAST_SCORE
+
+
+def test_quality_takes_odd_rows(spark, nothing):
+    rows = [(1, "long text of words. " * 50_000), (2, "tie"), (2, "tie"), (None, None), (None, ""), (3, "\n \t"), (4, "é" * 3000)] + [(10 + k, prose(k, 50)) for k in range(30)]
+    out = quality.classify(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    assert len({r["score"] for r in out if r["doc_id"] == 2}) == 1
+    kept = quality.accepted(frame(spark, rows).withColumnRenamed("bitmap", "place").withColumnRenamed("digest", "pattern"))
+    assert kept.count() == sum(r["kept"] for r in out)
+
+
 def test_code_lengths_are_exact():
     import collections
     import math
@@ -644,8 +706,8 @@ def test_code_lengths_are_exact():
     counts = {}
     for lang, own in texts.items():
         keys, n = np.unique(language.grams(*X.buffers(pa.array(own))), return_counts=True)
-        counts[lang] = keys, n.astype(float)
-    model = language.Ppm(["a", "b"], counts)
+        counts[lang] = language.Tree.of(keys, n.astype(float))
+    model = language.Ppm(counts)
     probe = ["the Hund", "", None, "zzz 12 é", "that mat"]
     for lang, k in (("a", 0), ("b", 1)):
         tree = collections.defaultdict(collections.Counter)
@@ -670,20 +732,30 @@ def test_code_lengths_are_exact():
             assert model.lengths(pa.array(probe))[j, k] == pytest.approx(bits, abs=1e-3)
 
 
-def test_language_model_holds_every_run(spark):
+def test_language_model_holds_every_run(spark, monkeypatch):
+    monkeypatch.setattr(language, "FLUSH", 1000)
     r = random.Random(9)
     texts = {"a": "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=450_000)), "b": "the cat sat on the mat"}
-    counts = {}
-    for lang, t in texts.items():
-        keys, n = np.unique(language.grams(*X.buffers(pa.array([t]))), return_counts=True)
-        counts[lang] = keys, n.astype(float)
-    assert len(counts["a"][0]) > 1 << 18
-    model, want = language.fit(spark.createDataFrame([(t, lang) for lang, t in texts.items()], "text string, lang string")), language.Ppm(["a", "b"], counts)
-    assert [len(t.keys) for t in model.symbols] == [len(t.keys) for t in want.symbols]
+    want = language.Ppm({lang: language.Tree.of(*np.unique(language.grams(*X.buffers(pa.array([t]))), return_counts=True)) for lang, t in texts.items()})
+    assert len(want.trees[0].runs[3]) > 1 << 18
+    model = language.fit(spark.createDataFrame([(t, lang) for lang, t in texts.items()], "text string, lang string"))
+    for one, two in zip(model.trees, want.trees, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(one.runs + one.contexts, two.runs + two.contexts, strict=True))
     probe = pa.array([texts["a"][:500], texts["a"][-500:], texts["b"]])
     assert np.allclose(model.lengths(probe), want.lengths(probe))
 
 
+def test_code_lengths_of_a_text_read_in_parts(monkeypatch):
+    """A very long text, with characters of several bytes where one part ends."""
+    text = "Grüße an die Straße — naïve façade 漢字 ends. " * 400
+    model = language.Ppm({"a": language.Tree.of(*np.unique(language.grams(*X.buffers(pa.array([text[:3000]]))), return_counts=True)), "b": language.Tree.of(*np.unique(language.grams(*X.buffers(pa.array(["plain"]))), return_counts=True))})
+    column = pa.array(["short", text, None, "ß" * 50])
+    whole = model.lengths(column)
+    for size in (2, 14, 62, 1000):
+        monkeypatch.setattr(X, "SLICE_BYTES", size)
+        assert np.allclose(model.lengths(column), whole, rtol=1e-5)
+
+
 def test_language(spark, nothing):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(df).toPandas().set_index("doc_id")
