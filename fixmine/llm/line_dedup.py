@@ -1,7 +1,8 @@
 """Removal of lines that many documents share, as compressed keep bitmaps.
 
 Hashes of line keys are dealt out by range and sorted within a partition by key, then document (largest first), then
-position. A stream over each partition sees the first occurrence of a key and decides its later ones. A key that
+position. A stream over each partition sees the first occurrence of a key and decides its later ones as they come: it holds one
+line of the first document and, until enough documents are seen, those of the few after it. A key that
 touches an end of a partition may go on in the next one; such keys, two a partition at most, are settled from their
 counts over all partitions. As document and position are part of the range key, a frequent line spreads over many
 partitions.
@@ -19,12 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixmine.llm.store import columns_for, keep, spare
+from fixmine.llm.store import columns_for, drop, keep, spare
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Lines of a range, on average; ranges follow the number of lines.
+RANGE_LINES = 1_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
 LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int64())])
-OUT = pa.schema([("open", pa.bool_()), *LINES])
+OUT = pa.schema([("kind", pa.string()), *LINES])
+#: What the stream says of an occurrence: it goes; its key touches an end and is open; it is the first of a key that is decided but may go on.
+GOES, OPEN, FIRST = "goes", "open", "first"
 
 
 def _keys(min_chars: int):
@@ -45,49 +50,86 @@ def _keys(min_chars: int):
     return run
 
 
-def _stream(min_docs: int):
-    """Occurrences to drop (open false), and all occurrences of keys at an end of the partition (open true)."""
+class _Run:
+    """Occurrences of one key in order: arrays h1, h2, doc_id (0 for null), text_hash, pos, and whether doc_id is null."""
+
+    def __init__(self, cols: list[np.ndarray]):
+        self.cols = cols
+
+    def __len__(self) -> int:
+        return len(self.cols[0])
+
+    def part(self, at) -> _Run:
+        return _Run([c[at] for c in self.cols])
+
+    def with_(self, other: _Run) -> _Run:
+        return _Run([np.concatenate(x) for x in zip(self.cols, other.cols, strict=True)])
+
+    def starts(self, *which: int) -> np.ndarray:
+        """Where any of the columns changes."""
+        new = np.zeros(len(self), bool)
+        new[:1] = True
+        for k in which:
+            new[1:] |= self.cols[k][1:] != self.cols[k][:-1]
+        return new
 
-    def emit(rows: list[np.ndarray], nulls: np.ndarray, mask: np.ndarray, is_open: bool) -> pa.RecordBatch:
-        at = np.flatnonzero(mask)
-        cols = [pa.array(np.full(len(at), is_open))]
-        for k, c in enumerate(rows):
-            cols.append(pa.array(c[at], pa.int64(), mask=nulls[at] if k == 2 else None))
-        return pa.record_batch(cols, schema=OUT)
+    def as_batch(self, kind: str) -> pa.RecordBatch:
+        h1, h2, doc, text_hash, pos, null = self.cols
+        return pa.record_batch([pa.array([kind] * len(self), pa.string()), pa.array(h1), pa.array(h2), pa.array(doc, mask=null), pa.array(text_hash), pa.array(pos)], schema=OUT)
+
+
+def _stream(min_docs: int):
+    """What becomes of the occurrences in a sorted partition, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[np.ndarray], np.ndarray] | None = None
-        first: tuple[int, int] | None = None
+        key = first_key = None  # the key at the end of what has been read, and the partition's first
+        enough, held = False, None  # of that key: whether it has enough documents, and what is held if not
+
+        def feed(more: _Run) -> Iterator[pa.RecordBatch]:
+            """Go on with the present key."""
+            nonlocal enough, held
+            if key == first_key:
+                yield more.as_batch(OPEN)
+                return
+            if enough:
+                yield more.as_batch(GOES)
+                return
+            whole = held.with_(more) if held is not None else more
+            doc = np.cumsum(whole.starts(2, 3, 5))
+            enough = doc[-1] >= min_docs
+            later = doc > 1
+            if enough:
+                yield whole.part(later).as_batch(GOES)
+            later[0] = True  # one occurrence stands for the first document
+            held = whole.part(slice(0, 1)) if enough else whole.part(later)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nulls = np.asarray(batch["doc_id"].is_null())
-            rows = [batch[c].fill_null(0).to_numpy() for c in LINES.names]
-            if held:
-                rows = [np.concatenate(x) for x in zip(held[0], rows, strict=True)]
-                nulls = np.concatenate((held[1], nulls))
-            if first is None:
-                first = (rows[0][0], rows[1][0])
-            key_new = np.ones(len(nulls), bool)
-            key_new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
-            cut = np.flatnonzero(key_new)[-1]  # the last key may go on
-            head = (rows[0] == first[0]) & (rows[1] == first[1])
-            done = np.arange(len(nulls)) < cut
-            if (head & done).any():
-                yield emit(rows, nulls, head & done, True)
-            doc_new = key_new.copy()
-            doc_new[1:] |= (rows[2][1:] != rows[2][:-1]) | (rows[3][1:] != rows[3][:-1]) | (nulls[1:] != nulls[:-1])
-            run_of = np.cumsum(key_new) - 1
-            doc_at = np.cumsum(doc_new)
-            starts = np.flatnonzero(key_new)
-            n_docs = np.add.reduceat(doc_new.astype(np.int64), starts)
-            later = doc_at > doc_at[starts][run_of]
-            drop = done & ~head & later & (n_docs[run_of] >= min_docs)
-            if drop.any():
-                yield emit(rows, nulls, drop, False)
-            held = [c[cut:] for c in rows], nulls[cut:]
-        if held:
-            yield emit(*held, np.ones(len(held[1]), bool), True)
+            rows = _Run([*(batch[c].fill_null(0).to_numpy() for c in LINES.names), np.asarray(batch["doc_id"].is_null())])
+            begins = np.flatnonzero(rows.starts(0, 1))
+            keys = [(rows.cols[0][i], rows.cols[1][i]) for i in (begins[0], begins[-1])]
+            if first_key is None:
+                first_key = key = keys[0]
+            at = 0
+            if keys[0] == key:
+                at = begins[1] if len(begins) > 1 else len(rows)
+                yield from feed(rows.part(slice(0, at)))
+            if at == len(rows):
+                continue
+            last = begins[-1]
+            if last > at:  # keys that begin and end here
+                inner = rows.part(slice(at, last))
+                new = inner.starts(0, 1)
+                doc_new = inner.starts(0, 1, 2, 3, 5)
+                of, doc, begin = np.cumsum(new) - 1, np.cumsum(doc_new), np.flatnonzero(new)
+                goes = (doc > doc[begin][of]) & (np.add.reduceat(doc_new.astype(np.int64), begin)[of] >= min_docs)
+                if goes.any():
+                    yield inner.part(goes).as_batch(GOES)
+            key, enough, held = keys[1], False, None
+            yield from feed(rows.part(slice(last, None)))
+        if held is not None and key != first_key:
+            yield held.as_batch(FIRST if enough else OPEN)
 
     return run
 
@@ -116,17 +158,19 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     smallest. Null and empty texts have no keys, and an empty table gives an empty table.
     """
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = keep(rows.mapInArrow(_keys(min_chars), "h1 long, h2 long, doc_id long, text_hash long, pos long"), "lines")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + lines.count() // RANGE_LINES)
     order = ["h1", "h2", F.desc("doc_id"), "text_hash", "pos"]
-    swept = keep(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), "open boolean, h1 long, h2 long, doc_id long, text_hash long, pos long"), "swept")
-    ends = swept.where("open")
-    by_doc = ends.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
+    swept = keep(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), "kind string, h1 long, h2 long, doc_id long, text_hash long, pos long"), "swept")
+    drop(lines)
+    ends = swept.where(F.col("kind") != GOES)
+    by_doc = ends.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.bool_or(F.col("kind") == FIRST).alias("decided"))
     # desc order: null last, then the smallest text_hash of the largest doc_id is first
-    stats = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), (-F.col("doc_id")).alias("y"), F.col("text_hash").alias("z"))).alias("top")).where(F.col("docs") >= min_docs)
+    top = F.min(F.struct(F.col("doc_id").isNull().alias("x"), (-F.col("doc_id")).alias("y"), F.col("text_hash").alias("z"))).alias("top")
+    stats = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.bool_or("decided").alias("decided"), top).where((F.col("docs") >= min_docs) | F.col("decided"))
     # two keys for each range partition at most
-    late = ends.join(F.broadcast(stats), ["h1", "h2"]).where(~((F.col("doc_id").eqNullSafe(-F.col("top.y"))) & (F.col("text_hash") == F.col("top.z"))))
-    drops = swept.where("not open").select("doc_id", "text_hash", "pos").union(late.select("doc_id", "text_hash", "pos"))
+    late = ends.where(F.col("kind") == OPEN).join(F.broadcast(stats), ["h1", "h2"]).where(~((F.col("doc_id").eqNullSafe(-F.col("top.y"))) & (F.col("text_hash") == F.col("top.z"))))
+    drops = swept.where(F.col("kind") == GOES).select("doc_id", "text_hash", "pos").union(late.select("doc_id", "text_hash", "pos"))
     return drops.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, BITMAP)
 
 

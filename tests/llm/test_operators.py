@@ -215,12 +215,40 @@ def test_leaks(spark, docs, nothing):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
-def test_leaks_in_blocks_of_items(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(k, prose(100 + k, 30 + k)) for k in range(8)], "item_id long, text string")
-    whole = got(decontaminate.leaks(docs, bench), "doc_id", "item_id")
-    assert len(whole) >= 8
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
-    assert got(decontaminate.leaks(docs, bench), "doc_id", "item_id") == whole
+def test_leaks_are_the_same_by_broadcast_and_by_join(spark, docs, nothing, monkeypatch):
+    items = [(k, prose(100 + k, 30 + k)) for k in range(8)] + [(3, prose(104, 34)), (None, prose(2, 90)), (None, prose(2, 90)), (20, "two WORDS"), (21, None), (22, ""), (23, " ".join(prose(3, 20_000).split(" ")[7000:7400]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = frame(spark, [*corpus(), corpus()[-12], (None, prose(105, 35)), (None, prose(105, 35))])
+    cols = "doc_id", "item_id", "n_shared", "n_item", "containment"
+    whole, stay = got(decontaminate.leaks(rows, bench), *cols), got(decontaminate.clean(rows, bench), *rows.columns)
+    assert len(whole) >= 12
+    for most in (0, 3):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        assert got(decontaminate.leaks(rows, bench), *cols) == whole
+        out = decontaminate.clean(rows, bench)
+        assert out.columns == rows.columns
+        assert got(out, *rows.columns) == stay
+        assert decontaminate.leaks(nothing, bench).count() == decontaminate.clean(nothing, bench).count() == 0
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 8)
+    assert got(decontaminate.leaks(rows, bench), *cols) == whole
+
+
+def test_items_in_scattered_pieces_are_found(spark):
+    """Pieces of an item far apart in long documents: what is contained by count is found, wherever it lies."""
+    rows, items = [], []
+    for k in range(60):
+        r, words = random.Random(k), prose(9000 + k, 48).split(" ")
+        pieces = [words[i : i + 12] for i in range(0, 48, 12)] if k % 2 else [words[:24], words[24:]]
+        items.append((k, " ".join(" ".join(p) for p in pieces)))
+        text = prose(7000 + k, 400).split(" ")
+        for p in pieces:
+            at = r.randrange(len(text))
+            text[at:at] = p + prose(r.randrange(10**6), 300).split(" ")
+        rows.append((k, " ".join(text)))
+    want = {(i, j) for i, t in rows for j, u in items if len(shingle_set(u) & shingle_set(t)) >= 0.8 * len(shingle_set(u))}
+    assert len(want) >= 30
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, rows), bench).collect()} == want
 
 
 def tokenizer():
@@ -622,6 +650,33 @@ def test_lines(spark, nothing):
     assert line_dedup.drop_lines(frame(spark, [(None, "x\ny"), (3, "x"), (3, "x")])).count() == 3
 
 
+@pytest.mark.parametrize(("size", "min_docs"), [(1, 3), (2, 3), (3, 2), (7, 4), (1000, 3)])
+def test_stream_of_lines_holds_little_and_decides_all(size, min_docs):
+    """Sorted occurrences cut into partitions and batches anywhere: what goes and what the open ends settle, against counting."""
+    import collections
+
+    r = random.Random(size + min_docs)
+    for _ in range(40):
+        rows = sorted((r.choice([1, 1, 1, 2, 3]), 0, -r.randrange(6), 7, p) for p in range(r.randrange(1, 60)))
+        docs = collections.defaultdict(list)
+        for h, _, d, _, _ in rows:
+            if d not in docs[h]:
+                docs[h].append(d)
+        want = sorted(x for x in rows if len(docs[x[0]]) >= min_docs and x[2] != docs[x[0]][0])
+        cuts = sorted({0, len(rows), *(r.randrange(len(rows)) for _ in range(r.randrange(4)))})
+        out = []
+        for a, b in itertools.pairwise(cuts):
+            part = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i : min(i + size, b)], strict=True)], schema=line_dedup.LINES) for i in range(a, b, size)]
+            out += [tuple(x.values()) for batch in line_dedup._stream(min_docs)(iter(part)) for x in batch.to_pylist()]
+        found = [x[1:] for x in out if x[0] == line_dedup.GOES]
+        ends = [x for x in out if x[0] != line_dedup.GOES]
+        for h in {x[1] for x in ends}:
+            own = [x for x in ends if x[1] == h]
+            if len({x[3] for x in own}) >= min_docs or any(x[0] == line_dedup.FIRST for x in own):
+                found += [x[1:] for x in own if x[0] == line_dedup.OPEN and x[3] != min(y[3] for y in own)]
+        assert sorted(found) == want
+
+
 def test_quality(spark, nothing):
     r = random.Random(5)
     good = [" ".join(r.choice(["the", "river", "was", "quiet", "and", "slow", "evening", "came"]) + str("" if r.random() < 0.9 else ".") for _ in range(60)) for _ in range(150)]
