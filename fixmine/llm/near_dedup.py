@@ -6,29 +6,30 @@ the variance of the estimate against independent hashes, and as step ``j`` gives
 document stops as soon as no place holds more than that.
 
 Documents with equal shingle sets are one class, and bands of the signatures of classes make buckets. Only verified links
-unite classes, in steps that each see what the one before has united:
+unite classes, in two steps:
 
-* every class with its likeliest partner among the first classes of its buckets;
-* every class with the other firsts that are still in another group;
-* within buckets that still hold several groups, the members outside the largest group with all others: first the
-  likeliest of each, then all that remain.
+* every class is compared with the first classes of its buckets, as far as sizes and signatures allow a link;
+* groups that signatures still find alike within a bucket form families, and in each family the members outside the largest
+  group are compared with all others, on full shingle sets and up to the first link of two groups.
 
-Pairs whose sizes or signatures rule a link out are never fetched. A bucket of one group costs one pair a member, pairs of
-a hub are dealt out in portions of ``HUB_PAIRS`` to tasks that hold two texts at a time, and members of a large
-bucket in chunks of ``CHUNK``, so no key's rows meet in one task. Verified links are united by union-find.
+Buckets themselves make no families, so texts that only collide in a band never meet. A bucket of one group costs one
+pair a member. Members of a hub are dealt out in portions of ``HUB_PAIRS`` to tasks that hold two texts at a time, members of
+large buckets and families in chunks, so no key's rows meet in one task and no pairs of a group are written out. Verified
+links are united by union-find.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.graph import PAIR, components
+from fixmine.llm.graph import PAIR, UnionFind, components
 from fixmine.llm.store import columns_for, drop, keep, spare
 
 PLACES = 320
@@ -38,8 +39,8 @@ MISSED = 1e-5
 HUB_PAIRS = 64
 #: Members of a bucket whose signatures are compared together with as many others.
 CHUNK = 1024
-#: Partners of a member that are verified before its others are looked at again.
-LIKELIEST = 8
+#: Members, and shingles, of a family that are compared together with as many others.
+FAMILY_CHUNK, FAMILY_SHINGLES = 128, 1_000_000
 #: Elements whose permutations are held at once.
 _CHUNK = 1 << 13
 
@@ -122,60 +123,131 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y) with a portion: of one x in one task, so many pairs are in each."""
+    seen: dict[int, int] = {}
+    task = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        portion = []
+        for x in batch["x"].to_pylist():
+            nth = seen.get(x, 0)
+            seen[x] = nth + 1
+            portion.append(task + nth // HUB_PAIRS)
+        yield pa.record_batch([batch["x"], batch["y"], pa.array(portion, pa.int64())], names=["x", "y", "portion"])
+
+
+def _beside(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+    """Rows (hub, portion, side, node, cols): x of the pairs (x, y) as side 0, then the y of a portion as side 1. table: node, cols."""
+    dealt = keep(pairs.select("x", "y").mapInArrow(_portions, "x long, y long, portion long"), "portions")
+    hubs = dealt.select(F.col("x").alias("node"), F.col("x").alias("hub"), "portion", F.lit(0).alias("side")).distinct()
+    need = hubs.union(dealt.select("y", "x", "portion", F.lit(1)))
+    return table.join(need, "node").select("hub", "portion", "side", "node", *cols).repartition("hub", "portion").sortWithinPartitions("hub", "portion", "side")
+
+
 def _likely(percent: int, least: float):
-    """Pairs (x, y, near) that sizes and signatures allow to be links; near: the share of equal places."""
+    """Pairs (x, y) that sizes and signatures allow to be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, sign = None, 0, b""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = (_signatures(batch["sx"]) == _signatures(batch["sy"])).mean(axis=1)
-            fit = pa.array((near >= least) & _sizes_fit(batch["nx"].to_numpy(), batch["ny"].to_numpy(), percent))
-            yield pa.record_batch([batch["x"].filter(fit), batch["y"].filter(fit), pa.array(near).filter(fit)], names=["x", "y", "near"])
+            nodes, sides, sizes = (batch[c].to_numpy() for c in ("node", "side", "n_shingles"))
+            signs = _signatures(batch["sig"])
+            cuts = np.flatnonzero(sides == 0)
+            found: list[tuple[int, int]] = []
+            for a, b in zip([-1, *cuts.tolist()], [*cuts.tolist(), len(nodes)], strict=True):
+                if a >= 0:
+                    hub, size, sign = int(nodes[a]), sizes[a], signs[a]
+                if a + 1 < b:
+                    fit = _sizes_fit(sizes[a + 1 : b], size, percent) & ((signs[a + 1 : b] == sign).mean(axis=1) >= least)
+                    found += [(hub, y) for y in nodes[a + 1 : b][fit].tolist()]
+            yield _pairs(found)
 
     return run
 
 
-def _across(percent: int, least: float, most: int | None):
-    """Likely pairs (a, b) of different groups in blocks (bucket, i, j), sorted; side 0 is compared with side 1.
+def _sizes_fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
-    most: how many partners each member of side 0 gets per block, the likeliest first.
-    """
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
-        if not left or not right:
-            return
-        node, group, size = (np.array([r[k] for r in right]) for k in (1, 2, 3))
-        signs = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), -1)
-        for _, x, own, n, sig in left:
-            at = np.flatnonzero((group != own) & _sizes_fit(size, np.int64(n), percent))
-            if not len(at):
-                continue
-            near = (signs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-            at, near = at[near >= least], near[near >= least]
-            if most is not None and len(at) > most:
-                at = at[np.lexsort((node[at], -near))[:most]]
-            yield from ((min(x, y), max(x, y)) for y in node[at].tolist())
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PLACES)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
+
+
+def _by_block(keys: tuple[str, ...], cols: tuple[str, ...], pairs: Callable[[list[tuple]], list[tuple[int, int]]]):
+    """Pairs of each block of rows; rows sorted by ``keys``."""
 
+    @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for r in zip(*(batch[c].to_pylist() for c in ("bucket", "i", "j", "side", "node", "group", "n_shingles", "sig")), strict=True):
-                if r[:3] != key:
+            for k, r in zip(zip(*(batch[c].to_pylist() for c in keys), strict=True), zip(*(batch[c].to_pylist() for c in cols), strict=True), strict=True):
+                if k != key:
                     found += pairs(block)
-                    key, block = r[:3], []
-                block.append(r[3:])
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
-        found = list(pairs(block))
-        yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
+                    key, block = k, []
+                block.append(r)
+            yield _pairs(found)
+        yield _pairs(pairs(block))
 
     return run
 
 
+def _alike(percent: int, least: float):
+    """Groups that signatures find alike in a block (side, node, group, n_shingles, sig); no more pairs than groups."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+        if not left or not right:
+            return []
+        groups, of = np.unique(np.array([r[2] for r in right]), return_inverse=True)
+        size, signs = np.array([r[3] for r in right]), np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), PLACES)
+        united, out = UnionFind(), []
+        for _, _, own, n, sig in left:
+            at = np.flatnonzero((groups[of] != own) & _sizes_fit(size, np.int64(n), percent))
+            if len(at):
+                at = at[(signs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1) >= least]
+            out += [(own, other) for other in groups[np.unique(of[at])].tolist() if united.union(own, other)]
+        return out
+
+    return pairs
+
+
+def _linked(percent: int, least: float):
+    """Links between groups in a block (side, node, group, sig, text) of a family; a link makes two groups one for the block."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        left, right = ([r for r in rows if r[0] == side] for side in (0, 1))
+        if not left or not right:
+            return []
+        sets = list(X.shingle_sets(*X.buffers(pa.array([r[4] for r in right], pa.large_string()))))
+        size, signs = np.array([len(x) for x in sets]), np.frombuffer(b"".join(r[3] for r in right), np.uint8).reshape(len(right), PLACES)
+        node, group = np.array([r[1] for r in right]), np.array([r[2] for r in right])
+        now, out = {g: g for g in group.tolist()}, []
+        for (_, x, own, sig, _), mine in zip(left, X.shingle_sets(*X.buffers(pa.array([r[4] for r in left], pa.large_string()))), strict=True):
+            own = now.setdefault(own, own)
+            at = np.flatnonzero((group != own) & _sizes_fit(size, np.int64(len(mine)), percent))
+            if len(at):
+                at = at[(signs[at] == np.frombuffer(sig, np.uint8)).mean(axis=1) >= least]
+            for k in at.tolist():
+                if group[k] == own:
+                    continue
+                both = X.shared(mine, sets[k])
+                if 100 * both >= percent * (len(mine) + len(sets[k]) - both):
+                    out.append((x, int(node[k])))
+                    old = int(group[k])
+                    group[group == old] = own
+                    now.update({g: own for g, h in now.items() if h == old})
+        return out
+
+    return pairs
+
+
 def _compare(percent: int):
-    """Links of hubs and their members; rows sorted so that a hub's text (side 0) comes before those of its members."""
+    """Links of hubs (side 0) and the members after them (side 1)."""
 
     @X.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,47 +261,36 @@ def _compare(percent: int):
                 both = X.shared(own, s)
                 if 100 * both >= percent * (len(own) + len(s) - both):
                     found.append((hub, node))
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=PAIR)
+            yield _pairs(found)
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (x, y) of classes, on their full shingle sets. texts: node, text."""
-    hubs = pairs.groupBy("x").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("portions"))
-    dealt = pairs.join(hubs, "x").select(F.col("y").alias("node"), F.col("x").alias("hub"), F.pmod(F.xxhash64("y"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("side"))
-    need = dealt.union(hubs.select("x", "x", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)), F.lit(0)))
-    rows = texts.join(need, "node").select("hub", "portion", "side", "node", "text")
-    return rows.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "side").mapInArrow(_compare(percent), "a long, b long")
-
-
 def _texts(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the classes in ``nodes`` (node); one row of the table brings the text of a class."""
     wanted = classes.join(nodes, "node", "left_semi").select("doc_id", "text_hash", "node")
     return rows.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text")
 
 
-def _grouped(df: DataFrame, groups: DataFrame, *ends: str) -> DataFrame:
-    """``df`` with the group of each end as ``group_<end>``; a class without links is a group of its own."""
-    for e in ends:
-        df = df.join(groups.select(F.col("node").alias(e), F.col("component").alias(f"group_{e}")), e, "left").withColumn(f"group_{e}", F.coalesce(f"group_{e}", e))
-    return df
+def _with_group(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """``df`` (node) with the group of each class; a class without links is a group of its own."""
+    return df.join(groups.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
 
 
-def _blocks(member: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Blocks (bucket, i, j, side, node, group, n_shingles, sig) of buckets that hold several groups.
+def _outside_with_all(rows: DataFrame, key: str, lefts: Column, rights: Column, *cols: str) -> DataFrame:
+    """Blocks (key, i, j) of rows (key, node, group and others): members outside the largest group (side 0) with all (side 1).
 
-    Side 0 has the members outside the bucket's largest group, side 1 all; a pair with the bucket's first has been looked at.
+    Keys of one group give none. lefts, rights: aggregates that say into how many chunks the two sides are cut.
     """
-    rows = _grouped(member.where("node <> first"), groups, "node").withColumnRenamed("group_node", "group")
-    held = rows.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.mode("group").alias("main"), F.count("*").alias("n")).where("low <> high").select("bucket", "main", "n")
-    rows = rows.join(held, "bucket")
-    outside = rows.where("group <> main").groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("lefts"))
-    rows = rows.join(outside, "bucket").withColumn("rights", F.ceil(F.col("n") / CHUNK).cast("int"))
-    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = rows.where("group <> main").select("bucket", place("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"), F.lit(0).alias("side"), "node", "group")
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), place("rights").alias("j"), F.lit(1).alias("side"), "node", "group")
-    return left.union(right).join(classes.select("node", "n_shingles", "sig"), "node")
+    held = rows.groupBy(key).agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.mode("group").alias("_main"), rights.alias("_rights")).where("_low <> _high").select(key, "_main", "_rights")
+    rows = rows.join(held, key)
+    left = rows.where("group <> _main")
+    left = left.join(left.groupBy(key).agg(lefts.alias("_lefts")), key)
+    lefts_of = left.select(key, "_lefts").distinct()
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.select(key, chunk("_lefts").alias("i"), every("_rights").alias("j"), F.lit(0).alias("side"), "node", "group", *cols)
+    return one.union(rows.join(lefts_of, key).select(key, every("_lefts"), chunk("_rights"), F.lit(1), "node", "group", *cols))
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -244,7 +305,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, threshold: float, seen: dict[str, int] | None = None) -> DataFrame:
-    """``near_groups`` with the hash of each row's text. seen: gets the numbers of pairs that were verified and of links found."""
+    """``near_groups`` with the hash of each row's text. seen: gets the numbers of pairs looked at, pairs verified, links and family members."""
     percent = round(100 * threshold)
     least = max(0.0, threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5)
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
@@ -252,49 +313,36 @@ def labelled_rows(docs: DataFrame, threshold: float, seen: dict[str, int] | None
     named = sketch.where("doc_id is not null and n_shingles > 0")
     # a class is known by a hash of its print, as rows with one doc_id may have different texts
     classes = keep(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(F.xxhash64("print").alias("node"), "print", "row.*", "n_shingles", "bands", "sig"), "classes")
+    signs = classes.select("node", "n_shingles", "sig")
     in_bucket = classes.select(F.explode("bands").alias("bucket"), "node")
     buckets = in_bucket.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
     member = keep(in_bucket.join(buckets, "bucket"), "members")
-    own = lambda end: classes.select(F.col("node").alias(end), F.col("sig").alias(f"s{end}"), F.col("n_shingles").alias(f"n{end}"))
-    stars = member.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
-    likely = keep(stars.join(own("y"), "y").join(own("x"), "x").mapInArrow(_likely(percent, least), "x long, y long, near double"), "likely")
-    texts = keep(_texts(rows, classes, likely.select(F.explode(F.array("x", "y")).alias("node")).distinct()), "texts")
-    best = keep(likely.groupBy("y").agg(F.max_by("x", F.struct("near", -F.col("x"))).alias("x")), "pairs")
-    links = [keep(_verified(best, texts, percent), "links")]
-    groups = keep(components(links[0], "groups"), "groups")
-    done = [best]
-
-    def verify(pairs: DataFrame, texts: DataFrame) -> bool:
-        """Add the links among ``pairs`` and unite their groups; false if there are no pairs."""
-        nonlocal groups
-        if pairs.isEmpty():
-            return False
-        done.append(pairs)
-        links.append(keep(_verified(pairs, texts, percent), "links"))
-        if not links[-1].isEmpty():
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            old, groups = groups, keep(components(every, "groups"), "groups")
+    stars = keep(member.where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct(), "stars")
+    likely = keep(_beside(stars, signs, "n_shingles", "sig").mapInArrow(_likely(percent, least), "a long, b long").select(F.col("a").alias("x"), F.col("b").alias("y")), "likely")
+    texts = _texts(rows, classes, likely.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    links = keep(_beside(likely, texts, "text").mapInArrow(_compare(percent), "a long, b long"), "links")
+    groups = keep(components(links, "groups"), "groups")
+    chunks = lambda n, of=F.lit(1): F.ceil(F.greatest(F.count("*") / n, F.sum(of) / FAMILY_SHINGLES)).cast("int")
+    met = _with_group(member.where("node <> first").select("bucket", "node"), groups).join(signs, "node")
+    blocks = _outside_with_all(met, "bucket", chunks(CHUNK), chunks(CHUNK), "n_shingles", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    alike = keep(blocks.mapInArrow(_by_block(("bucket", "i", "j"), ("side", "node", "group", "n_shingles", "sig"), _alike(percent, least)), "a long, b long").distinct(), "alike")
+    drop(member)
+    more = links.limit(0)
+    if not alike.isEmpty():
+        families = keep(components(alike, "families").select(F.col("node").alias("group"), F.col("component").alias("family")), "families")
+        kin = keep(_with_group(signs, groups).join(families, "group"), "kin")
+        dealt = keep(_outside_with_all(kin, "family", *[chunks(FAMILY_CHUNK, F.col("n_shingles"))] * 2, "sig"), "blocks")
+        blocks = dealt.join(_texts(rows, classes, kin.select("node")), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+        more = keep(blocks.mapInArrow(_by_block(("family", "i", "j"), ("side", "node", "group", "sig", "text"), _linked(percent, least)), "a long, b long"), "links")
+        if not more.isEmpty():
+            old, groups = groups, keep(components(links.union(more), "groups"), "groups")
             drop(old)
-        return True
-
-    rest = _grouped(likely.join(best.withColumnRenamed("x", "best"), "y").where("x <> best"), groups, "x", "y").where("group_x <> group_y").select("x", "y")
-    verify(keep(rest, "pairs"), texts)
-    drop(texts)
-    for most in (LIKELIEST, None):
-        blocks = _blocks(member, groups, classes).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = blocks.mapInArrow(_across(percent, least, most), "a long, b long").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        for old in done:
-            found = found.join(old.select("x", "y"), ["x", "y"], "left_anti")
-        found = keep(found, "pairs")
-        own_texts = keep(_texts(rows, classes, keep(found.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")), "texts") if not found.isEmpty() else None
-        if own_texts is None or not verify(found, own_texts):
-            break
-        drop(own_texts)
+        if seen is not None:
+            seen["kin"], seen["dealt"] = kin.count(), dealt.count()
+        drop(families, kin, dealt)
     if seen is not None:
-        seen["pairs"], seen["links"], seen["likely"] = sum(p.count() for p in done), sum(p.count() for p in links), likely.count()
-    drop(member, likely, *done, *links)
+        seen["stars"], seen["likely"], seen["links"], seen["more"] = stars.count(), likely.count(), links.count(), more.count()
+    drop(stars, likely, alike, links)
     least_id = groups.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     label = keep(classes.select("print", "node", "doc_id").join(groups.join(least_id, "component").select("node", "least"), "node", "left").select("print", F.coalesce("least", "doc_id").alias("component")), "labels")
     drop(classes, groups)
