@@ -164,15 +164,19 @@ def features(raw: np.ndarray, offsets: np.ndarray, stats: dict[str, np.ndarray])
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
-def fit_scorer(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
-    """Weights and a bias (last) of a logistic model of soft targets, by gradients scaled with their history."""
+def fit_scorer(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, rounds: int = 120, decay: float = 1e-4) -> np.ndarray:
+    """Weights and a bias (last) of a logistic model of soft targets, by gradients scaled with their history.
+
+    sizes: how many of the features (cols, values) each row has, one at least.
+    """
     n = len(target)
     w, seen = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-8)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     balance = np.where(target >= 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3)) if n else target
     for _ in range(rounds):
-        z = np.bincount(rows, weights=w[cols] * values, minlength=n) + w[-1]
+        z = np.add.reduceat(w[cols].astype(np.float32) * values, starts, dtype=np.float64) + w[-1]
         err = balance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / max(n, 1)
-        g = np.append(np.bincount(cols, weights=err[rows] * values, minlength=DIMS), err.sum()) + decay * np.append(w[:-1], 0) / 10
+        g = np.append(np.bincount(cols, weights=np.repeat(err.astype(np.float32), sizes) * values, minlength=DIMS), err.sum()) + decay * np.append(w[:-1], 0) / 10
         seen += g * g
         w -= 0.3 * g / np.sqrt(seen)
     return w
@@ -244,13 +248,15 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     # at most 3 ** len(HEURISTICS) patterns
     counts = measured.where("place is null").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     weak = WeakLabels(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
-    taken = measured.where("place is not null").select("place", "pattern", "cols", "vals").dropDuplicates(["place"]).orderBy("place").limit(fit_rows).toPandas()
+    # the last place first, so that only the rows that are taken come to the driver
+    last = measured.where("place is not null").select("place").distinct().orderBy("place").limit(fit_rows).agg(F.max("place")).first()[0]
+    taken = measured.where(F.col("place") <= F.lit(last)).select("place", "pattern", "cols", "vals").dropDuplicates(["place"]).toArrow().sort_by("place")
     drop(measured)
-    if not len(taken):
+    if not taken.num_rows:
         return Model(np.zeros(DIMS + 1))
-    target = 1 - weak.posterior(taken["pattern"].to_numpy(np.int64)[:, None] // _POWERS % 3)
-    which = np.repeat(np.arange(len(taken)), [len(c) for c in taken["cols"]])
-    return Model(fit_scorer(which, np.concatenate(taken["cols"].to_list()).astype(np.int64), np.concatenate(taken["vals"].to_list()).astype(float), target))
+    target = 1 - weak.posterior(taken["pattern"].to_numpy()[:, None] // _POWERS % 3)
+    cols, vals = taken["cols"].combine_chunks(), taken["vals"].combine_chunks()
+    return Model(fit_scorer(cols.value_lengths().to_numpy(), cols.flatten().to_numpy(), vals.flatten().to_numpy(), target))
 
 
 def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
