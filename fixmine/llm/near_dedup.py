@@ -38,7 +38,7 @@ MISSED = 1e-5
 #: Pairs of one hub that are compared together.
 HUB_PAIRS = 64
 #: Members of a bucket whose signatures are compared together with as many others.
-CHUNK = 1024
+CHUNK = 256
 #: Members, and shingles, of a family that are compared together with as many others.
 FAMILY_CHUNK, FAMILY_SHINGLES = 128, 1_000_000
 #: Elements whose permutations are held at once.
