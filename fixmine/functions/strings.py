@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Words that say nothing about a product's name.
-NOISE = ("project", "linux", "http", "php", "lib", "apache", "js", "plugin")
+NOISE = ("project", "plugin", "python", "javascript", "java", "android", "csharp", "ruby")
 
 
 def trim_space(c: Column) -> Column:
@@ -111,15 +111,21 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def letters_only(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z]", "")
+def without_noise(c: Column, noise: Sequence[str] = NOISE) -> Column:
+    """The text with each noise word cut out wherever it is, one word after the other."""
+    for n in noise:
+        c = F.replace(c, F.lit(n), F.lit(""))
+    return c
+
+
+def letters_only(c: Column, noise: Sequence[str] = NOISE) -> Column:
+    """Lower-case letters of any script, without noise words."""
+    return without_noise(F.regexp_replace(F.lower(c), r"[^\p{L}]", ""), noise)
 
 
 def clean_words(c: Column, noise: Sequence[str] = NOISE) -> Column:
     """Distinct words of letters, after the noise has been cut out of the text wherever it is."""
-    out = F.regexp_replace(F.lower(c), "[^a-z]", " ")
-    for n in noise:
-        out = F.replace(out, F.lit(n), F.lit(""))
+    out = without_noise(F.regexp_replace(F.lower(c), r"[^\p{L}]", " "), noise)
     return F.array_distinct(F.filter(F.split(out, " "), lambda x: x != ""))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.types import StringType
 #: What the recognisers reject or look for.
 ARCHIVES = (".zip", ".gz", ".tgz", ".google.", ".msi", ".exe", ".tar", ".iso", ".sha256", ".asc", ".xz", ".atom", ".pdf")
 COMMIT_HOSTS = ("gitlab.", "bitbucket.org", "pagure.io", "salsa.debian.org")
-REJECTED_TRACKERS = ("bugs.debian.org", "bugzilla.mozilla.org", "bugs.launchpad.net", "bugs.gentoo.org", "tracker.debian.org", "bugzilla.novell.com")
+REJECTED_TRACKERS = ("bugzilla.mozilla.org/show_bug.cgi", "bugzilla.redhat.com/", "bugs.debian.org/", "bugzilla.suse.com/", "bugzilla.gnome.org/", "bugs.gentoo.org/")
 ID = "[0-9a-f]{6,40}"
 STRICT_ID = "(?![0-9]{6,40})(?![a-f]{6,40})[0-9a-f]{6,40}"
 
@@ -94,9 +95,36 @@ def api_to_page(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("api.github.com/repos"), F.lit("github.com")), F.lit("/commits/"), F.lit("/commit/")), F.lit("/pulls/"), F.lit("/pull/"))
 
 
+#: The value of an attribute href in double, single or no quotes, in any case.
+HREF = """(?i)[ \t\r\n]href[ \t\r\n]*=[ \t\r\n]*("[^"]*"|'[^']*'|[^ \t\r\n"'<>]+)"""
+#: The same for a link, and what stands in it.
+ANCHOR = """(?is)<a[ \t\r\n](?:[^<>]*[ \t\r\n])?href[ \t\r\n]*=[ \t\r\n]*("[^"]*"|'[^']*'|[^ \t\r\n"'<>]+)[^<>]*>(.*?)</a>"""
+
+
+def _unquoted(c: Column) -> Column:
+    return F.replace(F.regexp_replace(c, """^["']|["']$""", ""), F.lit("&amp;"), F.lit("&"))
+
+
 def hrefs(page: Column) -> Column:
     """Targets of links, in order, with ampersands decoded."""
-    return F.transform(F.regexp_extract_all(page, F.lit('href="([^"]*)"')), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    return F.transform(F.regexp_extract_all(page, F.lit(HREF)), _unquoted)
+
+
+def anchors(page: Column) -> Column:
+    """(href, text) of links, in order; tags inside a link are left out of its text and white space is one blank."""
+    targets, texts = F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(1)), F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(2))
+    bare = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", ""), r"[ \t\r\n]+", " "))
+    return F.zip_with(targets, texts, lambda h, t: F.struct(_unquoted(h).alias("href"), bare(t).alias("text")))
+
+
+def _untagged(c: Column) -> Column:
+    return F.element_at(F.split(c, "__fdse__"), 1)
+
+
+def split_references(refs: Column, tags: Sequence[str] = ()) -> tuple[Column, Column]:
+    """(URLs with one of the tags, the others) of references written as ``url__fdse__tag``, without their tags."""
+    tagged = lambda x: F.exists(F.split(x, "__fdse__"), lambda t: t.isin(list(tags)))
+    return F.transform(F.filter(refs, tagged), _untagged), F.transform(F.filter(refs, lambda x: ~tagged(x)), _untagged)
 
 
 def unquote_twice(c: Column) -> Column:

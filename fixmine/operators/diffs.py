@@ -12,25 +12,30 @@ from pyspark.sql import functions as F
 def diff_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
     """(key, pos, file, hunk, kind, old, new, line) of every changed or context line of each diff.
 
-    kind: add, del or ctx; old and new: line numbers, null where the line is missing. The windows are partitioned by diff, so
-    memory is bounded by one diff.
+    kind: add, del or ctx; old and new: line numbers, null where the line is missing. A hunk ends with the lines that its header
+    counts, or before a line that cannot be in one, so changed lines may look like headers. The file is that of the last
+    ``+++`` line outside hunks. The windows are partitioned by diff, so memory is bounded by one diff.
     """
     lines = df.select(key, F.posexplode(F.split(diff, "\n")).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    header = F.col("line").rlike("^@@ -[0-9]+")
-    marked = lines.withColumn("_h", F.sum(header.cast("long")).over(w)).withColumn("file", F.last(F.when(F.col("line").rlike("^[+]{3} "), F.regexp_replace(F.substring("line", 5, 1000), "^b/", "")), True).over(w)).withColumn("_start", F.col("line").rlike("^(diff --git |--- |[+]{3} )"))
-    marked = marked.withColumn("_f", F.sum(F.col("line").rlike("^(diff --git |--- )").cast("long")).over(w))
-    first = lambda n: F.regexp_extract("line", r"^@@ -([0-9]+)(?:,[0-9]+)? [+]([0-9]+)", n).cast("long")
+    w, line = Window.partitionBy(key).orderBy("pos"), F.col("line")
+    header = line.rlike("^@@ -[0-9]+")
+    at = r"^@@ -([0-9]+)(?:,([0-9]+))? [+]([0-9]+)(?:,([0-9]+))?"
+    number = lambda k, none: F.coalesce(F.nullif(F.regexp_extract("line", at, k), F.lit("")), F.lit(none)).cast("long")
+    marked = lines.withColumn("_h", F.sum(header.cast("long")).over(w)).withColumn("kind", F.when(header, None).when(line.startswith("+"), "add").when(line.startswith("-"), "del").when(line.startswith(" ") | (line == ""), "ctx"))
     hunk = Window.partitionBy(key, "_h").orderBy("pos")
-    body = marked.withColumn("hunk", F.first(F.when(header, F.col("line")), True).over(hunk)).withColumn("_o", F.first(F.when(header, first(1)), True).over(hunk)).withColumn("_n", F.first(F.when(header, first(2)), True).over(hunk)).withColumn("_ff", F.first("_f").over(hunk))
-    body = body.where((F.col("_h") > 0) & ~header & ~F.col("_start") & (F.col("_f") == F.col("_ff")) & F.col("line").rlike("^[ +-]"))
-    kind = F.when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "del").otherwise("ctx")
-    numbered = body.withColumn("kind", kind)
     before = hunk.rowsBetween(Window.unboundedPreceding, -1)
+    named = [("_o", number(1, "0")), ("_oc", number(2, "1")), ("_n", number(3, "0")), ("_nc", number(4, "1")), ("hunk", line)]
+    for name, value in named:
+        marked = marked.withColumn(name, F.first(F.when(header, value), True).over(hunk))
     count = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("long")).over(before), F.lit(0))
-    old = F.when(F.col("kind") != "add", F.col("_o") + count("del", "ctx"))
-    new = F.when(F.col("kind") != "del", F.col("_n") + count("add", "ctx"))
-    return numbered.select(key, F.col("pos").cast("long").alias("pos"), "file", "hunk", "kind", old.alias("old"), new.alias("new"), F.expr("substring(line, 2)").alias("line"))
+    marked = marked.withColumn("_old", count("del", "ctx")).withColumn("_new", count("add", "ctx"))
+    stranger = F.coalesce(F.max(F.col("kind").isNull() & ~header & ~line.startswith("\\")).over(hunk), F.lit(False))
+    body = (F.col("_h") > 0) & F.col("kind").isNotNull() & ~stranger & ((F.col("_old") < F.col("_oc")) | (F.col("_new") < F.col("_nc")))
+    marked = marked.withColumn("_body", body)
+    path = F.regexp_replace(F.regexp_replace(F.expr("substring(line, 5)"), "\t.*$", ""), "^b/", "")
+    marked = marked.withColumn("file", F.last(F.when(~F.col("_body") & line.startswith("+++ "), path), True).over(w)).where("_body")
+    old, new = F.when(F.col("kind") != "add", F.col("_o") + F.col("_old")), F.when(F.col("kind") != "del", F.col("_n") + F.col("_new"))
+    return marked.select(key, F.col("pos").cast("long").alias("pos"), "file", "hunk", "kind", old.alias("old"), new.alias("new"), F.expr("substring(line, 2)").alias("line"))
 
 
 def diff_counts(lines: DataFrame, key: str) -> DataFrame:

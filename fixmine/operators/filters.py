@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Suffixes of source code.
-CODE = ("c", "h", "cc", "cpp", "cxx", "hpp", "java", "py", "php", "js", "ts", "go", "rb", "rs", "cs", "scala", "kt", "swift", "pl", "sh")
+CODE = (
+    "java", "py", "c", "cc", "cpp", "cxx", "c++", "js", "go", "rb", "cs", "as", "php", "pl", "coffee", "h", "m", "ts", "kt", "mjs", "twig", "htaccess", "tpl", "pt", "scala", "s", "erb",
+    "swf", "asm", "groovy", "jsp", "sh", "hpp", "phps", "script", "wscript", "ldif", "Tokens", "nsi", "tcl", "idl", "pyx", "ps1", "toml", "inl", "x", "S", "hbs",
+)
 
 
 def suffix(path: Column) -> Column:
@@ -30,6 +33,11 @@ def changes_code_beyond_tests(files: Column, code: Sequence[str] = CODE) -> Colu
     return F.exists(files, lambda f: suffix(f).isin(list(code)) & ~F.contains(F.lower(f), F.lit("test")))
 
 
+def confirmed_code_change(kind: Column, hosted: Column, files: Column, code: Sequence[str] = CODE) -> Column:
+    """Whether a change passes: one that is no git change does; without files, one of the hub (``hosted``) does not and others do."""
+    return F.when(kind != "git_commit", F.lit(True)).when(F.coalesce(F.size(files), F.lit(0)) <= 0, ~hosted).otherwise(changes_code_beyond_tests(files, code))
+
+
 def is_diff(c: Column) -> Column:
     return F.contains(c, F.lit("---")) & F.contains(c, F.lit("+++")) & F.contains(c, F.lit("@@"))
 
@@ -60,6 +68,26 @@ def screen(df: DataFrame, **rules: Column) -> DataFrame:
     return out.withColumn("selected", selected)
 
 
+def train_test(df: DataFrame, members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is among the members, the others); a missing key is in the second."""
+    one = members.select(key).distinct()
+    return df.join(one, key, "left_semi"), df.join(one, key, "left_anti")
+
+
+def patch_rules(kind: Column, url: Column, reachable: Column, valid: Column, published: Column, changed: Column, similar: Column, code: Column, kinds: Sequence[str] = ("git_commit", "svn"), days: int = 730, least: float = 0.5) -> dict[str, Column]:
+    """The rules that select changes, for ``screen``: each admits what it says nothing about.
+
+    reachable: a path of the cut-off's length leads to it; valid: its page can be had; published, changed: times of the report and the
+    change, either may be missing; similar: the highest similarity of its repository to a product; code: it changes code
+    (which is asked of git changes only).
+    """
+    span = F.abs(F.floor((F.unix_timestamp(published) - F.unix_timestamp(changed)) / 86400))
+    return {
+        "of_kind": kind.isin(list(kinds)), "not_in_files": ~F.contains(url, F.lit("/files/")), "reachable": F.coalesce(reachable, F.lit(False)), "valid": F.coalesce(valid, F.lit(False)),
+        "in_time": F.coalesce(span <= days, F.lit(True)) | (kind != "git_commit"), "of_product": F.coalesce(similar >= least, ~F.contains(url, F.lit("github."))) & ~F.contains(url, F.lit("gist")), "code": (kind != "git_commit") | F.coalesce(code, F.lit(False)),
+    }
+
+
 def todo(all_: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the done."""
     return all_.join(done.select(key).distinct(), key, "left_anti")

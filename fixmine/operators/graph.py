@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixmine.store import checkpoints
@@ -37,6 +40,37 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, depth: int, expand: Column |
     return seen
 
 
+SEARCHED = ("issue_url", "patch_url", "github_repo_url")
+
+
+def deep_search(refs: DataFrame, links: DataFrame, types: DataFrame, rounds: int = 2, most: int = 5) -> DataFrame:
+    """(root, src, dst, level): the reference graph of each root.
+
+    refs: root, source, node; links: node, child, pos (the references on a node's page, in order); types: node, type. The root
+    has its sources, a source its references. In the first round all references but changes and repositories are looked
+    into, later the issues that were new in the round before, ``most`` of each page at most, first by place. A page
+    adds issues, changes and repositories; a pair that is there in either direction is not added, and a node that is
+    there already is linked but not looked into. Of pages that bring a new node in one round it is the first one's, by name.
+    """
+    checkpoints(refs.sparkSession)
+    sources = refs.select("root", F.col("root").alias("src"), F.col("source").alias("dst"), F.lit(1).cast("long").alias("level")).distinct()
+    tops = refs.select("root", F.col("source").alias("src"), F.col("node").alias("dst"), F.lit(2).cast("long").alias("level")).distinct()
+    edges = sources.union(tops).checkpoint()
+    typed = links.join(types.select(F.col("node").alias("child"), "type"), "child").where(F.col("type").isin(list(SEARCHED))).checkpoint()
+    front = refs.select("root", "node").distinct().join(types, "node").where("type NOT IN ('patch_url', 'github_repo_url')").select("root", "node")
+    for level in range(3, 3 + rounds):
+        pair = lambda a, b: F.array_sort(F.array(a, b))
+        step = front.join(typed, "node").where("node <> child").groupBy("root", "node", "child", "type").agg(F.min("pos").alias("pos")).withColumn("_p", pair("node", "child"))
+        step = step.join(edges.select("root", pair("src", "dst").alias("_p")), ["root", "_p"], "left_anti")
+        # of the two directions of a pair the first page's counts
+        step = step.withColumn("_d", F.row_number().over(Window.partitionBy("root", "_p").orderBy("node"))).where("_d = 1").drop("_d", "_p").checkpoint()
+        known = edges.select("root", F.col("src").alias("child")).union(edges.select("root", "dst")).distinct()
+        fresh = step.join(known, ["root", "child"], "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("root", "child").orderBy("node"))).where("_n = 1 AND type = 'issue_url'")
+        front = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("root", "node").orderBy("pos", "child"))).where(F.col("_k") <= most).select("root", F.col("child").alias("node")).checkpoint()
+        edges = edges.union(step.select("root", F.col("node").alias("src"), F.col("child").alias("dst"), F.lit(level).cast("long").alias("level"))).checkpoint()
+    return edges
+
+
 def simple_paths(edges: DataFrame, roots: DataFrame, cutoff: int = 4, targets: DataFrame | None = None) -> DataFrame:
     """(root, node, path): all paths without a repeated node of 1 to ``cutoff`` edges.
 
@@ -61,14 +95,63 @@ def simple_paths(edges: DataFrame, roots: DataFrame, cutoff: int = 4, targets: D
 
 
 def path_scores(paths: DataFrame, via: Column) -> DataFrame:
-    """(root, node, score, paths, depth): each path counts 2 ** -(nodes - 2), twice that if it goes via the trusted node.
+    """(root, node, score, paths, depth, steps): each path counts 2 ** -(nodes - 2), twice that if it goes via the trusted node.
 
     via: whether the path has that node. depth: the reciprocal of the shortest path, one edge less via that node.
     """
     n = F.size("path")
     weight = F.pow(F.lit(2.0), -(n - F.when(via, 3).otherwise(2)))
     length = n - 1 - F.when(via, 1).otherwise(0)
-    return paths.groupBy("root", "node").agg(F.sum(weight).alias("score"), F.count("*").alias("paths"), (1 / F.min(F.greatest(length, F.lit(1)))).alias("depth"))
+    return paths.groupBy("root", "node").agg(F.sum(weight).alias("score"), F.count("*").alias("paths"), (1 / F.min(F.greatest(length, F.lit(1)))).alias("depth"), F.min(n - 1).cast("long").alias("steps"))
+
+
+def local_connectivity(edges: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, root, node, connectivity): how many paths without a common inner node lead from root to node.
+
+    Paths are taken shortest first and their inner nodes taken out, which is the usual approximation from below. edges: key, src,
+    dst; pairs: key, root, node. The graph of one key is read by one Arrow-batched call.
+    """
+
+    def run(links: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        children: dict = {}
+        for a, b in zip(links["src"], links["dst"], strict=True):
+            children.setdefault(a, set()).add(b)
+        out = []
+        for k, root, node in zip(asked[key], asked["root"], asked["node"], strict=True):
+            direct = node in children.get(root, ()) and node != root
+            n, used = int(direct), {root}
+            while node != root:
+                by, todo = {root: None}, deque([root])
+                while todo and node not in by:
+                    x = todo.popleft()
+                    for y in sorted(children.get(x, ())):
+                        # a direct edge has no inner node and is counted already
+                        if y not in by and y not in used and not (direct and x == root and y == node):
+                            by[y] = x
+                            todo.append(y)
+                if node not in by:
+                    break
+                n += 1
+                x = by[node]
+                while x != root:
+                    used.add(x)
+                    x = by[x]
+            out.append((k, root, node, n))
+        return pd.DataFrame(out, columns=[key, "root", "node", "connectivity"])
+
+    kinds = dict(pairs.dtypes)
+    return edges.select(key, "src", "dst").distinct().groupBy(key).cogroup(pairs.select(key, "root", "node").distinct().groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, root {kinds['root']}, node {kinds['node']}, connectivity long")
+
+
+def priorities(scores: DataFrame, degree: DataFrame, connectivity: DataFrame) -> DataFrame:
+    """(root, node, CN, PC, DP, DG, C, DG_C, DG_DP): all priorities of a node.
+
+    scores: as of ``path_scores``, with ``steps``, the edges of the shortest path; degree: node, in_degree, out_degree; connectivity: root, node,
+    connectivity. In DG_DP two steps count as one.
+    """
+    dg = F.col("in_degree") + F.col("out_degree")
+    all_ = scores.join(degree, "node", "left").join(connectivity.select("root", "node", "connectivity"), ["root", "node"], "left").na.fill(0, ["in_degree", "out_degree", "connectivity"])
+    return all_.select("root", "node", F.col("score").alias("CN"), F.col("paths").alias("PC"), F.col("depth").alias("DP"), dg.alias("DG"), F.col("connectivity").alias("C"), (dg * F.col("connectivity")).alias("DG_C"), (dg / F.when(F.col("steps") > 2, F.col("steps")).otherwise(1)).alias("DG_DP"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -92,7 +175,7 @@ def without_node(edges: DataFrame, node) -> DataFrame:
     return edges.where((F.col("src") != node) & (F.col("dst") != node))
 
 
-def siblings(edges: DataFrame) -> DataFrame:
+def sibling_counts(edges: DataFrame) -> DataFrame:
     """(node, siblings): for each node the number of other nodes that share a parent with it, without pairing them.
 
     Each node is counted by its parents' numbers of children, less itself for each parent.
@@ -102,6 +185,17 @@ def siblings(edges: DataFrame) -> DataFrame:
     return children.join(sizes, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("k") - 1).alias("siblings"))
 
 
+def siblings(edges: DataFrame, nodes: DataFrame, pool: DataFrame) -> DataFrame:
+    """(node, sibling): for each of ``nodes`` (node) those of ``pool`` (node) that share a parent with it, itself among them.
+
+    One row for each pair asked for; ``nodes`` is a selection, not the graph.
+    """
+    children = edges.select("src", "dst").distinct()
+    asked = children.join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", F.col("dst").alias("node"))
+    found = children.join(pool.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", F.col("dst").alias("sibling"))
+    return asked.join(found, "src").select("node", "sibling").distinct()
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, other): ends of edges in both directions."""
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).where("node <> other").distinct()
@@ -113,29 +207,55 @@ def two_hops(edges: DataFrame) -> DataFrame:
     return a.join(b, "mid").where("node <> other").select("node", "other").distinct()
 
 
-def patch_set_scores(pred: DataFrame, truth: DataFrame, equivalent: DataFrame, rounds: int = 20) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b, of any type with an order); component: its smallest reachable node.
+
+    Every node takes the least label of itself and its neighbours, then the label of that label, until nothing changes: about
+    log(length) rounds on chains.
+    """
+    checkpoints(edges.sparkSession)
+    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")).checkpoint()
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_m"))
+        least = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("_m", "component")).alias("_l"))
+        of = labels.select(F.col("node").alias("_l"), F.col("component").alias("_up"))
+        now = least.join(of, "_l").select("node", F.least("_l", "_up").alias("component"), (F.least("_l", "_up") != F.col("component")).alias("_new")).checkpoint()
+        labels = now.drop("_new")
+        if now.where("_new").isEmpty():
+            return labels
+
+
+def patch_set_scores(pred: DataFrame, truth: DataFrame, equivalent: DataFrame) -> DataFrame:
     """(entity, tp, fp, fn, precision, recall) of predicted keys, with hits passed on among equivalent truths.
 
-    pred, truth: entity, key; equivalent: entity, a, b (both directions). A hit truth makes its equivalents hits; one with
-    equivalents that are all hit becomes one. Rounds go on until no flag changes, ``rounds`` at most per call of the fixpoint.
+    pred, truth: entity, key; equivalent: entity, a, b. A hit truth makes its equivalents (from a to b) hits; one with
+    equivalents that are all hit becomes one. Truths that are equivalent both ways are one set from the start; rounds go on until no
+    truth becomes a hit.
     """
     checkpoints(pred.sparkSession)
     p = pred.select("entity", "key")
     tp = p.join(truth.select("entity", "key").distinct(), ["entity", "key"], "left_semi")
-    hit = tp.distinct()
     known = truth.select("entity", "key").distinct()
-    near = equivalent.select("entity", F.col("a").alias("key"), F.col("b").alias("other"))
-    size = -1
-    for _ in range(rounds):
-        now = hit.count()
-        if now == size:
+    name = lambda c: F.struct("entity", F.col(c).alias("key"))
+    ends = known.select(F.struct("entity", "key").alias("_k"))
+    near = equivalent.select(name("a").alias("a"), name("b").alias("b")).distinct()
+    near = near.join(ends, near["a"] == ends["_k"], "left_semi").join(ends, near["b"] == ends["_k"], "left_semi").checkpoint()
+    mutual = near.intersect(near.select("b", "a"))
+    label = connected(mutual)
+    sets = ends.join(label, ends["_k"] == label["node"], "left").select("_k", F.coalesce("component", "_k").alias("set")).checkpoint()
+    hit = sets.join(tp.select(F.struct("entity", "key").alias("_k")), "_k", "left_semi").select("set").distinct().checkpoint()
+    of = lambda c: sets.select(F.col("_k").alias(c), F.col("set").alias(f"set_{c}"))
+    links = near.join(of("a"), "a").join(of("b"), "b").checkpoint()
+    while True:
+        forward = links.join(hit, links["set_a"] == hit["set"], "left_semi").select(F.col("set_b").alias("set"))
+        marked = links.join(hit.select(F.col("set").alias("set_b"), F.lit(1).alias("_h")), "set_b", "left")
+        backward = marked.groupBy("a", "set_a").agg(F.bool_and(F.col("_h").isNotNull()).alias("_all")).where("_all").select(F.col("set_a").alias("set"))
+        new = forward.union(backward).distinct().join(hit, "set", "left_anti").checkpoint()
+        if new.isEmpty():
             break
-        size = now
-        forward = near.join(hit, ["entity", "key"], "left_semi").select("entity", F.col("other").alias("key"))
-        other_hit = near.join(hit.select("entity", F.col("key").alias("other"), F.lit(1).alias("h")), ["entity", "other"], "left")
-        backward = other_hit.groupBy("entity", "key").agg(F.bool_and(F.col("h").isNotNull()).alias("all")).where("all").select("entity", "key")
-        hit = hit.union(forward).union(backward).distinct().join(known, ["entity", "key"], "left_semi").checkpoint()
-    missed = known.join(hit, ["entity", "key"], "left_anti").groupBy("entity").agg(F.count("*").alias("fn"))
+        hit = hit.union(new).checkpoint()
+    missed = sets.join(hit, "set", "left_anti").groupBy(F.col("_k.entity").alias("entity")).agg(F.count("*").alias("fn"))
     n = p.groupBy("entity").agg(F.count("*").alias("all")).join(tp.groupBy("entity").agg(F.count("*").alias("tp")), "entity", "left")
     every = known.select("entity").union(p.select("entity")).distinct().join(n, "entity", "left").join(missed, "entity", "left").na.fill(0, ["all", "tp", "fn"])
     good = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -176,3 +296,45 @@ def from_sources(refs: DataFrame, key: str) -> DataFrame:
     """
     top = refs.select(key, F.col(key).alias("src"), F.col("source").alias("dst")).distinct()
     return top.union(refs.select(key, F.col("source").alias("src"), F.col("url").alias("dst")).distinct()).withColumn("tag", F.lit(None).cast("string"))
+
+
+def direct_or_found(edges: DataFrame, roots: DataFrame, source: Column) -> DataFrame:
+    """(root, node): nodes directly below a trusted source of the root, and those that a search hung below the root itself.
+
+    source: whether ``mid``, a child of the root, is the trusted source. edges: src, dst, tag.
+    """
+    top = roots.join(edges, roots["root"] == edges["src"]).select("root", F.col("dst").alias("mid"), "tag")
+    below = top.where(source & F.col("tag").isNull()).select("root", "mid").join(edges.where("tag IS NULL").select(F.col("src").alias("mid"), F.col("dst").alias("node")), "mid")
+    return below.select("root", "node").union(top.where("tag = 'SG'").select("root", F.col("mid").alias("node"))).distinct()
+
+
+def subgraph_by_rules(nodes: DataFrame, edges: DataFrame, selected: DataFrame, on_paths: DataFrame, quiet: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) left by the rules of a cleaned graph. nodes: node, type; edges: src, dst, tag; selected, on_paths: node.
+
+    Changes that are not selected go; with ``quiet`` so do issues on no path to a selected change. Edges with the tag attach go, and EX
+    edges of which only one end is selected; then edges with an end that is gone, and nodes without an edge.
+    """
+    chosen = selected.select("node").distinct().withColumn("_s", F.lit(True))
+    stay = nodes.join(chosen, "node", "left").where((F.col("type") != "patch_url") | F.col("_s").isNotNull()).drop("_s")
+    if quiet:
+        stay = stay.join(on_paths.select("node").distinct().withColumn("_p", F.lit(True)), "node", "left").where((F.col("type") != "issue_url") | F.col("_p").isNotNull()).drop("_p")
+    end = lambda c: chosen.select(F.col("node").alias(c), F.col("_s").alias(f"_{c}"))
+    marked = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    half = (F.col("tag") == EX) & (F.col("_src").isNull() != F.col("_dst").isNull())
+    kept = marked.where(F.coalesce(~((F.col("tag") == "attach") | half), F.lit(True))).select(*edges.columns)
+    for c in ("src", "dst"):
+        kept = kept.join(stay.select(F.col("node").alias(c)), c, "left_semi").select(*edges.columns)
+    ends = kept.select(F.col("src").alias("node")).union(kept.select("dst")).distinct()
+    return stay.join(ends, "node", "left_semi"), kept
+
+
+def node_info(nodes: DataFrame, url: str) -> DataFrame:
+    """``nodes`` with ``issue_keys`` (without CVE ids) and ``github_repo`` (owner/repo) of their URLs; null where there is none."""
+    keys = F.array_distinct(F.filter(F.regexp_extract_all(F.col(url), F.lit("([A-Z][A-Z0-9]+-[0-9]+)")), lambda x: ~x.startswith("CVE-")))
+    repo = F.regexp_extract(F.col(url), "github[.]com/([^/]+/[^/]+)", 1)
+    return nodes.withColumn("issue_keys", F.when(F.size(keys) > 0, keys)).withColumn("github_repo", F.nullif(repo, F.lit("")))
+
+
+def confirmed(nodes: DataFrame, kind: str = "kind") -> DataFrame:
+    """All changes of a kind that can be one, without a priority, those below ``/files/`` not."""
+    return nodes.where(F.col(kind).isin("git_commit", "svn") & ~F.contains(F.col("node"), F.lit("/files/")))

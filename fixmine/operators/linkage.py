@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixmine.functions.values import DAY, seconds, within_days
+from fixmine.operators.ranking import numbered
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -26,17 +27,22 @@ def matched(pred: DataFrame, truth: DataFrame, key: str, match: Column, kind: st
     return p.join(t, (F.col(f"p.{key}") == F.col(f"t.{key}")) & match, kind)
 
 
-def interval_pairs(df: DataFrame, key: str, time: str, ident: str, days: int) -> DataFrame:
+def interval_pairs(df: DataFrame, key: str, time: str, ident: str, days: int, message: str | None = None, mention: str | None = None) -> DataFrame:
     """(key, a, b): rows of one key at most so many days apart, a before b by time and ident.
 
+    message: pairs also need a valid message: that of either has the other's ``mention`` (an id), or each has two words
+    or more and one contains the other.
+
     Times are cut into buckets of the interval's length; a row meets its own and the next bucket, so a busy key is split by
     time instead of being paired with itself whole.
     """
     width = (days + 1) * DAY
-    rows = df.select(key, F.col(ident).alias("_i"), F.col(time).alias("_t"), F.floor(seconds(F.col(time)) / width).alias("_b"))
-    right = rows.select(key, F.explode(F.array("_b", F.col("_b") - 1)).alias("_b"), F.col("_i").alias("_j"), F.col("_t").alias("_u"))
+    text, names = (F.col(c) if c else F.lit(None).cast("string") for c in (message, mention))
+    rows = df.select(key, F.col(ident).alias("_i"), F.col(time).alias("_t"), F.floor(seconds(F.col(time)) / width).alias("_b"), text.alias("_m"), names.alias("_v"))
+    right = rows.select(key, F.explode(F.array("_b", F.col("_b") - 1)).alias("_b"), F.col("_i").alias("_j"), F.col("_t").alias("_u"), F.col("_m").alias("_n"), F.col("_v").alias("_w"))
     ahead = (F.col("_u") > F.col("_t")) | ((F.col("_u") == F.col("_t")) & (F.col("_j") > F.col("_i")))
-    return rows.join(right, [key, "_b"]).where(within_days(F.col("_t"), F.col("_u"), days) & ahead).select(key, F.col("_i").alias("a"), F.col("_j").alias("b"))
+    valid = valid_message(F.col("_n"), F.col("_m"), F.col("_v")) | contained(F.col("_m"), F.col("_w")) if message else F.lit(True)
+    return rows.join(right, [key, "_b"]).where(within_days(F.col("_t"), F.col("_u"), days) & ahead & valid).select(key, F.col("_i").alias("a"), F.col("_j").alias("b"))
 
 
 def in_ranges(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
@@ -68,9 +74,7 @@ def alternate_pairs(df: DataFrame, group: str, label: str, item: str) -> DataFra
 
 def factorise(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, code): codes from 0 by first appearance."""
-    first = df.groupBy(value).agg(F.min(order).alias("_f"))
-    # one row per distinct value
-    return first.select(value, (F.row_number().over(Window.orderBy("_f", value)) - 1).cast("long").alias("code"))
+    return numbered(df.groupBy(value).agg(F.min(order).alias("_f")), ["_f", value], "code").select(value, "code")
 
 
 def aligned(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -100,6 +104,11 @@ def left_features(pairs: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[s
     return pairs.na.fill(fill or {})
 
 
+def merged(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that both sides have."""
+    return left.join(right, list(keys))
+
+
 def issue_search(issues: DataFrame, commits: DataFrame, similarity: Column, least: float = 2 / 3) -> DataFrame:
     """(entity, key, hash): changes whose message has an issue key of the entity, in repositories similar enough to its product.
 

@@ -30,10 +30,10 @@ def assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(weighted)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, kind: str = "logistic") -> DataFrame:
+def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", rounds: int = 500) -> DataFrame:
     """``test`` with ``score``: the probability of the positive class, or the value of a linear model.
 
-    kind: linear, logistic (balanced) or boosted (trees of depth 5).
+    kind: linear, logistic (balanced) or boosted (``rounds`` trees of depth 5).
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -44,7 +44,7 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     model = {
         "linear": lambda: LinearRegression(labelCol="_label", solver="normal"),
         "logistic": lambda: LogisticRegression(labelCol="_label", weightCol="weight", maxIter=200),
-        "boosted": lambda: GBTClassifier(labelCol="_label", weightCol="weight", maxDepth=5, maxIter=20, seed=0),
+        "boosted": lambda: GBTClassifier(labelCol="_label", weightCol="weight", maxDepth=5, maxIter=rounds, stepSize=0.05, seed=0),
     }[kind]().fit(data)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(test)
     out = model.transform(vectors)
@@ -52,10 +52,10 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     return out.withColumn("score", score).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def cross_validated(df: DataFrame, ident: str, features: Sequence[str], label: str, folds: int = 5, kind: str = "logistic") -> DataFrame:
+def cross_validated(df: DataFrame, ident: str, features: Sequence[str], label: str, folds: int = 5, kind: str = "logistic", rounds: int = 500) -> DataFrame:
     """Every row scored by a model of the other folds; rows of one id are in one fold."""
     rows = df.withColumn("fold", fold(F.col(ident), folds))
-    parts = [fit_predict(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), features, label, kind) for k in range(folds)]
+    parts = [fit_predict(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), features, label, kind, rounds) for k in range(folds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -66,3 +66,14 @@ def examples(df: DataFrame, first: str, second: str, label: str, ident: str, mos
     """(id, text_a, text_b, label): lower-cased texts cut to so many tokens for an external pair model."""
     cut = lambda c: F.array_join(F.slice(F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda x: x != ""), 1, most), " ")
     return df.select(F.col(ident).alias("id"), cut(first).alias("text_a"), cut(second).alias("text_b"), F.col(label).cast("int").alias("label"))
+
+
+def without_group(features: Sequence[str], groups: dict[str, Sequence[str]]) -> dict[str, list[str]]:
+    """The features that are left when one group is taken out, for each group: what a leave-group-out run fits."""
+    return {name: [f for f in features if f not in set(own)] for name, own in groups.items()}
+
+
+def cross_group(df: DataFrame, group: str, train: Sequence, features: Sequence[str], label: str, kind: str = "logistic", rounds: int = 500) -> DataFrame:
+    """Rows of all other groups scored by a model of the groups ``train``, as of one repository on the rest."""
+    inside = F.coalesce(F.col(group).isin(list(train)), F.lit(False))
+    return fit_predict(df.where(inside), df.where(~inside), features, label, kind, rounds)

@@ -7,12 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixmine.store import checkpoints
+
 
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     """Add a 1-based rank without ties within each group; ``order`` has to end in a tie-break."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add consecutive numbers from 0 in an order without ties, over any number of rows.
+
+    Rows are dealt out by range and numbered within each range; the sum of the ranges before is a table of one row a range.
+    """
+    checkpoints(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ahead = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_lead", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return within.join(F.broadcast(ahead.select("_part", "_lead")), "_part").withColumn(name, (F.col("_lead") + F.col("_nth") - 1).cast("long")).drop("_part", "_lead", "_nth")
+
+
 def top_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows of each group."""
     return rank_within(df, group, order, "_top").where(F.col("_top") <= n).drop("_top")
@@ -62,7 +77,9 @@ def sample_negatives(df: DataFrame, group: Sequence[str], label: str, key: str,
 def version_key(col: Column) -> Column:
     """Sort key of version tags: numbers compare as numbers, other runs as text."""
     parts = F.regexp_extract_all(F.lower(col), F.lit("([0-9]+|[a-z]+)"))
-    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("1"), F.lpad(p, 12, "0"))).otherwise(F.concat(F.lit("0"), p)))
+    # the number of digits, without leading zeros, goes before the digits
+    digits = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("1"), F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))).otherwise(F.concat(F.lit("0"), p)))
 
 
 def predecessor(df: DataFrame, group: Sequence[str], tag: str, order: Sequence[Column | str]) -> DataFrame:

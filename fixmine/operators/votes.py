@@ -65,9 +65,3 @@ def grouped_sets(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame
     """(outer, inner, values): sorted distinct values by two keys."""
     return df.groupBy(outer, inner).agg(F.array_sort(F.collect_set(value)).alias("values"))
 
-
-def shared_token_stats(tokens: DataFrame, entity: str, token: str, n: str, other: DataFrame, key: str) -> DataFrame:
-    """(entity, key, shared, ratio, max, sum, mean, var) of the smaller counts of tokens that two texts share."""
-    mine = tokens.select(entity, token, F.col(n).alias("_a"), F.count("*").over(Window.partitionBy(entity)).alias("_size"))
-    both = mine.join(other.select(key, token, F.col(n).alias("_b")), token).withColumn("_m", F.least("_a", "_b"))
-    return both.groupBy(entity, key).agg(F.count("*").alias("shared"), (F.count("*") / F.first("_size")).alias("ratio"), F.max("_m").alias("max"), F.sum("_m").alias("sum"), F.avg("_m").alias("mean"), F.var_pop("_m").alias("var"))

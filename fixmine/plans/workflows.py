@@ -27,19 +27,29 @@ def vote_scores(won: DataFrame, truth: DataFrame, entity: str = "cve") -> DataFr
     return metrics.summarise(metrics.set_scores(named.select(entity, "hash"), truth.select(entity, "hash"), [entity], "hash"))
 
 
-def localise(edges: DataFrame, roots: DataFrame, patches: DataFrame, trusted: Column, rules: dict[str, Column], most: int | None = None, ablate: Sequence[str] = ()) -> DataFrame:
-    """(root, node, score): selected patches of each root.
-
-    Sources in ``ablate`` and tagged edges go; patches (node and what ``rules`` refer to) that fail a rule go; those with the
-    highest path score stay, and those directly below a root's trusted node; ``most``: roots with more results have none.
+def localise(edges: DataFrame, roots: DataFrame, patches: DataFrame, trusted: Column, rules: dict[str, Column], source: Column | None = None, valid: Column | None = None, most: int | None = None, ablate: Sequence[str] = (), cutoff: int = 4) -> DataFrame:
+    """(root, node): selected changes of each root.
+
+    Sources in ``ablate`` go with their edges. Of the changes (``patches``: node and what ``rules`` refer to) that pass all rules and have an
+    edge without the tag EX, those with the highest path score over such edges are taken (``trusted``: whether a ``path`` goes via the
+    trusted node), and with ``source`` (see ``direct_or_found``) those directly below a trusted source or found by a search. With ``valid``, which
+    says of an edge (src, dst, tag and others) whether it may extend, changes that pass the rules and are EX neighbours of one taken
+    follow. most: a root with more results has none.
     """
-    usable = graph.without_tag(edges)
     for node in ablate:
-        usable = graph.without_node(usable, node)
-    ok = filters.screen(patches, **rules).where("selected").select("node")
-    scores = graph.path_scores(graph.simple_paths(usable, roots, 4, ok), trusted)
-    best = ranking.best_within(scores, ["root"], "score").select("root", "node", "score")
-    return best if most is None else filters.no_more_than(best, "root", most)
+        edges = graph.without_node(edges, node)
+    usable = graph.without_tag(edges)
+    passed = filters.screen(patches, **rules).where("selected").select("node").distinct()
+    ok = passed.join(graph.only_tagged(edges), "node", "left_anti")
+    scores = graph.path_scores(graph.simple_paths(usable, roots, cutoff, ok), trusted)
+    taken = ranking.best_within(scores, ["root"], "score").select("root", "node")
+    if source is not None:
+        taken = taken.union(graph.direct_or_found(usable, roots, source).join(ok, "node", "left_semi").select("root", "node")).distinct()
+    if valid is not None:
+        extends = edges.where((F.col("tag") == graph.EX) & valid)
+        near = extends.select(F.col("src").alias("node"), F.col("dst").alias("_o")).union(extends.select("dst", "src")).distinct()
+        taken = taken.union(taken.join(near, "node").select("root", F.col("_o").alias("node")).join(passed, "node", "left_semi").select("root", "node")).distinct()
+    return taken if most is None else filters.no_more_than(taken, "root", most)
 
 
 def rank_features(rows: DataFrame, entity: str, ident: str, features: Sequence[str], label: str, ks: Sequence[int] = (1, 2, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fixmine.functions import strings
 from fixmine.operators import features, linkage, ranking
 from fixmine.queries.base import query, table
+from fixmine.store import checkpoints
 
 _LCS = "list_max(list_transform(range(1, length({a}) + 1), lambda i: list_max(list_transform(range(0, length({a}) - i + 2), lambda n: CASE WHEN contains({b}, substr({a}, i, n)) THEN n ELSE 0 END))))"
 
@@ -22,18 +23,31 @@ def lcs_similarity_top10(spark, d):
     return ranking.top_within(pairs, ["a"], [F.desc("lcs"), F.desc(F.col("lcs") / F.length("b")), "b"], 10)
 
 
-_PAIRS = "(SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_name < b.p_name)"
+# Pairs of names that have three characters in a row in common: no pair with a common substring of that length is left out.
+_GRAMS = "(SELECT DISTINCT p_name, unnest(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3))) AS g FROM part)"
+_PAIRS = f"(SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM {_GRAMS} a JOIN {_GRAMS} b ON a.g = b.g AND a.p_name < b.p_name)"
 
 
 def _name_pairs(spark, d):
-    p = table(spark, d, "part").select("p_size", "p_name").distinct()
-    return p.withColumnRenamed("p_name", "a").join(p.withColumnRenamed("p_name", "b"), "p_size").where("a < b").select("a", "b").distinct()
+    p = table(spark, d, "part").select("p_name")
+    return linkage.gram_blocked(p.select(F.col("p_name").alias("a")), "a", p.select(F.col("p_name").alias("b")), "b").where("a < b")
 
 
-@query(f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edit, round(1 - levenshtein(regexp_replace(lower(a), '[^a-z]', '', 'g'), regexp_replace(lower(b), '[^a-z]', '', 'g')) / greatest(length(regexp_replace(lower(a), '[^a-z]', '', 'g')), length(regexp_replace(lower(b), '[^a-z]', '', 'g'))), 6) AS letters FROM {_PAIRS}")
+def _noiseless(letters: str) -> str:
+    """SQL without the words that say nothing, written out."""
+    for n in ("project", "plugin", "python", "javascript", "java", "android", "csharp", "ruby"):
+        letters = f"replace({letters}, '{n}', '')"
+    return letters
+
+
+_LETTERS = _noiseless("regexp_replace(lower({}), '[^\\p{{L}}]', '', 'g')")
+
+
+@query(f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS edit, round(1 - levenshtein({_LETTERS.format('a')}, {_LETTERS.format('b')}) / greatest(length({_LETTERS.format('a')}), length({_LETTERS.format('b')})), 6) AS letters, round(1 - levenshtein({_LETTERS.format('a')}, {_LETTERS.format(chr(34) + 'noisy' + chr(34))}) / greatest(length({_LETTERS.format('a')}), length({_LETTERS.format(chr(34) + 'noisy' + chr(34))})), 6) AS noisy FROM (SELECT a, b, concat('Java ', b, ' plugin z') AS noisy FROM {_PAIRS})")
 def edit_similarity(spark, d):
     a, b = F.col("a"), F.col("b")
-    return _name_pairs(spark, d).select("a", "b", F.round(strings.edit_similarity(a, b), 6).alias("edit"), F.round(strings.edit_similarity(strings.letters_only(a), strings.letters_only(b)), 6).alias("letters"))
+    letters = lambda c: strings.edit_similarity(strings.letters_only(a), strings.letters_only(c))
+    return _name_pairs(spark, d).select("a", "b", F.round(strings.edit_similarity(a, b), 6).alias("edit"), F.round(letters(b), 6).alias("letters"), F.round(letters(F.concat(F.lit("Java "), b, F.lit(" plugin z"))), 6).alias("noisy"))
 
 
 @query(f"SELECT a, b, round(jaro_similarity(a, b), 6) AS jaro, round(jaro_winkler_similarity(a, b), 6) AS winkler FROM {_PAIRS}")
@@ -48,18 +62,16 @@ def similarity_blend(spark, d):
     return _name_pairs(spark, d).select("a", "b", F.round(strings.block_ratio("a", "b"), 6).alias("blocks"), F.round(strings.indel_ratio("a", "b"), 6).alias("indel"), F.round(strings.mean_similarity(a, b), 6).alias("mean"))
 
 
-_CLEAN = "regexp_replace(lower({}), '[^a-z]', ' ', 'g')"
-for _n in strings.NOISE:
-    _CLEAN = f"replace({_CLEAN}, '{_n}', '')"
+_CLEAN = _noiseless("regexp_replace(lower({}), '[^\\p{{L}}]', ' ', 'g')")
 _CLEAN = f"list_distinct(list_filter(string_split({_CLEAN}, ' '), lambda x: x <> ''))"
 
 
 @query(f"""
 SELECT a, b, CAST(CASE WHEN 2 * n >= len(x) AND 2 * n >= len(y) THEN 1 ELSE 0 END AS BIGINT) AS same FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS n FROM (
-  SELECT a, b, {_CLEAN.format('a')} AS x, {_CLEAN.format('b')} AS y FROM (SELECT DISTINCT p_name AS a, concat(p_type, ' plugin ', split_part(p_name, ' ', 1)) AS b FROM part)))
+  SELECT a, b, {_CLEAN.format('a')} AS x, {_CLEAN.format('b')} AS y FROM (SELECT DISTINCT p_name AS a, concat(CASE WHEN p_size % 2 = 0 THEN 'JavaScript' ELSE 'linux' END, '/', p_type, ' plugin ', split_part(p_name, ' ', 1)) AS b FROM part)))
 """)
 def word_overlap_match(spark, d):
-    pairs = table(spark, d, "part").select(F.col("p_name").alias("a"), F.concat("p_type", F.lit(" plugin "), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("b")).distinct()
+    pairs = table(spark, d, "part").select(F.col("p_name").alias("a"), F.concat(F.when(F.col("p_size") % 2 == 0, "JavaScript").otherwise("linux"), F.lit("/"), "p_type", F.lit(" plugin "), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("b")).distinct()
     return pairs.select("a", "b", strings.word_overlap(F.col("a"), F.col("b")).alias("same"))
 
 
@@ -81,7 +93,11 @@ def v_commits(spark, d):
 
 
 def v_truth(spark, d):
-    return v_commits(spark, d).where(F.substring("hash", 1, 1) < "4").select("cve", F.substring("hash", 1, 10).alias("hash"), F.lit("").alias("title")).distinct()
+    return _truth_of(v_commits(spark, d))
+
+
+def _truth_of(commits):
+    return commits.where(F.substring("hash", 1, 1) < "4").select("cve", F.substring("hash", 1, 10).alias("hash"), F.lit("").alias("title")).distinct()
 
 
 def _match():
@@ -99,7 +115,9 @@ SELECT round(avg(coalesce(hits, 0) / n), 6) AS precision, round(avg(least(1, coa
 FROM (SELECT cve, count(DISTINCT hash) AS n FROM p GROUP BY 1) JOIN (SELECT cve, count(DISTINCT hash) AS k FROM t GROUP BY 1) USING (cve) LEFT JOIN m USING (cve)
 """)
 def linkage_precision_recall(spark, d):
-    p, t = v_commits(spark, d), v_truth(spark, d)
+    checkpoints(spark)
+    p = v_commits(spark, d).checkpoint()
+    t = _truth_of(p)
     m = linkage.matched(p, t, "cve", _match(), "inner").groupBy("p.cve").agg(F.countDistinct("p.hash").alias("hits"), F.countDistinct("t.hash").alias("found"))
     both = p.groupBy("cve").agg(F.countDistinct("hash").alias("n")).join(t.groupBy("cve").agg(F.countDistinct("hash").alias("k")), "cve").join(m, "cve", "left").na.fill(0, ["hits", "found"])
     return both.agg(F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("precision"), F.round(F.avg(F.least(F.lit(1.0), F.col("found") / F.col("k"))), 6).alias("recall"), F.count("*").alias("groups"))
@@ -113,12 +131,12 @@ def interval_related(spark, d):
     return linkage.interval_pairs(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 30)
 
 
-_BANDS = "(SELECT p_partkey, p_retailprice / 10 AS low, p_retailprice / 10 + p_size / 25.0::DOUBLE AS high FROM part WHERE p_type LIKE 'S%')"
+_BANDS = "(SELECT p_partkey, p_retailprice / 10 AS low, p_retailprice / 10 + p_size / 25.0::DOUBLE AS high FROM part)"
 
 
 @query(f"SELECT event_id, count(*) AS bands, min(p_partkey) AS first FROM events JOIN {_BANDS} ON value BETWEEN low AND high GROUP BY event_id")
 def line_range_join(spark, d):
-    bands = table(spark, d, "part").where("p_type LIKE 'S%'").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 25.0).alias("high"))
+    bands = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 10).alias("low"), (F.col("p_retailprice") / 10 + F.col("p_size") / 25.0).alias("high"))
     return linkage.in_ranges(table(spark, d, "events"), "value", bands, "low", "high", 2.0).groupBy("event_id").agg(F.count("*").alias("bands"), F.min("p_partkey").alias("first"))
 
 
@@ -188,15 +206,30 @@ def tfidf_cosine(spark, d):
     return pairs.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"))
 
 
-@query("""
-SELECT c.conv_id, c.turn, len(list_intersect(x, y)) AS shared, round(len(list_intersect(x, y)) / greatest(len(x), len(y)), 6) AS coefficient FROM
- (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM conversations) c JOIN (SELECT conv_id, turn + 1 AS turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS y FROM conversations) n USING (conv_id, turn)
+_SETS = "(SELECT {k}, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {t})"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, item_id, count(*) AS shared FROM (SELECT doc_id, unnest(w) AS t FROM {_SETS.format(k='doc_id', t='documents')}) JOIN (SELECT item_id, unnest(w) AS t FROM {_SETS.format(k='item_id', t='benchmark')}) USING (t) GROUP BY 1, 2)
+SELECT doc_id, item_id, shared, round(shared / len(i.w), 6) AS ratio, round(shared / greatest(len(d.w), len(i.w)), 6) AS coefficient
+FROM p JOIN {_SETS.format(k='doc_id', t='documents')} d USING (doc_id) JOIN {_SETS.format(k='item_id', t='benchmark')} i USING (item_id) WHERE 2 * shared >= len(i.w)
 """)
 def token_overlap_ratio(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(strings.alnum_tokens(F.col("text"))).alias("x"))
-    both = t.join(t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
-    n, _ = strings.token_overlap(F.col("x"), F.col("y"))
-    return both.select("conv_id", "turn", n.alias("shared"), F.round(strings.overlap_coefficient(F.col("x"), F.col("y")), 6).alias("coefficient"))
+    """Documents with half of an item's distinct tokens or more."""
+    sets = lambda t, k: table(spark, d, t).select(k, F.array_distinct(strings.alnum_tokens(F.col("text"))).alias("w"))
+    s = features.overlapping(sets("documents", "doc_id"), "doc_id", sets("benchmark", "item_id"), "item_id", "w", 0.5)
+    return s.select("doc_id", "item_id", "shared", F.round("ratio", 6).alias("ratio"), F.round("coefficient", 6).alias("coefficient"))
+
+
+@query(f"""
+WITH i AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b, a.o_orderpriority || ' ' || a.o_orderstatus AS m, b.o_orderpriority || ' ' || b.o_orderstatus AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND (b.o_orderdate, b.o_orderkey) > (a.o_orderdate, a.o_orderkey)
+ AND floor(abs(epoch(a.o_orderdate) - epoch(b.o_orderdate)) / 86400) <= 90)
+SELECT o_custkey, a, b FROM i WHERE contains(n, '1-') AND contains(m, '1-') OR m = n OR contains(m, n) OR contains(n, m) OR contains(m, '1-URGENT F') OR contains(n, '1-URGENT F')
+""")
+def interval_related_messages(spark, d):
+    """Changes of one customer within 90 days whose messages go together, or one of which has the other's id."""
+    o = table(spark, d, "orders").withColumn("message", F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).withColumn("named", F.when(F.contains("message", F.lit("1-")), "1-").otherwise("1-URGENT F"))
+    return linkage.interval_pairs(o, "o_custkey", "o_orderdate", "o_orderkey", 90, "message", "named")
 
 
 @query("""

@@ -138,13 +138,36 @@ def log_state(spark, d):
 
 
 @query()
-def boosted_fold_scores(spark, d):
-    """Scores of a balanced logistic model on the fold of orders that it has not seen."""
+def logistic_cv_scores(spark, d):
+    """Scores of balanced logistic models, each line by one that has not seen its order."""
     from fixmine.operators import models
 
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    split = rows.withColumn("fold", models.fold(F.col("l_orderkey"), 5))
-    return models.fit_predict(split.where("fold <> 0"), split.where("fold = 0"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y").select("l_orderkey", "l_partkey", "l_linenumber", F.round("score", 6).alias("score"))
+    return models.cross_validated(rows, "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y").select("l_orderkey", "l_partkey", "l_linenumber", F.round("score", 6).alias("score"))
+
+
+@query()
+def boosted_cv_scores(spark, d):
+    """Boosted trees over orders in two folds, 20 rounds instead of the operator's 500."""
+    from fixmine.operators import models
+
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.dayofyear("o_orderdate").cast("double").alias("day"), F.col("o_custkey").cast("double").alias("who"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return models.cross_validated(rows, "o_orderkey", ["price", "day", "who"], "y", folds=2, kind="boosted", rounds=20).select("o_orderkey", F.round("score", 4).alias("score"))
+
+
+_FAKE = """concat('diff --git a/x.sql b/x.sql', chr(10), '--- a/x.sql', chr(10), '+++ b/x.sql', chr(10), '@@ -1,3 +1,3 @@', chr(10), ' ', p_name, chr(10), '--- ', p_type, chr(10), '+++ ', p_brand, chr(10), '', chr(10), chr(92), ' No newline at end of file', chr(10),
+ '--- a/', repeat('d/', 700), 'y.c', chr(9), '2020', chr(10), '+++ b/', repeat('d/', 700), 'y.c', chr(10), '@@ -5 +5 @@', chr(10), '-', p_size, chr(10), '+@@ -1', chr(10), ' beyond')"""
+
+
+@query("""
+SELECT p_partkey, 'x.sql' AS file, 'ctx' AS kind, CAST(1 AS BIGINT) AS old, CAST(1 AS BIGINT) AS new, p_name AS line FROM part
+UNION ALL SELECT p_partkey, 'x.sql', 'del', 2, NULL, '-- ' || p_type FROM part UNION ALL SELECT p_partkey, 'x.sql', 'add', NULL, 2, '++ ' || p_brand FROM part UNION ALL SELECT p_partkey, 'x.sql', 'ctx', 3, 3, '' FROM part
+UNION ALL SELECT p_partkey, repeat('d/', 700) || 'y.c', 'del', 5, NULL, CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, repeat('d/', 700) || 'y.c', 'add', NULL, 5, '@@ -1' FROM part
+""")
+def diff_parse_lookalikes(spark, d):
+    """Changed lines that look like headers, an empty line of context, a path of 1403 characters, and lines beyond a hunk."""
+    rows = table(spark, d, "part").select("p_partkey", F.expr(_FAKE).alias("diff"))
+    return diffs.diff_lines(rows, "p_partkey", "diff").select("p_partkey", "file", "kind", "old", "new", "line")
 
 
 @query("SELECT doc_id, n_words, 'Text: ' || n_words || ' words in ' || lang AS prompt FROM (SELECT doc_id, lang, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents)")

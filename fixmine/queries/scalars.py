@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fixmine.functions import strings, urls, values
 from fixmine.operators import features, ranking
 from fixmine.queries.base import query, table
+from fixmine.store import checkpoints
 
 _TOKENS = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)"
 
@@ -14,7 +15,7 @@ _TOKENS = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))
 @query(f"SELECT token, count(DISTINCT doc_id) AS df, round(ln((SELECT count(*) FROM documents) / (count(DISTINCT doc_id) + 1)), 6) AS idf FROM {_TOKENS} GROUP BY token")
 def doc_frequency_idf(spark, d):
     docs = table(spark, d, "documents").withColumn("tokens", strings.alnum_tokens(F.col("text")))
-    return features.idf(features.term_counts(docs, "doc_id", "tokens"), docs.count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    return features.document_frequency(docs, "tokens").select("token", "df", F.round(F.log(F.lit(float(docs.count())) / (F.col("df") + 1)), 6).alias("idf"))
 
 
 _VOCABULARY = "SELECT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM {}) GROUP BY token"
@@ -37,11 +38,10 @@ SELECT vec_id, e.label AS exemplar, round(list_cosine_similarity(v, w), 6) AS co
 """)
 def vector_cosine(spark, d):
     e = table(spark, d, "embeddings")
-    # one exemplar for each label; labels are few and their number is checked
-    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("w"))
-    if first.count() > 1000:
-        raise ValueError("too many labels for exemplars of each")
-    exemplars = F.broadcast(first.withColumnRenamed("label", "exemplar"))
+    # one exemplar for each label, all of which are asked of every vector; sent to the tasks if they are few
+    checkpoints(spark)
+    exemplars = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("w")).withColumnRenamed("label", "exemplar").checkpoint()
+    exemplars = F.broadcast(exemplars) if exemplars.count() <= 1000 else exemplars
     return e.join(exemplars, F.lit(True)).select("vec_id", "exemplar", F.round(values.cosine(F.col("embedding"), F.col("w")), 6).alias("cosine"))
 
 
@@ -122,15 +122,35 @@ def commit_id_strict(spark, d):
     return v_urls(spark, d).select("p_partkey", urls.commit_id(F.col("url"), strict=True).alias("commit_id"))
 
 
-@query("SELECT page_id, pos, replace(href, '&amp;', '&') AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS pos FROM pages)")
+_HREF = """'(?i)[ \\t\\r\\n]href[ \\t\\r\\n]*=[ \\t\\r\\n]*("[^"]*"|''[^'']*''|[^ \\t\\r\\n"''<>]+)'"""
+_PLAIN = "replace(regexp_replace({}, '^[\"'']|[\"'']$', '', 'g'), '&amp;', '&')"
+_MIXED = """concat(html, '<A class=x HREF=', chr(39), '/q', page_id, chr(39), '>one <b>of</b>  two</A> <a href=/bare', page_id, '>bare</a> <a data-x="1" hRef="/a?b&amp;c">amp</a>')"""
+
+
+@query(f"SELECT page_id, pos, {_PLAIN.format('href')} AS href FROM (SELECT page_id, unnest(regexp_extract_all({_MIXED}, {_HREF}, 1)) AS href, unnest(range(len(regexp_extract_all({_MIXED}, {_HREF}, 1)))) AS pos FROM pages)")
 def html_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(urls.hrefs(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
+    """Targets in pages to which links with other quotes and in other cases are added."""
+    return v_pages(spark, d).select("page_id", F.posexplode(urls.hrefs(F.col("html"))).alias("pos", "href")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def v_pages(spark, d):
+    k = F.col("page_id").cast("string")
+    more = F.concat("html", F.lit("<A class=x HREF='/q"), k, F.lit("'>one <b>of</b>  two</A> <a href=/bare"), k, F.lit('>bare</a> <a data-x="1" hRef="/a?b&amp;c">amp</a>'))
+    return table(spark, d, "pages").select("page_id", "url", more.alias("html"))
+
+
+_ANCHOR = """'(?is)<a[ \\t\\r\\n](?:[^<>]*[ \\t\\r\\n])?href[ \\t\\r\\n]*=[ \\t\\r\\n]*("[^"]*"|''[^'']*''|[^ \\t\\r\\n"''<>]+)[^<>]*>(.*?)</a>'"""
+
+
+@query(f"SELECT page_id, {_PLAIN.format('h')} AS href, trim(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM (SELECT page_id, unnest(regexp_extract_all({_MIXED}, {_ANCHOR}, 1)) AS h, unnest(regexp_extract_all({_MIXED}, {_ANCHOR}, 2)) AS t FROM pages)")
+def html_anchors(spark, d):
+    return v_pages(spark, d).select("page_id", F.explode(urls.anchors(F.col("html"))).alias("x")).select("page_id", "x.href", "x.text")
 
 
 @query()
 def html_links_resolved(spark, d):
     """Absolute addresses by the standard library's rules."""
-    links = table(spark, d, "pages").select("page_id", "url", F.explode(urls.hrefs(F.col("html"))).alias("href"))
+    links = v_pages(spark, d).select("page_id", "url", F.explode(urls.hrefs(F.col("html"))).alias("href"))
     return links.select("page_id", "href", urls.resolve("url", "href").alias("target"))
 
 

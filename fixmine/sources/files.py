@@ -48,17 +48,17 @@ def frame(spark: SparkSession, path: str, rename: dict[str, str] | None = None)
     return out.withColumnsRenamed(rename or {})
 
 
-def documents(spark: SparkSession, folder: str, schema: T.StructType | str | None = None) -> DataFrame:
+def documents(spark: SparkSession, folder: str, schema: T.StructType | str | None = None, ending: str = "json") -> DataFrame:
     """One JSON document per file, with the file's name as ``entity``."""
-    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ending}")
     rows = (reader.schema(schema) if schema else reader).json(folder)
     return rows.withColumn("entity", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), "[.]json$", ""))
 
 
-def feed(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, language) of every item of paged feeds; English ones have the language en."""
+def feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, description, language) of every item of paged feeds; English ones have the language en. lines: a page on each line, not in each file."""
     schema = "vulnerabilities array<struct<cve:struct<id:string,descriptions:array<struct<lang:string,value:string>>>>>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    rows = spark.read.option("multiLine", not lines).schema(schema).json(path)
     items = rows.select(F.explode("vulnerabilities.cve").alias("c"))
     return items.select("c.id", F.explode_outer("c.descriptions").alias("d")).select("id", F.col("d.value").alias("description"), F.col("d.lang").alias("language"))
 
@@ -97,8 +97,33 @@ def cached(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Da
     return hit, w.join(cache.select("url_hash", key), ["url_hash", key], "left_anti").select(key)
 
 
+def coalesced(wanted: DataFrame, cache: DataFrame, key: str, value: str) -> DataFrame:
+    """Wanted keys with the cached value, null where there is none."""
+    return wanted.join(cache.select(key, value).dropDuplicates([key]), key, "left").select(key, value)
+
+
+def upserted(cache: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The cache with rows put in; a row whose key is there replaces it. Both have the same columns."""
+    return cache.join(rows.select(key).distinct(), key, "left_anti").select(*cache.columns).unionByName(rows.select(*cache.columns).dropDuplicates([key]))
+
+
+def changed(now: DataFrame, stored: DataFrame, key: str, meta: str) -> DataFrame:
+    """Feeds that have to be read again: those whose META is not the one stored, or that are not stored."""
+    old = stored.select(key, F.col(meta).alias("_old"))
+    return now.join(old, key, "left").where(~F.col(meta).eqNullSafe(F.col("_old"))).drop("_old")
+
+
+def collect_into(rows: DataFrame, ids: DataFrame, key: str, path: str) -> None:
+    """Write the rows of chosen ids to a folder."""
+    rows.join(ids.select(key).distinct(), key, "left_semi").write.mode("overwrite").parquet(path)
+
+
 def append(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key is not in the table yet, and return the table."""
+    """Append the rows whose key is not in the table yet, and return the table.
+
+    Spark commits the files of an append together, so one that fails adds nothing and can be run again; a key's rows are read
+    once, so what two appends at the same time add twice counts once.
+    """
     spark = rows.sparkSession
     try:
         rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
@@ -106,19 +131,40 @@ def append(rows: DataFrame, path: str, key: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).dropDuplicates([key])
 
 
-def _follow(pool: list, at, seen: int = 0):
-    """A value of an array whose containers hold places in the array instead of values."""
-    if seen > 64 or not isinstance(at, int) or not 0 <= at < len(pool):
-        return None
-    value = pool[at]
-    if isinstance(value, dict):
-        return {k: _follow(pool, v, seen + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_follow(pool, v, seen + 1) for v in value]
-    return value
+def _expanded(pool: list) -> str:
+    """JSON text of the first value of an array whose containers hold places in the array; a place that leads back into itself is null.
+
+    A stack instead of recursion, so nesting has no limit.
+    """
+    import json
+
+    out: list[str] = []
+    todo: list = [0]
+    within: set[int] = set()
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif isinstance(at, tuple):
+            within.discard(at[0])
+        elif not isinstance(at, int) or isinstance(at, bool) or not 0 <= at < len(pool) or at in within:
+            out.append("null")
+        elif isinstance(pool[at], (dict, list)):
+            value = pool[at]
+            within.add(at)
+            keys = [json.dumps(k) + ": " for k in value] if isinstance(value, dict) else [""] * len(value)
+            items = list(value.values()) if isinstance(value, dict) else value
+            parts: list = ["{" if isinstance(value, dict) else "["]
+            for k, (name, item) in enumerate(zip(keys, items, strict=True)):
+                parts += [(", " if k else "") + name, item if isinstance(item, int) and not isinstance(item, bool) else -1]
+            parts += ["}" if isinstance(value, dict) else "]", (at,)]
+            todo += reversed(parts)
+        else:
+            out.append(json.dumps(pool[at]))
+    return "".join(out)
 
 
 def expand_pointers(df: DataFrame, column: str, name: str = "value") -> DataFrame:
@@ -130,8 +176,8 @@ def expand_pointers(df: DataFrame, column: str, name: str = "value") -> DataFram
         def one(t):
             try:
                 pool = json.loads(t)
-                return json.dumps(_follow(pool, 0)) if isinstance(pool, list) else None
-            except (TypeError, ValueError):
+                return _expanded(pool) if isinstance(pool, list) else None
+            except (TypeError, ValueError, RecursionError):
                 return None
 
         return texts.map(one)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns of a truth table by position.
 TRUTH = ("n", "entity", "svn", "other_git", "github", "equivalent", "branch", "external_repo", "pull", "pull_status", "note", "kind", "extra")
 #: Hosts that never hold changes.
-BLACKLIST = ("packetstormsecurity", "exploit-db.com", "youtube.com", "twitter.com", "medium.com", "securitytracker.com")
+BLACKLIST = ("rhn.redhat.com/errata", "redhat.com/support", "securityfocus.com/bid", "osvdb.org/", "exchange.xforce.ibmcloud.com", "bugzilla.novell.com/", "linkedin.com/", "fb.com/")
 
 
 def nested_lists(df: DataFrame, lists: str) -> DataFrame:
@@ -44,12 +44,30 @@ def fetchable(url: Column, size: Column, most: int = 1 << 20) -> Column:
     return ~bad & (F.coalesce(size, F.lit(0)) <= most)
 
 
-def truth_links(df: DataFrame, uncertain: DataFrame) -> DataFrame:
+def commits_of(pulls: DataFrame, key: str, commits: str) -> DataFrame:
+    """(key, fields of a change) of the changes of pull requests or issues; one without has a row of nulls."""
+    return pulls.select(key, F.explode_outer(commits).alias("_c")).select(key, "_c.*")
+
+
+def looked_up(wanted: DataFrame, commits: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """``wanted`` with values of the change that has the key (the least of several), null where there is none, and ``valid``."""
+    one = commits.groupBy(key).agg(F.min(F.struct(*values)).alias("_v")).select(key, "_v.*", F.lit(True).alias("valid"))
+    return wanted.join(one, key, "left").na.fill(False, ["valid"])
+
+
+def between_tags(log: DataFrame, group: Sequence[str], order: Sequence[Column | str], before: Column, last: Column) -> DataFrame:
+    """Rows of each log after the last that is tagged ``before`` (or from the start) up to the last that is tagged ``last``; none without that."""
+    nth = log.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).withColumn("_b", before).withColumn("_l", last)
+    ends = nth.groupBy(*group).agg(F.max(F.when(F.col("_b"), F.col("_n"))).alias("_low"), F.max(F.when(F.col("_l"), F.col("_n"))).alias("_high"))
+    return nth.join(ends, list(group)).where((F.col("_n") > F.coalesce("_low", F.lit(0))) & (F.col("_n") <= F.col("_high"))).select(*log.columns)
+
+
+def truth_links(df: DataFrame, uncertain: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(entity, branch, url) of a positional truth table, without uncertain entities; the branch ends before a bracket or blank."""
     named = df.toDF(*TRUTH[: len(df.columns)])
     sure = named.join(uncertain.select("entity"), "entity", "left_anti")
     links = F.filter(F.flatten(F.transform(F.array("svn", "other_git", "github"), lambda c: F.split(F.coalesce(c, F.lit("")), r"[\s,;]+"))), lambda u: u != "")
-    return sure.select("entity", F.regexp_extract(F.coalesce("branch", F.lit("")), "^([^( ]*)", 1).alias("branch"), F.explode(links).alias("url"))
+    return sure.select(*keep, "entity", F.regexp_extract(F.coalesce("branch", F.lit("")), "^([^( ]*)", 1).alias("branch"), F.explode(links).alias("url"))
 
 
 def page_title(page: Column) -> Column:
@@ -59,9 +77,11 @@ def page_title(page: Column) -> Column:
 def vulnerability_record(json: Column) -> Column:
     """A flat record of a vulnerability's JSON text: weakness names, product names and the scores of both versions, or null."""
     pick = lambda p: F.get_json_object(json, p)
+    kinds = F.from_json(pick("$.cve.problemtype.problemtype_data"), "array<struct<description:array<struct<value:string>>>>")
+    weaknesses = F.coalesce(F.flatten(F.transform(kinds, lambda k: F.transform(k["description"], lambda d: F.coalesce(d["value"], F.lit(""))))), F.array().cast("array<string>"))
     return F.struct(
         pick("$.cve.CVE_data_meta.ID").alias("id"),
-        F.array_distinct(F.regexp_extract_all(json, F.lit("(CWE-[0-9]+)"))).alias("cwes"),
+        F.array_distinct(F.filter(weaknesses, lambda x: x != "")).alias("cwes"),
         F.array_distinct(F.regexp_extract_all(json, F.lit('"cpe23Uri" ?: ?"([^"]+)"'))).alias("cpes"),
         pick("$.impact.baseMetricV2.cvssV2.baseScore").cast("double").alias("score2"),
         pick("$.impact.baseMetricV2.cvssV2.vectorString").alias("vector2"),

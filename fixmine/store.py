@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def checkpoints(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable; only a local session without ``spark.checkpoint.dir`` gets a folder of its own."""
@@ -18,3 +23,21 @@ def checkpoints(spark: SparkSession) -> None:
 
         folder = "file://" + tempfile.mkdtemp(prefix="fixmine-")
     sc.setCheckpointDir(folder)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that is not in use; what is written there goes with the Python process."""
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            return

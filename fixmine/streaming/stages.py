@@ -27,7 +27,7 @@ def safe_rows(df: DataFrame, key: str, column: str, function: Callable[[str | No
                 try:
                     out.append((k, "ok", function(x), None))
                 except Exception as e:  # noqa: BLE001  any failure is the row's result
-                    out.append((k, "failed", None, f"{type(e).__name__}: {e}"[:500]))
+                    out.append((k, "failed", None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=[key, "status", "result", "error"])
 
     return df.select(key, column).mapInPandas(run, f"{key} {kind}, status string, result string, error string")

@@ -111,10 +111,93 @@ def test_filter_and_vote(spark):
 
 
 def test_localise(spark):
-    e = spark.createDataFrame([("r", "N", None), ("N", "p", None), ("r", "R", None), ("R", "q", None), ("R", "p", None)], "src string, dst string, tag string")
-    patches = spark.createDataFrame([("p", True), ("q", True), ("R", False)], "node string, good boolean")
-    out = workflows.localise(e, spark.createDataFrame([("r",)], "root string"), patches, F.array_contains("path", "N"), {"good": F.col("good")})
-    assert rows(out, "root", "node", "score") == [("r", "p", 1.5)]
+    """Best paths, sources, extension and the cut-off for too many, on one small graph."""
+    edges = [("r", "N", None), ("r", "R", None), ("N", "p1", None), ("R", "i", None), ("i", "p2", None), ("r", "p3", "SG"), ("p1", "p4", "EX"), ("p5", "p3", "EX"), ("p1", "bad", "EX"), ("i", "p5", "EX"), ("N", "p6", None), ("R", "p6", None)]
+    e = spark.createDataFrame(edges, "src string, dst string, tag string")
+    roots = spark.createDataFrame([("r",)], "root string")
+    patches = spark.createDataFrame([(f"p{k}", True) for k in range(1, 7)] + [("bad", False)], "node string, good boolean")
+    via, rules = F.array_contains("path", "N"), {"good": F.col("good")}
+    run = lambda **more: [r["node"] for r in workflows.localise(e, roots, patches, via, rules, **more).orderBy("node").collect()]
+    assert run() == ["p6"]  # two paths: 1 and 1/2
+    assert run(source=F.col("mid") == "N") == ["p1", "p3", "p6"]
+    assert run(source=F.col("mid") == "N", valid=F.lit(True)) == ["p1", "p3", "p4", "p5", "p6"]
+    assert run(source=F.col("mid") == "N", valid=F.lit(True), most=4) == []
+    assert run(ablate=["N"]) == ["p3"]
+
+
+def test_hits_pass_along_a_long_chain(spark):
+    chain = [("e", f"k{k:02d}", f"k{k + 1:02d}") for k in range(41)]
+    truth = spark.createDataFrame([("e", f"k{k:02d}") for k in range(42)], "entity string, key string")
+    hit = spark.createDataFrame([("e", "k00")], "entity string, key string")
+    both = spark.createDataFrame(chain + [(e, b, a) for e, a, b in chain], "entity string, a string, b string")
+    one_way = spark.createDataFrame([c for c in chain if c[1] < "k05"], "entity string, a string, b string")
+    row = graph.patch_set_scores(hit, truth, both).first()
+    assert (row["tp"], row["fn"], row["recall"]) == (1, 0, 1.0)
+    assert graph.patch_set_scores(hit, truth, one_way).first()["fn"] == 42 - 6
+    back = spark.createDataFrame([("e", "a", "k00"), ("e", "b", "k00"), ("e", "b", "k41")], "entity string, a string, b string")
+    more = truth.union(spark.createDataFrame([("e", "a"), ("e", "b")], "entity string, key string"))
+    assert graph.patch_set_scores(hit, more, back).first()["fn"] == 41 + 1
+
+
+def test_connected(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(50)]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    out = graph.connected(spark.createDataFrame(edges, "a long, b long"))
+    assert {x["node"]: x["component"] for x in out.collect()} == up
+
+
+def test_numbers_of_any_length_in_versions(spark):
+    tags = ["1.20240101120000", "1.20240101120059", "1.9", "1.10", "1.00010", "1.10-rc1", "2"]
+    df = spark.createDataFrame([(t,) for t in tags], "tag string").withColumn("k", ranking.version_key(F.col("tag")))
+    keys = {x["tag"]: x["k"] for x in df.collect()}
+    assert keys["1.20240101120000"] < keys["1.20240101120059"] < keys["2"]
+    assert keys["1.9"] < keys["1.10"] == keys["1.00010"]
+
+
+def test_local_connectivity_and_searches_by_hand(spark):
+    e = spark.createDataFrame([("g", *x) for x in [("r", "a"), ("r", "b"), ("a", "t"), ("b", "t"), ("r", "t"), ("a", "c"), ("c", "t"), ("x", "t")]], "key string, src string, dst string")
+    pairs = spark.createDataFrame([("g", "r", "t"), ("g", "r", "c"), ("g", "r", "x"), ("g", "r", "r")], "key string, root string, node string")
+    assert rows(graph.local_connectivity(e, pairs, "key"), "node", "connectivity") == [("c", 1), ("r", 0), ("t", 3), ("x", 0)]
+    refs = spark.createDataFrame([("r", "N", "n0"), ("r", "N", "n1"), ("r", "M", "p0")], "root string, source string, node string")
+    links = [("n0", f"i{k}", k) for k in range(8)] + [("n1", "i0", 0), ("n1", "n0", 1), ("i0", "n0", 0), ("i0", "q", 1), ("i6", "never", 0), ("p0", "never", 0), ("q", "never", 0), ("i1", "i2", 0), ("i2", "i1", 0)]
+    kinds = [("n0", "common_url"), ("n1", "issue_url"), ("p0", "patch_url"), ("q", "patch_url"), ("never", "patch_url")] + [(f"i{k}", "issue_url") for k in range(8)]
+    out = graph.deep_search(refs, spark.createDataFrame(links, "node string, child string, pos int"), spark.createDataFrame(kinds, "node string, type string"))
+    found = {(x["src"], x["dst"]): x["level"] for x in out.collect()}
+    assert found["n0", "i7"] == found["n1", "i0"] == 3
+    assert ("n1", "n0") not in found and ("i0", "n0") not in found  # no page adds what is no issue, change or repository; a pair is there
+    assert found["i0", "q"] == 4 and found["i1", "i2"] == 4 and ("i2", "i1") not in found
+    assert not any(dst == "never" for _, dst in found)
+
+
+def test_expanded_pointers_have_no_depth(spark):
+    import json
+
+    deep = [{"a": k + 1} for k in range(3000)] + ["end"]
+    loop = [{"a": 1, "b": 0}, [0, 2], "x", True]
+    texts = [json.dumps(deep), json.dumps(loop), "[]", "{}", "no", json.dumps([[1, 1, 9, -1, "k"], "s"])]
+    df = files.expand_pointers(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string"), "t")
+    out = {x["k"]: x["value"] for x in df.collect()}
+    assert out[0] == '{"a": ' * 3000 + '"end"' + "}" * 3000
+    assert json.loads(out[1]) == {"a": [None, "x"], "b": None}
+    assert (out[2], out[3], out[4]) == ("null", None, None)
+    assert json.loads(out[5]) == ["s", "s", None, None, None]
+
+
+def test_words_that_overlap_are_found_by_their_rarest(spark):
+    from fixmine.operators import features
+
+    r = random.Random(5)
+    pool = [f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(4000)]
+    make = lambda n, most: [(k, sorted(set(r.choices(pool, k=r.randrange(most))))) for k in range(n)]
+    a, b = make(60, 60), make(30, 9) + [(99, [])]
+    for least in (0.3, 0.5, 1.0):
+        want = sorted((i, j, len(set(x) & set(y))) for i, x in a for j, y in b if y and len(set(x) & set(y)) >= least * len(y))
+        out = features.overlapping(spark.createDataFrame(a, "i int, w array<string>"), "i", spark.createDataFrame(b, "j int, w array<string>"), "j", "w", least)
+        assert sorted((x["i"], x["j"], x["shared"]) for x in out.collect()) == want
 
 
 def test_safe_rows_and_stages(spark, tmp_path):

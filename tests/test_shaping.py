@@ -34,7 +34,7 @@ def test_records(spark):
     assert rows(records.truth_links(truth, spark.createDataFrame([("f",)], "entity string"))) == [("e", "main", "https://a/1"), ("e", "main", "https://a/2")]
     s = spark.createDataFrame([(200, None), (403, 0), (404, 5), (500, 1)], "s int, r int")
     assert [r[0] for r in s.select(records.verdict(F.col("s"), F.col("r"))).collect()] == ["pass", "wait", "stop", "retry"]
-    j = spark.createDataFrame([('{"cve":{"CVE_data_meta":{"ID":"CVE-1"}},"impact":{"baseMetricV3":{"cvssV3":{"baseScore":9.8,"vectorString":"V"}}},"x":"CWE-79","cpe23Uri":"cpe:a"}',)], "j string")
+    j = spark.createDataFrame([('{"cve":{"CVE_data_meta":{"ID":"CVE-1"},"problemtype":{"problemtype_data":[{"description":[{"value":"CWE-79"},{"value":""}]},{"description":[]}]},"references":"CWE-20"},"impact":{"baseMetricV3":{"cvssV3":{"baseScore":9.8,"vectorString":"V"}}},"cpe23Uri":"cpe:a"}',)], "j string")
     r = j.select(records.vulnerability_record(F.col("j")).alias("r")).first()["r"]
     assert (r["id"], r["cwes"], r["cpes"], r["score2"], r["score3"], r["vector3"]) == ("CVE-1", ["CWE-79"], ["cpe:a"], None, 9.8, "V")
 
