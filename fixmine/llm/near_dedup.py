@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
@@ -124,23 +124,25 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (x, y) with a portion: of one x in one task, so many pairs are in each."""
+    """Rows (node, hub, portion, side) of pairs (x, y): y as side 1, in portions of so many of one x in one task, and x as side 0 of each portion."""
     seen: dict[int, int] = {}
     task = TaskContext.get().partitionId() << 32
     for batch in batches:
-        portion = []
-        for x in batch["x"].to_pylist():
+        out = []
+        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
             nth = seen.get(x, 0)
             seen[x] = nth + 1
-            portion.append(task + nth // HUB_PAIRS)
-        yield pa.record_batch([batch["x"], batch["y"], pa.array(portion, pa.int64())], names=["x", "y", "portion"])
+            portion = task + nth // HUB_PAIRS
+            if nth % HUB_PAIRS == 0:
+                out.append((x, x, portion, 0))
+            out.append((y, x, portion, 1))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["node", "hub", "portion", "side"])
 
 
 def _beside(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
-    """Rows (hub, portion, side, node, cols): x of the pairs (x, y) as side 0, then the y of a portion as side 1. table: node, cols."""
-    dealt = keep(pairs.select("x", "y").mapInArrow(_portions, "x long, y long, portion long"), "portions")
-    hubs = dealt.select(F.col("x").alias("node"), F.col("x").alias("hub"), "portion", F.lit(0).alias("side")).distinct()
-    need = hubs.union(dealt.select("y", "x", "portion", F.lit(1)))
+    """Rows (hub, portion, side, node, cols): x of the pairs (x, y) as side 0, then the y of a portion as side 1. table: node, cols; pairs: a kept table."""
+    need = pairs.select("x", "y").mapInArrow(_portions, "node long, hub long, portion long, side long")
     return table.join(need, "node").select("hub", "portion", "side", "node", *cols).repartition("hub", "portion").sortWithinPartitions("hub", "portion", "side")
 
 
@@ -277,20 +279,23 @@ def _with_group(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.join(groups.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
 
 
-def _outside_with_all(rows: DataFrame, key: str, lefts: Column, rights: Column, *cols: str) -> DataFrame:
+def _outside_with_all(rows: DataFrame, key: str, most: int, *cols: str, size: str | None = None, most_size: int = 1) -> DataFrame:
     """Blocks (key, i, j) of rows (key, node, group and others): members outside the largest group (side 0) with all (side 1).
 
-    Keys of one group give none. lefts, rights: aggregates that say into how many chunks the two sides are cut.
+    Keys of one group give none. Both sides are cut into chunks of about ``most`` members, and ``most_size`` of ``size``.
     """
-    held = rows.groupBy(key).agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.mode("group").alias("_main"), rights.alias("_rights")).where("_low <> _high").select(key, "_main", "_rights")
-    rows = rows.join(held, key)
-    left = rows.where("group <> _main")
-    left = left.join(left.groupBy(key).agg(lefts.alias("_lefts")), key)
-    lefts_of = left.select(key, "_lefts").distinct()
+    one = F.lit(0) if size is None else F.sum(size)
+    counts = rows.groupBy(key, "group").agg(F.count("*").alias("n"), one.cast("long").alias("s"))
+    held = counts.groupBy(key).agg(F.count("*").alias("groups"), F.max_by("group", F.struct("n", "group")).alias("_main"), F.max_by("s", F.struct("n", "group")).alias("ms"), F.max("n").alias("mn"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("groups > 1")
+    chunks = lambda n, s: F.ceil(F.greatest(n / most, s / most_size, F.lit(1.0))).cast("int")
+    held = held.select(key, "_main", chunks(F.col("n") - F.col("mn"), F.col("s") - F.col("ms")).alias("_lefts"), chunks(F.col("n"), F.col("s")).alias("_rights"))
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = left.select(key, chunk("_lefts").alias("i"), every("_rights").alias("j"), F.lit(0).alias("side"), "node", "group", *cols)
-    return one.union(rows.join(lefts_of, key).select(key, every("_lefts"), chunk("_rights"), F.lit(1), "node", "group", *cols))
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(every("_lefts"), lambda i: place(i, chunk("_rights"), 1))
+    left = F.when(F.col("group") != F.col("_main"), F.transform(every("_rights"), lambda j: place(chunk("_lefts"), j, 0)))
+    at = F.explode(F.concat(right, F.coalesce(left, F.slice(right, 1, 0)))).alias("_at")
+    return rows.join(held, key).select(key, at, "node", "group", *cols).select(key, "_at.*", "node", "group", *cols)
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -322,16 +327,15 @@ def labelled_rows(docs: DataFrame, threshold: float, seen: dict[str, int] | None
     texts = _texts(rows, classes, likely.select(F.explode(F.array("x", "y")).alias("node")).distinct())
     links = keep(_beside(likely, texts, "text").mapInArrow(_compare(percent), "a long, b long"), "links")
     groups = keep(components(links, "groups"), "groups")
-    chunks = lambda n, of=F.lit(1): F.ceil(F.greatest(F.count("*") / n, F.sum(of) / FAMILY_SHINGLES)).cast("int")
     met = _with_group(member.where("node <> first").select("bucket", "node"), groups).join(signs, "node")
-    blocks = _outside_with_all(met, "bucket", chunks(CHUNK), chunks(CHUNK), "n_shingles", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    blocks = _outside_with_all(met, "bucket", CHUNK, "n_shingles", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     alike = keep(blocks.mapInArrow(_by_block(("bucket", "i", "j"), ("side", "node", "group", "n_shingles", "sig"), _alike(percent, least)), "a long, b long").distinct(), "alike")
     drop(member)
     more = links.limit(0)
     if not alike.isEmpty():
         families = keep(components(alike, "families").select(F.col("node").alias("group"), F.col("component").alias("family")), "families")
         kin = keep(_with_group(signs, groups).join(families, "group"), "kin")
-        dealt = keep(_outside_with_all(kin, "family", *[chunks(FAMILY_CHUNK, F.col("n_shingles"))] * 2, "sig"), "blocks")
+        dealt = keep(_outside_with_all(kin, "family", FAMILY_CHUNK, "sig", size="n_shingles", most_size=FAMILY_SHINGLES), "blocks")
         blocks = dealt.join(_texts(rows, classes, kin.select("node")), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
         more = keep(blocks.mapInArrow(_by_block(("family", "i", "j"), ("side", "node", "group", "sig", "text"), _linked(percent, least)), "a long, b long"), "links")
         if not more.isEmpty():

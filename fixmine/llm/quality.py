@@ -21,7 +21,7 @@ from fixmine.llm.store import bound, columns_for, drop, keep
 #: Hashed features of the linear scorer: shapes of words and bins of statistics below, words and pairs of words above.
 DIMS, SHAPES = 1 << 13, 1 << 12
 #: Documents that the scorer is fitted on at most: the first by a hash of doc_id and text, of rows that repeat both one.
-FIT_ROWS = 6000
+FIT_ROWS = 4500
 #: Documents with a lower score are rejected.
 LEAST_SCORE = 0.35
 
@@ -256,7 +256,12 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(DIMS + 1))
     target = 1 - weak.posterior(taken["pattern"].to_numpy()[:, None] // _POWERS % 3)
     cols, vals = taken["cols"].combine_chunks(), taken["vals"].combine_chunks()
-    return Model(fit_scorer(cols.value_lengths().to_numpy(), cols.flatten().to_numpy(), vals.flatten().to_numpy(), target))
+    del taken
+    try:
+        return Model(fit_scorer(cols.value_lengths().to_numpy(), cols.flatten().to_numpy(), vals.flatten().to_numpy(), target))
+    finally:
+        del cols, vals
+        X.trim()
 
 
 def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -150,8 +150,20 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def trim() -> None:
+    """Give the C library's and Arrow's free memory back to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def trimmed(run):
-    """A batch function that gives the C library's free memory back to the machine when a task ends."""
+    """A batch function that trims memory when a task ends."""
     from functools import wraps
 
     @wraps(run)
@@ -159,12 +171,6 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return whole
