@@ -285,3 +285,31 @@ def language_of(path: Column) -> Column:
     """The language of a path by its suffix, else null."""
     table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
     return table[F.lower(F.element_at(F.split(path, "[.]"), -1))]
+
+
+def union_of(*sets: Column) -> Column:
+    """Distinct items of all arrays, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*sets))))
+
+
+def intersection_of(*sets: Column) -> Column:
+    """Items that all arrays have, sorted."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = F.array_intersect(out, s)
+    return F.array_sort(F.array_distinct(out))
+
+
+def smoothed_overlap(a: Column, b: Column) -> Column:
+    """Shared distinct tokens over one more than the distinct tokens of b."""
+    return F.size(F.array_intersect(a, b)) / (F.size(F.array_distinct(b)) + F.lit(1.0))
+
+
+def issue_key(c: Column) -> Column:
+    """The first key like ``ABC-12``, or null."""
+    return F.nullif(F.regexp_extract(c, ISSUE_KEY, 0), F.lit(""))
+
+
+def numeric_ids(c: Column, digits: int = 2) -> Column:
+    """All runs of so many digits or more."""
+    return F.regexp_extract_all(c, F.lit("([0-9]{%d,})" % digits))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -109,17 +109,22 @@ def changed_functions(lines: DataFrame, key: str) -> DataFrame:
 def enclosing_braces(df: DataFrame, code: str, position: str, name: str = "span") -> DataFrame:
     """Add the (begin, end) of the outermost pair of braces around a position; null if there is none."""
 
+    import re
+
+    brace = re.compile("[{}]")
+
     @F.pandas_udf("begin long, end long")
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, places in batches:
             out = []
             for text, place in zip(texts, places, strict=True):
                 depth, begin, span = 0, None, (None, None)
-                for i, c in enumerate(text or ""):
-                    if c == "{":
+                for m in brace.finditer(text or ""):
+                    i = m.start()
+                    if m[0] == "{":
                         begin = i if depth == 0 else begin
                         depth += 1
-                    elif c == "}" and depth:
+                    elif depth:
                         depth -= 1
                         if depth == 0 and begin <= place <= i:
                             span = (begin, i)
@@ -128,3 +133,43 @@ def enclosing_braces(df: DataFrame, code: str, position: str, name: str = "span"
             yield pd.DataFrame(out, columns=["begin", "end"]).astype("Int64")
 
     return df.withColumn(name, find(code, position))
+
+
+def enclosing_function(lines: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """(keys, n, function): the last function header at or before each wanted line n, null before the first.
+
+    lines: keys, n, line of whole files; wanted: keys, n. A running last value within a file.
+    """
+    name = F.regexp_extract("line", _BRACED, 1)
+    w = Window.partitionBy(*keys).orderBy("n")
+    named = lines.withColumn("function", F.last(F.when((name != "") & ~name.isin(list(_NOT_NAMES)), name), True).over(w))
+    return wanted.select(*keys, "n").join(named.select(*keys, "n", "function"), [*keys, "n"])
+
+
+def readable_diff(diff: Column, fallback: Column) -> Column:
+    """The text if it is a diff, else that of the address with ``.diff``, if that is one."""
+    from fixmine.operators.filters import is_diff
+
+    return F.coalesce(F.when(is_diff(diff), diff), F.when(is_diff(fallback), fallback))
+
+
+def commit_features(lines: DataFrame, key: str) -> DataFrame:
+    """(key, files, paths, functions, tokens) of each change, lower-cased: names and paths of its files, the names in the headers of its hunks, and its changed tokens with counts."""
+    from fixmine.functions.strings import camel_tokens
+
+    low = lambda c: F.lower(F.col(c))
+    heads = lines.groupBy(key).agg(
+        F.array_sort(F.collect_set(F.lower(F.element_at(F.split("file", "/"), -1)))).alias("files"), F.array_sort(F.collect_set(low("file"))).alias("paths"),
+        F.array_sort(F.collect_set(F.nullif(F.lower(F.regexp_extract("hunk", r"@@[^@]*@@.*?([A-Za-z_][A-Za-z0-9_]*) *[(]", 1)), F.lit("")))).alias("functions"),
+    )
+    tokens = lines.where("kind <> 'ctx'").select(key, F.explode(camel_tokens(F.col("line"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    counts = tokens.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "n")))).alias("tokens"))
+    return heads.join(counts, key, "left")
+
+
+def token_stream(message: Column, paths: Column, functions: Column, code: Column) -> Column:
+    """Tokens of a change in order: of its message, its paths, its functions and its code."""
+    from fixmine.functions.strings import camel_tokens
+
+    parts = [camel_tokens(F.coalesce(message, F.lit(""))), *(F.flatten(F.transform(F.coalesce(a, F.array().cast("array<string>")), camel_tokens)) for a in (paths, functions)), camel_tokens(F.coalesce(code, F.lit("")))]
+    return F.concat(*parts)

@@ -108,3 +108,14 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
     side = F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").otherwise("both")
     return x.join(y, key, "full_outer").select(key, side.alias("side"))
+
+
+def differences(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, missing): what one of two tables has and the other lacks, each once; missing: ``a`` or ``b``."""
+    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return x.join(y, list(keys), "left_anti").withColumn("missing", F.lit("b")).union(y.join(x, list(keys), "left_anti").withColumn("missing", F.lit("a")))
+
+
+def kept_references(tags: Column) -> Column:
+    """References that count: attachments, and those from a page's own content."""
+    return F.exists(tags, lambda t: F.contains(t, F.lit("attachment")) | F.contains(t, F.lit("from html content")))

@@ -109,6 +109,37 @@ def merged(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys))
 
 
+def name_matches(products: DataFrame, repos: DataFrame, key: str, product: str, repo: str, least: float = 2 / 3) -> DataFrame:
+    """(key, product, repo, score): repositories of the same entity of whose words ``least`` are shared with a product's, over the longer name.
+
+    Both sides meet on the words that they share, so names without a common word are never compared.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda x: x != ""))
+    p = products.select(key, product).distinct().withColumn("_p", words(product))
+    r = repos.select(key, repo).distinct().withColumn("_r", words(repo))
+    met = p.withColumn("_w", F.explode("_p")).join(r.withColumn("_w", F.explode("_r")), [key, "_w"]).groupBy(key, product, repo).agg(F.count("*").alias("_n"), F.first(F.greatest(F.size("_p"), F.size("_r"))).alias("_m"))
+    return met.withColumn("score", F.col("_n") / F.col("_m")).where(F.col("score") >= least).select(key, product, repo, "score")
+
+
+def commits_of_repos(commits: DataFrame, repos: DataFrame, repo: str) -> DataFrame:
+    """Distinct changes of the chosen repositories."""
+    return commits.join(repos.select(repo).distinct(), repo, "left_semi").distinct()
+
+
+def aligned_with_lookup(before: DataFrame, after: DataFrame, whole_before: DataFrame, whole_after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``aligned`` of changed functions, where a side that is missing is looked up in the whole version of that side."""
+    both = aligned(before, after, keys, value).drop("status")
+    old, new = (w.groupBy(*keys).agg(F.min(value).alias(n)) for w, n in ((whole_before, "_old"), (whole_after, "_new")))
+    found = both.join(old, list(keys), "left").join(new, list(keys), "left").withColumn("before", F.coalesce("before", "_old")).withColumn("after", F.coalesce("after", "_new")).drop("_old", "_new")
+    return found.withColumn("status", F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").when(F.col("before") == F.col("after"), "same").otherwise("modified"))
+
+
+def compared_versions(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, ours, theirs, agree): the two answers for each key; a missing one does not agree."""
+    a, b = ours.select(*keys, F.col(value).alias("ours")), theirs.select(*keys, F.col(value).alias("theirs"))
+    return a.join(b, list(keys), "full_outer").withColumn("agree", F.coalesce(F.col("ours") == F.col("theirs"), F.lit(False)))
+
+
 def issue_search(issues: DataFrame, commits: DataFrame, similarity: Column, least: float = 2 / 3) -> DataFrame:
     """(entity, key, hash): changes whose message has an issue key of the entity, in repositories similar enough to its product.
 

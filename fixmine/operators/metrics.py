@@ -111,3 +111,30 @@ def capped_recall(hits: DataFrame, truth: DataFrame, group: Sequence[str]) -> Da
     """(group, recall): hits over truths, at most 1, so repeated hits cannot exceed it."""
     h, t = hits.groupBy(*group).agg(F.count("*").alias("h")), truth.groupBy(*group).agg(F.count("*").alias("t"))
     return t.join(h, list(group), "left").select(*group, F.least(F.lit(1.0), ratio(F.coalesce("h", F.lit(0)), F.col("t"))).alias("recall"))
+
+
+def list_scores(pred: DataFrame, truth: DataFrame, group: Sequence[str], item: str) -> DataFrame:
+    """``set_scores`` of lists: a prediction that is repeated counts each time, as a hit or as a miss."""
+    keys = [*group, item]
+    right = truth.select(*keys).distinct()
+    hits = pred.select(*keys).join(right.withColumn("_t", F.lit(1)), keys, "left").groupBy(*group).agg(F.count_if(F.col("_t").isNotNull()).alias("tp"), F.count_if(F.col("_t").isNull()).alias("fp"))
+    missed = right.join(pred.select(*keys).distinct(), keys, "left_anti").groupBy(*group).agg(F.count("*").alias("fn"))
+    n = hits.join(missed, list(group), "full_outer").na.fill(0, ["tp", "fp", "fn"])
+    tp = F.col("tp")
+    return n.select("*", *precision_recall_f1(tp, tp + F.col("fp"), tp + F.col("fn")))
+
+
+def ranks_from_losses(df: DataFrame, index: str, lost: str, size: int = 5000) -> DataFrame:
+    """(block, rank): each block of ``size`` comparisons, in the order of an index from 0, is one item against others; its rank is its losses and one."""
+    return df.groupBy(F.floor(F.col(index) / size).cast("long").alias("block")).agg((F.sum(F.col(lost).cast("long")) + 1).alias("rank"))
+
+
+def label_accuracy(df: DataFrame, predicted: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, accuracy): the share of rows whose prediction is the label; a missing prediction is wrong."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col(predicted) == F.col(label), F.lit(False)).cast("double")).alias("accuracy"))
+
+
+def token_accuracy(predicted: Column, label: Column) -> Column:
+    """Share of the places of ``label`` where both arrays agree; null for no places."""
+    same = F.aggregate(F.zip_with(predicted, label, lambda p, t: F.coalesce(p == t, F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.try_divide(same.cast("double"), F.size(label).cast("double"))

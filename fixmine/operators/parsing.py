@@ -47,6 +47,30 @@ def vulnerable_products(df: DataFrame, key: str, feed: str, children_first: bool
     return named.where("product NOT IN ('*', '-', '')").distinct()
 
 
+RANGE = "array<struct<vulnerable:boolean,cpe23Uri:string,versionStartIncluding:string,versionEndExcluding:string>>"
+RANGES = f"nodes array<struct<operator:string,cpe_match:{RANGE},children:array<struct<cpe_match:{RANGE}>>>>"
+
+
+def product_set(df: DataFrame, key: str, feed: str) -> DataFrame:
+    """(key, vendor, product): ``vulnerable_products`` where children come first, each pair once and without backslashes."""
+    bare = lambda c: F.replace(F.col(c), F.lit(chr(92)), F.lit(""))
+    return vulnerable_products(df, key, feed, children_first=True).select(key, bare("vendor").alias("vendor"), bare("product").alias("product")).distinct()
+
+
+def version_triples(df: DataFrame, key: str, feed: str) -> DataFrame:
+    """(key, operator, vendor, product, version): names with their version, or the end of their range; ``*``, ``-`` and nothing are no version.
+
+    Names of a node's children come first, its own where there are none; operator: AND or OR of the node.
+    """
+    nodes = df.select(key, F.explode(F.from_json(feed, RANGES)["nodes"]).alias("n"))
+    below = F.flatten(F.transform("n.children", lambda c: c["cpe_match"]))
+    m = nodes.select(key, F.col("n.operator").alias("operator"), F.explode(F.when(F.size(below) > 0, below).otherwise(F.col("n.cpe_match"))).alias("m"))
+    parts = F.split(F.col("m.cpe23Uri"), ":")
+    own = F.when(~parts[5].isin("*", "-", ""), parts[5])
+    triple = m.select(key, "operator", parts[3].alias("vendor"), parts[4].alias("product"), F.coalesce(own, "m.versionEndExcluding", "m.versionStartIncluding").alias("version"))
+    return triple.where("version IS NOT NULL AND version NOT IN ('*', '-', '')").distinct()
+
+
 def first_patches(df: DataFrame, keys: Sequence[str | Column], patch: str, order: str) -> DataFrame:
     """(keys, patch): the first non-empty patch of each version."""
     return df.where(F.length(patch) > 0).groupBy(*keys).agg(F.min_by(patch, order).alias(patch))

@@ -65,3 +65,16 @@ def grouped_sets(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame
     """(outer, inner, values): sorted distinct values by two keys."""
     return df.groupBy(outer, inner).agg(F.array_sort(F.collect_set(value)).alias("values"))
 
+
+def multi_map(parts: Sequence[DataFrame], key: str, value: str, prefix: str = "CVE-") -> DataFrame:
+    """(key, values): the sorted distinct values of each key over several tables; empty values and other keys are skipped."""
+    every = parts[0].select(key, value)
+    for p in parts[1:]:
+        every = every.unionByName(p.select(key, value))
+    return every.where(F.col(key).startswith(prefix) & (F.length(value) > 0)).groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def nested_sum(df: DataFrame, key: str, items: str, field: str) -> DataFrame:
+    """(key, total): the sum of a field over the lists of all rows of a key."""
+    own = F.aggregate(F.col(items), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x[field].cast("long"), F.lit(0)))
+    return df.groupBy(key).agg(F.sum(own).alias("total"))

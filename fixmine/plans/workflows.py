@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixmine.operators import filters, graph, linkage, metrics, models, ranking, votes
@@ -68,3 +68,22 @@ def match_precision(pred: DataFrame, truth: DataFrame, entity: str, match: Colum
     hit = linkage.matched(pred, truth, entity, match).groupBy(entity).agg(F.count("*").alias("hits"))
     n = pred.groupBy(entity).agg(F.count("*").alias("n"))
     return n.join(truth.select(entity).distinct(), entity, "left_semi").join(hit, entity, "left").select(entity, metrics.ratio(F.coalesce("hits", F.lit(0)), F.col("n")).alias("precision"))
+
+
+def evaluate_outputs(spark: SparkSession, folder: str, out: str, ks: Sequence[int], id_: str = "id", score: str = "score", label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Scores of every ``*_output.csv`` in a folder (id, score, label), written as two CSV tables, precision by k and recall by k.
+
+    All files are one table with the file's name, ranked and aggregated together; equal scores keep the order of their labels, worst first.
+    """
+    path = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    rows = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*_output.csv").option("recursiveFileLookup", "true").csv(folder).withColumn("system", F.regexp_replace(path, "_output[.]csv$", ""))
+    ranked = ranking.rank_within(rows, ["system", id_], [F.desc(score), label], "rank")
+    made = []
+    for name, measure in (("precision", metrics.topk_prf), ("recall", metrics.recall_effort_mrr)):
+        parts = None
+        for system in [r[0] for r in ranked.select("system").distinct().orderBy("system").collect()]:  # one for each file
+            part = measure(ranked.where(F.col("system") == system), [id_], "rank", label, ks).withColumn("system", F.lit(system))
+            parts = part if parts is None else parts.unionByName(part)
+        parts.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
+        made.append(spark.read.schema(parts.schema).option("header", True).csv(f"{out}/{name}"))
+    return made[0], made[1]

@@ -183,3 +183,43 @@ def expand_pointers(df: DataFrame, column: str, name: str = "value") -> DataFram
         return texts.map(one)
 
     return df.withColumn(name, run(column))
+
+
+def lookup(spark: SparkSession, path: str, ids: DataFrame, key: str) -> DataFrame:
+    """Items of a feed split by year (see ``split_by_year``) with the wanted ids; only the years that occur in the ids are read."""
+    wanted = ids.select(key).distinct().withColumn("year", F.regexp_extract(key, "^[A-Z]+-([0-9]{4})-", 1).cast("int"))
+    return spark.read.json(path).join(wanted, ["year", key], "left_semi")
+
+
+def frame_or(spark: SparkSession, path: str, default: DataFrame) -> DataFrame:
+    """The table at ``path``, or the default where there is none."""
+    try:
+        return frame(spark, path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return default
+
+
+def file_info(spark: SparkSession, path: str) -> DataFrame:
+    """(name, folder, length, modified) of all files below a folder, without reading them."""
+    at = F.split("path", "/")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(at, -1).alias("name"), F.element_at(at, -2).alias("folder"), "length", F.col("modificationTime").alias("modified"))
+
+
+def final_urls(urls: DataFrame, redirects: DataFrame, url: str) -> DataFrame:
+    """``urls`` with ``final``, the end of the chain of redirects (source, target); one that leads back into itself has none.
+
+    One round for each doubling of a chain's length.
+    """
+    from fixmine.store import checkpoints
+
+    checkpoints(urls.sparkSession)
+    hop = redirects.select("source", "target").groupBy("source").agg(F.min("target").alias("target")).checkpoint()
+    ends = hop.count().bit_length() + 1
+    for _ in range(ends):  # chains are no longer than there are redirects
+        on = hop.select(F.col("source").alias("target"), F.col("target").alias("_t"))
+        hop = hop.join(on, "target", "left").select("source", F.coalesce("_t", "target").alias("target")).checkpoint()
+    loops = hop.join(hop.select(F.col("source").alias("target")), "target", "left_semi").select("source", F.lit(True).alias("_loop"))
+    out = urls.join(hop.withColumnRenamed("source", url), url, "left").join(loops.withColumnRenamed("source", url), url, "left")
+    return out.withColumn("final", F.when(F.col("_loop").isNull(), F.coalesce("target", url))).drop("target", "_loop")

@@ -26,6 +26,14 @@ def vendor_versions(df: DataFrame, components: str) -> DataFrame:
     return v.select("component", F.col("v.version_range").alias("range"), "v.fix_version", "v.fix_date", "v.patch", F.explode_outer("v.instances").alias("instance"))
 
 
+def with_detail(df: DataFrame, key: str, components: str, detail: DataFrame) -> DataFrame:
+    """``vendor_versions`` with the key; a record without components takes those of its detail page (key, components)."""
+    d = detail.select(key, F.col(components).alias("_d"))
+    chosen = df.join(d, key, "left").select(key, F.coalesce(F.when(F.size(components) > 0, F.col(components)), "_d").alias(components))
+    v = chosen.select(key, F.explode(components).alias("c")).select(key, F.col("c.component_name").alias("component"), F.explode_outer("c.versions").alias("v"))
+    return v.select(key, "component", F.col("v.version_range").alias("range"), "v.patch")
+
+
 def last_written(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:
     """The values of each key that were written last."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*")

@@ -16,28 +16,60 @@ def parse_json(text: str | None) -> str | None:
     return None if text is None else json.dumps(json.loads(text), sort_keys=True)
 
 
-def safe_rows(df: DataFrame, key: str, column: str, function: Callable[[str | None], str | None]) -> DataFrame:
-    """(key, status, result, error) of a function of each row; a row that raises has the status failed."""
+class _Clock:
+    """Stops what runs in the worker's main thread after so many seconds."""
+
+    def __init__(self, seconds: float | None):
+        self.seconds = seconds
+
+    def __enter__(self):
+        if self.seconds:
+            import signal
+
+            def stop(*_):
+                raise TimeoutError(f"more than {self.seconds} s")
+
+            self.old = signal.signal(signal.SIGALRM, stop)
+            signal.setitimer(signal.ITIMER_REAL, self.seconds)
+
+    def __exit__(self, *_):
+        if self.seconds:
+            import signal
+
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, self.old)
+
+
+def safe_rows(df: DataFrame, key: str, column: str, function: Callable[[str | None], str | None], timeout: float | None = None, elapsed: bool = False) -> DataFrame:
+    """(key, status, result, error) of a function of each row; a row that raises, or takes more seconds than ``timeout``, has the status failed.
+
+    elapsed: with the seconds that a row took.
+    """
+    import time
+
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k, x in zip(pdf[key], pdf[column], strict=True):
+                began = time.perf_counter()
                 try:
-                    out.append((k, "ok", function(x), None))
+                    with _Clock(timeout):
+                        row = (k, "ok", function(x), None)
                 except Exception as e:  # noqa: BLE001  any failure is the row's result
-                    out.append((k, "failed", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[key, "status", "result", "error"])
+                    row = (k, "failed", None, f"{type(e).__name__}: {e}")
+                out.append((*row, time.perf_counter() - began) if elapsed else row)
+            yield pd.DataFrame(out, columns=[key, "status", "result", "error", *["elapsed"] * elapsed])
 
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, status string, result string, error string")
+    return df.select(key, column).mapInPandas(run, f"{key} {kind}, status string, result string, error string" + ", elapsed double" * elapsed)
 
 
-def with_retry(df: DataFrame, key: str, column: str, first: Callable, second: Callable) -> DataFrame:
-    """``safe_rows`` with another function for the rows that failed."""
-    once = safe_rows(df, key, column, first)
+def with_retry(df: DataFrame, key: str, column: str, first: Callable, second: Callable, timeouts: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """``safe_rows`` with another function, and another timeout, for the rows that failed."""
+    once = safe_rows(df, key, column, first, timeouts[0])
     failed = df.join(once.where("status = 'failed'").select(key), key, "left_semi")
-    return once.where("status = 'ok'").unionByName(safe_rows(failed, key, column, second))
+    return once.where("status = 'ok'").unionByName(safe_rows(failed, key, column, second, timeouts[1]))
 
 
 def run_stages(df: DataFrame, key: str, folder: str, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:

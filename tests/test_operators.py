@@ -245,3 +245,57 @@ def test_sources(spark, tmp_path):
     assert (rows(hit, "raw"), rows(miss, "url")) == ([("page",)], [("u2",)])
     digest = spark.createDataFrame([("feed.json", "00")], "name string, sha256 string")
     assert rows(files.verified(spark, str(tmp_path / "feed.json"), digest), "ok") == [(False,)]
+
+
+def test_rows_that_take_too_long_fail(spark):
+    import time
+
+    def work(x):
+        time.sleep(5 if x == "slow" else 0)
+        if x == "bad":
+            raise ValueError("no" * 400)
+        return x
+
+    df = spark.createDataFrame([(1, "fast"), (2, "slow"), (3, "bad"), (4, None)], "k int, x string")
+    out = {r["k"]: r for r in stages.safe_rows(df, "k", "x", work, timeout=0.5, elapsed=True).collect()}
+    assert [out[k]["status"] for k in (1, 2, 3, 4)] == ["ok", "failed", "failed", "ok"]
+    assert out[2]["error"].startswith("TimeoutError") and 0.4 < out[2]["elapsed"] < 3
+    assert len(out[3]["error"]) > 800
+    twice = stages.with_retry(df.where("k < 4"), "k", "x", work, lambda x: "again", timeouts=(0.5, 2.0))
+    assert rows(twice, "k", "status", "result") == [(1, "ok", "fast"), (2, "ok", "again"), (3, "ok", "again")]
+
+
+def test_repeated_predictions_and_empty_groups(spark):
+    p = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 5)], "g string, i int")
+    t = spark.createDataFrame([("a", 1), ("a", 3), ("c", 7)], "g string, i int")
+    assert rows(metrics.list_scores(p, t, ["g"], "i"), "g", "tp", "fp", "fn") == [("a", 2, 1, 1), ("b", 0, 1, 0), ("c", 0, 0, 1)]
+    assert metrics.list_scores(p.limit(0), t.limit(0), ["g"], "i").count() == 0
+
+
+def test_redirects_end_or_lead_nowhere(spark):
+    r = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(70)] + [("x", "y"), ("y", "z"), ("z", "y"), ("s", "s")], "source string, target string")
+    urls = spark.createDataFrame([("u0",), ("u69",), ("x",), ("y",), ("s",), ("alone",)], "url string")
+    assert rows(files.final_urls(urls, r, "url"), "url", "final") == [("alone", "alone"), ("s", None), ("u0", "u70"), ("u69", "u70"), ("x", None), ("y", None)]
+
+
+def test_functions_around_lines_and_braces(spark):
+    code = "int f(void)\n{\n  if (x)\n  {\n  }\n}\nstatic char *g(int a)\n{\n  return a;\n}".split("\n")
+    lines = spark.createDataFrame([("k", n, t) for n, t in enumerate(code, 1)], "k string, n int, line string")
+    found = diffs.enclosing_function(lines, ["k"], lines.where("n IN (1, 4, 6, 9)"))
+    assert rows(found, "n", "function") == [(1, "f"), (4, "f"), (6, "f"), (9, "g")]
+    text = "}} a { b { c } d } { e }"
+    df = spark.createDataFrame([(text, p) for p in (0, 9, 16, 20, 23)] + [(None, 1)], "code string, at int")
+    assert [tuple(r["span"]) if r["span"]["begin"] is not None else None for r in diffs.enclosing_braces(df, "code", "at").collect()] == [None, (5, 17), (5, 17), (19, 23), (19, 23), None]
+
+
+def test_hunks_end_where_their_header_says(spark):
+    diff = "\n".join(["--- a/one", "+++ b/one", "@@ -1,2 +1,2 @@ f", "--- gone", "+++ here", " stay", "--- a/two", "+++ b/two", "@@ -3 +3,2 @@", "-x", "+y", "\\ No newline", "+z", " beyond"])
+    out = rows(diffs.diff_lines(spark.createDataFrame([(1, diff)], "k int, d string"), "k", "d"), "file", "kind", "old", "new", "line")
+    assert out == sorted([("one", "del", 1, None, "-- gone"), ("one", "add", None, 1, "++ here"), ("one", "ctx", 2, 2, "stay"), ("two", "del", 3, None, "x"), ("two", "add", None, 3, "y"), ("two", "add", None, 4, "z")], key=str)
+
+
+def test_dense_numbers_over_partitions(spark):
+    values = [random.Random(4).randrange(1000) for _ in range(500)]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v int, k int").repartition(7)
+    out = ranking.numbered(df, [F.desc("v"), "k"], "n").collect()
+    assert [x["n"] for x in sorted(out, key=lambda x: (-x["v"], x["k"]))] == list(range(500))
