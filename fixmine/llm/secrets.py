@@ -105,8 +105,8 @@ def scan_archive(versions: DataFrame, ledger: str) -> DataFrame:
     paths = keep(rows.mapInArrow(_blobs, "doc_id long, text_hash long, blob binary"), "paths")
     known = read_ledger(spark, ledger).where(F.col("rules") == RULES)
     key = F.coalesce("doc_id", F.lit(-(2**63))).alias("key")
-    # one version of each blob brings the text
-    first = paths.join(known.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.min(F.struct(key, "text_hash")).alias("row"))
+    # one version of each blob brings the text; counted before the join, so that a blob of very many paths is one row
+    first = paths.groupBy("blob").agg(F.min(F.struct(key, "text_hash")).alias("row")).join(known.select("blob"), "blob", "left_anti")
     fresh = keep(first.select("blob", "row.*"), "fresh")
     texts = rows.select(key, "text_hash", "text").mapInArrow(_once, "key long, text_hash long, text string").join(fresh.hint("shuffle_hash"), ["key", "text_hash"])
     scanned = texts.select("blob", "text").mapInArrow(_scan, FINDINGS.removesuffix(", rules string")).dropDuplicates(["blob"])
