@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
-from fixmine.llm.store import columns_for, drop, fresh_path, keep
+from fixmine.llm.store import columns_for, delete, drop, fresh_path, keep
 
 #: Distinct digests of a shard, on average; shards follow the number of digests.
 SHARD_KEYS = 50_000
@@ -209,4 +209,5 @@ def exact_groups(docs: DataFrame, fresh: Column | None = None) -> DataFrame:
     old = docs.sparkSession.read.schema(f"{BUCKET}, shard int").parquet(f"{path}/buckets").select("digest", F.struct("doc_id").alias("top"), "n")
     results = [keep(_settled(own, other), "kept") for own, other in ((old, theirs), (new, met.select("digest", F.col("old_id").alias("other_id"), F.col("old_n").alias("other_n"))))]
     drop(new, met)
+    delete(docs.sparkSession, path)
     return _rows(old_digests, results[0]).union(_rows(new_digests, results[1]))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixmine.llm.store import columns_for, drop, keep, spare
+from fixmine.llm.store import columns_for, drop, keep, owner, present, spare
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Lines of a range, on average; ranges follow the number of lines.
@@ -192,6 +192,13 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str = "bitmap") -> D
     return left.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(r)), "left").select(*docs.columns, name)
 
 
+def _kept_bitmaps(docs: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The bitmaps as a table; what led to them is deleted."""
+    mine = present()
+    with owner():
+        return keep(keep_bitmaps(docs, **limits), "bitmaps", mine)
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = [kept_lines(t, b) for t, b in zip(batch["text"].to_pylist(), batch["bitmap"].to_pylist(), strict=True)]
@@ -201,7 +208,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_report(docs: DataFrame, **limits: int) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every row."""
     rows = columns_for(docs, doc_id="long", text="string")
-    return with_bitmaps(rows, keep(keep_bitmaps(docs, **limits), "bitmaps")).mapInArrow(_report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(rows, _kept_bitmaps(docs, limits)).mapInArrow(_report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, **limits: int) -> DataFrame:
@@ -214,4 +221,4 @@ def drop_lines(docs: DataFrame, **limits: int) -> DataFrame:
             at = batch.schema.names.index("text")
             yield batch.set_column(at, "text", pa.array(done, batch.schema.field("text").type)).drop_columns([name])
 
-    return with_bitmaps(docs, keep(keep_bitmaps(docs, **limits), "bitmaps"), name).mapInArrow(run, docs.schema)
+    return with_bitmaps(docs, _kept_bitmaps(docs, limits), name).mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fixmine.llm import text as X
 from fixmine.llm.graph import PAIR, UnionFind, components
-from fixmine.llm.store import columns_for, drop, keep, spare
+from fixmine.llm.store import columns_for, drop, keep, owner, present, spare
 
 PLACES = 320
 #: Largest probability that no band holds a pair just at the threshold.
@@ -38,7 +38,9 @@ MISSED = 1e-5
 #: Pairs of one hub that are compared together.
 HUB_PAIRS = 64
 #: Members of a bucket whose signatures are compared together with as many others.
-CHUNK = 256
+CHUNK = 512
+#: Places of a signature that tell whether groups are alike; pairs of alike groups are compared on all.
+ROUGH = 96
 #: Members, and shingles, of a family that are compared together with as many others.
 FAMILY_CHUNK, FAMILY_SHINGLES = 128, 1_000_000
 #: Elements whose permutations are held at once.
@@ -81,6 +83,11 @@ def rows_of_bands(threshold: float, places: int = PLACES) -> int:
     return max([1, *(r for r in range(1, places + 1) if (1 - threshold**r) ** (places // r) <= MISSED)])
 
 
+def unlikely_below(threshold: float, places: int) -> float:
+    """The share of equal places that a link falls below with a probability under 1e-6: five standard errors."""
+    return max(0.0, threshold - 5 * (threshold * (1 - threshold) / places) ** 0.5)
+
+
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each signature; places that fill no band are left out."""
     n = len(signatures)
@@ -206,7 +213,7 @@ def _alike(percent: int, least: float):
         if not left or not right:
             return []
         groups, of = np.unique(np.array([r[2] for r in right]), return_inverse=True)
-        size, signs = np.array([r[3] for r in right]), np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), PLACES)
+        size, signs = np.array([r[3] for r in right]), np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), -1)
         united, out = UnionFind(), []
         for _, _, own, n, sig in left:
             at = np.flatnonzero((groups[of] != own) & _sizes_fit(size, np.int64(n), percent))
@@ -312,7 +319,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 def labelled_rows(docs: DataFrame, threshold: float, seen: dict[str, int] | None = None) -> DataFrame:
     """``near_groups`` with the hash of each row's text. seen: gets the numbers of pairs looked at, pairs verified, links and family members."""
     percent = round(100 * threshold)
-    least = max(0.0, threshold - 5 * (threshold * (1 - threshold) / PLACES) ** 0.5)
+    least = unlikely_below(threshold, PLACES)
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     sketch = keep(rows.mapInArrow(_sketch(rows_of_bands(threshold)), SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
@@ -327,9 +334,9 @@ def labelled_rows(docs: DataFrame, threshold: float, seen: dict[str, int] | None
     texts = _texts(rows, classes, likely.select(F.explode(F.array("x", "y")).alias("node")).distinct())
     links = keep(_beside(likely, texts, "text").mapInArrow(_compare(percent), "a long, b long"), "links")
     groups = keep(components(links, "groups"), "groups")
-    met = _with_group(member.where("node <> first").select("bucket", "node"), groups).join(signs, "node")
+    met = _with_group(member.where("node <> first").select("bucket", "node"), groups).join(signs.withColumn("sig", F.substring("sig", 1, ROUGH)), "node")
     blocks = _outside_with_all(met, "bucket", CHUNK, "n_shingles", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    alike = keep(blocks.mapInArrow(_by_block(("bucket", "i", "j"), ("side", "node", "group", "n_shingles", "sig"), _alike(percent, least)), "a long, b long").distinct(), "alike")
+    alike = keep(blocks.mapInArrow(_by_block(("bucket", "i", "j"), ("side", "node", "group", "n_shingles", "sig"), _alike(percent, unlikely_below(threshold, ROUGH))), "a long, b long").distinct(), "alike")
     drop(member)
     more = links.limit(0)
     if not alike.isEmpty():
@@ -361,7 +368,9 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Of rows that repeat both doc_id and text one stays.
     """
     d, h, own = spare(docs, "doc_key"), spare(docs, "hash_key"), spare(docs, "text_hash")
-    stay = keep(labelled_rows(docs, threshold).where("kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "stay")
+    mine = present()
+    with owner():
+        stay = keep(labelled_rows(docs, threshold).where("kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "stay", mine)
     rows = docs.withColumn(own, F.xxhash64("text"))
     ours = rows.join(stay, (F.col("doc_id").cast("long") == F.col(d)) & (F.col(own) == F.col(h)), "inner").dropDuplicates([d, h])
     return ours.select(*docs.columns).union(docs.where("doc_id is null"))

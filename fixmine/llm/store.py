@@ -76,10 +76,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return the table."""
+def present() -> Tables:
+    """Who owns the tables that are made now."""
+    return _owner.get()
+
+
+def keep(df: DataFrame, name: str, of: Tables | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return the table; it belongs to the present owner, or to ``of``."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if of is not None:
+        of.paths[path] = _owner.get().paths.pop(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
