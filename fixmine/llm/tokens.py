@@ -14,7 +14,7 @@ from fixmine.llm.text import U64, buffers, mix, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Characters per slice; bounds the memory of the array operations.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Distinct pre-tokens kept by one worker before the cache starts anew.
 CACHE = 1_000_000
 
