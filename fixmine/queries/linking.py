@@ -55,6 +55,16 @@ def jaro_family(spark, d):
     return _name_pairs(spark, d).select("a", "b", F.round(strings.jaro("a", "b"), 6).alias("jaro"), F.round(strings.jaro_winkler("a", "b"), 6).alias("winkler"))
 
 
+# A row of the table of longest common subsequences from the one before and the places where a character of a occurs in b.
+_ROW = "list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN m[k] = 1 THEN CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END + 1 ELSE 0 END))))"
+_MATCHES = "list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda k: CASE WHEN substr(a, i, 1) = substr(b, k, 1) THEN 1 ELSE 0 END))"
+
+
+@query(f"SELECT a, b, round(2 * list_last(list_reduce(list_prepend(list_transform(range(1, length(b) + 1), lambda k: 0), {_MATCHES}), lambda r, m: {_ROW})) / (length(a) + length(b)), 6) AS indel FROM {_PAIRS}")
+def indel_similarity(spark, d):
+    return _name_pairs(spark, d).select("a", "b", F.round(strings.indel_ratio("a", "b"), 6).alias("indel"))
+
+
 @query()
 def similarity_blend(spark, d):
     """The mean of five similarities; two of them are in no SQL dialect."""
@@ -199,8 +209,9 @@ WITH i AS (SELECT token, ln((SELECT count(*) FROM documents) / (count(*) + 1)) A
 SELECT doc_id, item_id, round(coalesce(sum(a.w * b.w) / nullif(any_value(a.norm) * any_value(b.norm), 0), 0), 4) AS cosine FROM {_WEIGHTS.format(k='doc_id', c=_DOCS)} a JOIN {_WEIGHTS.format(k='item_id', c=_ITEMS)} b USING (token) GROUP BY 1, 2
 """)
 def tfidf_cosine(spark, d):
+    checkpoints(spark)
     docs = table(spark, d, "documents")
-    counts = _counts(spark, d, "documents", "doc_id")
+    counts = _counts(spark, d, "documents", "doc_id").checkpoint()
     idfs = features.idf(counts, docs.count())
     pairs = features.tfidf_cosine(features.weights(counts, "doc_id", idfs), "doc_id", features.weights(_counts(spark, d, "benchmark", "item_id"), "item_id", idfs), "item_id")
     return pairs.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"))

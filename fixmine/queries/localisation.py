@@ -11,7 +11,7 @@ from fixmine.queries.base import query, table
 # A graph for each brand: sources N and R below the root; by p_partkey % 6 a part is a change below N, an issue below R, a change found by a
 # search, a change below the brand's first issue, a change tied to its first change below N, or one attached to N.
 _PARTS = "SELECT p_brand AS b, p_partkey AS p, p_partkey % 6 AS m, concat('u', CAST(p_partkey AS VARCHAR(20))) AS u FROM {part}"
-_FIRSTS = "SELECT b, concat('u', CAST(min(CASE WHEN m = 1 THEN p END) AS VARCHAR(20))) AS i, concat('u', CAST(min(CASE WHEN m = 0 THEN p END) AS VARCHAR(20))) AS j FROM k GROUP BY b"
+_FIRSTS = "SELECT b, 'u' || CAST(min(CASE WHEN m = 1 THEN p END) AS VARCHAR(20)) AS i, 'u' || CAST(min(CASE WHEN m = 0 THEN p END) AS VARCHAR(20)) AS j FROM k GROUP BY b"
 _GRAPH = f"""
 WITH k AS ({_PARTS}), f AS ({_FIRSTS}) SELECT DISTINCT root, src, dst, tag FROM (
  SELECT b AS root, b AS src, concat(b, '/N') AS dst, CAST(NULL AS VARCHAR(9)) AS tag FROM k UNION ALL SELECT b, b, concat(b, '/R'), NULL FROM k
@@ -66,7 +66,7 @@ def direct_or_found(spark, d):
 
 _CLEANED = f"""
 WITH k AS (SELECT *, p % 4 <> 3 AND m <> 1 AS chosen FROM {_K}), f AS (SELECT b, min(CASE WHEN m = 1 THEN p END) AS i, min(CASE WHEN m = 0 THEN p END) AS j FROM k GROUP BY b),
-used AS (SELECT k.b, f.i FROM k JOIN f ON k.b = f.b WHERE m = 3 AND chosen GROUP BY 1, 2), n AS (SELECT b || '/N' AS node FROM k UNION SELECT b || '/R' FROM k UNION SELECT b FROM k UNION SELECT u FROM k WHERE chosen UNION SELECT concat('u', CAST(i AS VARCHAR)) FROM used),
+used AS (SELECT k.b, f.i FROM k JOIN f ON k.b = f.b WHERE m = 3 AND chosen AND i IS NOT NULL GROUP BY 1, 2), n AS (SELECT b || '/N' AS node FROM k UNION SELECT b || '/R' FROM k UNION SELECT b FROM k UNION SELECT u FROM k WHERE chosen UNION SELECT concat('u', CAST(i AS VARCHAR)) FROM used),
 e AS (SELECT g.src, g.dst, g.tag FROM {_G} g LEFT JOIN k s ON s.u = g.src LEFT JOIN k t ON t.u = g.dst WHERE coalesce(g.tag, '') <> 'attach' AND NOT (coalesce(g.tag, '') = 'EX' AND coalesce(s.chosen, false) <> coalesce(t.chosen, false)) AND g.src IN (SELECT node FROM n) AND g.dst IN (SELECT node FROM n))
 """
 
