@@ -37,7 +37,7 @@ _HINTS = ("class", "id", "role", "aria-label")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"} | {"math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "semantics"}
 _HIDDEN = {"head", "script", "style", "noscript", "template", "svg", "select", "option", "textarea", "object", "canvas", "iframe", "audio", "video", "datalist", "dialog", "title", "xmp", "noembed", "noframes"}
 #: How far an element speaks for (or against) the blocks in it; the strongest word against counts, else the strongest for.
 _TAG_SCORE = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "article": 4, "main": 3, "header": -5, "fieldset": -9}
