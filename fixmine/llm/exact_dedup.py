@@ -22,6 +22,8 @@ from fixmine.llm.store import columns_for, delete, drop, fresh_path, keep
 
 #: Distinct digests of a shard, on average; shards follow the number of digests.
 SHARD_KEYS = 50_000
+#: Files of a shard's buckets, each written by one task.
+SHARD_FILES = 8
 DIGEST = "doc_id long, text_hash long, digest binary, key long"
 BUCKET = "digest binary, doc_id long, n long, text string"
 _NO_ID = -(2**63)
@@ -143,8 +145,8 @@ def write_snapshot(docs: DataFrame, path: str, digests: DataFrame | None = None)
     filters = own.select(shard.cast("long").alias("shard"), "key").groupBy("shard").applyInArrow(_filters, "shard long, seed long, segment long, windows long, prints binary")
     filters.withColumn("shards", F.lit(shards).cast("long")).write.parquet(f"{path}/filters")
     # rows that repeat both doc_id and text bring the same text
-    texts = _with_texts(rows, own).select(shard, "digest", F.col("top.doc_id").alias("doc_id"), "n", "text")
-    texts.repartition("shard").dropDuplicates(["shard", "digest"]).write.partitionBy("shard").parquet(f"{path}/buckets")
+    texts = _with_texts(rows, own).select(shard, F.pmod(F.xxhash64("digest"), F.lit(SHARD_FILES)).alias("file"), "digest", F.col("top.doc_id").alias("doc_id"), "n", "text")
+    texts.repartition("shard", "file").dropDuplicates(["shard", "file", "digest"]).drop("file").write.partitionBy("shard").parquet(f"{path}/buckets")
     drop(own)
 
 
