@@ -84,7 +84,7 @@ def rows_of_bands(threshold: float, places: int = PLACES) -> int:
 
 
 def unlikely_below(threshold: float, places: int) -> float:
-    """The share of equal places that a link falls below with a probability under 1e-6: five standard errors."""
+    """The share of equal places that is five standard errors below the threshold: a link just at it falls lower in 1 to 6 of a million cases."""
     return max(0.0, threshold - 5 * (threshold * (1 - threshold) / places) ** 0.5)
 
 
