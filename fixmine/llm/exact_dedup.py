@@ -84,11 +84,12 @@ class BinaryFuse:
         return prints == self.prints[at[0]] ^ self.prints[at[1]] ^ self.prints[at[2]]
 
 
+@X.trimmed
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = X.buffers(batch["text"])
-        whole = X.LOWER[raw].tobytes()
-        digests = [hashlib.sha256(whole[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        # text by text, so that no second copy of a batch is made
+        digests = [hashlib.sha256(X.LOWER[raw[a:b]]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         keys = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
         yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(digests, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "text_hash", "digest", "key"])
 
@@ -106,11 +107,12 @@ def _screen(new: pa.Table, filters: pa.Table) -> pa.Table:
     return new.select(["digest"]).filter(pa.array(made.has(new["key"].to_numpy().view(np.uint64))))
 
 
+@X.trimmed
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (new, at), (old, to) = X.buffers(batch["new_text"]), X.buffers(batch["old_text"])
-        new, old = X.LOWER[new].tobytes(), X.LOWER[old].tobytes()
-        hit = pa.array([new[at[k] : at[k + 1]] == old[to[k] : to[k + 1]] for k in range(batch.num_rows)], pa.bool_())
+        equal = [at[k + 1] - at[k] == to[k + 1] - to[k] and np.array_equal(X.LOWER[new[at[k] : at[k + 1]]], X.LOWER[old[to[k] : to[k + 1]]]) for k in range(batch.num_rows)]
+        hit = pa.array(equal, pa.bool_())
         yield pa.record_batch([batch[c].filter(hit) for c in ("digest", "old_id", "old_n")], names=["digest", "old_id", "old_n"])
 
 
