@@ -88,6 +88,27 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.periodic import run_report, with_planted_runs
+
+    return run_report(with_planted_runs(read(spark, sf_dir, "documents")))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.spelling import group_variants, letter_runs, with_planted_errors, word_counts
+
+    return group_variants(word_counts(with_planted_errors(letter_runs(read(spark, sf_dir, "documents")))))
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixmine.llm.quality_rules import rule_report
+
+    return rule_report(read(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op6_exact_dedup"] = f"""
@@ -131,6 +152,53 @@ SELECT doc_id, len(ss) AS n_shingles, component_id, doc_id = component_id AS kep
 """
 
 
+# crc32 byte by byte, from the table that its polynomial gives
+ORACLES["op12_spelling_variants"] = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS c FROM r GROUP BY ALL),
+b AS (SELECT w, c, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bytes FROM u),
+h AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+d AS (SELECT word, n, k, word[1:k - 1] || word[k + 1:] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+p AS (SELECT a.word AS x, b.word AS y FROM d a JOIN d b ON a.cut = b.cut AND a.k = b.k AND a.word <> b.word
+      UNION SELECT v.word, d.word FROM v JOIN d ON v.word = d.cut UNION SELECT d.word, v.word FROM v JOIN d ON v.word = d.cut),
+near AS (SELECT p.x AS word, p.y AS other, o.n AS other_n, row_number() OVER (PARTITION BY p.x ORDER BY o.n DESC, p.y) AS place, count(*) OVER (PARTITION BY p.x) AS n_near FROM p JOIN v o ON o.word = p.y),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+      FROM v LEFT JOIN near ON near.word = v.word AND place = 1),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word JOIN f last ON last.word = c.at AND last.form IS NULL
+"""
+
+
+def _rules_sql() -> str:
+    from fixmine.llm import quality_rules as q
+
+    def fails(r: q.Rule) -> str:
+        sides = [f"{r.scale} * {r.measure} < {r.least} * {r.of}" if r.least is not None else "", f"{r.scale} * {r.measure} > {r.most} * {r.of}" if r.most is not None else ""]
+        return "(" + " OR ".join(x for x in sides if x) + ")"
+
+    stop = ", ".join(f"'{w}'" for w in sorted({w for words in q.STOP_WORDS.values() for w in words}))
+    names = ", ".join(f"CASE WHEN {fails(r)} THEN '{r.name}' END" for r in (*q.BASE, *q.RULES))
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l FROM w),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+a AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM a GROUP BY doc_id),
+m AS (SELECT l.doc_id, 1 AS one, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+      length(t) - length(translate(t, '!?', '')) AS n_marks, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+      len(list_distinct(list_filter(w, lambda x: x IN ({stop})))) AS n_stop_words,
+      len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…) *$'))) AS n_ellipsis_lines,
+      len(list_filter(l, lambda x: regexp_matches(x, '^[ \\t\\n\\x0B\\f\\r]*([-*•●]|[0-9]+[.)])[ \\t]'))) AS n_bullet_lines FROM l LEFT JOIN r ON r.doc_id = l.doc_id),
+v AS (SELECT *, {" OR ".join(fails(x) for x in q.BASE)} AS base_failed, concat_ws(',', {names}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules = '' AS kept, failed_rules FROM v
+"""
+
+
+ORACLES["op13_quality_rules"] = _rules_sql()
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
