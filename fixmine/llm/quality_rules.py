@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixmine.llm.store import columns_for
+from fixmine.llm.store import columns_for, spare
 
 SYMBOLS, MARKS = "#*$%&|<>", "!?"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -74,8 +74,8 @@ def measures(docs: DataFrame, text: str = "text", stop_words: dict[str, list[str
     again = "filter(_exact, (x, i) -> x.w <=> get(_exact, i - 1).w OR x.w <=> get(_exact, i + 1).w)"
     size = lambda c: F.size(c).cast("long")
     every = F.array(*[F.lit(w) for w in sorted({w for words in stop_words.values() for w in words})])
-    return rows.select(
-        *docs.columns, F.lit(1).cast("long").alias("one"), size("_words").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+    numbers = F.struct(
+        F.lit(1).cast("long").alias("one"), size("_words").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"), F.regexp_count(t, F.lit(f"[{MARKS}]")).cast("long").alias("n_marks"),
         size("_lines").alias("n_lines"), (size("_lines") - size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         size(F.expr(f"array_distinct(flatten(transform({again}, x -> array(x.i, x.i + 1, x.i + 2))))")).alias("n_repeat_words"),
@@ -83,6 +83,8 @@ def measures(docs: DataFrame, text: str = "text", stop_words: dict[str, list[str
         size(F.filter("_lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("n_ellipsis_lines"),
         size(F.expr("filter(_lines, x -> x rlike '^[\\\\x20\\\\x09-\\\\x0D]*([-*•●]|[0-9]+[.)])[\\\\x20\\\\x09]')")).alias("n_bullet_lines"),
     )
+    # a generator, as a filter on a measure would else be pushed below the steps above and repeat them in itself
+    return rows.select(*docs.columns, F.inline(F.array(numbers)))
 
 
 def failed(rule: Rule) -> Column:
@@ -117,12 +119,9 @@ def rule_report(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, as they were."""
-    taken = {c.lower() for c in docs.columns}
-    name = "_row"
-    while name in taken:
-        name = "_" + name
+    name = spare(docs, "row")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name), F.col("text").cast("string").alias("text"))
-    kept = measures(whole)
+    kept = F.lit(True)
     for r in (*base, *rules):
-        kept = kept.where(~failed(r))
-    return kept.select(f"{name}.*")
+        kept = kept & ~failed(r)
+    return measures(whole).where(kept).select(f"{name}.*")

@@ -223,9 +223,9 @@ PROSE = "The sailors of the harbour mended their nets and waited for a wind that
     "text, rules",
     [
         (" ".join(f"{PROSE}{k}" for k in range(5)), "repeats"),
-        (" ".join(f"word{k} item{k % 2 * chr(33)} of the" for k in range(40)), ""),
-        (" ".join(f"word{k}!! of the!!" for k in range(40)), "marks"),
-        (" ".join(f"word{k}### of the{k}" for k in range(40)), "symbols"),
+        (" ".join(f"word{k} item{k}{k % 2 * '!'} of the" for k in range(40)), ""),
+        (" ".join(f"word{k}!! of to the{k}!!" for k in range(40)), "marks"),
+        (" ".join(f"word{k}### of the x{k}" for k in range(40)), "symbols"),
         (" ".join(f"zug{k} prt{k}" for k in range(40)), "stop_words"),
         ("\n".join(f"- the item{k} of word{k} in" for k in range(40)), "bullet_lines"),
         ("\n".join(f"the item{k} of word{k}..." for k in range(40)), "ellipsis_lines"),
