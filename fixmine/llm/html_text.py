@@ -1,8 +1,9 @@
 """Main-text extraction from HTML by minimum-cut labelling of text blocks.
 
-A page is read into blocks of text with their place in the tree. A block's cost has two parts: what the elements around it
-say (tags, and hints in their names), and a linear classifier of its own text, links and tag that is fitted on blocks of
-a sample of the pages whose element leaves no doubt (``article`` and ``main`` against ``nav``, ``footer`` and the like). The sum is
+A page is read into blocks of text with their place in the tree. A block's cost has two parts: what the tags around it say, and
+a linear classifier of its own text, links and tag and of the names of the elements around it. The classifier is fitted on blocks of
+a sample of the pages whose tags leave no doubt (``article`` against ``nav``, ``footer`` and the like); names are features
+among others, so that text and neighbours can outweigh them. A form speaks against its text only if that is mostly labels and fields. The sum is
 a terminal capacity (to the source if it speaks for content, to the sink if against). Blocks next to each other, and next
 of the same parent, are joined by smoothness edges that weaken with their distance in the tree. The cheapest labelling is a
 minimum cut, that is, one that a maximum flow fills; the source's side is content.
@@ -34,63 +35,98 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _HINTS = ("class", "id", "role", "aria-label")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"} | {"math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "semantics"}
 _HIDDEN = {"head", "script", "style", "noscript", "template", "svg", "select", "option", "textarea", "object", "canvas", "iframe", "audio", "video", "datalist", "dialog", "title", "xmp", "noembed", "noframes"}
-#: How far an element speaks for (or against) the blocks in it; the strongest word against counts, else the strongest for.
-_TAG_SCORE = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "article": 4, "main": 3, "header": -5, "fieldset": -9}
-_AGAINST = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promoted", "promotion", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "foot", "header", "masthead", "topbar",
-    "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "register", "search", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended",
-    "recommendations", "widget", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "hidden", "contentinfo", "complementary", "form",
+#: How far a tag speaks for (or against) the blocks in it; the strongest against counts, else the strongest for.
+_TAG_SCORE = {"nav": -9, "footer": -9, "aside": -9, "menu": -9, "article": 4, "main": 3, "header": -5, "fieldset": -9}
+#: A form's score if it holds fewer words of text than so many for each field, and these besides.
+_FORM, _FIELD_WORDS, _FORM_WORDS = -9, 15, 10
+_FIELDS = {"input", "select", "textarea", "button", "label"}
+#: Words of names that speak against an element, by how strongly.
+_ADS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion"}
+_READERS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+_ASIDE = {
+    "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "hidden",
 }
+_LAYOUT_WORDS = {
+    "banner", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "foot", "header", "masthead", "topbar", "notice", "alert", "register", "search", "toolbar", "pagination", "pager", "copyright", "legal",
+    "disclaimer", "contentinfo", "complementary", "form",
+}
+_AGAINST = {**dict.fromkeys(_ADS | _READERS, 7), **dict.fromkeys(_ASIDE, 5), **dict.fromkeys(_LAYOUT_WORDS, 3)}
+#: Elements that group others; inside an article only their classes and roles count.
+_GROUPS = {"div", "section", "ul", "ol", "dl", "nav", "aside", "span", "details", "iframe", "header", "footer", "form"}
 #: What stands before a word of ``_AGAINST`` that only names a part of the layout, and what a layout's wrapper is called.
 _EXCUSE = {"has", "with", "no", "without", "is"}
 _LAYOUT = {"wrap", "wrapper", "layout", "container", "grid", "row", "columns", "page", "site"}
 #: Words against whose elements hold articles of their own, which are not the page's.
-_OTHERS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "widget",
-    "popup", "modal", "newsletter", "hidden",
-}
+_OTHERS = _ADS | _READERS | _ASIDE - {"cookie", "cookies", "consent", "gdpr", "overlay", "subscribe", "subscription", "signup", "login", "share", "sharing", "social"}
 _FOR = {"article": 3, "content": 2, "main": 3, "post": 2, "entry": 2, "body": 1, "story": 2, "text": 1}
 #: Smoothness between neighbours at no distance, and how it falls with each step in the tree.
 _SMOOTH, _FALL = 1.5, 0.5
 
 
 class _Node:
-    __slots__ = ("depth", "firm", "hidden", "in_article", "in_aside", "in_form", "mixed", "others", "parent", "score", "tag")
+    __slots__ = ("against", "body", "depth", "fields", "firm", "form", "hidden", "in_article", "in_aside", "in_label", "mixed", "others", "parent", "pro", "tag", "weak", "words")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.in_article = bool(parent and (parent.in_article or parent.tag == "article"))
-        self.in_form = bool(parent and (parent.in_form or parent.tag == "form"))
         self.in_aside = bool(parent and (parent.in_aside or parent.tag in ("nav", "aside", "footer", "menu")))
+        self.in_label = tag in ("label", "legend", "button") or bool(parent and parent.in_label)
         self.mixed = False  # whether blocks of other elements are directly below
+        self.words = self.fields = 0  # of a form
         self.hidden = tag in _HIDDEN or bool(parent and parent.hidden) or (tag == "button" and not self.in_article)
-        own = _TAG_SCORE.get(tag, 0)
         self.others = bool(parent and parent.others)
-        if tag == "header" and self.in_article:
-            own = 0  # an article's own heading
-        plain = own
+        self.body = bool(parent and parent.body)  # inside something named after content
+        self.form = self if tag == "form" else parent.form if parent else None
+        # what tags and roles say against, what names say for, and against: the two strongest, strong and weak
+        self.firm, self.pro = (parent.firm, parent.pro) if parent else (0, 0)
+        self.against, self.weak = (parent.against, parent.weak) if parent else ((), ())
+        fresh = parent is not None and (tag == "main" or (tag == "article" and not parent.others))
+        if fresh:  # the page's own text begins anew
+            self.against, self.weak, self.others = (), (), False
+            if not self.in_aside:
+                self.form = None  # a form around the whole page
+        own = _TAG_SCORE.get(tag, 0)
+        if own > 0:
+            self.pro = max(self.pro, own) if fresh or not self.others else self.pro
+        elif not (tag == "header" and (self.in_article or self.body)):  # an article's own heading
+            self.firm = min(self.firm, own)
         if attributes:
-            named = _attributes(attributes)
-            if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or _INVISIBLE.search(named.get("style", "")):
-                self.hidden = self.hidden or tag not in ("html", "body", "article", "main")
-            if tag not in ("html", "body"):
-                tokens = [t for name, value in named.items() if name in _HINTS for t in value.split()]
-                own = _hinted(own, tokens)
-                self.others |= own < 0 and any(_OTHERS.intersection(_words(t)) for t in tokens)
-                plain = _hinted(plain, named.get("role", "").split()) if tag in ("div", "section") else own
-        above = parent.score if parent else 0
-        self.firm = min(parent.firm if parent else 0, plain)  # without what the names of divisions say
-        if parent and (tag == "main" or (tag == "article" and not parent.others)):
-            above = max(above, parent.firm)
-            self.others = False
-        if tag in ("article", "main") and self.in_form and not self.in_aside:
-            above = 0  # a form around the whole page
-        self.score = min(above, own) if min(above, own) < 0 else max(above, own)
+            self._read(tag, _attributes(attributes))
+
+    def _read(self, tag: str, named: dict[str, str]) -> None:
+        if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or _INVISIBLE.search(named.get("style", "")):
+            self.hidden = self.hidden or tag not in ("html", "body", "article", "main")
+        if tag in ("html", "body"):
+            return
+        if tag in ("div", "section") and _hinted(named.get("role", "").split())[1]:
+            self.firm = min(self.firm, -9)
+        names = ("class", "role", "aria-label") if self.in_article else _HINTS
+        tokens = [t for name, value in named.items() if name in names for t in value.split()]
+        if tag not in _GROUPS and (self.in_article or tag in _HEADINGS):
+            tokens = [t for t in tokens if t in _ADS] if tag not in _HEADINGS else []
+        if tag == "form":
+            tokens = [t for t in tokens if _words(t)[-1:] != ["form"]]
+        best, bad = _hinted(tokens, own_heading=self.in_article or self.body)
+        self.others |= any(_OTHERS.intersection(_words(t)) for t in tokens) and bad > 0
+        if bad > 3:
+            self.against = tuple(sorted((*self.against, bad))[-2:])
+        elif bad:
+            self.weak = tuple(sorted((*self.weak, bad))[-2:])
+        if best and not self.others:
+            self.pro, self.body = max(self.pro, best), True
+
+    @property
+    def tags(self) -> int:
+        """What the tags say, with the form that the block is in."""
+        form = _FORM if self.form and self.form.words < _FIELD_WORDS * self.form.fields + _FORM_WORDS else 0
+        worst = min(self.firm, form)
+        return worst if worst < 0 else self.pro
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -106,24 +142,23 @@ def _words(token: str) -> list[str]:
     return list(takewhile(lambda w: w not in _EXCUSE, (w.lower() for w in _WORD.findall(token))))
 
 
-def _hinted(own: int, tokens: list[str]) -> int:
-    """An element's score with what its classes, id and role say; names that contradict each other say nothing."""
-    against, best = False, 0
+def _hinted(tokens: list[str], own_heading: bool = False) -> tuple[int, int]:
+    """How far names speak for an element and against it; names that contradict each other say nothing."""
+    against = best = 0
     for token in tokens:
         words = _words(token)
         if "hidden" in words and (":" in token or words[0] in ("overflow", "backface") or words[0] == "hidden" != words[-1]):
             continue  # hides an overflow, or only on some screens
         if "sidebar" in words and _LAYOUT.intersection(words) and any(w in _FOR for w in words) and not _OTHERS.intersection(words):
             continue  # around both a page's text and its sidebar
-        if set(words) & _AGAINST:
-            against |= not ("header" in words and set(words) & {"article", "post", "entry", "story"})
+        if "header" in words and (own_heading or set(words) & {"article", "post", "entry", "story"}):
+            continue
+        bad = max((_AGAINST.get(w, 0) for w in words), default=0)
+        if bad:
+            against = max(against, bad)
         else:
             best = max([best, *(_FOR.get(w, 0) for w in words)])
-    if against and best:
-        return own
-    if against:
-        return -9 if own <= 0 else own - 12
-    return max(own, best) if own >= 0 else own
+    return (0, 0) if against and best else (best, against)
 
 
 def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
@@ -157,6 +192,8 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
                 while home.tag in _INLINE and home.parent:
                     home = home.parent
             parts.append(text)
+            if node.form and not node.in_label:
+                node.form.words += len(text.split())
             if in_link:
                 links += len(text.strip())
 
@@ -189,6 +226,8 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
                 up()
                 in_link = 0
             continue
+        if tag in _FIELDS and node.form and not (tag == "input" and _attributes(m[3]).get("type", "").lower() == "hidden"):
+            node.form.fields += 1
         if tag in _VOID:
             if tag in ("br", "wbr"):
                 parts.append(" " if tag == "br" else "")
@@ -219,31 +258,35 @@ def blocks_of(page: str) -> list[tuple[str, int, _Node]]:
     return out
 
 
-#: Weights of ``features`` before any page is seen; the fit is drawn towards them.
-PRIOR = np.array([-0.5, 1.0, -5.0, 0.7, -0.8, -1.0, 0.0, 0.0, 0.0])
-#: How strongly, how far a fitted classifier can go either way, and where the density of links counts less.
-_PULL, _MOST, _SURE = 0.05, 2.5, 3
+#: Weights of ``features`` before any page is seen; the fit is drawn towards them. The last three are of names.
+PRIOR = np.array([-0.5, 1.0, -5.0, 0.7, -0.8, -1.0, 0.0, 0.0, 0.0, -1.0, -1.0])
+#: How strongly, how far the text can go either way below a tag or name, how far the weight of a name moves, and where the density of links counts less.
+_PULL, _MOST, _NAMES, _SURE = 0.05, 2.5, (-1.5, -0.5), 3
 _PLAIN = ("p", "blockquote", "pre", "h1", "h2", "h3", "#root")
 _SHORT = ("h1", "h2", "h3", "h4", "p", "li", "td", "pre", "blockquote")
 
 
 def features(text: str, links: int, node: _Node) -> list[float]:
-    """What a block shows by itself: one, length, share of links, its tag, shortness, a copyright sign, marks and digits."""
+    """What a block shows: one, length, share of links, its tag, shortness, a copyright sign, marks and digits; and what names say against it."""
     words = text.count(" ") + 1
     return [
         1.0, min(2.0, words / 12), min(1.0, links / max(1, len(text))), float(node.tag in _PLAIN), float(words < 4 and node.tag not in _SHORT), float("\N{COPYRIGHT SIGN}" in text),
         float(text[-1] in ".!?:;\N{IDEOGRAPHIC FULL STOP}\N{HORIZONTAL ELLIPSIS}"), min(1.0, sum(map(text.count, ",;.")) / words), sum(c.isdigit() for c in text[:200]) / min(200, len(text)),
+        float(sum(node.weak)), float(sum(node.against)),
     ]
 
 
 def score(text: str, links: int, node: _Node, weights: np.ndarray = PRIOR) -> float:
-    """Over 0 if the block looks like content by itself: what its elements say and what the classifier says."""
-    x = features(text, links, node)
-    if node.score >= _SURE:
+    """Over 0 if the block looks like content by itself: what its tags say and what the classifier says."""
+    x, tags = features(text, links, node), node.tags
+    if tags >= _SURE:
         x[2] /= 5  # lists of links are part of an article
-    if node.score:
+    named = tags or x[9] or x[10]
+    if named:
         x[0] = x[5] = 0.0
-    return node.score + max(-_MOST if node.score else -5.0, sum(a * b for a, b in zip(x, weights.tolist(), strict=True)))
+    *own, weak, strong = weights.tolist()
+    of_names = min(max(weak, _NAMES[0]), _NAMES[1]) * x[9] + min(max(strong, _NAMES[0]), _NAMES[1]) * x[10]
+    return tags + of_names + max(-_MOST if named else -5.0, min(_MOST, sum(a * b for a, b in zip(x, own, strict=False))))
 
 
 def fit_weights(rows: np.ndarray, content: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -344,8 +387,16 @@ def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
 
 
 def examples(page: str | None) -> list[tuple[list[float], bool]]:
-    """(features, content) of blocks whose elements leave no doubt, at most ``FIT_BLOCKS``, evenly over the page."""
-    sure = [(features(*b), b[2].score >= _SURE) for b in blocks_of(page or "") if (b[2].firm == 0 and b[2].score >= _SURE and (b[2].in_article or b[2].tag == "article")) or b[2].firm <= -9]
+    """(features, content) of blocks whose tags leave no doubt, at most ``FIT_BLOCKS``, evenly over the page.
+
+    Names don't decide what is an example, but for those of adverts, comments and the like inside an article, which are left out.
+    """
+    sure = []
+    for b in blocks_of(page or ""):
+        node = b[2]
+        inside = node.in_article or node.tag == "article"
+        if node.tags < 0 or (inside and node.pro >= _SURE and not node.against and not node.others):
+            sure.append((features(*b), node.tags >= _SURE))
     return sure[:: -(-len(sure) // FIT_BLOCKS) or 1]
 
 

@@ -229,7 +229,7 @@ PROSE = "The sailors of the harbour mended their nets and waited for a wind that
         (" ".join(f"zug{k} prt{k}" for k in range(40)), "stop_words"),
         ("\n".join(f"- the item{k} of word{k} in" for k in range(40)), "bullet_lines"),
         ("\n".join(f"the item{k} of word{k}..." for k in range(40)), "ellipsis_lines"),
-        (" ".join(f"the of averyveryverylongwordindeed{k}" * 3 for k in range(40)), "word_length"),
+        (" ".join(f"the averyveryverylongwordindeedandmore{k} of averyveryverylongerwordindeed{k}" for k in range(40)), "word_length"),
     ],
 )
 def test_each_rule(spark, text, rules):
