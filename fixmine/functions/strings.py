@@ -220,8 +220,8 @@ def mean_similarity(a: Column, b: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Literal and real line breaks, tabs and runs of blanks as one blank."""
-    return F.trim(F.regexp_replace(c, r"(\\[nrt]|\s)+", " "))
+    """Line breaks that are spelled out (``\\r\\n``, ``\\n``, ``\\r``) as blanks, and runs of blanks as one; nothing is trimmed."""
+    return F.regexp_replace(F.regexp_replace(c, r"\\r\\n|\\n|\\r", " "), " +", " ")
 
 
 def strip_prerelease(c: Column) -> Column:
@@ -251,13 +251,16 @@ def product_key(cpe: Column) -> Column:
     return F.when(F.size(f) >= 5, F.regexp_replace(F.lower(F.get(f, F.lit(4))), "(?U)[\\W_]+", ""))
 
 
-#: Keywords that a function's header has beside its names.
-HEADER_WORDS = ("static", "const", "void", "int", "char", "long", "unsigned", "struct", "return", "if", "for", "while", "public", "private")
+#: The 32 keywords that are no names in a function's header.
+HEADER_WORDS = (
+    "auto", "double", "int", "struct", "break", "else", "long", "switch", "case", "enum", "register", "typedef", "char", "extern", "return", "union",
+    "const", "float", "short", "unsigned", "continue", "for", "signed", "void", "default", "goto", "sizeof", "volatile", "do", "if", "while", "static",
+)
 
 
 def header_tokens(c: Column) -> Column:
-    """Distinct names of a function's header, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit("([A-Za-z0-9_]+)")), lambda x: ~x.isin(list(HEADER_WORDS)))))
+    """Distinct names of a function's header, sorted: runs of ASCII letters and digits that are no keywords, so an underscore parts two names."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit("([0-9a-zA-Z]+)")), lambda x: ~x.isin(list(HEADER_WORDS)))))
 
 
 def text_tokens(c: Column, stop: Sequence[str] = (), lemmas: dict[str, str] | None = None) -> Column:
@@ -278,13 +281,24 @@ def base_names(paths: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(paths, lambda p: F.element_at(F.split(p, "/"), -1))))
 
 
-LANGUAGES = {"c": "C", "h": "C", "cc": "C++", "cpp": "C++", "hpp": "C++", "java": "Java", "py": "Python", "php": "PHP", "js": "JavaScript", "go": "Go"}
+#: Suffixes of each language.
+LANGUAGES = {
+    "C": "c h", "Cpp": "cpp cxx cc c++ h++ hpp hxx inl ii ixx", "Java": "java", "Python": "py", "Ruby": "rb", "JavaScript": "js", "PHP": "php", "HTML": "html htm", "CSS": "css",
+    "SQL": "sql", "Swift": "swift", "Go": "go", "Perl": "pl", "Lua": "lua", "R": "r", "MATLAB": "matlab", "Visual Basic": "vb",
+}
+#: Languages whose functions are searched.
+SEARCHED = ("C", "Go", "Python", "Cpp", "Java", "JavaScript")
 
 
 def language_of(path: Column) -> Column:
-    """The language of a path by its suffix, else null."""
-    table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return table[F.lower(F.element_at(F.split(path, "[.]"), -1))]
+    """The language of a path by what follows its last dot, in any case; ``Unknown`` for other suffixes, null for a null path."""
+    table = F.create_map(*(F.lit(x) for name, endings in LANGUAGES.items() for e in endings.split() for x in (e, name)))
+    return F.when(path.isNotNull(), F.coalesce(F.try_element_at(table, F.lower(F.element_at(F.split(path, "[.]"), -1))), F.lit("Unknown")))
+
+
+def is_searched(path: Column) -> Column:
+    """Whether functions are searched in a file of this path."""
+    return F.coalesce(language_of(path).isin(list(SEARCHED)), F.lit(False))
 
 
 def union_of(*sets: Column) -> Column:

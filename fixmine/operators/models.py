@@ -27,26 +27,36 @@ def assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
     share = df.agg(F.avg(F.col(label).cast("double")).alias("_s"))
     weighted = df.crossJoin(F.broadcast(share)).withColumn("weight", F.when(F.col(label) == 1, 0.5 / F.col("_s")).otherwise(0.5 / (1 - F.col("_s")))).drop("_s")
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(weighted)
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(weighted)
+
+
+def filled(train: DataFrame, test: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with doubles for features; a missing one (null or NaN) is the mean of the training rows that have it, or 0 if none has."""
+    value = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    means = train.agg(*[F.avg(value(f)).alias(f) for f in features]).first().asDict()
+    full = {f: F.coalesce(value(f), F.lit(means[f]), F.lit(0.0)) for f in features}
+    return train.withColumns(full), test.withColumns(full)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", rounds: int = 500) -> DataFrame:
     """``test`` with ``score``: the probability of the positive class, or the value of a linear model.
 
-    kind: linear, logistic (balanced) or boosted (``rounds`` trees of depth 5).
+    kind: linear, logistic (balanced) or boosted (``rounds`` trees of depth 5). Every row of ``test`` is scored, for missing features
+    see ``filled``; rows of ``train`` without a label are left out.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import LinearRegression
 
+    train, test = filled(train.where(F.col(label).isNotNull()), test, features)
     data = assembled(train, features, label).withColumn("_label", F.col(label).cast("double"))
     model = {
         "linear": lambda: LinearRegression(labelCol="_label", solver="normal"),
         "logistic": lambda: LogisticRegression(labelCol="_label", weightCol="weight", maxIter=200),
         "boosted": lambda: GBTClassifier(labelCol="_label", weightCol="weight", maxDepth=5, maxIter=rounds, stepSize=0.05, seed=0),
     }[kind]().fit(data)
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(test)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(test)
     out = model.transform(vectors)
     score = F.col("prediction") if kind == "linear" else vector_to_array("probability")[1]
     return out.withColumn("score", score).drop("features", "rawPrediction", "probability", "prediction")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fixmine.functions import strings
-from fixmine.operators import filters, ranking, votes
+from fixmine.operators import filters, ranking, selection, votes
 from fixmine.queries.base import query, table
 
 _N = "(SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)"
@@ -102,9 +102,12 @@ SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, roun
        round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS q2, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem GROUP BY 1
 """)
 def numeric_summary(spark, d):
-    x = F.col("l_extendedprice")
-    q = [F.round(F.percentile(x, p), 4).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), *q)
+    """Counts, moments and exact quartiles; the quartiles come from refined histograms."""
+    x, rows = F.col("l_extendedprice"), table(spark, d, "lineitem")
+    sums = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
+    q = selection.exact_quantiles(rows, ["l_returnflag"], "l_extendedprice", (0.25, 0.5, 0.75))
+    named = [F.round(F.max(F.when(F.col("share") == p, F.col("quantile"))), 4).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
+    return sums.join(q.groupBy("l_returnflag").agg(*named), "l_returnflag")
 
 
 _TERMS = ("the", "der", "la", "que")

@@ -46,10 +46,19 @@ def diff_text(spark, d):
     return table(spark, d, "part").select("p_partkey", filters.is_diff(text).alias("diff"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Java' WHEN 1 THEN 'C++' WHEN 2 THEN NULL ELSE 'Python' END AS language FROM part")
+_SUFFIXES = "c H cpp cxx cc c++ h++ HPP hxx inl ii ixx java py rb js php html htm css sql swift go pl lua R matlab vb md txt".split()
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, ['{"', '".join(_SUFFIXES)}'][1 + p_partkey % {len(_SUFFIXES)}] AS e FROM part)
+SELECT p_partkey, l AS language, l IN ('C', 'Go', 'Python', 'Cpp', 'Java', 'JavaScript') AS searched FROM (SELECT p_partkey,
+  CASE WHEN lower(e) IN ('c', 'h') THEN 'C' WHEN lower(e) IN ('cpp', 'cxx', 'cc', 'c++', 'h++', 'hpp', 'hxx', 'inl', 'ii', 'ixx') THEN 'Cpp' WHEN e IN ('html', 'htm') THEN 'HTML'
+  ELSE coalesce(MAP {{'java': 'Java', 'py': 'Python', 'rb': 'Ruby', 'js': 'JavaScript', 'php': 'PHP', 'css': 'CSS', 'sql': 'SQL', 'swift': 'Swift', 'go': 'Go', 'pl': 'Perl', 'lua': 'Lua', 'r': 'R', 'matlab': 'MATLAB', 'vb': 'Visual Basic'}}[lower(e)], 'Unknown') END AS l FROM p)
+""")
 def path_language(spark, d):
-    path = spark_sql("concat('src/', p_brand, '/f.', CASE p_partkey % 4 WHEN 0 THEN 'java' WHEN 1 THEN 'HPP' WHEN 2 THEN 'md' ELSE 'py' END)")
-    return table(spark, d, "part").select("p_partkey", strings.language_of(path).alias("language"))
+    """The language of each path, and whether its functions are searched."""
+    path = F.concat(F.lit("src/v1.2/f."), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("p_partkey") % len(_SUFFIXES) + 1).cast("int")))
+    return table(spark, d, "part").select("p_partkey", strings.language_of(path).alias("language"), strings.is_searched(path).alias("searched"))
 
 
 _MESSAGES = "SELECT o_orderkey, concat(o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN ' ' || o_orderstatus || ' fix' ELSE '' END) AS a, concat(o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_orderstatus ELSE '' END) AS b, CASE WHEN o_orderkey % 5 = 0 THEN '1-' ELSE 'none' END AS i FROM {orders}"
@@ -153,16 +162,18 @@ def issue_numbers(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(parsing.issue_numbers(text), ",").alias("numbers"))
 
 
-@query("SELECT p_partkey, array_to_string(list_sort(['f' || p_partkey, 'len' || p_size, 'buf', 'size_t']), ' ') AS names FROM part")
+@query("SELECT p_partkey, array_to_string(list_sort(['f', 'v' || p_partkey, 'len' || p_size, 'buf', 'size', 't', 'public', 'Int']), ' ') AS names FROM part")
 def header_names(spark, d):
-    text = spark_sql("concat('static int f', CAST(p_partkey AS VARCHAR), '(const char *buf, size_t len', CAST(p_size AS VARCHAR), ', unsigned long buf)')")
+    """Names of headers: 32 keywords are none, case counts, and an underscore parts names."""
+    text = spark_sql("concat('public static volatile Int f_v', CAST(p_partkey AS VARCHAR), '(register const char *buf, size_t len', CAST(p_size AS VARCHAR), ', unsigned long buf, enum signed short double)')")
     return table(spark, d, "part").select("p_partkey", F.array_join(strings.header_tokens(text), " ").alias("names"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(concat('a', chr(92), 'n ', text, chr(92), 't z '), '(' || chr(92) || chr(92) || '[nrt]|[ \\t\\n\\r\\f\\x0b])+', ' ', 'g'), ' ') AS line FROM documents")
+@query("SELECT doc_id, regexp_replace(replace(replace(replace(concat('a', chr(92), 'n ', text, chr(92), 'r', chr(92), 'n  ', chr(92), 't z', chr(92), 'r '), chr(92) || 'r' || chr(92) || 'n', ' '), chr(92) || 'n', ' '), chr(92) || 'r', ' '), ' +', ' ', 'g') AS line FROM documents")
 def squeezed(spark, d):
+    """Spelled-out line breaks and runs of blanks become one blank; tabs, real line breaks and blanks at the ends stay."""
     slash = F.lit(chr(92))
-    text = F.concat(F.lit("a"), slash, F.lit("n "), F.col("text"), slash, F.lit("t z "))
+    text = F.concat(F.lit("a"), slash, F.lit("n "), F.col("text"), slash, F.lit("r"), slash, F.lit("n  "), slash, F.lit("t z"), slash, F.lit("r "))
     return table(spark, d, "documents").select("doc_id", strings.squeeze(text).alias("line"))
 
 
@@ -294,9 +305,18 @@ def staged_rows(spark, d):
     return stages.run_stages(events.where("event_id % 2 = 0 OR event_id % 3 = 0"), "event_id", path, steps)
 
 
-@query("SELECT o_orderkey, CASE WHEN s = 200 THEN 'pass' WHEN s IN (403, 429) AND r = 0 THEN 'wait' WHEN s IN (404, 410, 422, 451) THEN 'stop' ELSE 'retry' END AS verdict, NOT contains(u, 'securityfocus.com/bid') AND NOT contains(u, 'osvdb.org/') AND o_custkey * 1000 <= 1048576 AS fetchable FROM (SELECT *, [200, 403, 404, 429, 500, 451][1 + o_orderkey % 6] AS s, o_custkey % 3 AS r, ['https://securityfocus.com/bid/1', 'http://OSVDB.org/x', 'https://medium.com/'][1 + o_orderkey % 3] AS low, lower(['https://securityfocus.com/bid/1', 'http://OSVDB.org/x', 'https://medium.com/'][1 + o_orderkey % 3]) AS u FROM orders)")
+_URLS = ("https://securityfocus.com/bid/1", "http://OSVDB.org/x", "https://medium.com/")
+_STATUS = (200, 204, 301, 400, 401, 403, 404, 410, 422, 429, 451, 500, 503, None)
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey, [{", ".join("NULL" if x is None else str(x) for x in _STATUS)}][1 + o_orderkey % {len(_STATUS)}] AS s, o_custkey % 3 AS r, ['{"', '".join(_URLS)}'][1 + o_orderkey % 3] AS u, o_custkey * 1000 AS size FROM orders),
+v(s, spent, verdict) AS (VALUES (200, true, 'wait'), (200, false, 'done'), (204, true, 'wait'), (204, false, 'done'), (301, true, 'wait'), (301, false, 'done'), (403, true, 'wait'), (403, false, 'all wait')),
+w(s, verdict) AS (VALUES (400, 'pass'), (404, 'pass'), (410, 'pass'), (422, 'pass'), (401, 'stop'), (429, 'all wait'), (451, 'all wait'), (500, 'all wait'), (503, 'all wait'))
+SELECT o_orderkey, coalesce(v.verdict, w.verdict, 'retry') AS verdict, NOT contains(lower(u), 'securityfocus.com/bid') AND NOT contains(lower(u), 'osvdb.org/') AND size <= 1048576 AS fetchable
+FROM a LEFT JOIN v ON v.s = a.s AND v.spent = (r = 0) LEFT JOIN w ON w.s = a.s
+""")
 def crawl_verdicts(spark, d):
-    k = F.col("o_orderkey")
-    status = F.element_at(F.array(*map(F.lit, (200, 403, 404, 429, 500, 451))), (k % 6 + 1).cast("int"))
-    url = F.element_at(F.array(F.lit("https://securityfocus.com/bid/1"), F.lit("http://OSVDB.org/x"), F.lit("https://medium.com/")), (k % 3 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", records.verdict(status, F.col("o_custkey") % 3).alias("verdict"), records.fetchable(url, F.col("o_custkey") * 1000).alias("fetchable"))
+    """What follows from each status, with and without requests that remain, and which pages may be fetched."""
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("o_orderkey") % len(values) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", records.verdict(at(_STATUS), F.col("o_custkey") % 3).alias("verdict"), records.fetchable(at(_URLS), F.col("o_custkey") * 1000).alias("fetchable"))

@@ -128,12 +128,12 @@ def changed_feeds(spark, d):
     return now.select("year").join(changed.select("year", F.lit(True).alias("changed")), "year", "left").na.fill(False, ["changed"])
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def appended(spark, d):
-    """Three deliveries into one table, one of them twice."""
-    path, o = scratch(spark, "sink"), table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    for rule in ("o_orderkey % 2 = 0", "o_orderkey % 3 = 0", "o_orderkey % 3 = 0"):
-        out = files.append(o.where(rule), path, "o_orderkey")
+    """Four deliveries of orders with several lines each, one of them twice and each overlapping those before; at last all are there once."""
+    path, lines = scratch(spark, "sink"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    for rule in ("l_orderkey % 2 = 0", "l_orderkey % 3 = 0", "l_orderkey % 3 = 0", "true"):
+        out = files.append(lines.where(rule), path, "l_orderkey")
     return out
 
 

@@ -89,22 +89,28 @@ def non_empty(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def one_row(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key: of several the largest, column by column in the order of the table."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(*others)).alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+
+
 def cached(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of the cache that are wanted, wanted keys that are not there). The cache is keyed by the digest of the key."""
+    """(rows of the cache that are wanted, wanted keys that are not there). The cache is keyed by the digest of the key; of a key's rows see ``one_row``."""
     digest = F.unhex(F.md5(F.col(key).cast("binary")))
     w = wanted.select(key).distinct().withColumn("url_hash", digest)
-    hit = cache.join(w, ["url_hash", key], "left_semi").dropDuplicates([key])
+    hit = one_row(cache.join(w, ["url_hash", key], "left_semi").select(*cache.columns), key)
     return hit, w.join(cache.select("url_hash", key), ["url_hash", key], "left_anti").select(key)
 
 
 def coalesced(wanted: DataFrame, cache: DataFrame, key: str, value: str) -> DataFrame:
     """Wanted keys with the cached value, null where there is none."""
-    return wanted.join(cache.select(key, value).dropDuplicates([key]), key, "left").select(key, value)
+    return wanted.join(one_row(cache.select(key, value), key), key, "left").select(key, value)
 
 
 def upserted(cache: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The cache with rows put in; a row whose key is there replaces it. Both have the same columns."""
-    return cache.join(rows.select(key).distinct(), key, "left_anti").select(*cache.columns).unionByName(rows.select(*cache.columns).dropDuplicates([key]))
+    return cache.join(rows.select(key).distinct(), key, "left_anti").select(*cache.columns).unionByName(one_row(rows.select(*cache.columns), key))
 
 
 def changed(now: DataFrame, stored: DataFrame, key: str, meta: str) -> DataFrame:
@@ -119,10 +125,11 @@ def collect_into(rows: DataFrame, ids: DataFrame, key: str, path: str) -> None:
 
 
 def append(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key is not in the table yet, and return the table.
+    """Append all rows whose key is not in the table yet, and return the table.
 
-    Spark commits the files of an append together, so one that fails adds nothing and can be run again; a key's rows are read
-    once, so what two appends at the same time add twice counts once.
+    A key comes with all its rows, equal ones too, in one delivery; a later delivery of it adds nothing, so a delivery may be run
+    again. Rows without a key are always added. Spark commits the files of an append together, so one that fails adds nothing.
+    Appends to one table run one after the other: two at the same time may both add a key.
     """
     spark = rows.sparkSession
     try:
@@ -131,7 +138,7 @@ def append(rows: DataFrame, path: str, key: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).dropDuplicates([key])
+    return spark.read.parquet(path)
 
 
 def _expanded(pool: list) -> str:

@@ -40,8 +40,14 @@ def last_written(df: DataFrame, keys: Sequence[str], values: Sequence[str], orde
 
 
 def verdict(status: Column, remaining: Column) -> Column:
-    """What a crawler does after an answer: pass, wait, retry, or stop."""
-    return F.when(status == 200, "pass").when((status.isin(403, 429)) & (F.coalesce(remaining, F.lit(0)) == 0), "wait").when(status.isin(404, 410, 422, 451), "stop").otherwise("retry")
+    """What a crawler does after an answer (status below 400) or a refusal; a null status is a timeout.
+
+    done: the answer is there. wait: so it is, or it was refused, and no requests remain until the limit is reset. pass: there
+    is nothing to be had. stop: the credentials have expired. all wait: everyone pauses. retry: ask again.
+    """
+    spent = F.coalesce(remaining, F.lit(0)) <= 0
+    refused = F.when(status.isin(400, 404, 410, 422), "pass").when((status == 403) & spent, "wait").when(status == 401, "stop").otherwise("all wait")
+    return F.when(status.isNull(), "retry").when(status < 400, F.when(spent, "wait").otherwise("done")).otherwise(refused)
 
 
 def fetchable(url: Column, size: Column, most: int = 1 << 20) -> Column:

@@ -32,8 +32,9 @@ def test_records(spark):
     assert rows(records.nested_lists(nested, "l")) == [("C", "o", "r", "x"), ("C", "o", "r", "y")]
     truth = spark.createDataFrame([("1", "e", "", None, "https://a/1 https://a/2", "", "main (x)"), ("2", "f", "", "", "u", "", "")], "a string, b string, c string, d string, e string, f string, g string")
     assert rows(records.truth_links(truth, spark.createDataFrame([("f",)], "entity string"))) == [("e", "main", "https://a/1"), ("e", "main", "https://a/2")]
-    s = spark.createDataFrame([(200, None), (403, 0), (404, 5), (500, 1)], "s int, r int")
-    assert [r[0] for r in s.select(records.verdict(F.col("s"), F.col("r"))).collect()] == ["pass", "wait", "stop", "retry"]
+    cases = [(200, 5, "done"), (200, 0, "wait"), (200, None, "wait"), (302, 1, "done"), (400, 5, "pass"), (404, 5, "pass"), (410, 0, "pass"), (422, 5, "pass"), (403, 0, "wait"), (403, 5, "all wait"), (401, 5, "stop"), (429, 0, "all wait"), (500, 1, "all wait"), (None, None, "retry")]
+    s = spark.createDataFrame(cases, "s int, r int, v string")
+    assert all(r["v"] == r["w"] for r in s.withColumn("w", records.verdict(F.col("s"), F.col("r"))).collect())
     j = spark.createDataFrame([('{"cve":{"CVE_data_meta":{"ID":"CVE-1"},"problemtype":{"problemtype_data":[{"description":[{"value":"CWE-79"},{"value":""}]},{"description":[]}]},"references":"CWE-20"},"impact":{"baseMetricV3":{"cvssV3":{"baseScore":9.8,"vectorString":"V"}}},"cpe23Uri":"cpe:a"}',)], "j string")
     r = j.select(records.vulnerability_record(F.col("j")).alias("r")).first()["r"]
     assert (r["id"], r["cwes"], r["cpes"], r["score2"], r["score3"], r["vector3"]) == ("CVE-1", ["CWE-79"], ["cpe:a"], None, 9.8, "V")
@@ -64,3 +65,12 @@ def test_graph_sources_and_search(spark):
 def test_confusion_without_positives(spark):
     m = metrics.confusion(spark.createDataFrame([(0, 0)], "p int, e int"), "p", "e").first()
     assert (m["precision"], m["f1"], m["accuracy"]) == (0.0, 0.0, 1.0)
+
+
+def test_names_suffixes_and_blanks(spark):
+    t = spark.createDataFrame([("static void do_it(Foo *f_1, unsigned len) /* for */",), ("",), (None,)], "c string")
+    assert [r[0] for r in t.select(strings.header_tokens(F.col("c"))).collect()] == [["1", "Foo", "f", "it", "len"], [], None]
+    p = spark.createDataFrame([("a/b.C",), ("x.inl",), ("y.PHP",), ("z.tar.gz",), ("Makefile",), (None,), ("q.h++",), ("w.go",)], "p string")
+    assert [(r[0], r[1]) for r in p.select(strings.language_of(F.col("p")), strings.is_searched(F.col("p"))).collect()] == [("C", True), ("Cpp", True), ("PHP", False), ("Unknown", False), ("Unknown", False), (None, False), ("Cpp", True), ("Go", True)]
+    s = spark.createDataFrame([("a\\r\\nb\\nc\\rd\\t  e\n f ",)], "s string")
+    assert s.select(strings.squeeze(F.col("s"))).first()[0] == "a b c d\\t e\n f "
