@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from fixmine.llm import text as X
 from fixmine.llm.store import columns_for, delete, drop, fresh_path, keep
 
-#: Distinct digests of a shard, on average; shards follow the number of digests.
-SHARD_KEYS = 50_000
-DIGEST = "doc_id long, text_hash long, digest binary, key long"
+#: Distinct digests of a shard and bytes of their texts, on average; shards follow the number of digests and of bytes. A group of
+#: digests of a new batch is of as many.
+SHARD_KEYS, SHARD_BYTES = 50_000, 256 << 20
+#: Bytes that the writer of a bucket file holds back.
+_ROW_GROUP = 32 << 20
+DIGEST = "doc_id long, text_hash long, digest binary, key long, size long"
 BUCKET = "digest binary, doc_id long, n long, text string"
 _NO_ID = -(2**63)
 
@@ -91,7 +94,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # text by text, so that no second copy of a batch is made
         digests = [hashlib.sha256(X.LOWER[raw[a:b]]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         keys = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-        yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(digests, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "text_hash", "digest", "key"])
+        yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(np.diff(offsets))], names=["doc_id", "text_hash", "digest", "key", "size"])
 
 
 def _filters(key: tuple, table: pa.Table) -> pa.Table:
@@ -121,8 +124,18 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(digests: DataFrame) -> DataFrame:
-    """(digest, key, top, n): the row that stays of each digest, and how many there are."""
-    return digests.groupBy("digest", "key").agg(F.max(F.struct("doc_id", "text_hash")).alias("top"), F.count("*").alias("n"))
+    """(digest, key, top, n, size): the row that stays of each digest, how many there are, and the bytes of one."""
+    return digests.groupBy("digest", "key").agg(F.max(F.struct("doc_id", "text_hash")).alias("top"), F.count("*").alias("n"), F.max("size").alias("size"))
+
+
+def _shards(keys: int, size: int) -> int:
+    """How many shards hold so many digests with texts of so many bytes."""
+    return 1 + max(keys // SHARD_KEYS, size // SHARD_BYTES)
+
+
+def _splits(keys: int, shards: int) -> int:
+    """Into how many groups each shard's digests of a batch are split."""
+    return 1 + keys // (shards * SHARD_KEYS)
 
 
 def _with_texts(rows: DataFrame, tops: DataFrame) -> DataFrame:
@@ -140,13 +153,13 @@ def write_snapshot(docs: DataFrame, path: str, digests: DataFrame | None = None)
     """
     rows = _hashed(docs)
     own = keep(_buckets(rows.mapInArrow(_digest, DIGEST) if digests is None else digests), "buckets")
-    shards = 1 + own.count() // SHARD_KEYS
+    shards = _shards(*own.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
     shard = F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("shard")
     filters = own.select(shard.cast("long").alias("shard"), "key").groupBy("shard").applyInArrow(_filters, "shard long, seed long, segment long, windows long, prints binary")
     filters.withColumn("shards", F.lit(shards).cast("long")).write.parquet(f"{path}/filters")
     # rows that repeat both doc_id and text bring the same text
     texts = _with_texts(rows, own).select(shard, "digest", F.col("top.doc_id").alias("doc_id"), "n", "text")
-    texts.repartition("shard").dropDuplicates(["shard", "digest"]).write.partitionBy("shard").parquet(f"{path}/buckets")
+    texts.repartition("shard").dropDuplicates(["shard", "digest"]).write.option("parquet.block.size", _ROW_GROUP).partitionBy("shard").parquet(f"{path}/buckets")
     drop(own)
 
 
@@ -158,8 +171,11 @@ def _against(own: DataFrame, rows: DataFrame, path: str) -> DataFrame:
     if head is None:
         return spark.createDataFrame([], "digest binary, old_id long, old_n long")
     shard = F.pmod(F.col("key"), F.lit(head["shards"])).cast("int").alias("shard")
-    filters = filters.select(F.col("shard").cast("int").alias("shard"), "seed", "segment", "windows", "prints")
-    positive = own.select(shard, "digest", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_screen, "digest binary")
+    # a batch may be far larger than the snapshot: its digests are split further, and each part gets the shard's filter
+    splits = _splits(own.count(), head["shards"])
+    filters = filters.select(F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "seed", "segment", "windows", "prints")
+    parts = own.select(shard, F.pmod(F.xxhash64("digest"), F.lit(splits)).cast("int").alias("split"), "digest", "key")
+    positive = parts.groupBy("shard", "split").cogroup(filters.groupBy("shard", "split")).applyInArrow(_screen, "digest binary")
     hit = own.join(positive, "digest", "left_semi")
     pairs = _with_texts(rows, hit.select(shard, "digest", "top")).dropDuplicates(["shard", "digest"]).select("shard", "digest", F.col("text").alias("new_text"))
     # where the positives are few, they are broadcast and only their shards are read
@@ -192,14 +208,13 @@ def exact_groups(docs: DataFrame, fresh: Column | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs`` (doc_id, text and any other columns).
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. fresh: true for rows of the new
-    batch, of the others a snapshot is written (default: the upper half of the range of doc_id is new; the result is the same
-    for any choice). Of equal texts the largest doc_id stays. Rows that repeat a doc_id count each in
+    batch, of the others a snapshot is written (default: half of them, by a hash of doc_id, so that no outlier decides; the
+    result is the same for any choice). Of equal texts the largest doc_id stays. Rows that repeat a doc_id count each in
     group_size, and kept is the same for all of them with that text. A null doc_id is never kept and counts; a group of only such
     rows has a null keep_id. An empty table gives an empty table.
     """
     if fresh is None:
-        ends = columns_for(docs, doc_id="long").agg(F.min("doc_id"), F.max("doc_id")).first()
-        fresh = F.col("doc_id").cast("long") > F.lit(((ends[0] or 0) + (ends[1] or 0)) // 2)
+        fresh = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)) == 1
     fresh = F.coalesce(fresh, F.lit(True))
     before, batch = docs.where(~fresh), docs.where(fresh)
     path = fresh_path(docs.sparkSession, "snapshot")

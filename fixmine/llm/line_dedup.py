@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from fixmine.llm.store import columns_for, drop, keep, owner, present, spare
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Lines of a range, on average; ranges follow the number of lines.
-RANGE_LINES = 1_000_000
+#: Lines of a range, on average, and ranges at most; beyond that many, ranges grow longer, which are sorted with spilling and streamed.
+RANGE_LINES, MOST_RANGES = 1_000_000, 20_000
 _STRIP = b" \t\n\x0b\x0c\r"
 LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int64())])
 OUT = pa.schema([("kind", pa.string()), *LINES])
@@ -36,7 +36,11 @@ def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, at, pos = [], [], []
-            for k, text in enumerate(batch["text"].to_pylist()):
+            seen = set()  # rows that repeat doc_id and text bring the same lines
+            for k, (text, *row) in enumerate(zip(*(batch[c].to_pylist() for c in ("text", "doc_id", "text_hash")), strict=True)):
+                if tuple(row) in seen:
+                    continue
+                seen.add(tuple(row))
                 for p, line in enumerate((text or "").encode().split(b"\n")):
                     key = line.strip(_STRIP).lower()
                     if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars):
@@ -59,6 +63,13 @@ class _Run:
     def __len__(self) -> int:
         return len(self.cols[0])
 
+    def distinct(self, before: tuple | None) -> _Run:
+        """Without occurrences that equal the one before; ``before`` is the last of an earlier batch."""
+        new = self.starts(*range(len(self.cols)))
+        if before is not None and all(c[0] == b for c, b in zip(self.cols, before, strict=True)):
+            new[0] = False
+        return self if new.all() else self.part(new)
+
     def part(self, at) -> _Run:
         return _Run([c[at] for c in self.cols])
 
@@ -84,6 +95,7 @@ def _stream(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = first_key = None  # the key at the end of what has been read, and the partition's first
         enough, held = False, None  # of that key: whether it has enough documents, and what is held if not
+        before = None  # the last occurrence
 
         def feed(more: _Run) -> Iterator[pa.RecordBatch]:
             """Go on with the present key."""
@@ -107,6 +119,9 @@ def _stream(min_docs: int):
             if not batch.num_rows:
                 continue
             rows = _Run([*(batch[c].fill_null(0).to_numpy() for c in LINES.names), np.asarray(batch["doc_id"].is_null())])
+            before, rows = tuple(c[-1] for c in rows.cols), rows.distinct(before)
+            if not len(rows):
+                continue
             begins = np.flatnonzero(rows.starts(0, 1))
             keys = [(rows.cols[0][i], rows.cols[1][i]) for i in (begins[0], begins[-1])]
             if first_key is None:
@@ -159,7 +174,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """
     rows = columns_for(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     lines = keep(rows.mapInArrow(_keys(min_chars), "h1 long, h2 long, doc_id long, text_hash long, pos long"), "lines")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + lines.count() // RANGE_LINES)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, 1 + lines.count() // RANGE_LINES))
     order = ["h1", "h2", F.desc("doc_id"), "text_hash", "pos"]
     swept = keep(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), "kind string, h1 long, h2 long, doc_id long, text_hash long, pos long"), "swept")
     drop(lines)
@@ -168,10 +183,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     # desc order: null last, then the smallest text_hash of the largest doc_id is first
     top = F.min(F.struct(F.col("doc_id").isNull().alias("x"), (-F.col("doc_id")).alias("y"), F.col("text_hash").alias("z"))).alias("top")
     stats = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.bool_or("decided").alias("decided"), top).where((F.col("docs") >= min_docs) | F.col("decided"))
-    # two keys for each range partition at most
-    late = ends.where(F.col("kind") == OPEN).join(F.broadcast(stats), ["h1", "h2"]).where(~((F.col("doc_id").eqNullSafe(-F.col("top.y"))) & (F.col("text_hash") == F.col("top.z"))))
+    # two keys for each range partition at most; a frequent one has many occurrences, on the side that the adaptive join splits
+    late = ends.where(F.col("kind") == OPEN).join(stats, ["h1", "h2"]).where(~((F.col("doc_id").eqNullSafe(-F.col("top.y"))) & (F.col("text_hash") == F.col("top.z"))))
     drops = swept.where(F.col("kind") == GOES).select("doc_id", "text_hash", "pos").union(late.select("doc_id", "text_hash", "pos"))
-    return drops.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, BITMAP)
+    return drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, BITMAP)
 
 
 def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:

@@ -602,6 +602,32 @@ def test_a_batch_meets_a_snapshot_whose_documents_are_gone(spark, nothing, tmp_p
     assert exact_dedup.against_snapshot(nothing, f"{tmp_path}/snapshot").count() == 0
 
 
+def test_a_batch_far_larger_than_its_snapshot_is_split(spark, tmp_path, monkeypatch):
+    """Groups follow the batch, not the snapshot, and shards follow bytes as well as digests."""
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 50)
+    assert exact_dedup._splits(2000, 1) == 41 and exact_dedup._splits(49, 1) == 1 and exact_dedup._splits(2000, 40) == 2
+    assert exact_dedup._shards(0, 0) == 1 and exact_dedup._shards(120, 0) == 3 and exact_dedup._shards(3, 5 * exact_dedup.SHARD_BYTES) == 6
+    exact_dedup.write_snapshot(frame(spark, [(1, "Text 7")]), f"{tmp_path}/one")
+    batch = [(10 + k, f"text {k % 1500}") for k in range(2000)]
+    out = exact_dedup.against_snapshot(frame(spark, batch), f"{tmp_path}/one")
+    sizes = {i: (1 if 500 <= k % 1500 else 2) + (k % 1500 == 7) for i, k in ((10 + k, k) for k in range(2000))}
+    assert got(out, "doc_id", "group_size") == sorted(sizes.items(), key=str)
+    monkeypatch.setattr(exact_dedup, "SHARD_BYTES", 5000)
+    exact_dedup.write_snapshot(frame(spark, [(k, f"{k} " * 500) for k in range(20)]), f"{tmp_path}/bytes")
+    assert spark.read.parquet(f"{tmp_path}/bytes/filters").first()["shards"] > 4
+    assert exact_dedup.against_snapshot(frame(spark, [(100 + k, f"{k} " * 500) for k in range(20)]), f"{tmp_path}/bytes").where("group_size = 2").count() == 20
+
+
+def test_one_outlying_id_leaves_the_snapshot_alone(spark, monkeypatch):
+    halves = []
+    keep = exact_dedup.write_snapshot
+    monkeypatch.setattr(exact_dedup, "write_snapshot", lambda docs, path, digests=None: (halves.append(docs.count()), keep(docs, path, digests))[1])
+    rows = [(-(10**15), "low"), *((k, f"text {k % 90}") for k in range(400))]
+    out = exact_dedup.exact_groups(frame(spark, rows))
+    assert 100 < halves[0] < 300
+    assert out.where("kept").count() == 91
+
+
 def test_equal_digests_are_not_trusted(spark, tmp_path):
     """Texts are told apart by their bytes where their digests agree."""
     exact_dedup.write_snapshot(frame(spark, [(1, "a text"), (2, "other")]), f"{tmp_path}/s")
@@ -651,6 +677,27 @@ def test_lines(spark, nothing):
     assert line_dedup.drop_lines(frame(spark, [(None, "x\ny"), (3, "x"), (3, "x")])).count() == 3
 
 
+def test_lines_of_a_row_that_repeats_very_often(spark):
+    """A hundred thousand repeats of one document are one document: its positions are held once."""
+    from pyspark.sql import functions as F
+
+    text = "\n".join(f"a line that three documents have, number {k}" for k in range(5))
+    hot = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = hot.union(spark.createDataFrame([(6, text), (7, text + "\nown"), (8, None)], "doc_id long, text string")).repartition(6)
+    maps = line_dedup.keep_bitmaps(docs)
+    assert got(maps, "doc_id", "n_dropped") == [(5, 5), (6, 5)]
+    out = line_dedup.line_report(docs).groupBy("doc_id", "n_dropped").count()
+    assert got(out, "doc_id", "n_dropped", "count") == [(5, 5, 100_000), (6, 5, 1), (7, 0, 1), (8, 0, 1)]
+
+
+def test_repeats_leave_a_stream_at_once():
+    cols = [np.array(c, np.int64) for c in ([1, 1, 1, 2], [0, 0, 0, 0], [5, 5, 5, 5], [9, 9, 9, 9], [0, 0, 1, 1])] + [np.zeros(4, bool)]
+    run = line_dedup._Run(cols)
+    assert len(run.distinct(None)) == 3
+    assert len(run.distinct((1, 0, 5, 9, 0, False))) == 2
+    assert len(run.distinct((1, 0, 5, 9, 0, True))) == 3
+
+
 @pytest.mark.parametrize(("size", "min_docs"), [(1, 3), (2, 3), (3, 2), (7, 4), (1000, 3)])
 def test_stream_of_lines_holds_little_and_decides_all(size, min_docs):
     """Sorted occurrences cut into partitions and batches anywhere: what goes and what the open ends settle, against counting."""
