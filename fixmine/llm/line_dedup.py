@@ -183,8 +183,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     # desc order: null last, then the smallest text_hash of the largest doc_id is first
     top = F.min(F.struct(F.col("doc_id").isNull().alias("x"), (-F.col("doc_id")).alias("y"), F.col("text_hash").alias("z"))).alias("top")
     stats = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.bool_or("decided").alias("decided"), top).where((F.col("docs") >= min_docs) | F.col("decided"))
-    # two keys for each range partition at most; a frequent one has many occurrences, on the side that the adaptive join splits
-    late = ends.where(F.col("kind") == OPEN).join(stats, ["h1", "h2"]).where(~((F.col("doc_id").eqNullSafe(-F.col("top.y"))) & (F.col("text_hash") == F.col("top.z"))))
+    # two keys for each range partition at most, and the number of ranges is bounded: some 2 MB
+    late = ends.where(F.col("kind") == OPEN).join(F.broadcast(stats), ["h1", "h2"]).where(~((F.col("doc_id").eqNullSafe(-F.col("top.y"))) & (F.col("text_hash") == F.col("top.z"))))
     drops = swept.where(F.col("kind") == GOES).select("doc_id", "text_hash", "pos").union(late.select("doc_id", "text_hash", "pos"))
     return drops.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, BITMAP)
 

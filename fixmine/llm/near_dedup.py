@@ -43,8 +43,8 @@ CHUNK = 512
 ROUGH = 96
 #: Members, and shingles, of a family that are compared together with as many others.
 FAMILY_CHUNK, FAMILY_SHINGLES = 128, 1_000_000
-#: Elements whose permutations are held at once.
-_CHUNK = 1 << 13
+#: Elements whose permutations are held at once, and texts whose signatures are (2.5 kB each, and several copies).
+_CHUNK, _TEXTS = 1 << 13, 512
 
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int = PLACES, seed: int = 1) -> np.ndarray:
@@ -107,7 +107,7 @@ def _sketch(rows: int):
         for batch in batches:
             raw, offsets = X.buffers(batch["text"])
             ids, hashes = batch["doc_id"], batch["text_hash"]
-            for i, j in X.slices(offsets):
+            for i, j in X.slices(offsets, texts=_TEXTS):
                 sets = list(X.shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 sizes = np.array([len(s) for s in sets])
                 signs = super_minhash(np.concatenate(sets), np.repeat(np.arange(j - i), sizes), j - i)
@@ -122,14 +122,6 @@ def _sketch(rows: int):
     return run
 
 
-def _sizes_fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-
-
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, hub, portion, side) of pairs (x, y): y as side 1, in portions of so many of one x in one task, and x as side 0 of each portion."""
     seen: dict[int, int] = {}

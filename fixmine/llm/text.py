@@ -59,12 +59,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
-    """Ranges (i, j) of consecutive texts of at most ``most`` bytes together, or of one longer text."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, texts: int | None = None):
+    """Ranges (i, j) of consecutive texts of at most ``most`` bytes together, or of one longer text; of at most so many ``texts``."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, max(i + 1, j), i + (texts or n))
         yield i, j
         i = j
 
