@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +19,24 @@ def add_edges(edges: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return edges.unionByName(one.join(pair(edges), [key, "_x", "_y"], "left_anti").drop("_x", "_y").select(*edges.columns))
 
 
+def insert_outcomes(edges: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """``new`` (key, src, dst, ``order`` and others) with ``added``: true where the child is a new node, null where an edge joins two nodes that are
+    there (the child is not looked into again), false where the edge is refused: its parent is no node, or the pair has an edge in either direction.
+
+    Edges are taken one after the other by ``order``, but a parent counts only if it was a node before the first of them.
+    """
+    nodes = edges.select(key, F.col("src").alias("_n")).union(edges.select(key, F.col("dst"))).distinct()
+    pairs = edges.select(key, F.least("src", "dst").alias("_x"), F.greatest("src", "dst").alias("_y")).distinct().withColumn("_there", F.lit(True))
+    flag = lambda column, name: nodes.select(key, F.col("_n").alias(column), F.lit(True).alias(name))
+    rows = new.withColumn("_x", F.least("src", "dst")).withColumn("_y", F.greatest("src", "dst"))
+    rows = rows.join(flag("src", "_parent"), [key, "src"], "left").join(flag("dst", "_child"), [key, "dst"], "left").join(pairs, [key, "_x", "_y"], "left")
+    sound = F.col("_parent").isNotNull() & F.col("_there").isNull()
+    first = lambda *by: F.row_number().over(Window.partitionBy(key, *by, sound).orderBy(order))
+    ok = sound & (first("_x", "_y") == 1)
+    fresh = F.col("_child").isNull() & (first("dst") == 1)
+    return rows.withColumn("added", F.when(~ok, F.lit(False)).when(fresh, F.lit(True))).select(*new.columns, "added")
+
+
 def bfs_levels(edges: DataFrame, roots: DataFrame, depth: int, expand: Column | None = None) -> DataFrame:
     """(root, node, level): nodes at most ``depth`` edges from each root at their least level.
 
@@ -108,39 +123,39 @@ def path_scores(paths: DataFrame, via: Column) -> DataFrame:
 def local_connectivity(edges: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(key, root, node, connectivity): how many paths without a common inner node lead from root to node.
 
-    Paths are taken shortest first and their inner nodes taken out, which is the usual approximation from below. edges: key, src,
-    dst; pairs: key, root, node. The graph of one key is read by one Arrow-batched call.
+    Paths are taken shortest first (of equal lengths the least by its nodes) and their inner nodes taken out, which is the usual
+    approximation from below. edges: key, src, dst; pairs: key, root, node. All pairs of all graphs are searched together: a step is a join of
+    their fronts with the edges, and what was seen or used is left out by anti-joins, so no task holds a graph.
     """
-
-    def run(links: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        children: dict = {}
-        for a, b in zip(links["src"], links["dst"], strict=True):
-            children.setdefault(a, set()).add(b)
-        out = []
-        for k, root, node in zip(asked[key], asked["root"], asked["node"], strict=True):
-            direct = node in children.get(root, ()) and node != root
-            n, used = int(direct), {root}
-            while node != root:
-                by, todo = {root: None}, deque([root])
-                while todo and node not in by:
-                    x = todo.popleft()
-                    for y in sorted(children.get(x, ())):
-                        # a direct edge has no inner node and is counted already
-                        if y not in by and y not in used and not (direct and x == root and y == node):
-                            by[y] = x
-                            todo.append(y)
-                if node not in by:
-                    break
-                n += 1
-                x = by[node]
-                while x != root:
-                    used.add(x)
-                    x = by[x]
-            out.append((k, root, node, n))
-        return pd.DataFrame(out, columns=[key, "root", "node", "connectivity"])
-
-    kinds = dict(pairs.dtypes)
-    return edges.select(key, "src", "dst").distinct().groupBy(key).cogroup(pairs.select(key, "root", "node").distinct().groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, root {kinds['root']}, node {kinds['node']}, connectivity long")
+    checkpoints(edges.sparkSession)
+    pair = [key, "root", "node"]
+    links = edges.select(key, F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct().checkpoint()
+    asked = pairs.select(*pair).distinct().checkpoint()
+    active = asked.where("root <> node")
+    ends = links.select(key, F.col("_at").alias("root"), F.col("_to").alias("node"))
+    direct = active.join(ends, pair, "left_semi").withColumn("_direct", F.lit(True)).checkpoint()
+    counts = direct.select(*pair, F.lit(1).cast("long").alias("n"))
+    active = active.join(direct, pair, "left").na.fill(False, ["_direct"]).checkpoint()
+    used = active.where("false").select(*pair, F.col("root").alias("_to"))
+    while active.head(1):
+        front = active.select(*pair, "_direct", F.col("root").alias("_at"), F.array("root").alias("_path"))
+        seen = front.select(*pair, F.col("_at").alias("_to"))
+        found = None
+        while front.head(1):
+            step = front.join(links, [key, "_at"]).where(~(F.col("_direct") & (F.col("_at") == F.col("root")) & (F.col("_to") == F.col("node"))))
+            new = step.join(used.union(seen), [*pair, "_to"], "left_anti").groupBy(*pair, "_direct", F.col("_to").alias("_at")).agg(F.min(F.concat("_path", F.array("_to"))).alias("_path")).checkpoint()
+            hit = new.where("_at = node")
+            found = hit if found is None else found.union(hit)
+            ended = hit.select(*[F.col(c).alias(c) for c in pair])
+            front = new.join(ended, pair, "left_anti").select(*new.columns)
+            seen = seen.union(new.select(*pair, F.col("_at").alias("_to")))
+        found = found.checkpoint()
+        counts = counts.union(found.select(*pair, F.lit(1).cast("long").alias("n")))
+        inner = found.select(*pair, F.explode(F.slice("_path", F.lit(2), F.size("_path") - 2)).alias("_to"))
+        used = used.union(inner).checkpoint()
+        active = found.select(*pair, "_direct").checkpoint()
+    total = counts.groupBy(*pair).agg(F.sum("n").alias("connectivity"))
+    return asked.join(total, pair, "left").na.fill(0, ["connectivity"])
 
 
 def priorities(scores: DataFrame, degree: DataFrame, connectivity: DataFrame) -> DataFrame:

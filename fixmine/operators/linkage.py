@@ -64,6 +64,19 @@ def gram_blocked(left: DataFrame, a: str, right: DataFrame, b: str, n: int = 3)
     return x.join(y, "_g").select(a, b).distinct()
 
 
+def names_or_similar(left: DataFrame, a: str, right: DataFrame, b: str, similarity: Column, least: float, most: int = 10) -> DataFrame:
+    """(a, b, score, exact): of each name the equal ones of the other side and no others, else the ``most`` most similar with a score over ``least``.
+
+    similarity: of the columns a and b; only pairs with three characters in a row in common are scored. Ties by the name.
+    """
+    x, y = left.select(a).distinct(), right.select(b).distinct()
+    same = x.join(y, F.col(a) == F.col(b)).select(a, b, F.length(a).cast("double").alias("score"), F.lit(True).alias("exact"))
+    other = x.join(y.select(F.col(b).alias(a)), a, "left_anti")
+    scored = gram_blocked(other, a, y, b).withColumn("score", similarity.cast("double")).where(F.col("score") > least)
+    place = F.row_number().over(Window.partitionBy(a).orderBy(F.desc("score"), b))
+    return same.union(scored.withColumn("_p", place).where(F.col("_p") <= most).select(a, b, "score", F.lit(False).alias("exact")))
+
+
 def alternate_pairs(df: DataFrame, group: str, label: str, item: str) -> DataFrame:
     """(group, left, right, flipped): each positive with each negative of its group, every second pair the other way round."""
     pos = df.where(F.col(label) == 1).select(group, F.col(item).alias("p"))
@@ -167,3 +180,15 @@ def closest(df: DataFrame, keys: Sequence[str], wanted: str, tag: str, similarit
     scored = df.withColumn("_s", level)
     best = scored.groupBy(*keys, wanted).agg(F.max("_s").alias("_s"))
     return scored.join(best, [*keys, wanted, "_s"]).groupBy(*keys, wanted).agg(F.min(tag).alias(tag))
+
+
+def sharing_grams(left: DataFrame, a: str, right: DataFrame, b: str, text: str, n: int = 5) -> DataFrame:
+    """Distinct pairs (a, b) of rows whose texts share a run of n words; grams that only one side has open nothing."""
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def each(rows: DataFrame, key: str) -> DataFrame:
+        made = rows.select(key, words.alias("_w"))
+        gram = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return made.where(F.size("_w") >= n).select(key, F.explode(F.array_distinct(gram)).alias("_g"))
+
+    return each(left, a).join(each(right, b), "_g").select(a, b).distinct()

@@ -29,20 +29,20 @@ def _by_k(ks: Sequence[int], rank: str, label: str, what) -> list[Column]:
     return [what(k, F.col(rank), F.col(label) == 1).alias(f"k{k}") for k in ks]
 
 
-def topk_prf(df: DataFrame, group: Sequence[str], rank: str, label: str, ks: Sequence[int]) -> DataFrame:
-    """(k, precision, recall, f1), macro means over groups. A group with fewer than k rows counts the missing ones as wrong."""
-    hits = df.groupBy(*group).agg(F.count_if(F.col(label) == 1).alias("p"), *_by_k(ks, rank, label, lambda k, r, y: F.count_if(y & (r <= k))))
-    rows = hits.select("p", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"k{k}").alias("tp")) for k in ks))).alias("x")).select("p", "x.*")
-    return rows.groupBy("k").agg(F.avg(ratio(F.col("tp"), F.col("k"))).alias("precision"), F.avg(ratio(F.col("tp"), F.col("p"))).alias("recall"), F.avg(ratio(2 * F.col("tp"), F.col("k") + F.col("p"))).alias("f1"))
+def topk_prf(df: DataFrame, group: Sequence[str], rank: str, label: str, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(by, k, precision, recall, f1), macro means over groups. A group with fewer than k rows counts the missing ones as wrong."""
+    hits = df.groupBy(*by, *group).agg(F.count_if(F.col(label) == 1).alias("p"), *_by_k(ks, rank, label, lambda k, r, y: F.count_if(y & (r <= k))))
+    rows = hits.select(*by, "p", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"k{k}").alias("tp")) for k in ks))).alias("x")).select(*by, "p", "x.*")
+    return rows.groupBy(*by, "k").agg(F.avg(ratio(F.col("tp"), F.col("k"))).alias("precision"), F.avg(ratio(F.col("tp"), F.col("p"))).alias("recall"), F.avg(ratio(2 * F.col("tp"), F.col("k") + F.col("p"))).alias("f1"))
 
 
-def recall_effort_mrr(df: DataFrame, group: Sequence[str], rank: str, label: str, ks: Sequence[int]) -> DataFrame:
-    """(k, recall, effort, mrr). effort: rank of the first positive before k, else k; 1 at k = 1. mrr: mean over all positives of a group."""
+def recall_effort_mrr(df: DataFrame, group: Sequence[str], rank: str, label: str, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """(by, k, recall, effort, mrr). effort: rank of the first positive before k, else k; 1 at k = 1. mrr: mean over all positives of a group."""
     y, r = F.col(label) == 1, F.col(rank)
-    g = df.groupBy(*group).agg(F.count_if(y).alias("p"), F.min(F.when(y, r)).alias("first"), F.coalesce(F.avg(F.when(y, 1.0 / r)), F.lit(0.0)).alias("mrr"), *_by_k(ks, rank, label, lambda k, r, y: F.count_if(y & (r <= k))))
-    rows = g.select("p", "first", "mrr", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"k{k}").alias("tp")) for k in ks))).alias("x")).select("p", "first", "mrr", "x.*")
+    g = df.groupBy(*by, *group).agg(F.count_if(y).alias("p"), F.min(F.when(y, r)).alias("first"), F.coalesce(F.avg(F.when(y, 1.0 / r)), F.lit(0.0)).alias("mrr"), *_by_k(ks, rank, label, lambda k, r, y: F.count_if(y & (r <= k))))
+    rows = g.select(*by, "p", "first", "mrr", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"k{k}").alias("tp")) for k in ks))).alias("x")).select(*by, "p", "first", "mrr", "x.*")
     effort = F.when(F.col("k") == 1, 1).when(F.col("first") < F.col("k"), F.col("first")).otherwise(F.col("k"))
-    return rows.groupBy("k").agg(F.avg(ratio(F.col("tp"), F.col("p"))).alias("recall"), F.avg(effort.cast("double")).alias("effort"), F.avg("mrr").alias("mrr"))
+    return rows.groupBy(*by, "k").agg(F.avg(ratio(F.col("tp"), F.col("p"))).alias("recall"), F.avg(effort.cast("double")).alias("effort"), F.avg("mrr").alias("mrr"))
 
 
 def best_rank_at(df: DataFrame, group: Sequence[str], rank: str, label: str, n: int) -> DataFrame:

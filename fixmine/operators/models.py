@@ -83,6 +83,15 @@ def without_group(features: Sequence[str], groups: dict[str, Sequence[str]]) ->
     return {name: [f for f in features if f not in set(own)] for name, own in groups.items()}
 
 
+def leave_group_out(train: DataFrame, test: DataFrame, features: Sequence[str], groups: dict[str, Sequence[str]], label: str, kind: str = "logistic", rounds: int = 500) -> DataFrame:
+    """``test`` once for each group of features, scored by a model that has all others, with the group's name in ``left_out``."""
+    out = None
+    for name, left in without_group(features, groups).items():
+        part = fit_predict(train, test, left, label, kind, rounds).withColumn("left_out", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cross_group(df: DataFrame, group: str, train: Sequence, features: Sequence[str], label: str, kind: str = "logistic", rounds: int = 500) -> DataFrame:
     """Rows of all other groups scored by a model of the groups ``train``, as of one repository on the rest."""
     inside = F.coalesce(F.col(group).isin(list(train)), F.lit(False))

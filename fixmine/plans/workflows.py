@@ -80,10 +80,7 @@ def evaluate_outputs(spark: SparkSession, folder: str, out: str, ks: Sequence[in
     ranked = ranking.rank_within(rows, ["system", id_], [F.desc(score), label], "rank")
     made = []
     for name, measure in (("precision", metrics.topk_prf), ("recall", metrics.recall_effort_mrr)):
-        parts = None
-        for system in [r[0] for r in ranked.select("system").distinct().orderBy("system").collect()]:  # one for each file
-            part = measure(ranked.where(F.col("system") == system), [id_], "rank", label, ks).withColumn("system", F.lit(system))
-            parts = part if parts is None else parts.unionByName(part)
+        parts = measure(ranked, [id_], "rank", label, ks, by=["system"])
         parts.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
         made.append(spark.read.schema(parts.schema).option("header", True).csv(f"{out}/{name}"))
     return made[0], made[1]

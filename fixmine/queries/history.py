@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from fixmine.functions import strings
-from fixmine.operators import code, features, history, selection, similarity
+from fixmine.functions import common, strings
+from fixmine.operators import code, features, history, linkage, selection, similarity
 from fixmine.queries.base import query, table
 from fixmine.queries.linking import _DOCS, _ITEMS, _WEIGHTS, _counts
-from fixmine.store import checkpoints
+from fixmine.sources import cache, records
+from fixmine.store import checkpoints, scratch
 
 # A graph for each repository: every seventh change starts from the one before the last, every fifth merges an older one.
 _GRAPH = """
@@ -169,9 +172,65 @@ SELECT p_brand, wanted, min(tag) AS tag FROM (SELECT * FROM s QUALIFY s = max(s)
 """)
 def closest_version(spark, d):
     """The tag that is a wanted version, contains it or is contained, else the one of which the longest common substring is the largest part; the first of equals."""
-    from fixmine.operators import linkage
 
     t = spark.sql(_TAGS, part=table(spark, d, "part"))
     pairs = t.select("p_brand", "wanted").distinct().join(t.select("p_brand", "tag").distinct(), "p_brand")
     share = strings.longest_common_substring(F.col("wanted"), F.col("tag")) / F.length("tag")
     return linkage.closest(pairs, ["p_brand"], "wanted", "tag", share)
+
+
+_VENDORS = """CASE p_partkey % 5
+ WHEN 0 THEN concat('{"id": ', CAST(p_partkey AS VARCHAR), ', "artifactComponents": [{"componentCoordinateType": "MAVEN", "coordOne": "', p_brand, '", "coordTwo": " ", "versionRanges": [{"versionRange": "<', CAST(p_size AS VARCHAR), '", "updateToVersion": "2", "patch": "h', CAST(p_partkey AS VARCHAR), '", "componentInstances": [{"componentInstanceHash": "i1"}, {"other": 1}]}]}]}')
+ WHEN 1 THEN concat('{"components": [{"name": "', p_brand, '", "versions": [{"affected": "', CAST(p_size AS VARCHAR), '", "fix": {"commit": "h', CAST(p_partkey AS VARCHAR), '"}}, {"version_range": "*", "patch": {"url": "u"}, "instances": ["x", "y"]}]}]}')
+ WHEN 2 THEN concat('{"data": {"components": [{"type": "GO", "group": "', p_brand, '"}]}}') WHEN 3 THEN '{"components": []}' ELSE 'no json' END"""
+
+
+@query("""
+SELECT p_partkey, 'maven:' || lower(p_brand) AS component, '<' || p_size AS range, '2' AS fix_version, 'h' || p_partkey AS patch, 'i1,-' AS instances FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT p_partkey, lower(p_brand), CAST(p_size AS VARCHAR), NULL, 'h' || p_partkey, NULL FROM part WHERE p_partkey % 5 = 1
+UNION ALL SELECT p_partkey, lower(p_brand), '*', NULL, 'u', 'x,y' FROM part WHERE p_partkey % 5 = 1
+UNION ALL SELECT p_partkey, 'go:' || lower(p_brand), NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 5 = 2
+UNION ALL SELECT p_partkey, 'npm:' || p_size, '1', NULL, NULL, NULL FROM part WHERE p_partkey % 5 = 3 AND p_size % 2 = 0
+""")
+def variant_versions(spark, d):
+    """Components of vendor records of differing shapes in one column; of a record without any, those of its detail page."""
+    part = table(spark, d, "part")
+    rows = part.selectExpr("p_partkey", _VENDORS.replace("AS VARCHAR)", "AS STRING)") + " AS json")
+    size = F.col("p_size").cast("string")
+    detail = part.where("p_size % 2 = 0").select("p_partkey", F.concat(F.lit('{"components": [{"type": "NPM", "name": "'), size, F.lit('", "versions": [{"version_range": "1"}]}]}')).alias("json"))
+    out = records.variant_versions(rows.where("p_partkey % 5 <> 4 OR p_size > 0"), "p_partkey", "json", detail.where("p_partkey % 5 = 3"))
+    return out.select("p_partkey", "component", "range", "fix_version", "patch", F.array_join("instances", ",", "-").alias("instances"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT o_custkey FROM orders), c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'third' WHEN c_custkey % 2 = 0 THEN 'second ' || c_nationkey ELSE 'first' END AS body FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 = 0)
+SELECT 'u' || o_custkey AS url, body FROM w LEFT JOIN c ON c_custkey = o_custkey
+""")
+def bucketed_cache(spark, d):
+    """Texts of the wanted addresses from a cache that was filled in three batches; the latest of each address counts."""
+    path, name = scratch(spark, "cache"), "cache_" + uuid.uuid4().hex
+    stored = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("url"), "c_nationkey")
+    cache.create(stored.where("c_custkey % 3 <> 0").select("url", F.lit("first").alias("body")), name, path, "url", 16)
+    cache.put(stored.where("c_custkey % 3 <> 0 AND c_custkey % 2 = 0").select("url", F.concat(F.lit("second "), F.col("c_nationkey").cast("string")).alias("body")), name, "url")
+    cache.put(stored.where("c_custkey % 4 = 0").select("url", F.lit("third").alias("body")), name, "url")
+    wanted = table(spark, d, "orders").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("url"))
+    return cache.get(wanted, name, "url").select("url", "body").union(cache.missing(wanted, name, "url").select("url", F.lit(None).cast("string")))
+
+
+_RUN_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+_RUN_GRAMS = "SELECT {k}, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {k}, {w} AS w FROM {t}))"
+
+
+@query(f"""
+WITH d AS ({_RUN_GRAMS.format(k='doc_id', w=_RUN_WORDS, t='documents')}), b AS ({_RUN_GRAMS.format(k='item_id', w=_RUN_WORDS, t='benchmark')}),
+m AS (SELECT doc_id, item_id, d.p AS p, d.p - b.p AS shift, d.p - row_number() OVER (PARTITION BY doc_id, item_id, d.p - b.p ORDER BY d.p) AS run FROM d JOIN b USING (g)),
+r AS (SELECT doc_id, item_id, min(p) AS start, min(p) - shift AS item_start, count(*) + 4 AS words FROM m GROUP BY doc_id, item_id, shift, run)
+SELECT doc_id, item_id, words, start, item_start FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, start, item_start) = 1
+""")
+def longest_passages(spark, d):
+    """The longest run of words that each document shares with each benchmark item, where it is five words or more."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
+    pairs = linkage.sharing_grams(docs, "doc_id", items, "item_id", "text", 5)
+    both = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    run = both.select("doc_id", "item_id", common.longest_common_run("text", "item", words=True).alias("r"))
+    return run.select("doc_id", "item_id", F.col("r.length").alias("words"), F.col("r.begin_a").alias("start"), F.col("r.begin_b").alias("item_start"))

@@ -81,7 +81,7 @@ def paged_feed(spark, d):
 def nested_lists(spark, d):
     rows = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.collect_list("p_partkey").alias("ids"))
     repos = rows.groupBy("p_brand").agg(F.collect_list(F.struct(F.concat(F.lit("own"), F.col("p_size").cast("string"), F.lit("##rep")).alias("name"), "ids")).alias("repos"))
-    nested = repos.agg(F.collect_list(F.struct(F.col("p_brand").alias("language"), "repos")).alias("lists"))
+    nested = repos.select(F.array(F.struct(F.col("p_brand").alias("language"), "repos")).alias("lists"))
     return records.nested_lists(nested, "lists")
 
 

@@ -34,6 +34,52 @@ def with_detail(df: DataFrame, key: str, components: str, detail: DataFrame) ->
     return v.select(key, "component", F.col("v.version_range").alias("range"), "v.patch")
 
 
+#: Where vendors keep the fields of a component, a range of versions and an instance; the first that is there counts.
+COMPONENT_PATHS = {
+    "components": ("$.artifactComponents", "$.components", "$.data.components"),
+    "kind": ("$.componentCoordinateType", "$.type"),
+    "one": ("$.coordOne", "$.group", "$.name"),
+    "two": ("$.coordTwo", "$.artifact"),
+    "versions": ("$.versionRanges", "$.versions"),
+    "range": ("$.versionRange", "$.version_range", "$.affected"),
+    "fix_version": ("$.updateToVersion", "$.fix_version"),
+    "fix_date": ("$.fixDate", "$.fix_date"),
+    "patch": ("$.patch", "$.patch.url", "$.fix.commit"),
+    "instances": ("$.componentInstances", "$.instances"),
+    "instance": ("$.componentInstanceHash", "$.hash", "$"),
+}
+
+
+def field(record: Column, paths: Sequence[str], kind: str = "string") -> Column:
+    """The first of the paths at which a variant has a value of that kind; null if none has. Records of any shape are in one column."""
+    found = [F.try_variant_get(record, p, kind) for p in paths]
+    # a text is no object or list that is written out
+    return F.coalesce(*(F.when(~F.startswith(f, F.lit("{")) & ~F.startswith(f, F.lit("[")), f) for f in found)) if kind == "string" else F.coalesce(*found)
+
+
+def variant_versions(df: DataFrame, key: str, json: str, detail: DataFrame | None = None, paths: dict[str, Sequence[str]] = COMPONENT_PATHS) -> DataFrame:
+    """(key, component, range, fix_version, fix_date, patch, instances) of vendor records given as JSON text of differing shapes.
+
+    component: kind and names that are not blank, lower-cased, joined by colons. A record without components takes those of its detail
+    page (key, json). A component without versions has a row of nulls; text that is no JSON and records without components have no row.
+    """
+    at = lambda v, name, kind="string": field(F.col(v), paths[name], kind)
+    rows = df.select(key, at_record(F.col(json), paths["components"]).alias("_c"))
+    if detail is not None:
+        more = detail.select(key, at_record(F.col(json), paths["components"]).alias("_d"))
+        rows = rows.join(more, key, "left").select(key, F.coalesce(F.when(F.size("_c") > 0, F.col("_c")), "_d").alias("_c"))
+    each = rows.select(key, F.explode("_c").alias("_c"))
+    names = F.filter(F.array(at("_c", "kind"), at("_c", "one"), at("_c", "two")), lambda n: F.trim(n) != "")
+    named = each.select(key, F.lower(F.array_join(names, ":")).alias("component"), F.explode_outer(at("_c", "versions", "array<variant>")).alias("_v"))
+    hashes = F.transform(at("_v", "instances", "array<variant>"), lambda i: field(i, paths["instance"]))
+    return named.select(key, "component", at("_v", "range").alias("range"), at("_v", "fix_version").alias("fix_version"), at("_v", "fix_date").alias("fix_date"), at("_v", "patch").alias("patch"), hashes.alias("instances"))
+
+
+def at_record(json: Column, paths: Sequence[str]) -> Column:
+    """The list of variants at the first of the paths of a JSON text that has one; null for other text."""
+    return field(F.try_parse_json(json), paths, "array<variant>")
+
+
 def last_written(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:
     """The values of each key that were written last."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*")
