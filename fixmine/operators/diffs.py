@@ -76,34 +76,33 @@ _BRACED = r"^[A-Za-z_][\w\s*&:<>,~\[\]]*?\b([A-Za-z_]\w*)\s*\([^;]*$"
 _NOT_NAMES = {"if", "for", "while", "switch", "return", "else", "catch", "sizeof", "do"}
 
 
+def _function_name(line: Column, suffix: Column) -> Column:
+    """The function whose header the line is, by the file's suffix; empty if it is none."""
+    name = F.regexp_extract(line, _BRACED, 1)
+    for ending, rule in _FUNCTION.items():
+        name = F.when(suffix == ending, F.regexp_extract(line, rule, 1)).otherwise(name)
+    return name
+
+
 def changed_functions(lines: DataFrame, key: str) -> DataFrame:
     """(key, file, function, change): functions whose header is added or deleted, or that a change lies in.
 
-    The function that encloses a line is the last header before it, which takes a look at the lines in order, so each
-    file of a diff is read by one Arrow-batched call.
+    The function that a line lies in is the last header before it in the file's part of the diff, else the one that its hunk's heading names. A
+    function is modified if a line in it is changed before any header of it, or if its headers are both added and deleted. Windows hold
+    the lines of one file of one diff.
     """
-    import re
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        suffix = str(pdf["file"].iloc[0]).rsplit(".", 1)[-1]
-        rule = re.compile(_FUNCTION.get(suffix, _BRACED))
-        now, found = None, {}
-        for r in pdf.sort_values("pos").itertuples():
-            m = rule.match(r.line)
-            if m and m[1] not in _NOT_NAMES:
-                now = m[1]
-                if r.kind != "ctx":
-                    change = "added" if r.kind == "add" else "deleted"
-                    found[now] = change if found.get(now, change) == change else "modified"
-                continue
-            if r.kind != "ctx":
-                name = now or next((x[1] for x in [rule.match(r.hunk.rsplit("@@ ", 1)[-1])] if x), None)
-                if name:
-                    found.setdefault(name, "modified")
-        return pd.DataFrame([(pdf[key].iloc[0], pdf["file"].iloc[0], f, c) for f, c in found.items()], columns=[key, "file", "function", "change"])
-
-    kind = dict(lines.dtypes)[key]
-    return lines.groupBy(key, "file").applyInPandas(run, f"{key} {kind}, file string, function string, change string")
+    suffix = F.element_at(F.split(F.coalesce("file", F.lit("")), "[.]"), -1)
+    name = _function_name(F.col("line"), suffix)
+    heading = F.nullif(_function_name(F.element_at(F.split("hunk", "@@ "), -1), suffix), F.lit(""))
+    header = (name != "") & ~name.isin(sorted(_NOT_NAMES))
+    order = Window.partitionBy(key, "file").orderBy("pos")
+    at = lines.withColumn("_header", header).withColumn("_inside", F.last(F.when(header, name), True).over(order)).where("kind <> 'ctx'")
+    kind = F.when(~F.col("_header"), "modified").when(F.col("kind") == "add", "added").otherwise("deleted")
+    events = at.select(key, "file", "pos", F.coalesce("_inside", F.when(~F.col("_header"), heading)).alias("function"), kind.alias("_k")).where("function IS NOT NULL")
+    own = F.when(F.col("_k") != "modified", F.col("_k"))
+    seen = events.groupBy(key, "file", "function").agg(F.min_by("_k", "pos").alias("_first"), F.min(own).alias("_a"), F.max(own).alias("_b"))
+    change = F.when((F.col("_first") == "modified") | (F.col("_a") != F.col("_b")), "modified").otherwise(F.col("_a"))
+    return seen.select(key, "file", "function", change.alias("change"))
 
 
 def enclosing_braces(df: DataFrame, code: str, position: str, name: str = "span") -> DataFrame:

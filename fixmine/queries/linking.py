@@ -151,16 +151,16 @@ def line_range_join(spark, d):
 
 
 @query("""
-WITH e AS (SELECT user_id, event_type, year(ts) * 100 + month(ts) AS m, value FROM events), k AS (SELECT min(m) AS lo, max(m) AS hi FROM e),
-a AS (SELECT user_id, event_type, count(*) AS before FROM e, k WHERE m = lo GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS after FROM e, k WHERE m = hi GROUP BY 1, 2)
+WITH e AS (SELECT user_id, event_type, year(ts) * 12 + month(ts) AS m FROM events), k AS (SELECT (min(m) + max(m)) // 2 AS half FROM e),
+a AS (SELECT user_id, event_type, count(*) AS before FROM e, k WHERE m <= half GROUP BY 1, 2), b AS (SELECT user_id, event_type, count(*) AS after FROM e, k WHERE m > half GROUP BY 1, 2)
 SELECT user_id, event_type, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'deleted' WHEN before = after THEN 'same' ELSE 'modified' END AS status FROM a FULL JOIN b USING (user_id, event_type)
 """)
 def full_outer_alignment(spark, d):
-    e = table(spark, d, "events").withColumn("m", F.year("ts") * 100 + F.month("ts"))
-    ends = e.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    e = e.join(F.broadcast(ends), F.lit(True))
-    count = lambda m: e.where(F.col("m") == F.col(m)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return linkage.aligned(count("lo"), count("hi"), ["user_id", "event_type"], "n")
+    """Events of each user and type in the first half of the months against those in the second."""
+    e = table(spark, d, "events").withColumn("m", F.year("ts") * 12 + F.month("ts"))
+    e = e.join(F.broadcast(e.agg(F.expr("(min(m) + max(m)) div 2").alias("half"))), F.lit(True))
+    count = lambda part: e.where(part).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return linkage.aligned(count("m <= half"), count("m > half"), ["user_id", "event_type"], "n")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS representative, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1")

@@ -274,3 +274,12 @@ def test_candidates_of_the_registered_ranking_are_few(spark):
     print("scored", scored, "of", every)
     assert scored < every
     assert F is not None
+
+
+def test_changed_functions_follow_headers_and_headings(spark):
+    from fixmine.operators import diffs
+
+    c = "--- a/x.c\n+++ b/x.c\n@@ -1,3 +1,5 @@\n int keep(int a) {\n+  a++;\n }\n+int fresh(int b) {\n+  return b; }\n@@ -20,4 +22,4 @@ static int far(int c)\n-  c--;\n+  c++;\n-int gone(void) {\n+int gone(int z) {\n   if (c) {\n@@ -60,1 +62,2 @@ nothing here\n x\n+y"
+    py = "--- a/y.py\n+++ b/y.py\n@@ -1,2 +1,3 @@\n+x = 1\n def f(a):\n-    pass\n+    return\n@@ -9,1 +10,1 @@ def g(b):\n-old\n+new"
+    lines = diffs.diff_lines(spark.createDataFrame([(1, c), (2, py), (3, None)], "k long, d string"), "k", "d")
+    assert rows(diffs.changed_functions(lines, "k"), "k", "function", "change") == [(1, "fresh", "added"), (1, "gone", "modified"), (1, "keep", "modified"), (2, "f", "modified")]
