@@ -18,7 +18,7 @@ def test_names_and_dates(spark):
     out = df.select(strings.product_key(F.col("c")).alias("c"), strings.header_tokens(F.col("h")).alias("h"), strings.language_of(F.col("p")).alias("p"), values.url_date(F.col("u")).alias("u"), values.month_name_date(F.col("m")).alias("m"), values.compact_date(F.col("g")).alias("g")).collect()
     day = datetime.date(2020, 5, 6)
     assert tuple(out[0]) == ("myprod1", ["bar", "foo"], "Python", day, day, "20200506")
-    assert tuple(out[1]) == (None, [], None, None, None, "0")
+    assert tuple(out[1]) == (None, [], "Unknown", None, None, "0")
 
 
 def test_token_pipeline(spark):
