@@ -120,12 +120,26 @@ def path_scores(paths: DataFrame, via: Column) -> DataFrame:
     return paths.groupBy("root", "node").agg(F.sum(weight).alias("score"), F.count("*").alias("paths"), (1 / F.min(F.greatest(length, F.lit(1)))).alias("depth"), F.min(n - 1).cast("long").alias("steps"))
 
 
+def _leading(links: DataFrame, pairs: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, _at, _to): for each (key, root, node) the edges on walks to node that do not come back to root, found from node up."""
+    at = pairs.select(*pair, F.col("node").alias("_to"))
+    seen, found = at, None
+    while True:
+        step = at.join(links, [pair[0], "_to"]).select(*pair, "_at", "_to").checkpoint()
+        if step.isEmpty():
+            return step if found is None else found.checkpoint()
+        found = step if found is None else found.union(step)
+        at = step.where("_at <> root").select(*pair, F.col("_at").alias("_to")).distinct().join(seen, [*pair, "_to"], "left_anti").checkpoint()
+        seen = seen.union(at)
+
+
 def local_connectivity(edges: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """(key, root, node, connectivity): how many paths without a common inner node lead from root to node.
 
     Paths are taken shortest first (of equal lengths the least by its nodes) and their inner nodes taken out, which is the usual
     approximation from below. edges: key, src, dst; pairs: key, root, node. All pairs of all graphs are searched together: a step is a join of
-    their fronts with the edges, and what was seen or used is left out by anti-joins, so no task holds a graph.
+    their fronts with the edges that lead to the pair's node, and what was seen or used is left out by anti-joins, so no task holds a graph
+    and a front never spreads over all children of a node.
     """
     checkpoints(edges.sparkSession)
     pair = [key, "root", "node"]
@@ -134,6 +148,7 @@ def local_connectivity(edges: DataFrame, pairs: DataFrame, key: str) -> DataFram
     active = asked.where("root <> node")
     ends = links.select(key, F.col("_at").alias("root"), F.col("_to").alias("node"))
     direct = active.join(ends, pair, "left_semi").withColumn("_direct", F.lit(True)).checkpoint()
+    links = _leading(links, active, pair)
     counts = direct.select(*pair, F.lit(1).cast("long").alias("n"))
     active = active.join(direct, pair, "left").na.fill(False, ["_direct"]).checkpoint()
     used = active.where("false").select(*pair, F.col("root").alias("_to"))
@@ -142,7 +157,7 @@ def local_connectivity(edges: DataFrame, pairs: DataFrame, key: str) -> DataFram
         seen = front.select(*pair, F.col("_at").alias("_to"))
         found = None
         while front.head(1):
-            step = front.join(links, [key, "_at"]).where(~(F.col("_direct") & (F.col("_at") == F.col("root")) & (F.col("_to") == F.col("node"))))
+            step = front.join(links, [*pair, "_at"]).where(~(F.col("_direct") & (F.col("_at") == F.col("root")) & (F.col("_to") == F.col("node"))))
             new = step.join(used.union(seen), [*pair, "_to"], "left_anti").groupBy(*pair, "_direct", F.col("_to").alias("_at")).agg(F.min(F.concat("_path", F.array("_to"))).alias("_path")).checkpoint()
             hit = new.where("_at = node")
             found = hit if found is None else found.union(hit)
