@@ -22,3 +22,14 @@ def test_search_of_pairs_keeps_to_edges_that_lead_to_the_node(spark):
     edges = spark.createDataFrame([("g", *e) for e in [("u", "r"), ("r", "a"), ("a", "b"), ("b", "a"), ("b", "u"), ("a", "t"), ("b", "t"), ("u", "t")]], "key string, src string, dst string")
     asked = spark.createDataFrame([("g", "r", "t"), ("g", "t", "r"), ("g", "r", "u")], "key string, root string, node string")
     assert rows(graph.local_connectivity(edges, asked, "key"), "root", "node", "connectivity") == [("r", "t", 1), ("r", "u", 1), ("t", "r", 0)]
+
+
+def test_siblings_are_made_distinct_only_where_they_can_repeat(spark):
+    e = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c"), ("q", "a"), ("q", "b"), ("q", "d"), ("q", "d")], "src string, dst string")
+    every = e.select(F.col("dst").alias("node"))
+    out = graph.siblings(e, every, every)
+    want = {(x, y) for g in ("abc", "abd") for x in g for y in g}
+    assert rows(out) == sorted(want, key=str)
+    # below the union only the third join has an aggregate above it
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
