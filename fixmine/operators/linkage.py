@@ -157,10 +157,19 @@ def issue_search(issues: DataFrame, commits: DataFrame, similarity: Column, leas
     """(entity, key, hash): changes whose message has an issue key of the entity, in repositories similar enough to its product.
 
     issues: entity, key, product; commits: repo, hash, message. Both sides meet on the keys that a message mentions, so
-    no message is compared with keys that it does not have. similarity: of ``product`` and ``repo``.
+    no message is compared with keys that it does not have. similarity: of ``product`` and ``repo``; it is taken once for each two names, and the
+    names that are similar are part of the equality. Only an issue with several products or a change in several repositories can give a
+    row more than once, so only those rows are made distinct.
     """
     named = commits.select("repo", "hash", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("message"), F.lit("([A-Z][A-Z0-9]+-[0-9]+)")))).alias("_k"))
-    return issues.withColumn("_k", F.upper("key")).join(named, "_k").where(similarity >= least).select("entity", "key", "hash").distinct()
+    asked = issues.select("entity", "key", "product", F.upper("key").alias("_k"))
+    named = named.join(asked.select("_k").distinct(), "_k", "left_semi").distinct()
+    # the two sides may meet by several names
+    alike = asked.select("product").distinct().crossJoin(named.select("repo").distinct()).where(similarity >= least)
+    sides = asked.distinct().join(alike, "product").join(asked.groupBy("entity", "key").agg((F.count_distinct("product") > 1).alias("_i")), ["entity", "key"])
+    changes = named.join(named.groupBy("hash", "_k").agg((F.count_distinct("repo") > 1).alias("_c")), ["hash", "_k"])
+    met = lambda a, b: sides.where(a).join(changes.where(b), ["_k", "repo"]).select("entity", "key", "hash")
+    return met("NOT _i", "NOT _c").union(met("_i", "true").union(met("NOT _i", "_c")).distinct())
 
 
 def merged_branches(truth: DataFrame) -> DataFrame:

@@ -33,3 +33,20 @@ def test_siblings_are_made_distinct_only_where_they_can_repeat(spark):
     # below the union only the third join has an aggregate above it
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")
+
+
+def test_issue_search_compares_names_once(spark):
+    many = spark.range(2000)
+    issues = many.selectExpr("concat('e', id) AS entity", "'ABC-1' AS key", "concat('product', id % 2) AS product").union(spark.createDataFrame([("e1", "ABC-1", "product0")], "entity string, key string, product string"))
+    commits = many.selectExpr("concat('product', id % 5) AS repo", "concat('h', id) AS hash", "'see abc-1 and ABC-1' AS message").union(spark.createDataFrame([("product0", "h1", "abc-1"), ("q", "h2", "ABC-1")], "repo string, hash string, message string"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def alike(a, b):
+        seen.add(1)
+        return 1.0 if a == b else 0.0
+
+    out = linkage.issue_search(issues, commits, alike(F.col("product"), F.col("repo")), 1.0)
+    # 400 changes of product0 and 400 of product1; h1 is of both, so e0, e2, ... have it too, and e1 has both products
+    assert out.count() == out.distinct().count() == 1000 * 401 + 999 * 400 + 800
+    assert seen.value < 1000
