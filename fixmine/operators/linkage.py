@@ -175,10 +175,10 @@ def issue_search(issues: DataFrame, commits: DataFrame, similarity: Column, leas
 def merged_branches(truth: DataFrame) -> DataFrame:
     """(entity, branch, patch): rows without a branch get the first branch with an equivalent patch, one in which either contains the other.
 
-    truth: entity, branch (null if unknown), patch.
+    truth: entity, branch (null if unknown), patch. Patches are compared once for each entity, with the first branch that has one.
     """
-    known, lost = truth.where("branch is not null"), truth.where("branch is null")
-    k = known.select(F.col("entity").alias("_e"), F.col("branch").alias("_b"), F.col("patch").alias("_p"))
+    known, lost = truth.where("branch is not null"), truth.where("branch is null").select("entity", "patch").distinct()
+    k = known.groupBy(F.col("entity").alias("_e"), F.col("patch").alias("_p")).agg(F.min("branch").alias("_b"))
     found = lost.join(k, (F.col("entity") == F.col("_e")) & (contained(F.col("patch"), F.col("_p")) | contained(F.col("_p"), F.col("patch"))), "left")
     return known.select("entity", "branch", "patch").union(found.groupBy("entity", "patch").agg(F.min("_b").alias("branch")).select("entity", "branch", "patch"))
 

@@ -50,3 +50,11 @@ def test_issue_search_compares_names_once(spark):
     # 400 changes of product0 and 400 of product1; h1 is of both, so e0, e2, ... have it too, and e1 has both products
     assert out.count() == out.distinct().count() == 1000 * 401 + 999 * 400 + 800
     assert seen.value < 1000
+
+
+def test_merged_branches_compares_patches_once(spark):
+    t = spark.range(6000).selectExpr("'e' AS entity", "CASE WHEN id % 2 = 0 THEN concat('b', id % 7) END AS branch", "CASE WHEN id % 2 = 0 THEN 'long patch' ELSE 'patch' END AS patch")
+    seen = linkage.merged_branches(t)
+    assert seen.count() == 3001 and rows(seen.where("patch = 'patch'")) == [("e", "b0", "patch")]
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate", plan.index("Join")) and plan.count("Aggregate") == 3
