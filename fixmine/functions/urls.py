@@ -83,11 +83,12 @@ def issue_id(c: Column) -> Column:
 
 
 def patch_key(c: Column) -> Column:
-    """git_<6 hex digits>, svn_<number>, or the URL as it is."""
+    """git_<6 hex digits>, svn_<number>, or the URL as it is; the number of an issue is no commit."""
     u = canonical(c)
+    issue = patch_kind(c).isNull() & issue_kind(c).isNotNull()
     key = F.regexp_extract(u, "(?:/commits?/|[;?&]id=|[;?&]h=|/c/|commit/[?]id=)([0-9a-f]{6})[0-9a-f]*", 1)
     revision = svn_id(u)
-    return F.when(F.contains(u, F.lit("svn")) & revision.isNotNull(), F.concat(F.lit("svn_"), revision)).when(key != "", F.concat(F.lit("git_"), key)).otherwise(u)
+    return F.when(F.contains(u, F.lit("svn")) & revision.isNotNull(), F.concat(F.lit("svn_"), revision)).when((key != "") & ~issue, F.concat(F.lit("git_"), key)).otherwise(u)
 
 
 def api_to_page(c: Column) -> Column:

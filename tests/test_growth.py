@@ -58,3 +58,9 @@ def test_merged_branches_compares_patches_once(spark):
     assert seen.count() == 3001 and rows(seen.where("patch = 'patch'")) == [("e", "b0", "patch")]
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate", plan.index("Join")) and plan.count("Aggregate") == 3
+
+
+def test_numbers_of_issues_are_no_commits(spark):
+    for url in ("https://bugzilla.example.com/show_bug.cgi?id=100160", "https://bugzilla.example.com/show_bug.cgi?a=b&id=1234567"):
+        assert spark.range(1).select(urls.patch_key(F.lit(url))).first()[0] == url
+    assert spark.range(1).select(urls.patch_key(F.lit("https://git.example.org/x/commit/?id=1001603"))).first()[0] == "git_100160"
