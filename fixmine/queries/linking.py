@@ -188,7 +188,8 @@ _DOCS, _ITEMS = _COUNTS.format(k="doc_id", t="documents"), _COUNTS.format(k="ite
 
 
 def _counts(spark, d, name, key):
-    return features.term_counts(table(spark, d, name).withColumn("tokens", strings.alnum_tokens(F.col("text"))), key, "tokens")
+    # texts are dealt out by key once, so that what is counted for a key and for its pairs stays where the text is
+    return features.term_counts(table(spark, d, name).select(key, "text").repartition(key).withColumn("tokens", strings.alnum_tokens(F.col("text"))), key, "tokens")
 
 
 @query(f"""

@@ -64,3 +64,14 @@ def test_numbers_of_issues_are_no_commits(spark):
     for url in ("https://bugzilla.example.com/show_bug.cgi?id=100160", "https://bugzilla.example.com/show_bug.cgi?a=b&id=1234567"):
         assert spark.range(1).select(urls.patch_key(F.lit(url))).first()[0] == url
     assert spark.range(1).select(urls.patch_key(F.lit("https://git.example.org/x/commit/?id=1001603"))).first()[0] == "git_100160"
+
+
+def _exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+
+
+def test_pairs_of_texts_are_summed_up_where_the_texts_are(spark):
+    from fixmine.queries import linking
+
+    found = _exchanges(linking.shared_token_stats(spark, "/root/testdata/sf0.001"))
+    assert found and not [x for x in found if "doc_id" in x and ("item_id" in x or "token" in x)]
