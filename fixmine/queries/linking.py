@@ -210,11 +210,9 @@ WITH i AS (SELECT token, ln((SELECT count(*) FROM documents) / (count(*) + 1)) A
 SELECT doc_id, item_id, round(coalesce(sum(a.w * b.w) / nullif(any_value(a.norm) * any_value(b.norm), 0), 0), 4) AS cosine FROM {_WEIGHTS.format(k='doc_id', c=_DOCS)} a JOIN {_WEIGHTS.format(k='item_id', c=_ITEMS)} b USING (token) GROUP BY 1, 2
 """)
 def tfidf_cosine(spark, d):
-    checkpoints(spark)
-    docs = table(spark, d, "documents")
-    counts = _counts(spark, d, "documents", "doc_id").checkpoint()
-    idfs = features.idf(counts, docs.count())
-    pairs = features.tfidf_cosine(features.weights(counts, "doc_id", idfs), "doc_id", features.weights(_counts(spark, d, "benchmark", "item_id"), "item_id", idfs), "item_id")
+    counts = _counts(spark, d, "documents", "doc_id")
+    idfs = features.idf(counts, table(spark, d, "documents").count())
+    pairs = features.cosines(counts, "doc_id", _counts(spark, d, "benchmark", "item_id"), "item_id", idfs)
     return pairs.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"))
 
 

@@ -75,3 +75,16 @@ def test_pairs_of_texts_are_summed_up_where_the_texts_are(spark):
 
     found = _exchanges(linking.shared_token_stats(spark, "/root/testdata/sf0.001"))
     assert found and not [x for x in found if "doc_id" in x and ("item_id" in x or "token" in x)]
+
+
+def test_cosines_are_summed_up_where_the_texts_are(spark):
+    from fixmine.operators import features
+    from fixmine.queries import linking
+
+    found = _exchanges(linking.tfidf_cosine(spark, "/root/testdata/sf0.001"))
+    assert found and not [x for x in found if "doc_id" in x and ("item_id" in x or "token" in x)]
+    a = spark.createDataFrame([(k, f"t{j}", 1 + (k * j) % 3) for k in range(9) for j in range(k, k + 5)], "a int, token string, n long")
+    idfs, b = features.idf(a, 9), a.where("a < 4").withColumnRenamed("a", "b")
+    plain = features.tfidf_cosine(features.weights(a, "a", idfs), "a", features.weights(b, "b", idfs), "b")
+    told = lambda df: rows(df.select("a", "b", F.round("cosine", 9)))
+    assert told(features.cosines(a, "a", b, "b", idfs)) == told(plain)
