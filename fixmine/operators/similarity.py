@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixmine.operators.features import sent
+
 
 def _most(size: Column, least: tuple[int, int]) -> Column:
     """Edits that a longer string of this size may have: of its characters, those beyond the similarity ``least``, a fraction."""
@@ -74,16 +76,17 @@ def cosine_candidates(x: DataFrame, a: str, y: DataFrame, b: str, k: int) -> tup
     open is dropped if its partial score and all that they could add stay below it.
     """
     lists = x.groupBy("token").agg(F.count("*").alias("df"), F.max(F.abs("x")).alias("top"))
+    # bounds have a row for each row of y, so they go to the rows of x, which are summed up to pairs where they are
     bound = y.join(lists, "token").select(b, "token", "y", "df", (F.abs("y") * F.col("top")).alias("most")).checkpoint()
     short = Window.partitionBy(b).orderBy("df", F.desc("most"), "token")
     opening = bound.withColumn("_c", F.sum("df").over(short) - F.col("df")).where(F.col("_c") < 8 * k)
-    partial = opening.join(x, "token").groupBy(b, a).agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    partial = x.join(sent(opening), "token").groupBy(b, a).agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     kth = partial.withColumn("_n", F.row_number().over(Window.partitionBy(b).orderBy(F.desc("s")))).where(F.col("_n") == k).select(b, F.col("s").alias("least"))
     weak = Window.partitionBy(b).orderBy("most", F.desc("df"), "token")
     # a little slack, as sums in another order differ in the last digits
     rated = bound.join(kth, b, "left").withColumn("_c", F.sum("most").over(weak)).withColumn("weak", F.coalesce(F.col("_c") < F.col("least") * (1 - 1e-9), F.lit(False))).checkpoint()
     rest = rated.where("weak").groupBy(b).agg(F.sum("most").alias("rest"))
-    met = rated.where("NOT weak").join(x, "token").groupBy(b, a).agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    met = x.join(sent(rated.where("NOT weak")), "token").groupBy(b, a).agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     hope = met.join(rest, b, "left").join(kth, b, "left")
     pairs = hope.where(F.col("least").isNull() | (F.col("s") + F.coalesce("rest", F.lit(0.0)) >= F.col("least") * (1 - 1e-9))).select(b, a)
     return pairs, kth

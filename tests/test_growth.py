@@ -88,3 +88,12 @@ def test_cosines_are_summed_up_where_the_texts_are(spark):
     plain = features.tfidf_cosine(features.weights(a, "a", idfs), "a", features.weights(b, "b", idfs), "b")
     told = lambda df: rows(df.select("a", "b", F.round("cosine", 9)))
     assert told(features.cosines(a, "a", b, "b", idfs)) == told(plain)
+
+
+def test_ranked_pairs_are_summed_up_where_the_texts_are(spark):
+    from fixmine.operators import similarity
+
+    x = spark.range(50).selectExpr("id AS a", "explode(array('s', concat('t', id % 7))) AS token", "0.7D AS x").repartition("a")
+    y = spark.range(3).selectExpr("id AS b", "explode(array('s', concat('t', id))) AS token", "0.7D AS y")
+    pairs, _ = similarity.cosine_candidates(x, "a", y, "b", 2)
+    assert not [e for e in _exchanges(pairs) if "(b#" in e and "a#" in e]
