@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fixmine.store import checkpoints, scratch
 
 #: Commits of a block, and ranges that one task walks through it.
-BLOCK, RANGES = 1 << 16, 256
+BLOCK, RANGES = 1 << 16, 1024
 _HEAD, _BASE = 1, 2
 
 
@@ -60,7 +60,8 @@ def commit_ranges(commits: DataFrame, ranges: DataFrame, block: int = BLOCK) ->
     range, repo, base (null: all ancestors of head), head.
 
     Commits are numbered within their repository and cut into blocks; marks of head and base go down block by block, in all
-    repositories at once, so there are as many rounds as the longest history has blocks and no task holds more than one block.
+    repositories at once, so there are as many rounds as the longest history has blocks and no task holds more than one block. Ranges are
+    dealt out in the order of their heads and wait until the walk is at their first mark, so a block goes only to the parts that are in it.
     """
     spark = commits.sparkSession
     checkpoints(spark)
@@ -76,14 +77,19 @@ def commit_ranges(commits: DataFrame, ranges: DataFrame, block: int = BLOCK) ->
     if nodes.where("last >= pos").head(1):
         raise ValueError("a parent does not come before its child in the order")
     # ranges of one repository are dealt to several tasks, each of which reads the block
-    sized = ranges.withColumn("part", F.expr(f"(row_number() OVER (PARTITION BY repo ORDER BY range) - 1) div {RANGES}"))
+    heads = ranges.join(named.select("repo", F.col("commit").alias("head"), F.col("pos").alias("at")), ["repo", "head"], "left")
+    sized = heads.withColumn("part", F.expr(f"(row_number() OVER (PARTITION BY repo ORDER BY at, range) - 1) div {RANGES}")).select("repo", "range", "part", "base", "head").checkpoint()
     ends = sized.select("repo", "range", "part", F.explode(F.array(F.struct(F.col("head").alias("commit"), F.lit(_HEAD).alias("side")), F.struct(F.col("base").alias("commit"), F.lit(_BASE).alias("side")))).alias("e"))
-    front = ends.select("repo", "range", "part", "e.*").join(named.select("repo", "commit", "pos"), ["repo", "commit"]).select("repo", "range", "part", "pos", "side").checkpoint()
+    front = ends.select("repo", "range", "part", "e.*").join(named.select("repo", "commit", "pos"), ["repo", "commit"]).select("repo", "range", "part", "pos", "side")
+    waiting = front.withColumn("first", F.expr(f"max(pos) OVER (PARTITION BY repo, range) div {block}")).checkpoint()
     parts = sized.select("repo", "range", "part")
-    top = front.agg(F.max("pos")).first()[0]
+    top = waiting.agg(F.max("pos")).first()[0]
     found = front.where("false").select("repo", "range", "pos")
+    front = None
     for k in range(-1 if top is None else top // block, -1, -1):
         # with their marks further down, which tell whether a range has ended
+        begun = waiting.where(F.col("first") == k).drop("first")
+        front = begun if front is None else front.union(begun)
         own = nodes.where(F.col("block") == k).join(front.select("repo", F.col("part").alias("part")).distinct(), "repo").select("repo", "part", "pos", "parents")
         step = front.groupBy("repo", "part").cogroup(own.groupBy("repo", "part")).applyInPandas(_walk, f"repo {kind}, range {rkind}, pos long, side int").checkpoint()
         found = found.union(step.where("side = 0").select("repo", "range", "pos"))

@@ -97,3 +97,21 @@ def test_ranked_pairs_are_summed_up_where_the_texts_are(spark):
     y = spark.range(3).selectExpr("id AS b", "explode(array('s', concat('t', id))) AS token", "0.7D AS y")
     pairs, _ = similarity.cosine_candidates(x, "a", y, "b", 2)
     assert not [e for e in _exchanges(pairs) if "(b#" in e and "a#" in e]
+
+
+def test_blocks_go_to_the_parts_that_are_in_them(spark, monkeypatch):
+    from fixmine.operators import history
+
+    met, walk = spark.sparkContext.accumulator(0), history._walk
+
+    def counted(key, marks, nodes):
+        met.add(len(nodes))
+        return walk(key, marks, nodes)
+
+    monkeypatch.setattr(history, "_walk", counted)
+    monkeypatch.setattr(history, "RANGES", 20)
+    commits = spark.range(400).selectExpr("1L AS repo", "id AS commit", "id AS order", "CASE WHEN id > 0 THEN array(id - 1) ELSE CAST(array() AS ARRAY<BIGINT>) END AS parents")
+    ranges = spark.range(1, 400).selectExpr("id * 37 % 400 AS range", "1L AS repo", "id - 1 AS base", "id AS head")
+    out = history.commit_ranges(commits, ranges, block=50)
+    assert rows(out.select("range", "commit")) == sorted(((k * 37 % 400, k) for k in range(1, 400)), key=str)
+    assert met.value <= 3000
