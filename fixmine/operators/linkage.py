@@ -52,6 +52,16 @@ def in_ranges(points: DataFrame, value: str, ranges: DataFrame, low: str, high:
     return p.join(r, "_b").where(F.col(value).between(F.col(low), F.col(high))).drop("_b")
 
 
+def summed_ranges(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str, key: str, width: float) -> DataFrame:
+    """``points`` that a range holds, with ``count``, the number of ranges that do, and ``first``, the smallest key of those.
+
+    Equal ranges and equal points meet once, so pairs follow the distinct values.
+    """
+    r = ranges.groupBy(low, high).agg(F.count("*").alias("_n"), F.min(key).alias("_k"))
+    met = in_ranges(points.select(value).distinct(), value, r, low, high, width)
+    return points.join(met.groupBy(value).agg(F.sum("_n").alias("count"), F.min("_k").alias("first")), value)
+
+
 def grams(c: Column, n: int = 3) -> Column:
     """Distinct runs of n characters; none for shorter strings."""
     return F.when(F.length(c) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))))

@@ -115,3 +115,10 @@ def test_blocks_go_to_the_parts_that_are_in_them(spark, monkeypatch):
     out = history.commit_ranges(commits, ranges, block=50)
     assert rows(out.select("range", "commit")) == sorted(((k * 37 % 400, k) for k in range(1, 400)), key=str)
     assert met.value <= 3000
+
+
+def test_equal_ranges_and_points_meet_once(spark):
+    points = spark.range(20000).selectExpr("id AS e", "CAST(id % 3 AS DOUBLE) AS v")
+    bands = spark.range(20000).selectExpr("id + 5 AS k", "0.5D AS low", "1.0D AS high").union(spark.createDataFrame([(2, 0.0, 0.0)], "k long, low double, high double"))
+    out = linkage.summed_ranges(points, "v", bands, "low", "high", "k", 2.0)
+    assert rows(out.groupBy("v", "count", "first").agg(F.count("*"))) == [(0.0, 1, 2, 6667), (1.0, 20000, 5, 6667)]
