@@ -8,15 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fixmine.store import dealt
+
 
 def diff_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
     """(key, pos, file, hunk, kind, old, new, line) of every changed or context line of each diff.
 
     kind: add, del or ctx; old and new: line numbers, null where the line is missing. A hunk ends with the lines that its header
     counts, or before a line that cannot be in one, so changed lines may look like headers. The file is that of the last
-    ``+++`` line outside hunks. The windows are partitioned by diff, so memory is bounded by one diff.
+    ``+++`` line outside hunks. The windows are partitioned by diff, and diffs are dealt out whole, so many to a task.
     """
-    lines = df.select(key, F.posexplode(F.split(diff, "\n")).alias("pos", "line"))
+    lines = dealt(df.select(key, diff), [key]).select(key, F.posexplode(F.split(diff, "\n")).alias("pos", "line"))
     w, line = Window.partitionBy(key).orderBy("pos"), F.col("line")
     header = line.rlike("^@@ -[0-9]+")
     at = r"^@@ -([0-9]+)(?:,([0-9]+))? [+]([0-9]+)(?:,([0-9]+))?"

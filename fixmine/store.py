@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -25,6 +26,12 @@ def checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int = 4096) -> DataFrame:
+    """``df`` dealt out by its keys, some ``rows`` to a partition, for steps that make many rows of each and sort them within a key."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that is not in use; what is written there goes with the Python process."""
     checkpoints(spark)

@@ -122,3 +122,12 @@ def test_equal_ranges_and_points_meet_once(spark):
     bands = spark.range(20000).selectExpr("id + 5 AS k", "0.5D AS low", "1.0D AS high").union(spark.createDataFrame([(2, 0.0, 0.0)], "k long, low double, high double"))
     out = linkage.summed_ranges(points, "v", bands, "low", "high", "k", 2.0)
     assert rows(out.groupBy("v", "count", "first").agg(F.count("*"))) == [(0.0, 1, 2, 6667), (1.0, 20000, 5, 6667)]
+
+
+def test_diffs_are_dealt_out_whole(spark):
+    from fixmine.operators import diffs
+
+    d = spark.range(20000).selectExpr("id", "'--- a\\n+++ b\\n@@ -1 +1 @@\\n-x\\n+y' AS diff")
+    out = diffs.diff_lines(d, "id", "diff")
+    found = _exchanges(out) + [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION" in x]
+    assert out.count() == 40000 and len({x.strip() for x in found}) == 1 and "REPARTITION_BY_NUM" in found[0]
