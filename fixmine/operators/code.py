@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fixmine.store import dealt
+
 _MASKED = re.compile(r"(?m:^[ \t]*\#(?:\\\n|[^\n])*)|\b(?:public|private|protected)\s*:(?!:)|//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S)
 _INKED = re.compile(r"[^\n]")
 #: The name before the parentheses that a block's heading ends in, and what is no name.
@@ -30,10 +32,10 @@ def _lines_in(c: Column) -> Column:
 def blocks(files: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
     """(keys, heading, start, end, depth) of every block in braces that is closed: lines from 1, start where its heading begins.
 
-    The text is cut at braces and semicolons. Depths are a running sum of braces in a file; an opening brace ends at the next
+    Files are dealt out whole, so many to a task. The text is cut at braces and semicolons. Depths are a running sum of braces in a file; an opening brace ends at the next
     closing one of its depth.
     """
-    pieces = files.select(*keys, F.posexplode(F.regexp_extract_all(masked(code), F.lit("[^{};]*[{};]"), F.lit(0))).alias("pos", "piece"))
+    pieces = dealt(files.select(*keys, code), keys).select(*keys, F.posexplode(F.regexp_extract_all(masked(code), F.lit("[^{};]*[{};]"), F.lit(0))).alias("pos", "piece"))
     mark = F.substring("piece", -1, 1)
     order = Window.partitionBy(*keys).orderBy("pos")
     step = F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
