@@ -143,7 +143,7 @@ def enclosing_function(lines: DataFrame, keys: Sequence[str], wanted: DataFrame)
     """
     name = F.regexp_extract("line", _BRACED, 1)
     w = Window.partitionBy(*keys).orderBy("n")
-    named = lines.withColumn("function", F.last(F.when((name != "") & ~name.isin(list(_NOT_NAMES)), name), True).over(w))
+    named = dealt(lines, keys, 1 << 17).withColumn("function", F.last(F.when((name != "") & ~name.isin(list(_NOT_NAMES)), name), True).over(w))
     return wanted.select(*keys, "n").join(named.select(*keys, "n", "function"), [*keys, "n"])
 
 

@@ -131,3 +131,9 @@ def test_diffs_are_dealt_out_whole(spark):
     out = diffs.diff_lines(d, "id", "diff")
     found = _exchanges(out) + [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION" in x]
     assert out.count() == 40000 and len({x.strip() for x in found}) == 1 and "REPARTITION_BY_NUM" in found[0]
+
+
+def test_lines_and_files_are_dealt_out_by_their_number(spark):
+    from fixmine.store import dealt
+
+    assert dealt(spark.range(100_000), ["id"]).rdd.getNumPartitions() == 25 and dealt(spark.range(5), ["id"]).rdd.getNumPartitions() == 4
