@@ -62,20 +62,21 @@ def evaluated_outputs(spark, d):
     folder = scratch(spark, "outputs")
     for w in ("0", "3"):
         rows = spark.sql(_SCORED.replace("{w}", w), t=table(spark, d, "lineitem"))
-        # Spark names the files itself, so each is renamed by writing the rows of one file
-        rows.coalesce(1).write.option("header", True).csv(f"{folder}-{w}")
-        _rename(spark, f"{folder}-{w}", f"{folder}/s{w}_output.csv")
+        # Spark names the files itself, so each is renamed; the parts of one output have its name in folders of their own
+        rows.write.option("header", True).csv(f"{folder}-{w}")
+        _rename(spark, f"{folder}-{w}", folder, f"s{w}_output.csv")
     precision, _ = workflows.evaluate_outputs(spark, folder, scratch(spark, "results"), _KS)
     return precision.select("system", "k", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-def _rename(spark, folder: str, to: str) -> None:
+def _rename(spark, folder: str, to: str, name: str) -> None:
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = fs.Path(folder)
     system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(x.getPath() for x in system.listStatus(at) if x.getPath().getName().startswith("part-"))
-    system.mkdirs(fs.Path(to).getParent())
-    system.rename(part, fs.Path(to))
+    parts = [x.getPath() for x in system.listStatus(at) if x.getPath().getName().startswith("part-")]
+    for k, part in enumerate(parts):
+        system.mkdirs(fs.Path(f"{to}/{k}"))
+        system.rename(part, fs.Path(f"{to}/{k}/{name}"))
 
 
 @query("SELECT 'CVE-' || p_size AS entity, array_to_string(list_sort(list(DISTINCT v)), ' ') AS values FROM (SELECT p_size, p_brand AS v FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_size, p_name FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1")

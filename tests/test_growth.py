@@ -137,3 +137,12 @@ def test_lines_and_files_are_dealt_out_by_their_number(spark):
     from fixmine.store import dealt
 
     assert dealt(spark.range(100_000), ["id"]).rdd.getNumPartitions() == 25 and dealt(spark.range(5), ["id"]).rdd.getNumPartitions() == 4
+
+
+def test_outputs_are_written_by_all_tasks(spark, tmp_path):
+    from fixmine.queries import lookups
+
+    spark.range(40).repartition(4).write.csv(f"{tmp_path}/made")
+    lookups._rename(spark, f"{tmp_path}/made", f"{tmp_path}/out", "s0_output.csv")
+    files = list((tmp_path / "out").rglob("s0_output.csv"))
+    assert len(files) == 4 and sum(len(f.read_text().split()) for f in files) == 40
