@@ -146,3 +146,20 @@ def test_outputs_are_written_by_all_tasks(spark, tmp_path):
     lookups._rename(spark, f"{tmp_path}/made", f"{tmp_path}/out", "s0_output.csv")
     files = list((tmp_path / "out").rglob("s0_output.csv"))
     assert len(files) == 4 and sum(len(f.read_text().split()) for f in files) == 40
+
+
+def test_texts_are_read_once_for_overlaps(spark):
+    from fixmine.operators import features
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(k):
+        seen.add(1)
+        return [f"w{k % 7}", f"v{k % 5}", f"only{k}"]
+
+    left = spark.range(500).select("id", words("id").alias("w"))
+    right = spark.createDataFrame([(0, ["w1", "v1"]), (1, ["w2", "nowhere"]), (2, [])], "j int, w array<string>")
+    out = features.overlapping(left, "id", right, "j", "w", 1.0)
+    want = [(k, 0, 2, 1.0, 2 / 3) for k in range(500) if k % 7 == 1 and k % 5 == 1]
+    assert rows(out) == sorted(want, key=str) and seen.value == 500
