@@ -163,3 +163,26 @@ def test_texts_are_read_once_for_overlaps(spark):
     out = features.overlapping(left, "id", right, "j", "w", 1.0)
     want = [(k, 0, 2, 1.0, 2 / 3) for k in range(500) if k % 7 == 1 and k % 5 == 1]
     assert rows(out) == sorted(want, key=str) and seen.value == 500
+
+
+def test_folds_are_told_once_for_all_models(spark):
+    from fixmine.operators import models
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(k):
+        seen.add(1)
+        return None if k % 9 == 0 else float(k * 37 % 101)
+
+    plain = spark.range(400).selectExpr("id", "CAST(id * 53 % 89 AS DOUBLE) AS b", "CASE WHEN id % 11 > 0 THEN CAST(id * 37 % 101 + id % 40 > 60 AS INT) END AS y")
+    df = plain.withColumn("a", feature("id"))
+    out = models.cross_scored(df, "id", ["a", "b"], "y", {"p": "logistic", "v": "linear"}, 3)
+    got = {r["id"]: (r["p"], r["v"]) for r in out.collect()}
+    assert len(got) == 400 and seen.value <= 3 * 400
+    # each fold by the models that are fitted for it alone
+    whole = spark.createDataFrame(df.collect(), df.schema).withColumn("fold", models.fold(F.col("id"), 3))
+    for place, kind in enumerate(("logistic", "linear")):
+        for k in range(3):
+            for r in models.fit_predict(whole.where(f"fold <> {k}"), whole.where(f"fold = {k}"), ["a", "b"], "y", kind).collect():
+                assert abs(r["score"] - got[r["id"]][place]) < 1e-9
