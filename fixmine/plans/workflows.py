@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fixmine.operators import filters, graph, linkage, metrics, models, ranking, votes
+from fixmine.store import dealt
 
 
 def filter_and_vote(candidates: DataFrame, answers: DataFrame, entity: str = "cve", file: str = "file", keys: tuple[str, str, str] = ("hash", "short", "subject")) -> DataFrame:
@@ -54,9 +55,10 @@ def localise(edges: DataFrame, roots: DataFrame, patches: DataFrame, trusted: Co
 
 def rank_features(rows: DataFrame, entity: str, ident: str, features: Sequence[str], label: str, ks: Sequence[int] = (1, 2, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:
     """(ranked rows, scores by k): fold-wise logistic and linear models, fused by the sum of their ranks."""
-    scored = models.cross_validated(rows, entity, features, label).withColumnRenamed("score", "logistic")
-    linear = models.cross_validated(rows.select(entity, ident, label, *features), entity, features, label, kind="linear").select(entity, ident, F.col("score").alias("linear"))
-    both = scored.join(linear, [entity, ident])
+    scored = models.cross_scored(rows, entity, features, label, {"logistic": "logistic", "_linear": "linear"}).where(F.col(ident).isNotNull())
+    # rows of one id meet all its linear scores, as in a join, but stay where their entity is
+    linear = F.collect_list("_linear").over(Window.partitionBy(entity, ident))
+    both = dealt(scored, [entity], 1 << 17, rows).withColumn("_linear", linear).withColumn("linear", F.explode("_linear")).drop("_linear")
     for s in ("logistic", "linear"):
         both = ranking.rank_within(both, [entity], [F.desc(s), ident], f"rank_{s}")
     ranked = ranking.rank_within(ranking.fuse_scores(both, ["rank_logistic", "rank_linear"], "borda"), [entity], ["fused", ident])

@@ -26,10 +26,13 @@ def checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def dealt(df: DataFrame, keys: Sequence[str], rows: int = 4096) -> DataFrame:
-    """``df`` dealt out by its keys, some ``rows`` to a partition, for steps that make many rows of each and sort them within a key."""
+def dealt(df: DataFrame, keys: Sequence[str], rows: int = 4096, like: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt out by its keys, some ``rows`` to a partition, for steps that make many rows of each and sort them within a key.
+
+    like: a table of as many rows that is cheaper to count.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+    return df.repartition(max(least, -(-(df if like is None else like).count() // rows)), *keys)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

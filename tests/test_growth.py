@@ -186,3 +186,13 @@ def test_folds_are_told_once_for_all_models(spark):
         for k in range(3):
             for r in models.fit_predict(whole.where(f"fold <> {k}"), whole.where(f"fold = {k}"), ["a", "b"], "y", kind).collect():
                 assert abs(r["score"] - got[r["id"]][place]) < 1e-9
+
+
+def test_models_that_rank_together_score_in_one_table(spark):
+    from fixmine.plans import workflows
+
+    df = spark.range(300).selectExpr("id div 6 AS e", "CASE WHEN id = 299 THEN 298 ELSE id END AS id", "CAST(id * 37 % 101 AS DOUBLE) AS a", "CAST(id * 53 % 89 AS DOUBLE) AS b", "CAST(id * 37 % 101 + id % 40 > 60 AS INT) AS y")
+    ranked, _ = workflows.rank_features(df, "e", "id", ["a", "b"], "y", ks=(1, 3))
+    assert "Join" not in ranked._jdf.queryExecution().executedPlan().toString()
+    # the rows of an id that repeats meet all scores of that id
+    assert ranked.count() == 302 and ranked.where("id = 298").count() == 4
