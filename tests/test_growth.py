@@ -196,3 +196,11 @@ def test_models_that_rank_together_score_in_one_table(spark):
     assert "Join" not in ranked._jdf.queryExecution().executedPlan().toString()
     # the rows of an id that repeats meet all scores of that id
     assert ranked.count() == 302 and ranked.where("id = 298").count() == 4
+
+
+def test_fused_ranks_are_dealt_out_by_their_number(spark):
+    from fixmine.queries import evaluation
+
+    for query in (evaluation.fusion_borda, evaluation.fusion_voting):
+        found = _exchanges(query(spark, "/root/testdata/sf0.1"))
+        assert len(found) == 1 and ", 5), REPARTITION_BY_NUM" in found[0]
