@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fixmine.functions import strings
 from fixmine.operators import features, linkage, ranking
 from fixmine.queries.base import query, table
-from fixmine.store import checkpoints
+from fixmine.store import dealt
 
 _LCS = "list_max(list_transform(range(1, length({a}) + 1), lambda i: list_max(list_transform(range(0, length({a}) - i + 2), lambda n: CASE WHEN contains({b}, substr({a}, i, n)) THEN n ELSE 0 END))))"
 
@@ -92,14 +92,16 @@ _COMMITS = """
 _TRUTH = f"(SELECT DISTINCT cve, substr(hash, 1, 10) AS hash, '' AS title FROM {_COMMITS} c WHERE substr(hash, 1, 1) < '4')"
 
 
-def v_commits(spark, d):
-    """Changes made of line items, named by a digest."""
+def v_commits(spark, d, by=None):
+    """Changes made of line items, named by a digest; ``by``: a column that they are dealt out by, before digests and subjects are made."""
     s = lambda c: F.col(c).cast("string")
     h = F.md5(F.concat(s("l_orderkey"), F.lit("-"), s("l_partkey"), F.lit("-"), s("l_linenumber")))
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", h.alias("hash")).distinct()
+    # rows alike in what the digest is made of are alike in the digest
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linenumber").repartition("l_orderkey").distinct()
     rows = lines.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    named = rows.select(F.concat(F.lit("CVE-"), F.year("o_orderdate").cast("string"), F.lit("-"), s("o_orderkey")).alias("cve"), "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     word = F.when(F.col("l_returnflag") == "R", "fix").when(F.col("l_returnflag") == "A", "add").otherwise("none")
-    return rows.select(F.concat(F.lit("CVE-"), F.year("o_orderdate").cast("string"), F.lit("-"), s("o_orderkey")).alias("cve"), "hash", F.substring("hash", 1, 7).alias("short"), F.concat(word, F.lit(" "), s("l_partkey")).alias("subject"))
+    return (dealt(named, [by], 1 << 17, table(spark, d, "lineitem")) if by else named).withColumn("hash", h).select("cve", "hash", F.substring("hash", 1, 7).alias("short"), F.concat(word, F.lit(" "), s("l_partkey")).alias("subject"))
 
 
 def v_truth(spark, d):
@@ -125,11 +127,15 @@ SELECT round(avg(coalesce(hits, 0) / n), 6) AS precision, round(avg(least(1, coa
 FROM (SELECT cve, count(DISTINCT hash) AS n FROM p GROUP BY 1) JOIN (SELECT cve, count(DISTINCT hash) AS k FROM t GROUP BY 1) USING (cve) LEFT JOIN m USING (cve)
 """)
 def linkage_precision_recall(spark, d):
-    checkpoints(spark)
-    p = v_commits(spark, d).checkpoint()
+    # dealt out by entity once, so that joins, distinct hashes and counts stay where the entity is
+    p = v_commits(spark, d, "cve")
     t = _truth_of(p)
-    m = linkage.matched(p, t, "cve", _match(), "inner").groupBy("p.cve").agg(F.countDistinct("p.hash").alias("hits"), F.countDistinct("t.hash").alias("found"))
-    both = p.groupBy("cve").agg(F.countDistinct("hash").alias("n")).join(t.groupBy("cve").agg(F.countDistinct("hash").alias("k")), "cve").join(m, "cve", "left").na.fill(0, ["hits", "found"])
+
+    def counted(side, other, kind, n, hits):
+        pairs = linkage.matched(p, t, "cve", _match(), kind).groupBy(f"{side}.cve", f"{side}.hash").agg(F.max(F.col(f"{other}.hash").isNotNull().cast("long")).alias("hit"))
+        return pairs.groupBy("cve").agg(F.count("hash").alias(n), F.sum(F.when(F.col("hash").isNotNull(), F.col("hit")).otherwise(0)).alias(hits))
+
+    both = counted("p", "t", "left", "n", "hits").join(counted("t", "p", "right", "k", "found"), "cve")
     return both.agg(F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("precision"), F.round(F.avg(F.least(F.lit(1.0), F.col("found") / F.col("k"))), 6).alias("recall"), F.count("*").alias("groups"))
 
 

@@ -204,3 +204,12 @@ def test_fused_ranks_are_dealt_out_by_their_number(spark):
     for query in (evaluation.fusion_borda, evaluation.fusion_voting):
         found = _exchanges(query(spark, "/root/testdata/sf0.1"))
         assert len(found) == 1 and ", 5), REPARTITION_BY_NUM" in found[0]
+
+
+def test_entities_are_dealt_out_once_for_linkage(spark):
+    from fixmine.queries import linking
+
+    df = linking.linkage_precision_recall(spark, "/root/testdata/sf0.001")
+    by = [x.split("Exchange hashpartitioning(")[1].split(")")[0] for x in _exchanges(df)]
+    assert by and not [x for x in by if "hash#" in x]
+    assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
