@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixmine.store import checkpoints, scratch
+from fixmine.store import checkpoints, kept, scratch
 
 #: Commits of a block, and ranges that one task walks through it.
 BLOCK, RANGES = 1 << 16, 1024
@@ -99,23 +99,32 @@ def commit_ranges(commits: DataFrame, ranges: DataFrame, block: int = BLOCK) ->
     return found.join(named, ["repo", "pos"]).select("range", "repo", "commit")
 
 
-def _print(path: Column, blob: Column) -> list[Column]:
-    """Four numbers of a file's path and content, 0 for no file."""
-    digest = F.sha2(F.concat_ws("\0", path, blob).cast("binary"), 256)
+def _digest(path: Column, blob: Column) -> Column:
+    """The digest of a file's path and content; null for no file."""
+    return F.when(blob.isNotNull(), F.sha2(F.concat_ws("\0", path, blob).cast("binary"), 256))
+
+
+def _print(digest: Column) -> list[Column]:
+    """Four numbers of a digest, 0 for none."""
     number = lambda k: F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long")
-    return [F.when(blob.isNull(), F.lit(0).cast("long")).otherwise(number(k)) for k in range(4)]
+    return [F.coalesce(number(k), F.lit(0).cast("long")) for k in range(4)]
 
 
-def folder_deltas(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, commit, folder, p0..p3): how a commit changes the print of each folder on the way to a changed file; the root is ''.
+def folder_deltas(changes: DataFrame, keys: Sequence[str], folder: str | None = None) -> DataFrame:
+    """(keys, commit, folder, p0..p3): how a commit changes the print of each folder on the way to a changed file, or of ``folder`` alone; the root is ''.
 
     changes: keys, commit, path, old (the content's id before, null for a new file), new (null for a deleted one). A folder's print is the
     exclusive or of the digests of all files below it, so it follows from the changed files alone.
     """
+    if folder:
+        changes = changes.where(F.startswith("path", F.lit(folder + "/")))
     steps = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    delta = [a.bitwiseXOR(b).alias(f"p{k}") for k, (a, b) in enumerate(zip(_print(F.col("path"), F.col("old")), _print(F.col("path"), F.col("new")), strict=True))]
-    return changes.select(*keys, "commit", F.explode(folders).alias("folder"), *delta).groupBy(*keys, "commit", "folder").agg(*[F.bit_xor(f"p{k}").alias(f"p{k}") for k in range(4)])
+    delta = [a.bitwiseXOR(b).alias(f"p{k}") for k, (a, b) in enumerate(zip(_print(F.col("_old")), _print(F.col("_new")), strict=True))]
+    # a digest is made once for its four numbers
+    named = changes.select(*keys, "commit", "path", _digest(F.col("path"), F.col("old")).alias("_old"), _digest(F.col("path"), F.col("new")).alias("_new"))
+    at = F.explode(folders) if folder is None else F.lit(folder)
+    return named.select(*keys, "commit", at.alias("folder"), *delta).groupBy(*keys, "commit", "folder").agg(*[F.bit_xor(f"p{k}").alias(f"p{k}") for k in range(4)])
 
 
 def tree_prints(commits: DataFrame, changes: DataFrame, keys: Sequence[str], folder: str = "") -> DataFrame:
@@ -124,18 +133,19 @@ def tree_prints(commits: DataFrame, changes: DataFrame, keys: Sequence[str], fol
     commits: keys, commit, parent (the first one; null at the beginning). changes: see ``folder_deltas``; they are those against the first parent.
     Prints are exclusive ors along the line of first parents; steps double, so there are as many rounds as the longest line's length has digits in base two.
     """
-    checkpoints(commits.sparkSession)
     prints = [f"p{k}" for k in range(4)]
-    own = folder_deltas(changes, keys).where(F.col("folder") == folder).drop("folder")
+    own = folder_deltas(changes, keys, folder).drop("folder")
     zero = {p: 0 for p in prints}
-    now = commits.select(*keys, "commit", F.col("parent").alias("on")).join(own, [*keys, "commit"], "left").na.fill(zero).checkpoint()
+    now = kept(commits.select(*keys, "commit", F.col("parent").alias("on")).join(own, [*keys, "commit"], "left").na.fill(zero), "prints")
+    # a line that has come to its beginning is written once and only looked up from then on
+    done = now.where("on IS NULL")
     while now.where("on IS NOT NULL").head(1):
-        far = now.select(*keys, F.col("commit").alias("on"), F.col("on").alias("next"), *[F.col(p).alias(f"_{p}") for p in prints])
-        # a line that has come to its beginning needs no further look
-        done = now.where("on IS NULL")
-        step = now.where("on IS NOT NULL").join(far, [*keys, "on"], "left").na.fill({f"_{p}": 0 for p in prints})
-        now = done.unionByName(step.select(*keys, "commit", F.col("next").alias("on"), *[F.col(p).bitwiseXOR(F.col(f"_{p}")).alias(p) for p in prints])).checkpoint()
-    return now.drop("on")
+        left = now.where("on IS NOT NULL")
+        far = done.unionByName(left).select(*keys, F.col("commit").alias("on"), F.col("on").alias("next"), *[F.col(p).alias(f"_{p}") for p in prints])
+        step = left.join(far, [*keys, "on"], "left").na.fill({f"_{p}": 0 for p in prints})
+        now = kept(step.select(*keys, "commit", F.col("next").alias("on"), *[F.col(p).bitwiseXOR(F.col(f"_{p}")).alias(p) for p in prints]), "prints")
+        done = done.unionByName(now.where("on IS NULL"))
+    return done.drop("on")
 
 
 def tree_classes(commits: DataFrame, changes: DataFrame, keys: Sequence[str], folder: str = "") -> DataFrame:

@@ -43,6 +43,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there: a cut of lineage that is smaller and faster to read than a checkpoint."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _made:

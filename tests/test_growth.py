@@ -213,3 +213,13 @@ def test_entities_are_dealt_out_once_for_linkage(spark):
     by = [x.split("Exchange hashpartitioning(")[1].split(")")[0] for x in _exchanges(df)]
     assert by and not [x for x in by if "hash#" in x]
     assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_digest_is_made_once_for_its_numbers(spark):
+    from fixmine.operators import history
+
+    changes = spark.createDataFrame([("r", 1, "/a/b", None, "x"), ("r", 2, "/a/b", "x", "y"), ("r", 3, "/a/b", "y", "x")], "repo string, commit int, path string, old string, new string")
+    plan = history.folder_deltas(changes, ["repo"], "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2 and "Generate" not in plan
+    commits = spark.createDataFrame([("r", 1, None), ("r", 2, 1), ("r", 3, 2)], "repo string, commit int, parent int")
+    assert rows(history.tree_classes(commits, changes, ["repo"])) == [("r", 1, 1, 2), ("r", 2, 2, 1), ("r", 3, 1, 2)]
