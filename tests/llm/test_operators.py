@@ -363,6 +363,25 @@ def test_secret_ledger_is_not_scanned_again(spark, monkeypatch, tmp_path):
     assert {r["rules"] for r in secrets.read_ledger(spark, f"{tmp_path}/forged").collect()} == {old, "other rules"}
 
 
+def test_secret_increments_keep_all_rows_when_joins_shuffle(spark, tmp_path):
+    rows = [(k, f"text {k % 150} token=abcdefghijklm{k % 150}") for k in range(200)] + [(None, "text 3 token=abcdefghijklm3"), (None, None), (7, "password: " + "x" * 12)]
+    want = sorted(((i, len(plain_spans(t or ""))) for i, t in rows), key=str)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got(secrets.scan_in_increments(frame(spark, rows)), "doc_id", "n_assign") == want
+        early, late = (secrets.scan_archive(frame(spark, part), f"{tmp_path}/ledger") for part in (rows[:90], rows[90:]))
+        assert got(late.union(early), "doc_id", "n_assign") == got(early.union(late), "doc_id", "n_assign") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_secret_increments_keep_all_rows_when_the_ledger_is_broadcast(spark):
+    n = 20_000
+    copies = spark.range(n).selectExpr("id AS doc_id", f"concat('token=abcdefghijklm', id div {n // 2}, id % 3) AS text")
+    assert secrets.scan_in_increments(copies).where("n_assign = 1").select("doc_id").distinct().count() == n
+
+
 def test_secrets_against_sql(spark):
     """Counts of the base kinds whose rule another engine can express, over a whole table."""
     from tests.compare import connect
