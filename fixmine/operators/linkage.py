@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixmine.functions.values import DAY, seconds, within_days
+from fixmine.operators.features import sent
 from fixmine.operators.ranking import numbered
+from fixmine.store import kept
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -163,23 +165,54 @@ def compared_versions(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], v
     return a.join(b, list(keys), "full_outer").withColumn("agree", F.coalesce(F.col("ours") == F.col("theirs"), F.lit(False)))
 
 
+#: Rows of a side in a block of ``met``, and pairs of a task.
+PORTION, PAIRS = 4096, 1 << 25
+
+
+def met(left: DataFrame, a: str, right: DataFrame, b: str, links: DataFrame) -> DataFrame:
+    """Each row of ``left`` (a and others) beside each row of ``right`` (b and others) where links (a, b; distinct) has the two, without a and b.
+
+    For joins whose rows grow with the square of their groups: they read little, so Spark would give them few tasks, and one task all
+    pairs of a group. Groups are cut into portions by a hash of their rows, two portions are a block of some ``PORTION`` rows each way at most, and
+    blocks are dealt out to as many tasks as their pairs ask for. In a block the left is one array, which each row of the right unfolds. Rows
+    that are equal are of one portion, so a side should have few of them.
+    """
+
+    def parts(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
+        sizes, rest = sent(df.groupBy(key).agg(F.count("*").alias(name))), [c for c in df.columns if c != key]
+        place = F.pmod(F.xxhash64(*rest), F.ceil(F.col(name) / PORTION))
+        return sizes, df.join(sizes, key).withColumn(f"{name}_part", place).drop(name), rest
+
+    (m, x, own), (n, y, other) = parts(left, a, "_m"), parts(right, b, "_n")
+    linked = links.join(m, a).join(n, b).checkpoint()
+    each = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(size) / PORTION) - 1))
+    blocks = sent(linked.select(a, b, "_n", each("_m").alias("_m_part")).select(a, b, "_m_part", each("_n").alias("_n_part")).withColumn("_block", F.monotonically_increasing_id()))
+    pairs = linked.agg(F.sum(F.col("_m") * F.col("_n") + F.col("_m") + F.col("_n"))).first()[0] or 0
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    arrays = x.join(blocks, [a, "_m_part"]).select("_block", *own).repartition(tasks, "_block").groupBy("_block").agg(F.collect_list(F.struct(*own)).alias("_rows"))
+    rows = y.join(blocks, [b, "_n_part"]).select("_block", *other).repartition(tasks, "_block")
+    return arrays.hint("shuffle_hash").join(rows, "_block").select(F.explode("_rows").alias("_row"), *other).select("_row.*", *other)
+
+
 def issue_search(issues: DataFrame, commits: DataFrame, similarity: Column, least: float = 2 / 3) -> DataFrame:
     """(entity, key, hash): changes whose message has an issue key of the entity, in repositories similar enough to its product.
 
     issues: entity, key, product; commits: repo, hash, message. Both sides meet on the keys that a message mentions, so
-    no message is compared with keys that it does not have. similarity: of ``product`` and ``repo``; it is taken once for each two names, and the
-    names that are similar are part of the equality. Only an issue with several products or a change in several repositories can give a
-    row more than once, so only those rows are made distinct.
+    no message is compared with keys that it does not have. similarity: of ``product`` and ``repo``; it is taken once for each two names. Issues
+    with one key and the same products and changes with one key and the same repositories are groups, and groups are linked, so no row of the
+    result is made twice and none has to be made distinct.
     """
     named = commits.select("repo", "hash", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("message"), F.lit("([A-Z][A-Z0-9]+-[0-9]+)")))).alias("_k"))
     asked = issues.select("entity", "key", "product", F.upper("key").alias("_k"))
     named = named.join(asked.select("_k").distinct(), "_k", "left_semi").distinct()
-    # the two sides may meet by several names
-    alike = asked.select("product").distinct().crossJoin(named.select("repo").distinct()).where(similarity >= least)
-    sides = asked.distinct().join(alike, "product").join(asked.groupBy("entity", "key").agg((F.count_distinct("product") > 1).alias("_i")), ["entity", "key"])
-    changes = named.join(named.groupBy("hash", "_k").agg((F.count_distinct("repo") > 1).alias("_c")), ["hash", "_k"])
-    met = lambda a, b: sides.where(a).join(changes.where(b), ["_k", "repo"]).select("entity", "key", "hash")
-    return met("NOT _i", "NOT _c").union(met("_i", "true").union(met("NOT _i", "_c")).distinct())
+    # of each issue its products and of each change its repositories, so two of them meet once, whatever names they have in common
+    left = kept(asked.groupBy("entity", "key", "_k").agg(F.array_sort(F.collect_set("product")).alias("_p")).select("entity", "key", F.struct("_k", "_p").alias("_a")), "issues")
+    right = kept(named.groupBy("hash", "_k").agg(F.array_sort(F.collect_set("repo")).alias("_r")).select("hash", F.struct("_k", "_r").alias("_b")), "changes")
+    sides = left.select("_a").distinct().select("_a", F.col("_a._k").alias("_k"), F.explode("_a._p").alias("product"))
+    changes = right.select("_b").distinct().select("_b", F.col("_b._k").alias("_k"), F.explode("_b._r").alias("repo"))
+    alike = sides.select("product").distinct().crossJoin(changes.select("repo").distinct()).where(similarity >= least)
+    links = sides.join(alike, "product").join(changes, ["_k", "repo"]).select("_a", "_b").distinct()
+    return met(left, "_a", right, "_b", links).select("entity", "key", "hash")
 
 
 def merged_branches(truth: DataFrame) -> DataFrame:

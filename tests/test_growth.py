@@ -223,3 +223,14 @@ def test_a_digest_is_made_once_for_its_numbers(spark):
     assert plan.count("sha2(") == 2 and "Generate" not in plan
     commits = spark.createDataFrame([("r", 1, None), ("r", 2, 1), ("r", 3, 2)], "repo string, commit int, parent int")
     assert rows(history.tree_classes(commits, changes, ["repo"])) == [("r", 1, 1, 2), ("r", 2, 2, 1), ("r", 3, 1, 2)]
+
+
+def test_pairs_of_one_key_are_dealt_out_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "PORTION", 100, raising=False)
+    monkeypatch.setattr(linkage, "PAIRS", 1 << 16, raising=False)
+    issues = spark.range(1000).selectExpr("id AS entity", "'ABC-1' AS key", "'name' AS product").union(spark.createDataFrame([(7, "ABC-1", "other"), (-1, "abc-1", "third")], "entity long, key string, product string"))
+    commits = spark.range(1000).selectExpr("'name' AS repo", "concat('h', id) AS hash", "'see ABC-1' AS message").union(spark.createDataFrame([("other", "h7", "abc-1"), ("third", "x", "ABC-1"), ("third", "h8", "ABC-1")], "repo string, hash string, message string"))
+    out = linkage.issue_search(issues, commits, strings.edit_similarity(F.col("product"), F.col("repo")), 1.0)
+    each = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == out.distinct().count() == 1_000_000 + 2 and max(each) < 250_000
+    assert rows(out.where("entity < 0")) == [(-1, "abc-1", "h8"), (-1, "abc-1", "x")]
