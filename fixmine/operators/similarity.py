@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixmine.operators.features import sent
+from fixmine.operators.features import idf, sent, weights
+from fixmine.store import dealt, kept
 
 
 def _most(size: Column, least: tuple[int, int]) -> Column:
@@ -107,3 +108,48 @@ def top_cosine(left: DataFrame, a: str, right: DataFrame, b: str, k: int = 10) -
     # equal scores differ in their last digits by the order of the sum
     ranked = whole.withColumn("place", F.row_number().over(Window.partitionBy(b).orderBy(F.desc(F.round("cosine", 12)), a)))
     return ranked.where(F.col("place") <= k).select(b, a, "cosine", F.col("place").cast("long").alias("place"))
+
+
+#: Words whose idf goes to all tasks, besides those of the smaller side; texts of that side whose pairs are all scored.
+COMMON, FEW = 100_000, 500
+
+
+def top_cosine_texts(left: DataFrame, a: str, right: DataFrame, b: str, words: Column, k: int = 10) -> DataFrame:
+    """``top_cosine`` of the texts themselves. words: an array of a text's words, repeats count, of columns of both sides.
+
+    Texts are dealt out once. Where a text is, its words meet the commonest words of the left and those of the right, and are summed up to one row
+    for each pair and one for the text's norm; only its other, rare words are looked up by a shuffle, so no table has the counts of all words.
+    All pairs with a word in common are scored, so of more than ``FEW`` b those that ``cosine_candidates`` leaves are scored instead, by tables of all counts.
+    """
+    documents = left.count()
+    # explode would ask for sizes above 0 below the words, and so make them twice
+    each = lambda df, key, made: df.select(key, made.alias("_x")).select(key, F.explode_outer("_x").alias("token")).where("token IS NOT NULL")
+    counted = lambda df, key, n: each(df, key, words).groupBy(key, "token").agg(F.count("*").alias(n))
+    counts = counted(dealt(left, [a], 2048, left), a, "n")
+    if right.select(b).distinct().limit(FEW + 1).count() > FEW:
+        rarity = idf(counts, documents)
+        return top_cosine(weights(counts, a, rarity), a, weights(counted(right, b, "n"), b, rarity), b, k)
+    alone = left.groupBy(a).agg(F.count("*").alias("_c")).where("_c > 1").isEmpty()
+    often = (each(left, a, F.array_distinct(words)) if alone else counts).groupBy("token").agg(F.count("*").alias("df"))
+    idfs = kept(often.withColumn("idf", F.log(F.lit(float(documents)) / (F.col("df") + 1))), "idf")
+    steps = [1 << i for i in range(48)]
+    sizes = idfs.agg(*[F.count(F.when(F.col("df") >= x, 1)).alias(str(x)) for x in steps]).first()
+    least = next((x for x in steps if sizes[str(x)] <= COMMON), steps[-1])
+    own = counted(right, b, "m").join(idfs, "token").where("idf <> 0").withColumn("w", F.col("m") * F.col("idf"))
+    own = own.withColumn("y", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(b))))
+    lists = own.groupBy("token").agg(F.collect_list(F.struct(F.col(b).alias("b"), "y")).alias("_l"))
+    known = sent(idfs.join(lists, "token", "left").where((F.col("df") >= least) | F.col("_l").isNotNull()).select("token", "idf", "_l"))
+    x = F.col("n") * F.col("idf")
+    row = lambda kind, b_, token, v: F.struct(F.lit(kind).alias("kind"), b_.alias("b"), token.alias("token"), v.alias("v"))
+    no_b, no_token = F.lit(None).cast(right.schema[b].dataType), F.lit(None).cast("string")
+    # the square of a word that is known and its share of each pair; a rare word itself
+    norm, rare = F.array(row("norm", no_b, no_token, x * x)), F.array(row("rare", no_b, F.col("token"), F.col("n").cast("double")))
+    shares = F.transform(F.coalesce("_l", F.array().cast(lists.schema["_l"].dataType)), lambda e: row("pair", e["b"], no_token, x * e["y"]))
+    made = counts.join(known, "token", "left").select(a, F.explode(F.when(F.col("idf").isNull(), rare).otherwise(F.concat(norm, shares))).alias("e")).select(a, "e.*")
+    made = kept(made.groupBy(a, "kind", "b", "token").agg(F.sum("v").alias("v")), "scores")
+    squares = made.where("kind = 'norm'").select(a, "v").union(made.where("kind = 'rare'").join(idfs, "token").select(a, (F.col("v") * F.col("idf") * F.col("v") * F.col("idf")).alias("v")))
+    norms = sent(squares.groupBy(F.col(a).alias("_a")).agg(F.sqrt(F.sum("v")).alias("norm")))
+    pairs = made.where("kind = 'pair'").select(a, F.col("b").alias(b), "v")
+    whole = pairs.join(norms, F.col(a).eqNullSafe(F.col("_a"))).select(b, a, (F.col("v") / F.col("norm")).alias("cosine"))
+    ranked = whole.withColumn("place", F.row_number().over(Window.partitionBy(b).orderBy(F.desc(F.round("cosine", 12)), a)))
+    return ranked.where(F.col("place") <= k).select(b, a, "cosine", F.col("place").cast("long").alias("place"))

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from fixmine.functions import common, strings
-from fixmine.operators import code, features, history, linkage, selection, similarity
+from fixmine.operators import code, history, linkage, selection, similarity
 from fixmine.queries.base import query, table
-from fixmine.queries.linking import _DOCS, _ITEMS, _WEIGHTS, _counts
+from fixmine.queries.linking import _DOCS, _ITEMS, _WEIGHTS
 from fixmine.sources import cache, records
-from fixmine.store import checkpoints, scratch
+from fixmine.store import scratch
 
 # A graph for each repository: every seventh change starts from the one before the last, every fifth merges an older one.
 _GRAPH = """
@@ -133,11 +133,8 @@ SELECT item_id, doc_id, round(cosine, 4) AS cosine, place FROM (SELECT *, row_nu
 """)
 def top_documents(spark, d):
     """The ten documents most like each benchmark item."""
-    checkpoints(spark)
-    counts = _counts(spark, d, "documents", "doc_id")
-    idfs = features.idf(counts, table(spark, d, "documents").count())
-    left, right = features.weights(counts, "doc_id", idfs), features.weights(_counts(spark, d, "benchmark", "item_id"), "item_id", idfs)
-    return similarity.top_cosine(left, "doc_id", right, "item_id", 10).select("item_id", "doc_id", F.round("cosine", 4).alias("cosine"), "place")
+    texts = lambda name, key: table(spark, d, name).select(key, "text")
+    return similarity.top_cosine_texts(texts("documents", "doc_id"), "doc_id", texts("benchmark", "item_id"), "item_id", strings.alnum_tokens(F.col("text")), 10).select("item_id", "doc_id", F.round("cosine", 4).alias("cosine"), "place")
 
 
 def _parts_sql(column: str, t: str, most: int) -> str:

@@ -234,3 +234,39 @@ def test_pairs_of_one_key_are_dealt_out_to_all_tasks(spark, monkeypatch):
     each = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(each) == out.distinct().count() == 1_000_000 + 2 and max(each) < 250_000
     assert rows(out.where("entity < 0")) == [(-1, "abc-1", "h8"), (-1, "abc-1", "x")]
+
+
+def test_no_table_has_the_counts_of_all_texts(spark, monkeypatch):
+    from fixmine.queries import history, linking
+
+    kind, seen = type(spark.range(0)), []
+    plain = kind.checkpoint
+
+    def noted(self, *a, **b):
+        out = plain(self, *a, **b)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", noted)
+    assert history.top_documents(spark, "/root/testdata/sf0.01").count() > 0
+    assert max(seen) * 4 < linking._counts(spark, "/root/testdata/sf0.01", "documents", "doc_id").count()
+
+
+def test_top_cosines_of_texts_with_rare_words_and_repeated_ids(spark, monkeypatch):
+    from fixmine.operators import features, similarity
+
+    # w0 is in all rows but two, so that its idf is not 0; x1, x2, ... are in one row each; id 3 has two rows, and one row has no words
+    left = spark.range(60).selectExpr("IF(id = 59, 3, id) AS a", "IF(id = 7, '', concat('w0 w', id % 5, ' w', id % 7, ' w', id % 7, ' x', id)) AS text")
+    right = spark.createDataFrame([(0, "w1 w2 x3 x3 x59"), (1, "w0 w3 nowhere"), (2, "x11"), (3, "nowhere"), (4, None)], "b int, text string")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    counts = lambda df, key: features.term_counts(df.withColumn("t", words), key, "t")
+    idfs = features.idf(counts(left, "a"), 60)
+    told = lambda df: rows(df.select("b", "a", F.round("cosine", 9), "place"))
+    want = told(similarity.top_cosine(features.weights(counts(left, "a"), "a", idfs), "a", features.weights(counts(right, "b"), "b", idfs), "b", 4))
+    assert len(want) > 8
+    for common, few in ((100_000, 500), (3, 500), (0, 500), (3, 2)):
+        monkeypatch.setattr(similarity, "COMMON", common)
+        monkeypatch.setattr(similarity, "FEW", few)
+        assert told(similarity.top_cosine_texts(left, "a", right, "b", words, 4)) == want
+    one = spark.createDataFrame([(None, "u v"), (1, "v"), (2, "t"), (3, "t")], "a int, text string")
+    assert rows(similarity.top_cosine_texts(one, "a", right.limit(1).select(F.lit("i").alias("b"), F.lit("u").alias("text")), "b", words, 1).select("b", "a", "place")) == [("i", None, 1)]
