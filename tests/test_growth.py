@@ -270,3 +270,28 @@ def test_top_cosines_of_texts_with_rare_words_and_repeated_ids(spark, monkeypatc
         assert told(similarity.top_cosine_texts(left, "a", right, "b", words, 4)) == want
     one = spark.createDataFrame([(None, "u v"), (1, "v"), (2, "t"), (3, "t")], "a int, text string")
     assert rows(similarity.top_cosine_texts(one, "a", right.limit(1).select(F.lit("i").alias("b"), F.lit("u").alias("text")), "b", words, 1).select("b", "a", "place")) == [("i", None, 1)]
+
+
+def test_siblings_below_one_parent_are_dealt_out_and_met_once(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "PORTION", 100, raising=False)
+    monkeypatch.setattr(linkage, "PAIRS", 1 << 16, raising=False)
+    # all nodes have two parents in common
+    e = spark.range(1000).selectExpr("explode(array('p', 'q')) AS src", "concat('c', id) AS dst")
+    every = e.select(F.col("dst").alias("node"))
+    out = graph.siblings(e, every, every)
+    each = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == out.distinct().count() == 1_000_000 and max(each) < 250_000
+    # no pair is shuffled to be made distinct
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_siblings_of_nodes_with_few_and_many_parents(spark, monkeypatch):
+    links = {(p, f"n{k}") for k in range(40) for p in (f"a{k % 3}", f"b{k % 4}", f"b{k % 5}", f"c{k % 7}")} | {(f"a{k % 3}", f"m{k}") for k in range(9)}
+    e = spark.createDataFrame([*links, *links, (None, "n1"), ("a1", None), (None, None)], "src string, dst string")
+    nodes, pool = (e.where(x).select(F.col("dst").alias("node")) for x in ("dst LIKE '%1%' OR dst LIKE 'm%'", "dst NOT LIKE '%2'"))
+    asked, found = ({r["node"] for r in df.distinct().collect()} for df in (nodes, pool))
+    want = sorted({(x, y) for p, x in links for q, y in links if p == q and x in asked and y in found}, key=str)
+    for most in (64, 3, 1):
+        monkeypatch.setattr(graph, "PARENTS", most, raising=False)
+        assert rows(graph.siblings(e, nodes, pool)) == want
